@@ -278,20 +278,20 @@ def orphan_accounts(t):
 
 @query
 def channel_pipeline(t):
-    return rounded(
-        _channels(t), 2, "total_pipeline", "avg_deal_size", "won_pipeline", "channel_spend"
-    )
+    table = rounded(_channels(t), 2, "total_pipeline", "avg_deal_size", "won_pipeline")
+    return rounded(table, 4, "channel_spend")
 
 
 @query
 def spend_by_platform(t):
-    return rounded(C.spend_by_platform(t.ads), 2, "spend")
+    return rounded(C.spend_by_platform(t.ads), 4, "spend")
 
 
 @query
 def channel_roi_report(t):
     report = C.channel_roi_report(_channels(t))
-    return rounded(report, 2, "total_pipeline", "won_revenue", "avg_deal_size", "channel_spend")
+    report = rounded(report, 2, "total_pipeline", "won_revenue", "avg_deal_size")
+    return rounded(report, 4, "channel_spend")
 
 
 @query
@@ -307,22 +307,22 @@ def _creative(t: Tables) -> DataFrame:
 
 @query
 def creative_performance(t):
-    return rounded(_creative(t), 2, "spend")
+    return rounded(_creative(t), 4, "spend")
 
 
 @query
 def top_creatives(t):
-    return rounded(R.top_creatives(_creative(t)), 2, "spend")
+    return rounded(R.top_creatives(_creative(t)), 4, "spend")
 
 
 @query
 def creative_by_attribute(t):
-    return rounded(R.creative_by_attribute(_creative(t)), 2, "spend")
+    return rounded(R.creative_by_attribute(_creative(t)), 4, "spend")
 
 
 @query
 def creative_by_platform(t):
-    return rounded(R.creative_by_platform(_creative(t)), 2, "spend")
+    return rounded(R.creative_by_platform(_creative(t)), 4, "spend")
 
 
 # --- reports ---------------------------------------------------------------
@@ -370,7 +370,7 @@ def _scenarios(t: Tables) -> DataFrame:
 @query
 def budget_scenarios(t):
     rows = _scenarios(t).withColumn("scenario_no", F.col("scenario_no").cast("bigint"))
-    rows = rounded(rows, 2, "current_spend", "spend", "projected_pipeline")
+    rows = rounded(rounded(rows, 4, "current_spend", "spend"), 2, "projected_pipeline")
     return rounded(rows, 6, "spend_share", "pipeline_per_dollar", "change")
 
 
@@ -400,7 +400,7 @@ def _attribution(t: Tables, *models: str) -> DataFrame:
 
 
 def _credits(t: Tables, *models: str) -> DataFrame:
-    return rounded(_attribution(t, *models), 2, "attributed_pipeline", "attributed_won")
+    return rounded(_attribution(t, *models), 4, "attributed_pipeline", "attributed_won")
 
 
 @query
@@ -483,7 +483,7 @@ def _snake(df: DataFrame) -> DataFrame:
 @query
 def attr_comparison(t):
     wide = M.compare_models(_attribution(t))
-    return _snake(rounded(wide, 2, *V.ATTRIBUTION_MODELS))
+    return _snake(rounded(wide, 4, *V.ATTRIBUTION_MODELS))
 
 
 @query

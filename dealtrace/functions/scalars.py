@@ -272,12 +272,18 @@ def decay_weight(days, half_life: float = V.HALF_LIFE_DAYS) -> Column:
 
 # --- ratios ----------------------------------------------------------------
 
+def round_to(c, digits: int) -> Column:
+    """Round the scaled double to the nearest integer, ties to even."""
+    power = F.lit(float(10**digits))
+    return F.rint(_col(c) * power) / power
+
+
 def ratio(num, den, digits: int | None = None, scale: float = 1.0) -> Column:
     """num / den, null where den is zero."""
     value = F.try_divide(_col(num).cast("double"), F.nullif(_col(den).cast("double"), F.lit(0.0)))
     if scale != 1.0:
         value = value * F.lit(scale)
-    return value if digits is None else F.round(value, digits)
+    return value if digits is None else round_to(value, digits)
 
 
 def click_rate(clicks, impressions, digits: int = 6) -> Column:

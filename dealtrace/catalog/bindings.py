@@ -262,6 +262,9 @@ FROM {events}""",
 
 ALL = {**TYPED, **RAW}
 
+# Schemas by path: finding one costs a job, and a query reads a table several times.
+_SCHEMAS: dict[str, T.StructType] = {}
+
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table; its zone-less times are read as UTC instants.
@@ -270,14 +273,16 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     reach the files.
     """
     path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    fields = [
-        T.StructField(f.name, T.TimestampType(), f.nullable)
-        if isinstance(f.dataType, T.TimestampNTZType)
-        else f
-        for f in schema.fields
-    ]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = T.StructType(
+            [
+                T.StructField(f.name, T.TimestampType(), f.nullable)
+                if isinstance(f.dataType, T.TimestampNTZType)
+                else f
+                for f in spark.read.parquet(path).schema.fields
+            ]
+        )
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def bound(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ END_OF_TIME = 253_402_300_799_999_999
 
 
 def _slice_of(us: Column, width: int) -> Column:
-    return F.floor(us / F.lit(width)).cast("bigint")
+    return F.coalesce(F.floor(us / F.lit(width)).cast("bigint"), F.lit(0))
 
 
 def _halved(us: Column, half_life: float) -> Column:
@@ -36,6 +36,22 @@ def _halved(us: Column, half_life: float) -> Column:
     return F.pow(F.lit(2.0), us / F.lit(half_life * S.MICROS_PER_DAY))
 
 
+def _dated(df: DataFrame, date: str, name: str, width: int) -> DataFrame:
+    """Rows with domain and date, the date as microseconds, and its slice.
+
+    The keys are declared non-null (they are, after the filter): otherwise each
+    join would add its own null checks below the shuffle and Spark could not
+    see that two joins read the same thing.
+    """
+    known = df.where(F.col("domain").isNotNull() & F.col(date).isNotNull())
+    return known.withColumns(
+        {
+            "domain": F.coalesce("domain", F.lit("")),
+            name: F.coalesce(F.unix_micros(date), F.lit(0)),
+        }
+    ).withColumn("slice", _slice_of(F.col(name), width))
+
+
 def _slicing(window_days: int, slices: int | None) -> tuple[int, int, int]:
     window = int(window_days * S.MICROS_PER_DAY)
     slices = slices or max(int(window_days), 1)
@@ -64,103 +80,111 @@ def deal_channel_links(
     window, slices, width = _slicing(window_days, slices)
     carry = list(carry)
 
-    asked = deals.where(F.col("domain").isNotNull() & F.col("create_date").isNotNull()).select(
-        "opp_id", "domain", F.unix_micros("create_date").alias("t"), *carry
-    )
-    asked = asked.withColumn("slice", _slice_of(F.col("t"), width))
-    log = touches.where(F.col("domain").isNotNull() & F.col("touch_date").isNotNull()).select(
-        "domain", "channel", F.unix_micros("touch_date").alias("us")
-    )
-    log = log.withColumn("slice", _slice_of(F.col("us"), width))
+    asked = _dated(deals, "create_date", "t", width).select("opp_id", "domain", "slice", "t", *carry)
+    log = _dated(touches, "touch_date", "us", width).select("domain", "channel", "slice", "us")
     slice_end = (F.col("slice") + 1) * F.lit(width)
     log = log.withColumn("w", _halved(F.col("us") - slice_end, half_life_days))
+    totals = F.collect_list(F.struct("channel", "n", "lo", "hi", "w"))
 
-    per_slice = log.groupBy("domain", "slice", "channel").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("us").alias("lo"),
-        F.max("us").alias("hi"),
-        F.sum("w").alias("w"),
+    # Slice totals by channel: one row per (domain, slice).
+    cells = (
+        log.groupBy("domain", "slice", "channel")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("us").alias("lo"),
+            F.max("us").alias("hi"),
+            F.sum("w").alias("w"),
+        )
+        .groupBy("domain", "slice")
+        .agg(totals.alias("own"))
     )
+    heads = asked.select("domain", "slice").distinct()
+    lookup = cells
 
-    # The two cut slices. Position runs forwards at the late end and backwards
-    # at the early end, so that "up to here" is the wanted side in both.
-    ends = F.array(
-        F.struct(F.lit(1).alias("side"), F.col("slice").alias("cut"), F.col("t").alias("pos")),
-        F.struct(
-            F.lit(-1).alias("side"),
-            (F.col("slice") - F.lit(slices)).alias("cut"),
-            (F.lit(window) - F.col("t")).alias("pos"),
-        ),
+    if slices > 1:
+        # Whole slices before a deal's own, decayed to the start of that one.
+        # Both sides meet in stretches as long as the window, so that only
+        # slices at most two windows apart are compared.
+        head = F.col("head")
+        first, last = head - F.lit(slices - 1), head - F.lit(1)
+        stretches = F.sequence(_slice_of(first, slices), _slice_of(last, slices))
+        age = (head - F.col("slice") - 1) * F.lit(width)
+        inner = (
+            heads.withColumnRenamed("slice", "head")
+            .withColumn("stretch", F.explode(stretches))
+            .join(cells.withColumn("stretch", _slice_of(F.col("slice"), slices)), ["domain", "stretch"])
+            .where(F.col("slice").between(first, last))
+            .select("domain", "head", "slice", F.inline("own"))
+            .groupBy("domain", F.col("head").alias("slice"), "channel")
+            .agg(
+                F.sum("n").alias("n"),
+                F.min("lo").alias("lo"),
+                F.max("hi").alias("hi"),
+                F.sum(F.col("w") * _halved(-age, half_life_days)).alias("w"),
+            )
+            .groupBy("domain", "slice")
+            .agg(totals.alias("before"))
+        )
+        lookup = (
+            cells.unionByName(inner, allowMissingColumns=True)
+            .groupBy("domain", "slice")
+            .agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("own", "before")))
+        )
+
+    # A deal asks three times: side 1, its own slice up to its date; side -1,
+    # the slice its window starts in, from there on; side 0, the slices between.
+    # Position runs backwards on side -1, so "up to here" fits both cut slices.
+    def side(number: int, cut: Column, pos: Column) -> Column:
+        return F.struct(F.lit(number).alias("side"), cut.alias("cut"), pos.alias("pos"))
+
+    own_slice, start_slice = F.col("slice"), F.col("slice") - F.lit(slices)
+    late, early = side(1, own_slice, F.col("t")), side(-1, start_slice, F.lit(window) - F.col("t"))
+    asks = [late, early] + ([side(0, own_slice, F.col("t"))] if slices > 1 else [])
+    found = F.col("own")
+    if slices > 1:
+        found = F.when(F.col("side") == 0, F.col("before")).otherwise(found)
+    edge_deals = (
+        asked.withColumn("ask", F.explode(F.array(*asks)))
+        .select("opp_id", "domain", "t", *carry, "ask.side", "ask.pos", F.col("ask.cut").alias("slice"))
+        .join(lookup, ["domain", "slice"])
+        .select("opp_id", "domain", "slice", "t", *carry, "side", "pos", F.inline(found))
     )
-    cuts = (
-        asked.withColumn("end", F.explode(ends))
-        .select("opp_id", "domain", "t", *carry, "end.side", "end.pos", F.col("end.cut").alias("slice"))
+    ends = F.array(
+        F.struct(F.lit(1).alias("side"), own_slice.alias("cut")),
+        F.struct(F.lit(-1).alias("side"), start_slice.alias("cut")),
     )
-    wanted = cuts.select("domain", "slice", "side").distinct()
+    wanted = heads.select("domain", F.inline(ends)).withColumnRenamed("cut", "slice").distinct()
     edge_touches = log.join(wanted, ["domain", "slice"]).select(
         "domain", "slice", "side", "channel", (F.col("us") * F.col("side")).alias("pos"), "us", "w"
     )
-    edge_deals = cuts.join(per_slice.select("domain", "slice", "channel"), ["domain", "slice"])
+
     swept = edge_touches.unionByName(edge_deals, allowMissingColumns=True)
     up_to_here = (
         Window.partitionBy("domain", "slice", "side", "channel")
         .orderBy("pos")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    edges = (
+    # A deal row's own w is a slice total and must not enter the running sum.
+    touch_w = F.when(F.col("us").isNotNull(), F.col("w"))
+    reference = F.when(F.col("side") == 0, F.col("slice")).otherwise(F.col("slice") + 1)
+
+    def settled(running: Column, total: str) -> Column:
+        return F.when(F.col("side") == 0, F.col(total)).otherwise(running.over(up_to_here))
+
+    parts = (
         swept.select(
             "opp_id",
-            "t",
             *carry,
             "channel",
-            F.count("us").over(up_to_here).alias("n"),
-            F.min("us").over(up_to_here).alias("lo"),
-            F.max("us").over(up_to_here).alias("hi"),
-            (F.sum("w").over(up_to_here) * _halved(slice_end - F.col("t"), half_life_days)).alias("w"),
+            settled(F.count("us"), "n").alias("n"),
+            settled(F.min("us"), "lo").alias("lo"),
+            settled(F.max("us"), "hi").alias("hi"),
+            settled(F.sum(touch_w), "w").alias("w"),
+            _halved(reference * F.lit(width) - F.col("t"), half_life_days).alias("decay"),
         )
         .where(F.col("opp_id").isNotNull() & (F.col("n") > 0))
+        .withColumn("w", F.col("w") * F.col("decay"))
     )
-    parts = edges
-
-    if slices > 1:
-        # Whole slices: (domain, deal slice) against slice totals, met in
-        # stretches as long as the window so that only near slices are tried.
-        stretch = F.floor(F.col("slice") / F.lit(slices)).cast("bigint")
-        heads = asked.select("domain", F.col("slice").alias("head")).distinct()
-        first, last = F.col("head") - F.lit(slices - 1), F.col("head") - F.lit(1)
-        stretches = F.sequence(
-            F.floor(first / F.lit(slices)).cast("bigint"),
-            F.floor(last / F.lit(slices)).cast("bigint"),
-        )
-        inner = (
-            heads.withColumn("stretch", F.explode(stretches))
-            .join(per_slice.withColumn("stretch", stretch), ["domain", "stretch"])
-            .where(F.col("slice").between(first, last))
-            .groupBy("domain", "head", "channel")
-            .agg(
-                F.sum("n").alias("n"),
-                F.min("lo").alias("lo"),
-                F.max("hi").alias("hi"),
-                F.sum(
-                    F.col("w")
-                    * _halved((F.col("slice") + 1 - F.col("head")) * F.lit(width), half_life_days)
-                ).alias("w"),
-            )
-            .withColumnRenamed("head", "slice")
-        )
-        since_head = F.col("slice") * F.lit(width) - F.col("t")
-        whole = asked.join(inner, ["domain", "slice"]).select(
-            "opp_id",
-            "t",
-            *carry,
-            "channel",
-            "n",
-            "lo",
-            "hi",
-            (F.col("w") * _halved(since_head, half_life_days)).alias("w"),
-        )
-        parts = parts.unionByName(whole)
-
     return (
         parts.repartition("opp_id")
         .groupBy("opp_id", "channel")

@@ -334,20 +334,41 @@ def coverage_tier(email, display, tiers=V.COVERAGE_TIERS) -> Column:
 
 # --- report text -----------------------------------------------------------
 
-def percent_text(c, digits: int = 1) -> Column:
-    c = _col(c)
-    return F.when(c.isNull(), F.lit("")).otherwise(
-        F.format_string(f"%.{digits}f%%", F.round(c * 100, digits + 6))
+def tenths(c) -> Column:
+    """Nearest tenth of the double's exact value (33.15 is a little less than
+    that and gives 33.1).
+
+    Ten times the value is 8v + 2v, both exact; what their sum loses settles
+    the cases that look like a tie.
+    """
+    v = _col(c)
+    a, b = v * 8.0, v * 2.0
+    scaled = a + b
+    part = scaled - a
+    lost = (a - (scaled - part)) + (b - part)
+    is_tie = F.abs(scaled - F.floor(scaled) - 0.5) == 0.0
+    settled = (
+        F.when(is_tie & (lost < 0), F.floor(scaled).cast("double"))
+        .when(is_tie & (lost > 0), F.ceil(scaled).cast("double"))
+        .otherwise(F.rint(scaled))
     )
+    return settled / 10.0
+
+
+def percent_text(c) -> Column:
+    c = _col(c)
+    text = F.format_string("%.1f%%", tenths(c * 100.0))
+    return F.when(c.isNull(), F.lit("")).otherwise(text)
 
 
 def dollar_text(c) -> Column:
-    return F.concat(F.lit("$"), F.format_number(F.coalesce(_col(c), F.lit(0.0)), 0))
+    whole = F.rint(F.coalesce(_col(c), F.lit(0.0)))
+    return F.concat(F.lit("$"), F.format_number(whole, 0))
 
 
-def multiple_text(c, digits: int = 1) -> Column:
+def multiple_text(c) -> Column:
     c = _col(c)
-    return F.when(c.isNotNull(), F.format_string(f"%.{digits}fx", c))
+    return F.when(c.isNotNull(), F.format_string("%.1fx", tenths(c)))
 
 
 def compact_money(c) -> Column:
@@ -355,9 +376,9 @@ def compact_money(c) -> Column:
     c = _col(c)
     return (
         F.when(c.isNull() | (c == 0), F.lit("$0"))
-        .when(c >= 1e6, F.format_string("$%.1fM", c / 1e6))
-        .when(c >= 1e3, F.format_string("$%.0fK", c / 1e3))
-        .otherwise(F.format_string("$%.0f", c))
+        .when(c >= 1e6, F.format_string("$%.1fM", tenths(c / 1e6)))
+        .when(c >= 1e3, F.format_string("$%.0fK", F.rint(c / 1e3)))
+        .otherwise(F.format_string("$%.0f", F.rint(c)))
     )
 
 

@@ -181,9 +181,7 @@ SELECT CAST(l_orderkey AS STRING) AS _opportunity_id,
     WHEN 3 THEN 'None' ELSE 'Somewhere else' END AS _leadsource,
   ' Segment ' || CAST(l_suppkey % 3 AS STRING) || ' ' AS segment__c,
   CASE WHEN l_linestatus = 'F' THEN 'Closed' ELSE 'Open' END AS _current_stage,
-  concat_ws('|', CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(l_quantity AS STRING),
-    CAST(l_extendedprice AS STRING), CAST(l_discount AS STRING), CAST(l_tax AS STRING),
-    CAST(l_shipdate AS STRING)) AS row_key
+  CAST(l_partkey * 100000000 + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS STRING) AS row_key
 FROM {{lineitem}}""",
     "raw_accounts": f"""
 SELECT CAST(c_custkey AS STRING) AS accountid,

@@ -106,7 +106,7 @@ twin(
   trim(segment_text) AS segment, stage
 FROM merged""",
     "raw_opportunities",
-    more=f"""typed AS (SELECT _opportunity_id AS opp_id, row_key,
+    more=f"""typed AS (SELECT _opportunity_id AS opp_id, CAST(row_key AS BIGINT) AS row_key,
   {", ".join(f"{e} AS {c}" for c, e in _OPP_COLUMNS.items())} FROM raw_opportunities),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY opp_id
   ORDER BY version NULLS LAST, row_key) AS rn FROM typed),

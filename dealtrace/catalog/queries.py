@@ -44,6 +44,8 @@ class Tables(SimpleNamespace):
     """Lazy access to bound tables: ``t.opps``, ``t.email``, ..."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # Times are UTC instants; a session left in local time would shift them.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         super().__init__(spark=spark, folder=folder)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -99,7 +101,8 @@ def latest_state_row(t):
 
 @query
 def clean_opportunities(t):
-    deals = L.clean_opportunities(t.raw_opportunities, tiebreak=["row_key"])
+    row_key = F.col("row_key").cast("bigint")
+    deals = L.clean_opportunities(t.raw_opportunities, tiebreak=[row_key])
     return deals.select(
         "opp_id",
         "version",

@@ -15,6 +15,7 @@ from . import fixed_values as V
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 MICROS_PER_DAY = 86_400_000_000
+NUMBER = r"^\s*([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity)))\s*$"
 DATE_FORMATS = [
     "M/d/yyyy",
     "M/d/yyyy H:mm",
@@ -85,10 +86,12 @@ def lookup(c, table: Mapping[str, str]) -> Column:
 # --- parsing ---------------------------------------------------------------
 
 def number(c) -> Column:
-    """Text to double; text that is no number becomes null."""
-    c = _col(c)
-    parsed = F.when(~c.rlike(r"[dDfF]\s*$"), c).try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    """Text to double; text that is no number becomes null.
+
+    The pattern keeps out what the cast would take but a reader would not, such
+    as ``1d``; it names the input once, so nothing is evaluated twice.
+    """
+    return F.regexp_extract(_col(c), NUMBER, 1).try_cast("double")
 
 
 def timestamp(c, formats: Sequence[str] = DATE_FORMATS) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,7 +12,7 @@ def latest_state(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    tiebreak: Sequence[str] | None = None,
+    tiebreak: Sequence[str | Column] | None = None,
     mode: str = "merge",
 ) -> DataFrame:
     """One row per key, the version that sorts last.
@@ -21,20 +21,24 @@ def latest_state(
     row.  A null version sorts after every number.  Equal versions are settled
     by ``tiebreak`` columns (default: a hash of the row, so that a rerun after
     a lost executor gives the same rows).  Rows with a null key are dropped.
+    ``order`` must be a number.
 
     This is a plain aggregate: versions are reduced before the shuffle, so a
-    key that owns a large part of the log costs one row per input task.
+    key that owns a large part of the log costs one row per input task.  In
+    merge mode the shuffled rows carry the rank once per column; it is kept to
+    two numbers by default, and wide tie columns are better given as a hash.
     """
     if mode not in ("merge", "row"):
         raise ValueError(f"mode must be 'merge' or 'row', not {mode!r}")
     keys = [keys] if isinstance(keys, str) else list(keys)
     rest = [c for c in df.columns if c not in keys]
-    ties = [F.xxhash64(*df.columns)] if tiebreak is None else [F.col(c) for c in tiebreak]
-    rank = F.struct(
-        F.col(order).isNull().alias("open_ended"),
-        F.col(order).alias("version"),
-        *(t.alias(f"tie{i}") for i, t in enumerate(ties)),
-    )
+    if tiebreak is None:
+        ties = [F.xxhash64(*df.columns)]
+    else:
+        ties = [t if isinstance(t, Column) else F.col(t) for t in tiebreak]
+    # NaN sorts after every number, as a null version must.
+    version = F.coalesce(F.col(order).cast("double"), F.lit(float("nan")))
+    rank = F.struct(version.alias("v"), *(t.alias(f"t{i}") for i, t in enumerate(ties)))
     keyed = df.na.drop(subset=keys)
     if mode == "merge":
         picks = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in rest]

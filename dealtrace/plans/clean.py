@@ -14,25 +14,28 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import scalars as S
 from ..operators.state import latest_state
-from ..sources.schemas import TABLES, conform
+from ..sources.schemas import TABLES, complete, conform
 
 
-def _tidy(raw: DataFrame, table: str) -> DataFrame:
+def _tidy(raw: DataFrame, table: str, add_missing: bool = True) -> DataFrame:
     """Neutral names, null tokens removed, numbers and times parsed by type."""
-    df = conform(raw, table, keep_others=True)
+    df = conform(raw, table, keep_others=True, add_missing=add_missing)
     types = {f.name: f.type for f in TABLES[table].fields}
     columns = []
     for name in df.columns:
-        cell = S.null_if_token(F.col(f"`{name}`"))
+        cell = F.col(f"`{name}`")
         kind = types.get(name)
+        if kind is None and table in ("opportunities", "contacts") and "date" in name.lower():
+            kind = "timestamp"
+        # Null tokens are neither numbers nor times; only text needs the test.
         if kind == "double":
             cell = S.number(cell)
         elif kind == "bigint":
             cell = S.zero_if_null(S.number(cell))
         elif kind == "timestamp":
             cell = S.timestamp(cell)
-        elif kind is None and table in ("opportunities", "contacts") and "date" in name.lower():
-            cell = S.timestamp(cell)
+        else:
+            cell = S.null_if_token(cell)
         columns.append(cell.alias(name))
     return df.select(*columns)
 
@@ -46,17 +49,21 @@ def clean_opportunities(
     channels: Mapping[str, str] = V.LEAD_SOURCE_CHANNELS,
     marketing: Iterable[str] = V.MARKETING_CHANNELS,
     mode: str = "merge",
-    tiebreak: Sequence[str] | None = None,
+    tiebreak: Sequence[str | Column] | None = None,
 ) -> DataFrame:
-    """Deal changelog to one typed row per deal, with its channel."""
-    log = _tidy(raw, "opportunities")
-    deals = latest_state(log, ["opp_id"], "version", tiebreak, mode)
+    """Deal changelog to one typed row per deal, with its channel.
+
+    Columns that the export lacks are added after the merge, so that they are
+    neither ranked nor shuffled.
+    """
+    log = _tidy(raw, "opportunities", add_missing=False)
+    if "version" in log.columns:
+        log = latest_state(log, ["opp_id"], "version", tiebreak, mode)
+    flags = [c for c in ("is_won", "is_closed", "is_deleted") if c in log.columns]
+    deals = complete(_set(log, {c: S.flag(c) for c in flags}), "opportunities")
     deals = _set(
         deals,
         {
-            "is_won": S.flag("is_won"),
-            "is_closed": S.flag("is_closed"),
-            "is_deleted": S.flag("is_deleted"),
             "segment": S.trimmed("segment"),
             "channel_category": S.channel_of_source("lead_source", channels),
         },

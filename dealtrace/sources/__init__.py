@@ -1,4 +1,4 @@
-from .schemas import TABLES, Table, conform, find_column
+from .schemas import TABLES, Table, complete, conform, find_column
 from .tables import (
     empty_table,
     read_raw,
@@ -14,6 +14,7 @@ from .tables import (
 __all__ = [
     "TABLES",
     "Table",
+    "complete",
     "conform",
     "find_column",
     "empty_table",

@@ -216,10 +216,13 @@ def find_column(
     return None
 
 
-def conform(df: DataFrame, table: str | Table, keep_others: bool = False) -> DataFrame:
+def conform(
+    df: DataFrame, table: str | Table, keep_others: bool = False, add_missing: bool = True
+) -> DataFrame:
     """Project a raw frame to the table's neutral column names, all as text.
 
     Unwanted load columns go; ``keep_others`` passes unlisted columns through.
+    Columns the export lacks come as nulls unless ``add_missing`` is off.
     """
     spec = TABLES[table] if isinstance(table, str) else table
     dropped = {d.lower() for d in spec.drop}
@@ -230,14 +233,26 @@ def conform(df: DataFrame, table: str | Table, keep_others: bool = False) -> Dat
         if f.merge:
             present = [find_column(columns, (name,)) for name in (f.name, *f.raw)]
             present = [name for name in present if name is not None]
+            if not present and not add_missing:
+                continue
             used.update(present)
             texts = [S.null_if_token(df[f"`{c}`"].cast("string")) for c in present]
             chosen.append(F.coalesce(*texts, F.lit(None).cast("string")).alias(f.name))
         elif source is None:
-            chosen.append(F.lit(None).cast("string").alias(f.name))
+            if add_missing:
+                chosen.append(F.lit(None).cast("string").alias(f.name))
         else:
             used.add(source)
             chosen.append(df[f"`{source}`"].cast("string").alias(f.name))
     if keep_others:
         chosen += [df[f"`{c}`"].alias(c.strip()) for c in columns if c not in used]
     return df.select(*chosen)
+
+
+def complete(df: DataFrame, table: str | Table) -> DataFrame:
+    """Typed frame with the table's missing columns added as typed nulls, first
+    the table's columns in order, then the others."""
+    spec = TABLES[table] if isinstance(table, str) else table
+    named = [f.name for f in spec.fields]
+    missing = {f.name: F.lit(None).cast(f.type) for f in spec.fields if f.name not in df.columns}
+    return df.withColumns(missing).select(*named, *(c for c in df.columns if c not in named))

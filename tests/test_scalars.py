@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -29,8 +30,8 @@ def test_flags(spark):
 
 
 def test_numbers(spark):
-    raw = ["1.5", " 2 ", "-3e2", "bad", "1,234", "nan", "1d", "2F", None]
-    assert apply(spark, raw, S.number) == [1.5, 2.0, -300.0, None, None, None, None, None, None]
+    raw = ["1.5", " 2 ", "-3e2", "bad", "1,234", "nan", "1d", "2F", "-Inf", None]
+    assert apply(spark, raw, S.number) == [1.5, 2.0, -300.0, *[None] * 5, -math.inf, None]
 
 
 def test_timestamps_month_first(spark):

@@ -842,15 +842,53 @@ FROM master WHERE industry IS NOT NULL GROUP BY 1 ORDER BY row_total DESC, indus
     *_MASTER_TABLES,
     more=_MASTER,
 )
+
+
+def json_row(columns: dict[str, str]) -> str:
+    """A JSON object from SQL texts, the first of them a string value."""
+    (key, first), *rest = columns.items()
+    parts = [f"""'{{"{key}":"' || {first} || '"'"""]
+    parts += [f"""',"{k}":' || coalesce(CAST({v} AS STRING), 'null')""" for k, v in rest]
+    return " || ".join([*parts, "'}'"])
+
+
+def _tens(column: str) -> str:
+    return f"round(coalesce({column}, 0) / 1e4, 2)"
+
+
+_CHANNEL_JSON = {
+    "channel_category": "channel_category",
+    "deal_count": "deal_count",
+    "total_pipeline": _tens("total_pipeline"),
+    "won_pipeline": _tens("won_pipeline"),
+    "win_rate": "win_rate",
+    "avg_deal_size": _tens("avg_deal_size"),
+    "channel_spend": _tens("channel_spend"),
+    "pipeline_roi": "pipeline_roi",
+    "revenue_roi": "revenue_roi",
+}
 twin(
-    "rows_json",
-    """SELECT '{"channel_category":"' || channel_category || '","deal_count":' || deal_count || ',"won_count":'
-  || won_count || ',"win_rate":' || win_rate || ',"pipeline_roi":' || coalesce(CAST(pipeline_roi AS STRING),
-  'null') || '}' AS row_json FROM channels""",
+    "channel_rows_json",
+    f"SELECT {json_row(_CHANNEL_JSON)} AS row_json FROM channels",
     "opps",
     "ads",
     more=_CHANNELS,
 )
+_MODEL_JSON = {
+    "channel": "channel",
+    "ft": "round(first_touch, 4)",
+    "lt": "round(last_touch, 4)",
+    "lin": "round(linear_, 4)",
+    "td": "round(time_decay, 4)",
+    "sourced": "round(marketing_sourced, 4)",
+    "influenced": "round(marketing_influenced, 4)",
+}
+twin(
+    "attribution_rows_json",
+    f"SELECT {json_row(_MODEL_JSON)} AS row_json FROM wide",
+    *_LINK_TABLES,
+    more=_MODEL_MORE + "," + _WIDE,
+)
 _CHECKS = {
     "unique opportunities": ("(SELECT count(*) FROM opps)", "(SELECT count(DISTINCT opp_id) FROM opps)"),
     "channel pipeline vs opportunities": (

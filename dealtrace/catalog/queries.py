@@ -672,11 +672,17 @@ def industry_segment_matrix(t):
 
 
 @query
-def rows_json(t):
-    channels = _channels(t).select(
-        "channel_category", "deal_count", "won_count", "win_rate", "pipeline_roi"
-    )
-    return rows_as_json(channels)
+def channel_rows_json(t):
+    rows = C.channel_rows(_channels(t))
+    # In tens of thousands: small enough that JSON writers agree on the digits.
+    money = ["total_pipeline", "won_pipeline", "avg_deal_size", "channel_spend"]
+    return rows_as_json(rows.withColumns({c: F.round(F.col(c) / 1e4, 2) for c in money}))
+
+
+@query
+def attribution_rows_json(t):
+    rows = M.attribution_rows(_attribution(t))
+    return rows_as_json(rounded(rows, 4, *rows.columns[1:]))
 
 
 @query
@@ -716,6 +722,13 @@ def win_probability(t):
     return W.score_open(W.fit_win_model(deals), deals)
 
 
+@query
+def win_auc(t):
+    deals = _features(t)
+    mean, spread = W.cross_validated_auc(deals)
+    return t.spark.createDataFrame([(mean, spread)], "auc double, deviation double")
+
+
 @query
 def feature_importance(t):
     deals = _features(t)

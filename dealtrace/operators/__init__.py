@@ -1,5 +1,6 @@
 from .aggregate import (
     ad_totals,
+    aggregate_by,
     count_by,
     deal_summary,
     drop_null_keys,
@@ -15,6 +16,7 @@ from .sweep import deal_channel_links, link_touches, touch_prefixes
 
 __all__ = [
     "ad_totals",
+    "aggregate_by",
     "count_by",
     "deal_channel_links",
     "deal_summary",

@@ -23,6 +23,11 @@ def drop_null_keys(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
     return df.na.drop(subset=_names(by))
 
 
+def aggregate_by(df: DataFrame, by: str | Sequence[str], *aggregates: Column) -> DataFrame:
+    """One row per non-null key with the given aggregates."""
+    return drop_null_keys(df, by).groupBy(*_names(by)).agg(*aggregates)
+
+
 def total(c: str | Column, to: str = "double") -> Column:
     """Sum that is zero instead of null."""
     c = F.col(c) if isinstance(c, str) else c

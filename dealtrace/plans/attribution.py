@@ -132,6 +132,20 @@ def compare_models(results: DataFrame, models: Sequence[str] = V.ATTRIBUTION_MOD
     return pivot_sum(results, "channel", "attribution_model", "attributed_pipeline", models)
 
 
+def attribution_rows(results: DataFrame) -> DataFrame:
+    """Comparison with the short names that the JSON rows use."""
+    names = {
+        "ft": V.FIRST_TOUCH,
+        "lt": V.LAST_TOUCH,
+        "lin": V.LINEAR,
+        "td": V.TIME_DECAY,
+        "sourced": V.SOURCED,
+        "influenced": V.INFLUENCED,
+    }
+    picked = (F.col(f"`{model}`").alias(name) for name, model in names.items())
+    return compare_models(results).select("channel", *picked)
+
+
 def model_shift(
     results: DataFrame, before: str = V.FIRST_TOUCH, after: str = V.LAST_TOUCH
 ) -> DataFrame:

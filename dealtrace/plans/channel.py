@@ -57,6 +57,13 @@ def channel_pipeline(
     )
 
 
+def channel_rows(channels: DataFrame) -> DataFrame:
+    """Channel table for JSON rows: missing figures are 0, missing returns null."""
+    figures = ["total_pipeline", "won_pipeline", "win_rate", "avg_deal_size", "channel_spend"]
+    filled = channels.na.fill(0, subset=["deal_count", *figures])
+    return filled.select("channel_category", "deal_count", *figures, "pipeline_roi", "revenue_roi")
+
+
 def channel_roi_report(channels: DataFrame) -> DataFrame:
     """Channel table as a report: largest pipeline first, rates as text."""
     return channels.orderBy(F.col("total_pipeline").desc_nulls_last(), "channel_category").select(

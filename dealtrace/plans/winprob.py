@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ FEATURES = [*V.WIN_CATEGORICAL, *V.WIN_BOOLEAN, *V.WIN_NUMERIC]
 
 @dataclass(frozen=True)
 class WinModel:
-    encoder: PipelineModel
-    forest: PipelineModel
+    encoder: StringIndexerModel | None
+    forest: PipelineModel | None
     features: tuple[str, ...]
     categorical: tuple[str, ...]
 
@@ -53,10 +54,13 @@ def _encoded(model: WinModel, deals: DataFrame) -> DataFrame:
     A text unseen in training takes the code of Unknown, or else the first one.
     """
     numeric = [f for f in model.features if f not in model.categorical]
-    indexed = model.encoder.transform(_prepared(deals, model.categorical, numeric))
+    prepared = _prepared(deals, model.categorical, numeric)
+    if model.encoder is None:
+        return prepared
+    indexed = model.encoder.transform(prepared)
     codes = {}
-    for name, stage in zip(model.categorical, model.encoder.stages):
-        labels = list(stage.labels)
+    for name, labels in zip(model.categorical, model.encoder.labelsArray):
+        labels = list(labels)
         spare = labels.index(V.UNKNOWN) if V.UNKNOWN in labels else 0
         code = F.col(name + CODE + "_ix")
         codes[name + CODE] = F.when(code < len(labels), code).otherwise(F.lit(float(spare)))
@@ -74,11 +78,31 @@ def _forest(features: Sequence[str], trees: int, depth: int, min_leaf: int, seed
                 minInstancesPerNode=min_leaf,
                 seed=seed,
                 featureSubsetStrategy="sqrt",
+                maxMemoryInMB=1024,
             ),
         ]
     )
 
 
+def _encoder(
+    deals: DataFrame, categorical: Sequence[str], others: Sequence[str]
+) -> tuple[WinModel, DataFrame]:
+    """Category codes learned from closed deals, and those deals' features."""
+    categorical = tuple(c for c in categorical if c in deals.columns)
+    others = tuple(c for c in others if c in deals.columns)
+    used = dict.fromkeys([*categorical, *others, "label"])
+    closed = deals.where("is_closed_deal").select(*used).persist(StorageLevel.MEMORY_AND_DISK)
+    encoder = None
+    if categorical:
+        encoder = StringIndexer(
+            inputCols=[c + CODE for c in categorical],
+            outputCols=[c + CODE + "_ix" for c in categorical],
+            stringOrderType="alphabetAsc",
+            handleInvalid="keep",
+        ).fit(_prepared(closed, categorical, others))
+    return WinModel(encoder, None, (*categorical, *others), categorical), closed
+
+
 def fit_win_model(
     deals: DataFrame,
     categorical: Sequence[str] = V.WIN_CATEGORICAL,
@@ -88,23 +112,17 @@ def fit_win_model(
     min_leaf: int = V.WIN_MIN_LEAF,
     seed: int = V.WIN_SEED,
 ) -> WinModel:
-    """Fit on closed deals; features that the frame lacks are left out."""
-    categorical = tuple(c for c in categorical if c in deals.columns)
-    others = tuple(c for c in others if c in deals.columns)
-    closed = deals.where("is_closed_deal")
-    indexers = [
-        StringIndexer(
-            inputCol=c + CODE,
-            outputCol=c + CODE + "_ix",
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        )
-        for c in categorical
-    ]
-    encoder = Pipeline(stages=indexers).fit(_prepared(closed, categorical, others))
-    model = WinModel(encoder, PipelineModel([]), (*categorical, *others), categorical)
-    forest = _forest(model.features, trees, depth, min_leaf, seed).fit(_encoded(model, closed))
-    return WinModel(encoder, forest, model.features, categorical)
+    """Fit on closed deals; features that the frame lacks are left out.
+
+    The driver holds the category names and the trees, never deals.  Training
+    visits the rows several times, so they are kept while it runs.
+    """
+    model, closed = _encoder(deals, categorical, others)
+    try:
+        forest = _forest(model.features, trees, depth, min_leaf, seed).fit(_encoded(model, closed))
+    finally:
+        closed.unpersist()
+    return WinModel(model.encoder, forest, model.features, model.categorical)
 
 
 def score(model: WinModel, deals: DataFrame) -> DataFrame:
@@ -144,8 +162,9 @@ def feature_importance(model: WinModel, deals: DataFrame) -> DataFrame:
 
 
 def cross_validated_auc(
-    model: WinModel,
     deals: DataFrame,
+    categorical: Sequence[str] = V.WIN_CATEGORICAL,
+    others: Sequence[str] = (*V.WIN_BOOLEAN, *V.WIN_NUMERIC),
     folds: int = V.WIN_FOLDS,
     trees: int = V.WIN_TREES,
     depth: int = V.WIN_DEPTH,
@@ -154,7 +173,7 @@ def cross_validated_auc(
     parallelism: int = 1,
 ) -> tuple[float, float]:
     """Mean and standard deviation of the ROC AUC over the folds."""
-    encoded = _encoded(model, deals.where("is_closed_deal"))
+    model, closed = _encoder(deals, categorical, others)
     validator = CrossValidator(
         estimator=_forest(model.features, trees, depth, min_leaf, seed),
         estimatorParamMaps=ParamGridBuilder().build(),
@@ -163,7 +182,10 @@ def cross_validated_auc(
         seed=seed,
         parallelism=parallelism,
     )
-    fitted: CrossValidatorModel = validator.fit(encoded)
+    try:
+        fitted: CrossValidatorModel = validator.fit(_encoded(model, closed))
+    finally:
+        closed.unpersist()
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 

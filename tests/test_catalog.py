@@ -11,7 +11,7 @@ from dealtrace.catalog.oracles import ORACLES
 from dealtrace.catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-FITTED = {"win_probability", "feature_importance", "win_accuracy", "win_histogram"}
+FITTED = {"win_probability", "win_auc", "feature_importance", "win_accuracy", "win_histogram"}
 
 
 @pytest.fixture(scope="module")

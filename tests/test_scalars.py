@@ -198,3 +198,13 @@ def test_best_model(spark):
     df = spark.createDataFrame(rows, "f double, l double, n double, d double")
     got = [r[0] for r in df.select(S.best_model("f", "l", "n", "d")).collect()]
     assert got == ["First-Touch", "Time-Decay", "Linear", "Last-Touch"]
+
+
+def test_labels_and_prefixes(spark):
+    assert apply(spark, ["_copytone", "cta_softness", "design_color"], S.attribute_label) == [
+        "Tone",
+        "Cta Softness",
+        "Color",
+    ]
+    assert apply(spark, ["abcdef", None], lambda c: S.prefix(c, 3)) == ["abc", None]
+    assert apply(spark, [0.25, None], S.percent_or_zero, "double") == [25.0, 0.0]

@@ -128,3 +128,34 @@ def test_empty_inputs_keep_their_schema(spark):
     assert links.count() == 0
     assert touch_prefixes(deals, touches).count() == 0
     assert link_touches(deals, touches, 7).count() == 0
+
+
+def test_hot_domain_counts_are_exact(spark):
+    """A third of both tables in one domain: hundreds of millions of pairs, counted
+    without listing them, equal to a sorted search."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    def table(rows, seed, name):
+        spread = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2 * 365 * 86_400))
+        domain = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 97))
+        return spark.range(rows).select(
+            F.col("id").cast("string").alias("opp_id"),
+            domain.alias("domain"),
+            F.timestamp_seconds(spread + 1_600_000_000).alias(name),
+            F.element_at(F.array(F.lit("x"), F.lit("y")), (F.col("id") % 2 + 1).cast("int")).alias("channel"),
+        )
+
+    deals = table(30_000, 1, "create_date").drop("channel")
+    touches = table(60_000, 2, "touch_date").drop("opp_id")
+    got = deal_channel_links(deals, touches, 365, 30).join(deals, "opp_id").where("domain = 'hot'")
+    n, pairs = got.agg(F.countDistinct("opp_id"), F.sum("touches")).first()
+
+    def seconds(df, name):
+        rows = df.where("domain = 'hot'").select(F.unix_micros(name).alias("s")).toPandas()
+        return np.sort(rows["s"].to_numpy())
+
+    at, seen = seconds(deals, "create_date"), seconds(touches, "touch_date")
+    inside = np.searchsorted(seen, at, "right") - np.searchsorted(seen, at - 365 * DAY, "left")
+    assert (n, pairs) == (int((inside > 0).sum()), int(inside.sum()))
+    assert pairs > 5e7

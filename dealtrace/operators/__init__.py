@@ -10,6 +10,7 @@ from .aggregate import (
     top_n,
     total,
 )
+from .lookup import lookup_join
 from .reshape import pivot_sum, ranked_pivot, stack_columns
 from .state import latest_state
 from .sweep import deal_channel_links, link_touches, touch_prefixes
@@ -24,6 +25,7 @@ __all__ = [
     "engagement_rates",
     "latest_state",
     "link_touches",
+    "lookup_join",
     "non_null_columns",
     "pivot_sum",
     "pre_aggregate_deals",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import scalars as S
 from ..operators.aggregate import total
+from ..operators.lookup import lookup_join
 
 
 def domain_facts(
@@ -151,17 +152,15 @@ def account360(
     """Accounts with domain facts and account facts; orphan accounts appended.
 
     Two joins in all.  Accounts sharing a domain carry the same domain totals,
-    so those columns must not be summed over accounts.  An account without a
-    domain gets a key of its own: null keys would all land in one task.  The
-    outer join on the account id keeps the accounts known only from deals.
+    so those columns must not be summed over accounts.  The outer join on the
+    account id keeps the accounts known only from deals; both its sides have
+    one row per account.
     """
     named = accounts if "account_name" in accounts.columns else accounts.withColumn(
         "account_name", F.lit(None).cast("string")
     )
-    lone = F.concat(F.lit("\x00"), F.xxhash64("account_id").cast("string"))
-    left = named.withColumn("_key", F.coalesce("domain", lone))
-    facts = domain_facts(segments, campaign, email, web).withColumnRenamed("domain", "_key")
-    base = left.join(facts, "_key", "left").drop("_key").withColumn("_listed", F.lit(True))
+    facts = domain_facts(segments, campaign, email, web)
+    base = lookup_join(named, facts, "domain", spread="account_id").withColumn("_listed", F.lit(True))
 
     by_account = account_facts(opps, contacts)
     listed = F.coalesce("_listed", F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import scalars as S
 from ..operators import sweep
+from ..operators.lookup import lookup_join
 
 
 def _touch(df: DataFrame, date, channel, kind, campaign) -> DataFrame:
@@ -86,7 +87,7 @@ def resolve_domains(
     with_own = own.where(F.col("domain").isNotNull())
     without = own.where(F.col("domain").isNull() & F.col("account_id").isNotNull())
     found = (
-        without.join(by_account, "account_id")
+        lookup_join(without, by_account, "account_id", "inner")
         .withColumn("domain", F.col("_account_domain"))
         .select(*own.columns)
     )

@@ -20,7 +20,6 @@ from ..operators import (
     deal_summary,
     engagement_rates,
     latest_state,
-    ranked_pivot,
 )
 from ..plans import account360 as A
 from ..plans import advanced as X
@@ -667,8 +666,8 @@ def deals_by_channel_segment(t):
 @query
 def industry_segment_matrix(t):
     levels = ["Enterprise", "Mid-Market", "Commercial"]
-    wide = ranked_pivot(_master(t), "industry", "segment", "total_pipeline", levels, 12)
-    return _snake(rounded(wide.where(F.col("industry").isNotNull()), 2, *levels, "row_total"))
+    wide = R.industry_segment_matrix(_master(t), levels)
+    return _snake(rounded(wide, 2, *levels, "row_total"))
 
 
 @query

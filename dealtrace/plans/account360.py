@@ -22,7 +22,8 @@ def domain_facts(
     one row per (domain, campaign), which both counts campaigns exactly and
     splits a domain that receives most of the mail.
     """
-    order = F.struct(F.col("activity_date").isNull(), F.col("activity_date"), F.col("segment"))
+    undated = F.col("activity_date").isNull()
+    order = F.struct(undated, "activity_date", "segment", "employee_range", "revenue_range")
     segment_rows = segments.select(
         "domain",
         F.lit("segments").alias("source"),

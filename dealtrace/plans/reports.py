@@ -19,6 +19,7 @@ from ..operators.aggregate import (
     top_n,
     total,
 )
+from ..operators.reshape import ranked_pivot
 
 # --- creative --------------------------------------------------------------
 
@@ -238,5 +239,11 @@ def lost_reasons(opps: DataFrame, n: int = 5) -> DataFrame:
     return top_n(count_by(opps, "lost_reason", "deals"), "deals", n, "lost_reason")
 
 
+def industry_segment_matrix(master: DataFrame, segments: Sequence[str], n: int = 12) -> DataFrame:
+    """Pipeline by industry and segment, the ``n`` industries with most of it."""
+    known = master.na.drop(subset=["industry", "segment", "total_pipeline"])
+    return ranked_pivot(known, "industry", "segment", "total_pipeline", segments, n)
+
+
 def fit_distribution(accounts: DataFrame) -> DataFrame:
     return count_by(accounts, "profile_fit", "accounts")

@@ -838,7 +838,7 @@ twin(
     "industry_segment_matrix",
     f"""SELECT industry, {", ".join(f"round({e}, 2) AS {c}" for c, e in _CELLS.items())},
   round({" + ".join(_CELLS.values())}, 2) AS row_total
-FROM master WHERE industry IS NOT NULL AND segment IS NOT NULL AND total_pipeline IS NOT NULL
+FROM master WHERE industry IS NOT NULL AND segment IS NOT NULL
 GROUP BY 1 ORDER BY row_total DESC, industry LIMIT 12""",
     *_MASTER_TABLES,
     more=_MASTER,

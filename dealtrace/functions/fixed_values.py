@@ -40,93 +40,93 @@ COUNTRY_ALIASES = {
     "great britain": "United Kingdom",
 }
 
-# Industry name -> spellings found in the exports.
-INDUSTRY_SPELLINGS = {
-    "Software": [
-        "COMPUTER_SOFTWARE",
-        "Computer Software",
-        "Enterprise Software",
-        "Software Development & Design",
-        "software development & design",
-    ],
-    "IT Services": [
-        "IT Services",
-        "It Services",
-        "INFORMATION_TECHNOLOGY_AND_SERVICES",
-        "Information Technology & Services",
-        "information technology & services",
-    ],
-    "Managed Services": ["Managed Services"],
-    "Marketing & Advertising": [
-        "MARKETING_AND_ADVERTISING",
-        "Marketing & Advertising",
-        "marketing and advertising",
-    ],
-    "Human Resources": ["HUMAN_RESOURCES", "Human Resources"],
-    "Professional Services": [
-        "professional training & coaching",
-        "Professional Training & Coaching",
-        "Professional Services",
-        "PROFESSIONAL_TRAINING_AND_COACHING",
-    ],
-    "Financial Services": ["Financial Services", "FINANCIAL_SERVICES"],
-    "Private Equity": ["Private Equity"],
-    "Hardware": ["Hardware"],
-    "Internet": ["INTERNET", "Internet"],
-    "Staffing & Recruiting": [
-        "STAFFING_AND_RECRUITING",
-        "Staffing & Recruiting",
-        "staffing and recruiting",
-    ],
-    "Telecommunications": ["Telecommunications", "TELECOMMUNICATIONS"],
-    "Retail": ["Retail", "RETAIL"],
-    "Healthcare": ["Healthcare", "HOSPITAL_AND_HEALTH_CARE", "Hospital & Health Care"],
-    "Education": ["Education", "HIGHER_EDUCATION", "E-Learning"],
-    "Media": ["Media", "MEDIA_PRODUCTION", "Media Production"],
-    "Consumer Goods": ["Consumer Goods", "CONSUMER_GOODS"],
-    "Insurance": ["Insurance", "INSURANCE"],
-    "Real Estate": ["Real Estate", "REAL_ESTATE"],
-    "Automotive": ["Automotive", "AUTOMOTIVE"],
-    "Logistics": ["Logistics & Supply Chain", "LOGISTICS_AND_SUPPLY_CHAIN"],
-}
+# Industry spellings found in the exports -> industry name.
 INDUSTRY_NAMES = {
-    spelling: name for name, spellings in INDUSTRY_SPELLINGS.items() for spelling in spellings
+    "COMPUTER_SOFTWARE": "Software",
+    "Computer Software": "Software",
+    "Enterprise Software": "Software",
+    "Software Development & Design": "Software",
+    "software development & design": "Software",
+    "IT Services": "IT Services",
+    "It Services": "IT Services",
+    "INFORMATION_TECHNOLOGY_AND_SERVICES": "IT Services",
+    "Information Technology & Services": "IT Services",
+    "information technology & services": "IT Services",
+    "Managed Services": "Managed Services",
+    "MARKETING_AND_ADVERTISING": "Marketing & Advertising",
+    "Marketing & Advertising": "Marketing & Advertising",
+    "marketing and advertising": "Marketing & Advertising",
+    "HUMAN_RESOURCES": "Human Resources",
+    "Human Resources": "Human Resources",
+    "professional training & coaching": "Professional Services",
+    "Professional Training & Coaching": "Professional Services",
+    "Professional Services": "Professional Services",
+    "PROFESSIONAL_TRAINING_AND_COACHING": "Professional Services",
+    "Financial Services": "Financial Services",
+    "FINANCIAL_SERVICES": "Financial Services",
+    "Private Equity": "Private Equity",
+    "Hardware": "Hardware",
+    "INTERNET": "Internet",
+    "Internet": "Internet",
+    "STAFFING_AND_RECRUITING": "Staffing & Recruiting",
+    "Staffing & Recruiting": "Staffing & Recruiting",
+    "staffing and recruiting": "Staffing & Recruiting",
+    "Telecommunications": "Telecommunications",
+    "TELECOMMUNICATIONS": "Telecommunications",
+    "Retail": "Retail",
+    "RETAIL": "Retail",
+    "Healthcare": "Healthcare",
+    "HOSPITAL_AND_HEALTH_CARE": "Healthcare",
+    "Hospital & Health Care": "Healthcare",
+    "Education": "Education",
+    "HIGHER_EDUCATION": "Education",
+    "E-Learning": "Education",
+    "Media": "Media",
+    "MEDIA_PRODUCTION": "Media",
+    "Media Production": "Media",
+    "Consumer Goods": "Consumer Goods",
+    "CONSUMER_GOODS": "Consumer Goods",
+    "Insurance": "Insurance",
+    "INSURANCE": "Insurance",
+    "Real Estate": "Real Estate",
+    "REAL_ESTATE": "Real Estate",
+    "Automotive": "Automotive",
+    "AUTOMOTIVE": "Automotive",
+    "Logistics & Supply Chain": "Logistics",
+    "LOGISTICS_AND_SUPPLY_CHAIN": "Logistics",
 }
 
-# Channel category -> CRM lead sources that belong to it.
-CHANNEL_LEAD_SOURCES = {
-    "6sense_display": ["Marketing: 6sense"],
-    "6sense_event": [
-        "Marketing: 6sense Breakthrough 2023",
-        "Marketing: 6sense Breakthrough 2024",
-        "Marketing: Event - 6sense 2022",
-        "Marketing: Event - 6Sense 2021",
-    ],
-    "6sense_channel": ["Channel Referral: 6sense"],
-    "email_mqa": ["Marketing: MQA", "Marketing: Marketo"],
-    "web_inbound": ["Marketing: Website Inbound", "Web Inbound"],
-    "event": [
-        "Marketing: Forrester/6sense B2B 2023",
-        "Marketing: Gartner 2024",
-        "Marketing: Pavilion CMO Summit 2024",
-        "Marketing: B2BSMX Event 2023",
-        "Marketing: Event - Forrester B2B 2022",
-        "Marketing: Pavilion GTM 2023 Event",
-        "Marketing: Mops-apalooza 2023",
-    ],
-    "webinar": [
-        "Marketing: GoTo/Francisco Partners Webinar 2024",
-        "Marketing: Webinars",
-        "MQL - Webinar MaaS",
-    ],
-    "linkedin": ["LinkedIn InMail - Hiring Marketers"],
-    "other_marketing": ["Marketing: Other"],
-    "existing_client": ["Existing Client"],
-    "referral": ["Referral: Client", "Referral: Partner"],
-    "sales": ["Sales Prospecting", "Cold Call", "Sales: Outbound", "Outbound"],
-}
+# CRM lead source -> channel category.
 LEAD_SOURCE_CHANNELS = {
-    source: channel for channel, sources in CHANNEL_LEAD_SOURCES.items() for source in sources
+    "Marketing: 6sense": "6sense_display",
+    "Marketing: 6sense Breakthrough 2023": "6sense_event",
+    "Marketing: 6sense Breakthrough 2024": "6sense_event",
+    "Channel Referral: 6sense": "6sense_channel",
+    "Marketing: Event - 6sense 2022": "6sense_event",
+    "Marketing: Event - 6Sense 2021": "6sense_event",
+    "Marketing: MQA": "email_mqa",
+    "Marketing: Website Inbound": "web_inbound",
+    "Marketing: Forrester/6sense B2B 2023": "event",
+    "Marketing: Gartner 2024": "event",
+    "Marketing: GoTo/Francisco Partners Webinar 2024": "webinar",
+    "Marketing: Pavilion CMO Summit 2024": "event",
+    "Marketing: B2BSMX Event 2023": "event",
+    "Marketing: Webinars": "webinar",
+    "LinkedIn InMail - Hiring Marketers": "linkedin",
+    "MQL - Webinar MaaS": "webinar",
+    "Marketing: Marketo": "email_mqa",
+    "Marketing: Other": "other_marketing",
+    "Marketing: Event - Forrester B2B 2022": "event",
+    "Marketing: Pavilion GTM 2023 Event": "event",
+    "Marketing: Mops-apalooza 2023": "event",
+    "Existing Client": "existing_client",
+    "Referral: Client": "referral",
+    "Referral: Partner": "referral",
+    "Sales Prospecting": "sales",
+    "Cold Call": "sales",
+    "Sales: Outbound": "sales",
+    "Outbound": "sales",
+    "Web Inbound": "web_inbound",
 }
 
 # The category of unlisted lead sources, and the marketing ones.

@@ -241,7 +241,7 @@ def lost_reasons(opps: DataFrame, n: int = 5) -> DataFrame:
 
 def industry_segment_matrix(master: DataFrame, segments: Sequence[str], n: int = 12) -> DataFrame:
     """Pipeline by industry and segment, the ``n`` industries with most of it."""
-    known = master.na.drop(subset=["industry", "segment", "total_pipeline"])
+    known = master.na.drop(subset=["industry", "segment"])
     return ranked_pivot(known, "industry", "segment", "total_pipeline", segments, n)
 
 

@@ -20,7 +20,8 @@ def _names(by: str | Sequence[str]) -> list[str]:
 
 
 def drop_null_keys(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=_names(by))
+    names = _names(by)
+    return df.na.drop(subset=names) if names else df
 
 
 def aggregate_by(df: DataFrame, by: str | Sequence[str], *aggregates: Column) -> DataFrame:

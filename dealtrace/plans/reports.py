@@ -39,6 +39,8 @@ def creative_performance(
         keys = non_null_columns(ads, keys)
     filled = ads.withColumns({c: S.or_unknown(F.col(c).cast("string")) for c in keys})
     grouped = ad_totals(filled, keys, "spend", "clicks", "impressions", "pageviews")
+    if not keys:
+        grouped = grouped.where(F.lit(False))
     return grouped.withColumns(
         {
             "ctr": S.click_rate("clicks", "impressions"),
@@ -69,7 +71,7 @@ def creative_by_attribute(
             F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value"))
             for c in present
         )
-    )
+    ).cast("array<struct<attribute:string,value:string>>")
     long = creative.select(F.explode(pairs).alias("p"), "impressions", "clicks", "spend").select(
         "p.attribute", "p.value", "impressions", "clicks", "spend"
     )
@@ -79,6 +81,8 @@ def creative_by_attribute(
 
 
 def creative_by_platform(creative: DataFrame) -> DataFrame:
+    if "platform" not in creative.columns:
+        creative = creative.withColumn("platform", F.lit(None).cast("string"))
     return ad_totals(creative, "platform", "spend", "impressions", "clicks").withColumns(
         {
             "ctr": S.click_rate("clicks", "impressions"),

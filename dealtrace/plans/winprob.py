@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import scalars as S
 
-CODE = "_code"
+# Columns of the model, named so that no deal column is in their way.
+CODE = "_win_code"
+VECTOR, PROBABILITY, RAW, CALL = "_win_vector", "_win_probability", "_win_raw", "_win_call"
 FEATURES = [*V.WIN_CATEGORICAL, *V.WIN_BOOLEAN, *V.WIN_NUMERIC]
 
 
@@ -71,8 +73,12 @@ def _forest(features: Sequence[str], trees: int, depth: int, min_leaf: int, seed
     columns = [f + CODE for f in features]
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=columns, outputCol="features"),
+            VectorAssembler(inputCols=columns, outputCol=VECTOR),
             RandomForestClassifier(
+                featuresCol=VECTOR,
+                probabilityCol=PROBABILITY,
+                rawPredictionCol=RAW,
+                predictionCol=CALL,
                 numTrees=trees,
                 maxDepth=depth,
                 minInstancesPerNode=min_leaf,
@@ -128,7 +134,7 @@ def fit_win_model(
 def score(model: WinModel, deals: DataFrame) -> DataFrame:
     """Deals with ``win_probability`` and the 0.5 call."""
     scored = model.forest.transform(_encoded(model, deals))
-    probability = vector_to_array("probability")[1]
+    probability = vector_to_array(PROBABILITY)[1]
     return scored.select(
         *deals.columns,
         probability.alias("win_probability"),
@@ -177,7 +183,7 @@ def cross_validated_auc(
     validator = CrossValidator(
         estimator=_forest(model.features, trees, depth, min_leaf, seed),
         estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
+        evaluator=BinaryClassificationEvaluator(rawPredictionCol=RAW, metricName="areaUnderROC"),
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,

@@ -73,16 +73,15 @@ def write_table(
 ) -> str:
     """Overwrite a stage table; event logs are partitioned by month.
 
-    Rows are clustered by month before the write, salted by a hash of the row,
-    so that one busy month is written by several tasks.
+    Rows are brought together by month, and adaptive execution cuts a busy month
+    into as many tasks and files as its measured size asks for.
     """
     path = f"{folder.rstrip('/')}/{name}.parquet"
     if month_of is None:
         df.write.mode("overwrite").parquet(path)
         return path
-    dated = df.withColumn("month", S.month(month_of))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    dated.repartition("month", spread).write.mode("overwrite").partitionBy("month").parquet(path)
+    dated = df.withColumn("month", S.month(month_of)).hint("rebalance", "month")
+    dated.write.mode("overwrite").partitionBy("month").parquet(path)
     return path
 
 

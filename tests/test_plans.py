@@ -245,6 +245,15 @@ def test_creative_drops_all_null_attributes_and_fills_the_rest(spark):
     assert [r.ctr for r in R.top_creatives(creative, 1).collect()] == [0.5]
 
 
+def test_creative_without_any_attribute_is_empty(spark):
+    ads = spark.createDataFrame([(1.0, 2.0, 4.0, 1.0)], "spend double, clicks double, impressions double, pageviews double")
+    creative = R.creative_performance(ads)
+    assert creative.count() == 0
+    assert R.top_creatives(creative).count() == 0
+    assert R.creative_by_attribute(creative).count() == 0
+    assert R.creative_by_platform(creative).count() == 0
+
+
 def test_contacts_have_both_levels(spark):
     contacts = spark.createDataFrame([("VP", "Lead"), ("VP", None), ("VP", "Lead")], "seniority string, lifecycle_stage string")
     got = rows_of(R.contacts_by_seniority_stage(contacts), "lifecycle_stage", "is_total")

@@ -875,6 +875,14 @@ twin(
     "ads",
     more=_CHANNELS,
 )
+_SHORT = ("channel_category", "deal_count", "won_count", "win_rate", "pipeline_roi")
+twin(
+    "rows_json",
+    f"SELECT {json_row({c: c for c in _SHORT})} AS row_json FROM channels",
+    "opps",
+    "ads",
+    more=_CHANNELS,
+)
 _MODEL_JSON = {
     "channel": "channel",
     "ft": "round(first_touch, 4)",

@@ -670,6 +670,14 @@ def industry_segment_matrix(t):
     return _snake(rounded(wide, 2, *levels, "row_total"))
 
 
+@query
+def rows_json(t):
+    channels = _channels(t).select(
+        "channel_category", "deal_count", "won_count", "win_rate", "pipeline_roi"
+    )
+    return rows_as_json(channels)
+
+
 @query
 def channel_rows_json(t):
     rows = C.channel_rows(_channels(t))

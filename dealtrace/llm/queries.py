@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, secret_scan, simhash
+from . import chat_format, decontaminate, license_scan, mixing, nearest, quality, secret_scan, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(chat_format.chain(rows.unionByName(probe))))
 
 
+def op4_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.secret_spans(read(spark, folder, "documents")))
 
@@ -36,7 +44,20 @@ def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_digest(simhash.simhash_groups(read(spark, folder, "documents")))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_source_mix, op3_chat_format, op7_secret_scan, op8_simhash_dedup)
+    for f in (
+        op1_license_scan,
+        op2_source_mix,
+        op3_chat_format,
+        op4_cross_polytope,
+        op6_decontaminate,
+        op7_secret_scan,
+        op8_simhash_dedup,
+        op9_quality,
+    )
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, mixing, nearest, quality, secret_scan, simhash
+from . import chat_format, decontaminate, license_scan, mixing, nearest, quality, secret_scan, simhash, substring_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, folder, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -55,6 +59,7 @@ LLM_QUERIES: dict[str, Query] = {
         op2_source_mix,
         op3_chat_format,
         op4_cross_polytope,
+        op5_super_kmers,
         op6_decontaminate,
         op7_secret_scan,
         op8_simhash_dedup,

@@ -43,7 +43,6 @@ def reply_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     circle of replies have no root and are left out; of repeated rows one stays;
     no messages give no rows.
     """
-    spark = messages.sparkSession
     plain = (
         messages.where("message_id IS NOT NULL")
         .groupBy("conv_id", "message_id")
@@ -76,17 +75,19 @@ def reply_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
             F.col("dist").alias("_dist"),
             F.col("total").alias("_total"),
         )
-        longer = level.join(up, _same("conv_id", "_c") & (F.col("jump") == F.col("_m")), "left")
-        level = keep(
-            longer.select(
+        longer = (
+            level.where("jump IS NOT NULL")
+            .join(up, _same("conv_id", "_c") & (F.col("jump") == F.col("_m")))
+            .select(
                 "conv_id",
                 "message_id",
                 F.col("_jump").alias("jump"),
-                (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            ),
-            "reply-level",
+                (F.col("dist") + F.col("_dist")).alias("dist"),
+                (F.col("total") + F.col("_total")).alias("total"),
+            )
         )
+        # What has reached its root is carried over as it is.
+        level = keep(longer.unionByName(level.where("jump IS NULL")), "reply-level")
     with_replies = nodes.where("jump IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("jump").alias("_m"))
     # Rows that still have an ancestor now are on a circle or below one.
     leaves = level.where("jump IS NULL").join(
@@ -110,7 +111,6 @@ def reply_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
         forget(chosen)
         forget(levels[k])
         chosen = wider
-    del spark
     return chosen
 
 

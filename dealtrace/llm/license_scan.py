@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import PLAIN, pieces, texts
 
 
 @dataclass(frozen=True)
@@ -55,10 +55,6 @@ SCHEMA = (
     " start:bigint, end:bigint, errors:int, score:double>>"
 )
 
-# Bytes of words (digits, a-z, all beyond ASCII) stay, A-Z fall to lower case, the rest parts words.
-_PLAIN = bytes(
-    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
-)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -128,7 +124,7 @@ def _scan(notices: Sequence[Notice]):
         for batch in pieces(batches, "text"):
             counts, spans = [], []
             for raw in texts(batch.column("text")):
-                plain = raw.translate(_PLAIN)
+                plain = raw.translate(PLAIN)
                 words = plain.split()
                 counts.append(len(words))
                 hits = scanner.spans(words)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, mixing, nearest, quality, secret_scan, simhash, substring_dedup
+from . import chat_format, decontaminate, license_scan, mixing, nearest, quality, secret_scan, simhash, substring_dedup, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -64,5 +68,6 @@ LLM_QUERIES: dict[str, Query] = {
         op7_secret_scan,
         op8_simhash_dedup,
         op9_quality,
+        op10_toxicity,
     )
 }

@@ -124,3 +124,15 @@ def leaks(
         for b in range(blocks)
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` (text and any others) in whose text :func:`leaks` finds no benchmark item.
+
+    Texts are told apart by their MD5, so rows with one id or none are judged
+    each by its own text.
+    """
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    found = leaks(docs.select(key.alias("doc_id"), "text"), items, **limits)
+    leaked = keep(found.select(F.col("doc_id").alias("_leak_key")).distinct(), "leaked")
+    return docs.withColumn("_leak_key", key).join(leaked, "_leak_key", "left_anti").select(*docs.columns)

@@ -126,9 +126,27 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "copies", F.col("prefix").alias("threshold"))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, hash_column: str | None = None
-) -> DataFrame:
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        size_of(F.col("text").cast("string")).alias("size"),
+        hash_of(F.col("doc_id")).alias("hash"),
+    )
+
+
+def budgets(sized: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+    """Per source, as ``_s``: source_size, target, whole copies and the threshold of one more."""
+    targets = keep(
+        source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets"
+    )
+    limits = thresholds(sized, targets)
+    return targets.join(limits.withColumnRenamed("source", "_t"), _null_safe("source", "_t")).select(
+        F.col("source").alias("_s"), "source_size", "target", F.col("copies").alias("_whole"), "threshold"
+    )
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): how often the mix takes it.
 
     Returns doc_id, source, size, source_size, target, taken (size times
@@ -138,30 +156,29 @@ def mix(
     alike.  A null text has size 0, a null source is a source; an empty table
     gives no rows.  Other columns are not looked at.
     """
-    sized = keep(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            size_of(F.col("text").cast("string")).alias("size"),
-            hash_of(F.col("doc_id")).alias("hash"),
-        ),
-        "mix-sizes",
-    )
-    targets = keep(
-        source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets"
-    )
-    limits = thresholds(sized, targets)
-    facts = targets.join(limits.withColumnRenamed("source", "_t"), _null_safe("source", "_t")).select(
-        F.col("source").alias("_s"), "source_size", "target", "copies", "threshold"
-    )
-    extra = F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    taken = sized.join(facts, _null_safe("source", "_s")).withColumn("_copies", F.col("copies") + extra)
+    sized = keep(_sized(docs), "mix-sizes")
+    taken = sized.join(budgets(sized, weights, most), _null_safe("source", "_s"))
+    copies = F.col("_whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
     return taken.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (F.col("size") * F.col("_copies")).cast("bigint").alias("taken"),
-        F.col("_copies").cast("int").alias("copies"),
+        (F.col("size") * copies).cast("bigint").alias("taken"),
+        copies.cast("int").alias("copies"),
+    )
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them, with their ``copy`` from 1."""
+    facts = keep(budgets(keep(_sized(docs), "mix-sizes"), weights, most), "mix-facts").select(
+        F.col("_s").alias("_mix_source"), F.col("_whole").alias("_mix_whole"), F.col("threshold").alias("_mix_threshold")
+    )
+    extra = F.when(hash_of(F.col("doc_id")) < F.col("_mix_threshold"), 1).otherwise(0)
+    counted = docs.join(facts, F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))).withColumn(
+        "_mix_copies", (F.col("_mix_whole") + extra).cast("int")
     )
+    some = counted.where("_mix_copies > 0")
+    names = [F.col(c) for c in docs.columns if c != "copy"]
+    return some.select(*names, F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("copy"))

@@ -240,3 +240,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that :func:`quality_scores` predicts as 1.
+
+    Rows are scored and filtered where they lie; none is moved.
+    """
+    usable = labels.where(fold(F.col("doc_id")) != 1).select("doc_id", F.col("quality").alias("y"))
+    model = fit(measured(docs), usable)
+    if model is None:
+        return docs
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            good = model(np.array([statistics(raw) for raw in texts(batch.column("text"))])) >= 0.5
+            if good.any():
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

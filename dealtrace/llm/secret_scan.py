@@ -219,6 +219,40 @@ def secret_spans(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
     )
 
 
+def redact(docs: DataFrame, mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with every span of :func:`secret_spans` replaced by ``mark``.
+
+    Spans that touch or overlap are one.  A column n_chars is set to the new
+    length; rows without spans stay as they are.  Texts are read twice, for the
+    levels of dismissal and for the replacement, and no row is moved.
+    """
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scanned = keep(plain.mapInArrow(_scan, SCHEMA), "secrets")
+    levels = {r.stratum: r.dismissed_from for r in dismissal_levels(scanned, false_share).collect()}
+
+    def clean(raw: bytes) -> str:
+        text = raw.decode()
+        spans = [x[1:] for x in base_spans(text)]
+        spans += [x[:2] for x in _tested(raw) if x[4] < levels.get(x[3], BINS)]
+        out, at = [], 0
+        for start, end in sorted(spans):
+            if start > at or not out:
+                out += [text[at:start], mark]
+            at = max(at, end)
+        return "".join([*out, text[at:]])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            column = batch.column("text")
+            new = [None if null else clean(raw) for raw, null in zip(texts(column), column.is_null().to_pylist())]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
+
+    replaced = docs.mapInArrow(run, docs.schema)
+    if "n_chars" not in docs.columns:
+        return replaced
+    return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def _written(spans: str) -> Column:
     kind = "CASE x.kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
     return F.expr(f"array_join(transform({spans}, x -> concat({kind}, ':', x.start, ':', x.end)), ',')")

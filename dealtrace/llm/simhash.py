@@ -50,6 +50,10 @@ class Grid:
 
 
 EXACT = Grid()
+# For a similarity of 0.8 on five-word shingles: equal texts but for a fifth of
+# their shingles differ in 0.15 of the bits.  Of pairs at 0.8 some three quarters
+# share a cell, of pairs at 0.9 nearly all; larger groups hold together by others.
+SIMILAR = Grid(words=12, blocks=38, block_bits=20, radius=0, max_bits=39, verify_words=4)
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -90,12 +94,14 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp) per row of ``docs`` (doc_id, text); fp is an array of ``words`` numbers.
+def fingerprints(
+    docs: DataFrame, width: int = 3, words: int = 1, names: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns ``names`` and fp per row of ``docs`` (names, text); fp has ``words`` numbers.
 
     Words are runs other than ASCII white space, A-Z in lower case.  A null or
-    empty text has fingerprint zero; nulls in doc_id stay; other columns are
-    not looked at.
+    empty text has fingerprint zero; nulls in the named columns stay; other
+    columns are not looked at.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -104,11 +110,12 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
             flat = pa.array(np.concatenate(found).view(np.int64))
             offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "fp"]
+                [*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, flat)], [*names, "fp"]
             )
 
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id bigint, fp array<bigint>")
+    plain = docs.select(*names, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{c} {k}" for c, k in plain.dtypes if c != "text")
+    return plain.mapInArrow(run, f"{kinds}, fp array<bigint>")
 
 
 def _block(words: np.ndarray, grid: Grid, block: int) -> np.ndarray:
@@ -275,6 +282,16 @@ def near_links(nodes: DataFrame, grid: Grid = EXACT) -> DataFrame:
     return sorted_cells.mapInArrow(_in_cells(grid), "a bigint, b bigint").distinct()
 
 
+def _rooted(fps: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
+    """``fps`` (.., fp) with their node, and (node, root) of all distinct fingerprints."""
+    node = F.col("fp")[0] if grid.words == 1 else F.xxhash64("fp")
+    rows = fps.withColumn("node", node)
+    nodes = keep(rows.groupBy("node").agg(F.min("fp").alias("fp")), "simhash-nodes")
+    labels = components(near_links(nodes, grid))
+    roots = lookup_join(nodes.select("node"), labels, "node", "left")
+    return rows, roots.select("node", F.coalesce("root", "node").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, grid: Grid = EXACT) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs`` (doc_id, text).
 
@@ -284,19 +301,32 @@ def simhash_groups(docs: DataFrame, width: int = 3, grid: Grid = EXACT) -> DataF
     them; texts without words have fingerprint zero and are linked like any
     other.  Repeated rows stay; an empty table gives no rows.
     """
-    fps = keep(fingerprints(docs, width, grid.words), "simhash")
-    node = F.col("fp")[0] if grid.words == 1 else F.xxhash64("fp")
-    rows = fps.withColumn("node", node)
-    nodes = keep(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "simhash-nodes")
-    labels = components(near_links(nodes.select("node", "fp"), grid))
-    rooted = lookup_join(nodes.select("node", "least"), labels, "node", "left").select(
-        "node", "least", F.coalesce("root", "node").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = lookup_join(rooted.select("node", "root"), least, "root", "left").select("node", "component_id")
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows, roots = _rooted(keep(fingerprints(plain, width, grid.words), "simhash"), grid)
+    ids = lookup_join(rows.groupBy("node").agg(F.min("doc_id").alias("least")), roots, "node", "inner")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = lookup_join(roots, least, "root", "left").select("node", "component_id")
     return lookup_join(rows, named, "node", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without near copies.
+
+    Of each group the row with the smallest doc_id stays (nulls last), of
+    several such rows the one whose text has the smallest MD5.  Only ids, hashes
+    and fingerprints are grouped; the texts move once, to meet the chosen ids.
+    """
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.col("text").cast("binary")))
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("_key"), "text")
+    rows, roots = _rooted(keep(fingerprints(plain, width, grid.words, ("doc_id", "_key")), "simhash"), grid)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key")).alias("_first")
+    ids = lookup_join(rows.groupBy("node").agg(first), roots, "node", "inner")
+    chosen = keep(ids.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_near_copy_key")), "simhash-chosen")
+    # Rows repeated as a whole have one key and stay next to each other after the join.
+    kept = docs.withColumn("_near_copy_key", key).join(chosen, "_near_copy_key", "left_semi")
+    return kept.dropDuplicates(["_near_copy_key"]).select(*docs.columns)
+
+
 def simhash_digest(groups: DataFrame) -> DataFrame:
     """64-bit fingerprints as hexadecimal digits."""
     digits = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))

@@ -36,13 +36,14 @@ CHANNEL_OF_PRIORITY = {
     "5-LOW": "referral",
 }
 PLATFORMS = {"A": "6sense_display", "N": "email_mqa", "R": "web_inbound"}
-FITS = ["Strong", "Moderate", "Weak"]
+FITS = ["Strong", "Moderate"]
 WINDOW_DAYS, HALF_LIFE = 7, 3
 
 TYPED = {
     "opps": """
 SELECT CAST(o_orderkey AS STRING) AS opp_id,
-  CAST(o_custkey AS STRING) AS account_id,
+  CASE WHEN o_orderkey % 41 = 7 THEN 'X' || CAST(o_custkey AS STRING) ELSE CAST(o_custkey AS STRING) END
+    AS account_id,
   CASE WHEN o_orderkey % 3 > 0 THEN 'Account ' || CAST(o_custkey AS STRING) END AS account_name,
   CASE WHEN o_orderkey % 5 > 0 THEN 'acct' || CAST(o_custkey AS STRING) || '.com' END AS domain,
   CASE WHEN o_orderkey % 97 > 0 THEN o_totalprice END AS amount,
@@ -77,8 +78,7 @@ SELECT CAST(c_custkey AS STRING) AS account_id,
   CASE WHEN c_acctbal >= 6000 THEN 'Enterprise' WHEN c_acctbal >= 2000 THEN 'Mid-Market'
     WHEN c_acctbal >= 0 THEN 'Commercial' END AS segment,
   CASE c_custkey % 4 WHEN 0 THEN 'Strong' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Weak' END AS profile_fit
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
-WHERE c_custkey % 17 <> 5""",
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "deals": f"""
 SELECT CAST(event_id AS STRING) AS opp_id,
   CAST(user_id AS STRING) AS account_id,
@@ -152,18 +152,19 @@ FROM {{orders}}""",
     "segments": """
 SELECT 'acct' || CAST(user_id AS STRING) || '.com' AS domain,
   ts AS activity_date,
-  CASE WHEN event_type = 'click' THEN 'High Intent' ELSE 'Awareness ' || CAST(event_id % 5 AS STRING)
-    END AS segment,
-  CASE WHEN event_type = 'click' THEN 'Intent' ELSE 'Awareness' END AS segment_category,
+  CASE WHEN user_id % 6 = 2 THEN NULL WHEN event_type = 'click' THEN 'High Intent'
+    ELSE 'Awareness ' || CAST(event_id % 5 AS STRING) END AS segment,
+  CASE WHEN user_id % 6 = 2 THEN NULL WHEN event_type = 'click' THEN 'Intent' ELSE 'Awareness' END
+    AS segment_category,
   CASE WHEN event_id % 4 > 0 THEN 'E' || CAST(event_id % 3 AS STRING) END AS employee_range,
   'R' || CAST(event_id % 6 AS STRING) AS revenue_range
-FROM {events} WHERE event_type IN ('click', 'view') AND user_id % 6 <> 2""",
+FROM {events} WHERE event_type IN ('click', 'view')""",
     "reached_email": """
-SELECT 'acct' || CAST(user_id AS STRING) || '.com' AS domain FROM {events}
-WHERE event_type = 'view' AND event_id % 40 = 0""",
+SELECT CASE WHEN user_id % 3 = 0 THEN 'mail' ELSE 'acct' END || CAST(user_id AS STRING) || '.com' AS domain
+FROM {events} WHERE event_type IN ('view', 'signup')""",
     "reached_display": """
-SELECT ' Acct' || CAST(user_id AS STRING) || '.com ' AS domain FROM {events}
-WHERE event_type = 'click' AND event_id % 40 = 1""",
+SELECT CASE WHEN user_id % 4 = 0 THEN 'Shown' ELSE ' Acct' END || CAST(user_id AS STRING) || '.com ' AS domain
+FROM {events} WHERE event_type = 'click'""",
 }
 
 # Raw exports: every column text, raw names, null tokens and mixed formats.
@@ -260,8 +261,14 @@ FROM {events}""",
 
 ALL = {**TYPED, **RAW}
 
-# Schemas by path: finding one costs a job, and a query reads a table several times.
-_SCHEMAS: dict[str, T.StructType] = {}
+# Schemas by path and time of writing: finding one costs a job, and a query reads a table several times.
+_SCHEMAS: dict[tuple[str, int], T.StructType] = {}
+
+
+def written_at(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last written, in milliseconds, on any file system Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -271,8 +278,9 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     reach the files.
     """
     path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = T.StructType(
+    key = path, written_at(spark, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = T.StructType(
             [
                 T.StructField(f.name, T.TimestampType(), f.nullable)
                 if isinstance(f.dataType, T.TimestampNTZType)
@@ -280,7 +288,7 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
                 for f in spark.read.parquet(path).schema.fields
             ]
         )
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def bound(spark: SparkSession, folder: str, name: str) -> DataFrame:

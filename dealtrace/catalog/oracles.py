@@ -66,7 +66,7 @@ def month(expr: str) -> str:
 
 # --- changelog, cleaning ---------------------------------------------------
 
-_TIES = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
+_TIES = "l_partkey * 100000000 + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)"
 _LOG = f"""log AS (
   SELECT l_orderkey AS id, nullif(l_linenumber, 7) AS version, nullif(l_returnflag, 'N') AS flag,
     CASE WHEN l_quantity < 45 THEN l_extendedprice END AS amount, l_linestatus AS stage,
@@ -224,7 +224,7 @@ FROM documents""",
 
 _MASTER_TABLES = ("opps", "accounts", "campaign", "email", "web", "contacts", "segments")
 _MASTER = """
-s AS (SELECT domain, string_agg(DISTINCT segment, '|' ORDER BY segment) AS segment_list,
+s AS (SELECT domain, coalesce(string_agg(DISTINCT segment, '|' ORDER BY segment), '') AS segment_list,
     arg_min(segment_category, (activity_date, segment)) AS segment_category,
     arg_min(employee_range, (activity_date, segment)) FILTER (WHERE employee_range IS NOT NULL) AS emp_range,
     arg_min(revenue_range, (activity_date, segment)) AS rev_range
@@ -518,6 +518,15 @@ linked AS (SELECT r.*, t.touch_date, t.channel, t.touch_type, t.campaign_id,
   FROM resolved r JOIN touches t ON r.domain = t.domain
     AND t.touch_date BETWEEN r.create_date - INTERVAL {B.WINDOW_DAYS} DAYS AND r.create_date
   WHERE amount IS NOT NULL)"""
+
+
+def at_defaults(sql: str) -> str:
+    """The same at a window of 365 days and a half-life of 30."""
+    return sql.replace(f"INTERVAL {B.WINDOW_DAYS} DAYS", "INTERVAL 365 DAYS").replace(
+        f"-days_before / {B.HALF_LIFE}.0", "-days_before / 30.0"
+    )
+
+
 _LINK_TABLES = ("deals", "accounts", *_TOUCH_TABLES)
 _LINK_MORE = ",".join([_TOUCHES, _RESOLVED, _LINKED])
 
@@ -550,6 +559,21 @@ twin(
     *_LINK_TABLES,
     more=_LINK_MORE,
 )
+twin(
+    "deal_touch_links",
+    f"""SELECT opp_id, channel, touch_type, campaign_id, count(*) AS touches,
+  epoch_us(min(touch_date)) AS first_us, epoch_us(max(touch_date)) AS last_us, round(sum({_WEIGHT}), 6) AS weight
+FROM linked GROUP BY 1, 2, 3, 4""",
+    *_LINK_TABLES,
+    more=_LINK_MORE,
+)
+twin(
+    "deal_channel_links_default",
+    at_defaults(f"""SELECT opp_id, channel, count(*) AS touches, epoch_us(min(touch_date)) AS first_us,
+  epoch_us(max(touch_date)) AS last_us, round(sum({_WEIGHT}), 6) AS weight FROM linked GROUP BY 1, 2"""),
+    *_LINK_TABLES,
+    more=at_defaults(_LINK_MORE),
+)
 _CREDIT = "sum(credit) AS p, coalesce(sum(credit) FILTER (WHERE is_won), 0) AS w, count(*) AS n"
 _MODELS = f"""
 m_sourced AS (SELECT 'Marketing Sourced' AS m, channel_category AS channel, coalesce(sum(amount), 0) AS p,
@@ -585,6 +609,7 @@ for _name, _model in {
 }.items():
     twin(_name, f"{_SHOWN} WHERE m = '{_model}'", *_LINK_TABLES, more=_MODEL_MORE)
 twin("attr_all_models", _SHOWN, *_LINK_TABLES, more=_MODEL_MORE)
+twin("attr_all_models_default", _SHOWN, *_LINK_TABLES, more=at_defaults(_MODEL_MORE))
 _WIDE = """
 wide AS (SELECT channel, coalesce(sum(p) FILTER (WHERE m = 'Marketing Sourced'), 0) AS marketing_sourced,
     coalesce(sum(p) FILTER (WHERE m = 'Marketing Influenced'), 0) AS marketing_influenced,
@@ -686,7 +711,8 @@ twin(
 _JOURNEYS = """
 seen AS (SELECT r.opp_id, r.amount, t.channel, t.touch_date,
     lag(t.channel) OVER (PARTITION BY r.opp_id ORDER BY t.touch_date, t.channel) AS before
-  FROM resolved r JOIN logged t ON r.domain = t.domain AND t.touch_date <= r.create_date WHERE is_won),
+  FROM (SELECT * EXCLUDE (domain), 'acct' || account_id || '.com' AS domain FROM deals WHERE domain IS NOT NULL) r
+  JOIN logged t ON r.domain = t.domain AND t.touch_date <= r.create_date WHERE is_won),
 counted AS (SELECT opp_id, any_value(amount) AS amount, count(*) AS n_touches,
     count(DISTINCT channel) AS n_channels,
     arg_max(channel, (touch_date, channel)) AS last_channel FROM seen GROUP BY 1),
@@ -698,8 +724,8 @@ paths AS (SELECT opp_id, string_agg(channel, ' -> ' ORDER BY step) FILTER (WHERE
     any_value(channel) FILTER (WHERE step = 1) AS first_channel FROM steps GROUP BY 1),
 journey AS (SELECT opp_id, amount, n_touches, n_channels, first_channel, last_channel, sequence, sequence_2ch
   FROM counted JOIN paths USING (opp_id))"""
-_JOURNEY_TABLES = ("deals", "accounts", "campaign", "email")
-_JOURNEY_MORE = ",".join([_LOGGED, _RESOLVED, _JOURNEYS])
+_JOURNEY_TABLES = ("deals", "campaign", "email")
+_JOURNEY_MORE = ",".join([_LOGGED, _JOURNEYS])
 twin("journeys", "SELECT * FROM journey", *_JOURNEY_TABLES, more=_JOURNEY_MORE)
 twin(
     "journey_top_sequences",
@@ -745,7 +771,8 @@ twin(
     "targeting_pivot",
     """SELECT segment, round(coalesce(avg(win_rate) FILTER (WHERE profile_fit = 'Strong'), 0), 6) AS strong,
   round(coalesce(avg(win_rate) FILTER (WHERE profile_fit = 'Moderate'), 0), 6) AS moderate,
-  round(coalesce(avg(win_rate) FILTER (WHERE profile_fit = 'Weak'), 0), 6) AS weak FROM matrix GROUP BY 1""",
+  round(coalesce(avg(win_rate) FILTER (WHERE profile_fit NOT IN ('Strong', 'Moderate')), 0), 6) AS other
+FROM matrix GROUP BY 1""",
     "opps",
     "accounts",
     more=_JOINED + "," + _MATRIX,
@@ -761,6 +788,37 @@ FROM opps WHERE amount IS NOT NULL GROUP BY 1""",
     "opps",
 )
 
+twin(
+    "cohort_last",
+    f"""SELECT year(create_date) || 'Q' || quarter(create_date) AS quarter, count(opp_id) AS deals,
+  {n_if("is_won")} AS won, {money("amount")} AS pipeline,
+  round(coalesce(sum(amount) FILTER (WHERE is_won), 0), 2) AS won_pipeline, round(avg(amount), 2) AS avg_deal,
+  {n_if("is_marketing_sourced")} AS marketing_sourced, {div(n_if("is_won"), "count(*)", 6)} AS win_rate,
+  {div(n_if("is_marketing_sourced"), "count(*)", 6)} AS marketing_share
+FROM opps WHERE amount IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 4""",
+    "opps",
+)
+twin(
+    "winning_channels",
+    """SELECT channel_category, round(won_pipeline, 2) AS won_pipeline, round(win_rate, 6) AS win_rate,
+  round(coalesce(win_rate, 0) * 100, 6) AS win_percent FROM channels WHERE won_pipeline > 0""",
+    "opps",
+    "ads",
+    more=_CHANNELS,
+)
+twin(
+    "attr_channels_above",
+    "SELECT channel, round(sum(p), 4) AS attributed_pipeline FROM results GROUP BY 1 HAVING sum(p) > 1000",
+    *_LINK_TABLES,
+    more=_MODEL_MORE,
+)
+twin(
+    "stored_tables",
+    f"""SELECT {month("activity_date")} AS month, count(*) AS rows, sum(impressions) AS impressions,
+  {money("spend")} AS spend FROM campaign GROUP BY 1""",
+    "campaign",
+)
+
 # --- dashboards ------------------------------------------------------------
 
 twin(
@@ -833,7 +891,8 @@ twin(
     "accounts",
 )
 _CELL = "coalesce(sum(total_pipeline) FILTER (WHERE segment = '{0}'), 0)"
-_CELLS = {k.lower().replace("-", "_"): _CELL.format(k) for k in ("Enterprise", "Mid-Market", "Commercial")}
+_CELLS = {k.lower().replace("-", "_"): _CELL.format(k) for k in ("Enterprise", "Mid-Market")}
+_CELLS["other"] = "coalesce(sum(total_pipeline) FILTER (WHERE segment NOT IN ('Enterprise', 'Mid-Market')), 0)"
 twin(
     "industry_segment_matrix",
     f"""SELECT industry, {", ".join(f"round({e}, 2) AS {c}" for c, e in _CELLS.items())},
@@ -853,18 +912,18 @@ def json_row(columns: dict[str, str]) -> str:
     return " || ".join([*parts, "'}'"])
 
 
-def _tens(column: str) -> str:
-    return f"round(coalesce({column}, 0) / 1e4, 2)"
+def _cents(column: str) -> str:
+    return f"CAST(round(coalesce({column}, 0), 2) AS DECIMAL(18,2))"
 
 
 _CHANNEL_JSON = {
     "channel_category": "channel_category",
     "deal_count": "deal_count",
-    "total_pipeline": _tens("total_pipeline"),
-    "won_pipeline": _tens("won_pipeline"),
+    "total_pipeline": _cents("total_pipeline"),
+    "won_pipeline": _cents("won_pipeline"),
     "win_rate": "win_rate",
-    "avg_deal_size": _tens("avg_deal_size"),
-    "channel_spend": _tens("channel_spend"),
+    "avg_deal_size": _cents("avg_deal_size"),
+    "channel_spend": _cents("channel_spend"),
     "pipeline_roi": "pipeline_roi",
     "revenue_roi": "revenue_roi",
 }
@@ -933,13 +992,27 @@ _CHECKS = {
         "(SELECT sum(w) FROM results WHERE m = 'First-Touch')",
     ),
 }
+# The funnel's stages counted anew, apart from the text of the funnel's own twin.
+_RECOUNTED = {
+    "Impressions": "SELECT trunc(sum(x)) FROM (SELECT impressions AS x FROM campaign UNION ALL SELECT impressions FROM ads)",
+    "Clicks": "SELECT trunc(sum(x)) FROM (SELECT clicks AS x FROM campaign UNION ALL SELECT clicks FROM ads)",
+    "Form Fills / Goal Completions": """SELECT sum(x) FROM (SELECT form_fills AS x FROM campaign
+  UNION ALL SELECT CASE WHEN is_goal_completed THEN 1 ELSE 0 END FROM web)""",
+    "Email Engagements": "SELECT sum(1) FROM email",
+    "Email Clicks": "SELECT sum(1) FROM email WHERE is_click",
+    "All Opportunities": "SELECT sum(1) FROM opps",
+    "Marketing-Sourced Opps": "SELECT sum(1) FROM opps WHERE is_marketing_sourced",
+    "Closed Won (All)": "SELECT sum(1) FROM opps WHERE is_won",
+    "Marketing-Sourced Won": "SELECT sum(1) FROM opps WHERE is_won AND is_marketing_sourced",
+}
+_CHECKS |= {
+    f"funnel stage {k}": (f"(SELECT n FROM stages WHERE stage = '{k}')", f"({sql})") for k, sql in _RECOUNTED.items()
+}
 twin(
     "reconciliation",
-    "SELECT 'funnel stage ' || stage AS \"check\", CAST(n AS DOUBLE) AS actual, CAST(n AS DOUBLE) AS expected, "
-    "true AS ok FROM stages"
-    + "".join(
-        f"\nUNION ALL SELECT '{k}', round(CAST({a} AS DOUBLE), 2), round(CAST({e} AS DOUBLE), 2), "
-        f"abs(CAST({a} AS DOUBLE) - CAST({e} AS DOUBLE)) <= 0.01"
+    "\nUNION ALL ".join(
+        f"SELECT '{k}' AS \"check\", round(CAST({a} AS DOUBLE), 2) AS actual, round(CAST({e} AS DOUBLE), 2) AS expected, "
+        f"abs(CAST({a} AS DOUBLE) - CAST({e} AS DOUBLE)) <= 0.01 AS ok"
         for k, (a, e) in _CHECKS.items()
     ),
     "opps",
@@ -961,3 +1034,61 @@ FROM (SELECT opp_id, stage, is_won, account_id FROM opps) JOIN master USING (acc
     *_MASTER_TABLES,
     more=_MASTER,
 )
+_DEALS = """
+deal AS (SELECT x.opp_id, x.amount, x.channel_category, x.segment, x.is_won,
+    coalesce(regexp_matches(lower(x.stage), 'closed|won|lost'), false) AS closed,
+    industry, tier, profile_fit, is_qualified, intent_score, annual_revenue, email_opens, c_level_contacts
+  FROM opps x LEFT JOIN (SELECT account_id, industry, tier, profile_fit, email_opens, c_level_contacts FROM master) m
+    USING (account_id) LEFT JOIN (SELECT account_id, is_qualified, intent_score, annual_revenue FROM accounts) a
+    USING (account_id))"""
+
+
+def _code(column: str) -> str:
+    """Place of a value in the closed deals' values; unseen ones take Unknown's, else the first."""
+    seen = f"(SELECT DISTINCT coalesce({column}, 'Unknown') AS v FROM deal WHERE closed)"
+    value = f"coalesce(d.{column}, 'Unknown')"
+    place = f"(SELECT count(*) FROM {seen} s WHERE s.v < {{0}})"
+    known = f"{value} IN (SELECT v FROM {seen} s)"
+    spare = f"CASE WHEN 'Unknown' IN (SELECT v FROM {seen} s) THEN {place.format("'Unknown'")} ELSE 0 END"
+    return f"CAST(CASE WHEN {known} THEN {place.format(value)} ELSE {spare} END AS DOUBLE) AS {column}"
+
+
+_CODED = ("channel_category", "segment", "industry", "tier", "profile_fit")
+_FILLED = ("is_qualified", "intent_score", "annual_revenue", "email_opens", "c_level_contacts", "amount")
+twin(
+    "win_inputs",
+    "SELECT opp_id, "
+    + ", ".join(_code(c) for c in _CODED)
+    + ", "
+    + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _FILLED)
+    + " FROM deal d",
+    *_MASTER_TABLES,
+    more=_MASTER + "," + _DEALS,
+)
+twin(
+    "win_folds",
+    """SELECT CAST(floor(coalesce(before, 0) * 5 / CAST(total AS DOUBLE)) AS BIGINT) AS fold, label, CAST(sum(n) AS BIGINT) AS deals
+FROM (SELECT *, sum(n) OVER (PARTITION BY label ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    sum(n) OVER (PARTITION BY label) AS total
+  FROM (SELECT CASE WHEN is_won THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+      CAST('0x' || substr(md5(opp_id), 1, 15) AS BIGINT) % 1000 AS bucket, count(*) AS n
+    FROM opps WHERE regexp_matches(lower(stage), 'closed|won|lost') GROUP BY 1, 2))
+GROUP BY 1, 2""",
+    "opps",
+)
+_LABELS = {
+    "copy_messaging": "Messaging",
+    "copy_asset_type": "Asset Type",
+    "copy_tone": "Tone",
+    "cta_softness": "Cta Softness",
+    "size": "Size",
+}
+twin(
+    "creative_labels",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS attribute, coalesce({a}, 'Unknown') AS value, '{label}' AS label,
+  substr(coalesce({a}, 'Unknown'), 1, 7) AS short, round(sum(spend), 4) AS spend FROM ads GROUP BY 2"""
+        for a, label in _LABELS.items()
+    ),
+    "ads",
+)

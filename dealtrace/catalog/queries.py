@@ -7,6 +7,7 @@ cluster adds doubles does not show.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -19,6 +20,7 @@ from ..operators import (
     count_by,
     deal_summary,
     engagement_rates,
+    last_n,
     latest_state,
 )
 from ..plans import account360 as A
@@ -32,7 +34,8 @@ from ..plans import touch as T
 from ..plans import winprob as W
 from ..plans.funnel import funnel
 from ..plans.quality import reconcile
-from ..sources import rows_as_json
+from ..sources import read_report, read_table, rows_as_json, write_report, write_table
+from ..sources.scratch import shared_folder
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,11 +82,12 @@ def _changelog(t: Tables) -> DataFrame:
         F.nullif("l_returnflag", F.lit("N")).alias("flag"),
         F.when(F.col("l_quantity") < 45, F.col("l_extendedprice")).alias("amount"),
         F.col("l_linestatus").alias("stage"),
-        *(F.col(c) for c in TIES),
+        (F.col("l_partkey") * 100_000_000 + F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("row_key"),
     )
 
 
-TIES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+# One number for each row, so that ranks stay narrow.
+TIES = ["row_key"]
 
 
 @query
@@ -327,6 +331,14 @@ def creative_by_platform(t):
     return rounded(R.creative_by_platform(_creative(t)), 4, "spend")
 
 
+@query
+def creative_labels(t):
+    """Short and readable names of creatives and attributes."""
+    long = R.creative_by_attribute(_creative(t))
+    label, short = S.attribute_label("attribute"), S.prefix("value", 7)
+    return rounded(long.select("attribute", "value", label.alias("label"), short.alias("short"), "spend"), 4, "spend")
+
+
 # --- reports ---------------------------------------------------------------
 
 
@@ -443,6 +455,28 @@ def deal_channel_links(t):
     )
 
 
+@query
+def deal_touch_links(t):
+    links = T.link_summary(t.deals, _touches(t), t.accounts, B.WINDOW_DAYS, B.HALF_LIFE)
+    return links.withColumn("weight", F.round("weight", 6))
+
+
+@query
+def deal_channel_links_default(t):
+    """At the operator's own window and half-life."""
+    links = T.deal_links(t.deals, _touches(t), t.accounts)
+    return links.select(
+        "opp_id", "channel", "touches", "first_us", "last_us", F.round("weight", 6).alias("weight")
+    )
+
+
+@query
+def attr_all_models_default(t):
+    """At the operator's own window and half-life."""
+    credits = M.attribution(t.deals, _touches(t), t.accounts)
+    return rounded(credits, 4, "attributed_pipeline", "attributed_won")
+
+
 @query
 def attr_sourced(t):
     return _credits(t, V.SOURCED)
@@ -544,7 +578,8 @@ def velocity_segment(t):
 
 
 def _journeys(t: Tables) -> DataFrame:
-    return J.journeys(T.resolve_domains(t.deals, t.accounts), T.touchpoints(t.campaign, t.email))
+    # By the deal's own domain, as the stage runner does it.
+    return J.journeys(t.deals, T.touchpoints(t.campaign, t.email))
 
 
 @query
@@ -585,7 +620,7 @@ def targeting_matrix(t):
 @query
 def targeting_pivot(t):
     wide = X.targeting_pivot(X.targeting_matrix(t.opps, t.accounts), B.FITS)
-    return _snake(rounded(wide, 6, *B.FITS))
+    return _snake(rounded(wide, 6, *B.FITS, "Other"))
 
 
 @query
@@ -593,6 +628,38 @@ def cohort_quarterly(t):
     return rounded(_rates(X.cohorts(t.opps)), 6, "marketing_share")
 
 
+@query
+def cohort_last(t):
+    """The last four quarters of the cohorts."""
+    return last_n(rounded(_rates(X.cohorts(t.opps)), 6, "marketing_share"), "quarter", 4)
+
+
+@query
+def winning_channels(t):
+    shown = ["channel_category", "won_pipeline", "win_rate", "win_percent"]
+    rows = C.winning_channels(_channels(t)).select(*shown)
+    return rounded(rounded(rows, 2, "won_pipeline"), 6, "win_rate", "win_percent")
+
+
+@query
+def attr_channels_above(t):
+    return rounded(M.channels_above(_attribution(t)), 4, "attributed_pipeline")
+
+
+@query
+def stored_tables(t):
+    """Campaign rows and a report, written as stage tables and read again."""
+    out = f"{shared_folder(t.spark)}/stored-{uuid.uuid4().hex}"
+    write_table(t.campaign, out, "campaign", month_of="activity_date")
+    write_report({"monthly": R.monthly_campaign(t.campaign)}, out, "campaign")
+    rows = read_table(t.spark, out, "campaign").groupBy("month").agg(
+        F.count("*").alias("rows"), F.sum("impressions").alias("impressions")
+    )
+    months = read_report(t.spark, out, "campaign", "monthly").select(F.col("month_year").alias("month"), "spend")
+    joined = rows.withColumn("month", F.col("month").cast("string")).join(months, "month")
+    return rounded(joined, 2, "spend")
+
+
 # --- dashboards ------------------------------------------------------------
 
 
@@ -665,9 +732,9 @@ def deals_by_channel_segment(t):
 
 @query
 def industry_segment_matrix(t):
-    levels = ["Enterprise", "Mid-Market", "Commercial"]
+    levels = ["Enterprise", "Mid-Market"]
     wide = R.industry_segment_matrix(_master(t), levels)
-    return _snake(rounded(wide, 2, *levels, "row_total"))
+    return _snake(rounded(wide, 2, *levels, "Other", "row_total"))
 
 
 @query
@@ -681,9 +748,9 @@ def rows_json(t):
 @query
 def channel_rows_json(t):
     rows = C.channel_rows(_channels(t))
-    # In tens of thousands: small enough that JSON writers agree on the digits.
     money = ["total_pipeline", "won_pipeline", "avg_deal_size", "channel_spend"]
-    return rows_as_json(rows.withColumns({c: F.round(F.col(c) / 1e4, 2) for c in money}))
+    # To the cent, as decimals, whose digits every JSON writer spells alike.
+    return rows_as_json(rows.withColumns({c: F.round(c, 2).cast("decimal(18,2)") for c in money}))
 
 
 @query
@@ -723,10 +790,37 @@ def win_features(t):
     return _features(t).select(*shown, "c_level_contacts")
 
 
+# Where the fitted models of this process lie, by session, folder and the tables' times of writing.
+_FITTED: dict[tuple, str] = {}
+FIT_TABLES = ("orders", "customer", "nation", "region", "events")
+
+
+def _model(t: Tables) -> W.WinModel:
+    """One fit for all queries on the same tables: saved once, then loaded."""
+    times = tuple(B.written_at(t.spark, f"{t.folder}/{name}.parquet") for name in FIT_TABLES)
+    key = (t.spark.sparkContext.applicationId, t.folder, times)
+    if key not in _FITTED:
+        _FITTED[key] = W.fit_win_model(_features(t)).save(f"{shared_folder(t.spark)}/win-{uuid.uuid4().hex}")
+    return W.load_win_model(t.spark, _FITTED[key])
+
+
 @query
 def win_probability(t):
-    deals = _features(t)
-    return W.score_open(W.fit_win_model(deals), deals)
+    return W.score_open(_model(t), _features(t))
+
+
+@query
+def win_inputs(t):
+    """Codes of the categories and filled numbers, as the forest gets them."""
+    numbers = ["is_qualified", "intent_score", "annual_revenue", "email_opens", "c_level_contacts", "amount"]
+    return W.model_inputs(_features(t), V.WIN_CATEGORICAL, numbers)
+
+
+@query
+def win_folds(t):
+    """Closed deals by fold and label."""
+    dealt = W.stratified_folds(_features(t))
+    return dealt.groupBy(F.col(W.FOLD).cast("bigint").alias("fold"), "label").agg(F.count("*").alias("deals"))
 
 
 @query
@@ -738,17 +832,14 @@ def win_auc(t):
 
 @query
 def feature_importance(t):
-    deals = _features(t)
-    return W.feature_importance(W.fit_win_model(deals), deals)
+    return W.feature_importance(_model(t), _features(t))
 
 
 @query
 def win_accuracy(t):
-    deals = _features(t)
-    return W.training_accuracy(W.fit_win_model(deals), deals)
+    return W.training_accuracy(_model(t), _features(t))
 
 
 @query
 def win_histogram(t):
-    deals = _features(t)
-    return W.win_histogram(W.score_open(W.fit_win_model(deals), deals))
+    return W.win_histogram(W.score_open(_model(t), _features(t)))

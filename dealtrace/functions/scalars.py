@@ -78,9 +78,19 @@ def attribute_label(c) -> Column:
 
 
 def lookup(c, table: Mapping[str, str]) -> Column:
-    """Value of a literal map, null when the key is absent or null."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.element_at(F.create_map(*pairs), _col(c))
+    """Value of a literal map, null when the key is absent or null.
+
+    One set of keys for each value: Spark hashes long sets, while a literal map
+    is searched key by key.
+    """
+    c = _col(c)
+    keys: dict[str, list[str]] = {}
+    for key, value in table.items():
+        keys.setdefault(value, []).append(key)
+    found = F.lit(None).cast("string")
+    for value, names in reversed(keys.items()):
+        found = F.when(c.isin(names), F.lit(value)).otherwise(found)
+    return found
 
 
 # --- parsing ---------------------------------------------------------------
@@ -88,18 +98,37 @@ def lookup(c, table: Mapping[str, str]) -> Column:
 def number(c) -> Column:
     """Text to double; text that is no number becomes null.
 
-    The pattern keeps out what the cast would take but a reader would not, such
-    as ``1d``; it names the input once, so nothing is evaluated twice.
+    The cast alone also takes forms that a reader would not, such as ``1d`` or a
+    hexadecimal one; all of them hold one of a few letters, and only text with
+    such a letter is held against the pattern.
     """
-    return F.regexp_extract(_col(c), NUMBER, 1).try_cast("double")
+    c = _col(c)
+    plain = F.translate(c, "dDfFnNxX", "") == c
+    return F.when(plain, c.try_cast("double")).otherwise(F.regexp_extract(c, NUMBER, 1).try_cast("double"))
 
 
 def timestamp(c, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Text to UTC instant: ISO forms first, then month-first forms."""
+    """Text to UTC instant: ISO forms first, then month-first forms.
+
+    The shape chooses the forms to try: by its slash, its number of colons and
+    its AM or PM for the given formats, so that a cell is parsed once as a rule.
+    """
     c = trimmed(c)
-    tries = [c.try_cast("timestamp")]
-    tries += [F.try_to_timestamp(c, F.lit(f)) for f in formats]
-    return F.coalesce(*tries)
+    slash = F.contains(c, F.lit("/"))
+    colons = F.length(c) - F.length(F.replace(c, F.lit(":")))
+    half_day = F.upper(F.right(c, F.lit(1))) == "M"
+
+    def fits(pattern: str) -> Column:
+        shape = colons == pattern.count(":")
+        return shape & (half_day if pattern.endswith("a") else ~half_day)
+
+    def parsed(patterns: Sequence[str]) -> Column:
+        tries = [F.when(fits(p), F.try_to_timestamp(c, F.lit(p))) for p in patterns]
+        return F.coalesce(*tries) if tries else F.lit(None).cast("timestamp")
+
+    with_slash = [f for f in formats if "/" in f]
+    others = [f for f in formats if "/" not in f]
+    return F.when(slash, parsed(with_slash)).otherwise(F.coalesce(c.try_cast("timestamp"), parsed(others)))
 
 
 def flag(c, true=V.TRUE_TOKENS, false=V.FALSE_TOKENS) -> Column:
@@ -267,12 +296,6 @@ def _period(text: Column, null_period: str | None) -> Column:
     return text if null_period is None else F.coalesce(text, F.lit(null_period))
 
 
-def decay_weight(days, half_life: float = V.HALF_LIFE_DAYS) -> Column:
-    """Half the credit for every half-life; negative ages count as zero."""
-    age = F.greatest(_col(days), F.lit(0.0))
-    return F.pow(F.lit(2.0), -age / F.lit(float(half_life)))
-
-
 # --- ratios ----------------------------------------------------------------
 
 def round_to(c, digits: int) -> Column:

@@ -1,10 +1,10 @@
 from .aggregate import (
     ad_totals,
-    aggregate_by,
     count_by,
     deal_summary,
     drop_null_keys,
     engagement_rates,
+    last_n,
     non_null_columns,
     pre_aggregate_deals,
     top_n,
@@ -13,16 +13,17 @@ from .aggregate import (
 from .lookup import lookup_join
 from .reshape import pivot_sum, ranked_pivot, stack_columns
 from .state import latest_state
-from .sweep import deal_channel_links, link_touches, touch_prefixes
+from .sweep import deal_channel_links, in_ranges, link_touches, touch_links, touch_prefixes
 
 __all__ = [
     "ad_totals",
-    "aggregate_by",
     "count_by",
     "deal_channel_links",
     "deal_summary",
     "drop_null_keys",
     "engagement_rates",
+    "in_ranges",
+    "last_n",
     "latest_state",
     "link_touches",
     "lookup_join",
@@ -33,5 +34,6 @@ __all__ = [
     "stack_columns",
     "top_n",
     "total",
+    "touch_links",
     "touch_prefixes",
 ]

@@ -24,11 +24,6 @@ def drop_null_keys(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
     return df.na.drop(subset=names) if names else df
 
 
-def aggregate_by(df: DataFrame, by: str | Sequence[str], *aggregates: Column) -> DataFrame:
-    """One row per non-null key with the given aggregates."""
-    return drop_null_keys(df, by).groupBy(*_names(by)).agg(*aggregates)
-
-
 def total(c: str | Column, to: str = "double") -> Column:
     """Sum that is zero instead of null."""
     c = F.col(c) if isinstance(c, str) else c
@@ -134,6 +129,11 @@ def top_n(df: DataFrame, column: str, n: int, *ties: str, ascending: bool = Fals
     return df.orderBy(order, *ties).limit(n)
 
 
+def last_n(df: DataFrame, column: str, n: int, *ties: str) -> DataFrame:
+    """Last ``n`` rows of the ascending order, nulls first: what a report's tail shows."""
+    return df.orderBy(F.col(column).desc_nulls_last(), *(F.col(t).desc() for t in ties)).limit(n)
+
+
 def non_null_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns holding at least one value: one aggregated row is fetched."""
     present = [c for c in columns if c in df.columns]

@@ -16,22 +16,38 @@ def stack_columns(
 
 
 def pivot_sum(
-    df: DataFrame, rows: str, columns: str, value: str, values: Sequence[str], how: str = "sum"
+    df: DataFrame,
+    rows: str,
+    columns: str,
+    value: str,
+    values: Sequence[str] | None = None,
+    how: str = "sum",
+    other: str | None = "Other",
 ) -> DataFrame:
-    """One column per listed value, 0 where a combination is missing.
+    """One column per value, 0 where a combination is missing.
 
-    The values are given, so Spark needs no extra pass to find them.
+    Given values keep the columns fixed and spare Spark the pass that finds
+    them; all further values, null included, share the column ``other``.
+    Without ``values`` every value found is a column of its own.
     """
-    cells = df.groupBy(rows).pivot(columns, list(values)).agg(F.expr(f"{how}(`{value}`)"))
-    return cells.na.fill(0.0, subset=list(values))
+    if values is None:
+        cells = df.groupBy(rows).pivot(columns).agg(F.expr(f"{how}(`{value}`)"))
+        return cells.na.fill(0.0, subset=[c for c in cells.columns if c != rows])
+    if other is None:
+        cells = df.groupBy(rows).pivot(columns, list(values)).agg(F.expr(f"{how}(`{value}`)"))
+        return cells.na.fill(0.0, subset=list(values))
+    listed = F.when(F.col(columns).isin(list(values)), F.col(columns)).otherwise(F.lit(other))
+    named = df.withColumn(columns, listed)
+    cells = named.groupBy(rows).pivot(columns, [*values, other]).agg(F.expr(f"{how}(`{value}`)"))
+    return cells.na.fill(0.0, subset=[*values, other])
 
 
 def ranked_pivot(
-    df: DataFrame, rows: str, columns: str, value: str, values: Sequence[str], n: int
+    df: DataFrame, rows: str, columns: str, value: str, values: Sequence[str] | None, n: int
 ) -> DataFrame:
-    """Pivot of sums, cut to the ``n`` rows with the largest row total."""
+    """Pivot of sums, cut to the ``n`` rows with the largest total over all values."""
     wide = pivot_sum(df, rows, columns, value, values)
-    row_total = sum((F.col(f"`{v}`") for v in values), F.lit(0.0))
+    row_total = sum((F.col(f"`{c}`") for c in wide.columns if c != rows), F.lit(0.0))
     return (
         wide.withColumn("row_total", row_total)
         .orderBy(F.col("row_total").desc_nulls_last(), rows)

@@ -2,15 +2,20 @@
 
 A deal asks about the touches of its domain in a time range.  Joining the two
 lists every pair, and a domain owning a third of both tables would make that
-quadratic.  Instead time is cut into equal slices:
-
-* whole slices inside the range are answered from per-slice totals;
-* the two cut slices at its ends are answered by a running total inside the
-  slice, over touches and deals sorted together.
-
-No step emits more rows than deals x channels, groups are (domain, slice)
-pieces rather than domains, and all totals are reduced before they are
-shuffled.  Times are microseconds, so both ends of the range are exact.
+quadratic.  Instead touches and questions are laid out in one order, and the
+answer is a difference of running totals:
+
+* touches are reduced to (domain, channel, instant) with a count;
+* every deal puts a question at its date and one where its window begins, for
+  each channel of its domain;
+* both are range-partitioned by (domain, channel, instant) and written, each row
+  with the number of its range.  Ranges have about the same number of rows
+  whatever the domains' sizes, so a busy domain, day or instant is many ranges;
+* running totals inside a range, plus the totals of the ranges before.
+
+No step emits more rows than deals x channels of their domain, times two or
+three.  No group is larger than a range.  Times are microseconds, so both ends
+of a window are exact.
 """
 
 from __future__ import annotations
@@ -22,172 +27,164 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import scalars as S
+from ..sources.scratch import keep
+from .lookup import lookup_join
 
-# Later than any touch: stands for an unknown deal date.
-END_OF_TIME = 253_402_300_799_999_999
-
-
-def _slice_of(us: Column, width: int) -> Column:
-    return F.coalesce(F.floor(us / F.lit(width)).cast("bigint"), F.lit(0))
+# Rows of a range, about: what one running total has to go through.
+RANGE_ROWS = 500_000
+# Powers of two stay inside doubles if an epoch is so many half-lives long.
+EPOCH_HALF_LIVES = 500
+LARGEST_POWER = 1000
 
 
-def _halved(us: Column, half_life: float) -> Column:
-    """2 ** (us / half-life)."""
-    return F.pow(F.lit(2.0), us / F.lit(half_life * S.MICROS_PER_DAY))
+def in_ranges(df: DataFrame, *order: str | Column, label: str = "ranges") -> DataFrame:
+    """``df`` as a written table in ranges of ``order``, with the ``range`` of each row.
 
+    ``order`` should tell almost all rows apart: equal rows share a range.
+    """
+    table = keep(df, label)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // RANGE_ROWS))
+    dealt = table.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
+    return keep(dealt, label)
 
-def _dated(df: DataFrame, date: str, name: str, width: int) -> DataFrame:
-    """Rows with domain and date, the date as microseconds, and its slice.
 
-    The keys are declared non-null (they are, after the filter): otherwise each
-    join would add its own null checks below the shuffle and Spark could not
-    see that two joins read the same thing.
-    """
-    known = df.where(F.col("domain").isNotNull() & F.col(date).isNotNull())
-    return known.withColumns(
-        {
-            "domain": F.coalesce("domain", F.lit("")),
-            name: F.coalesce(F.unix_micros(date), F.lit(0)),
-        }
-    ).withColumn("slice", _slice_of(F.col(name), width))
+def _known(df: DataFrame, date: str, name: str) -> DataFrame:
+    """Rows with domain and date, the date as microseconds."""
+    rows = df.where(F.col("domain").isNotNull() & F.col(date).isNotNull())
+    return rows.withColumn(name, F.unix_micros(date))
 
 
-def _slicing(window_days: int, slices: int | None) -> tuple[int, int, int]:
-    window = int(window_days * S.MICROS_PER_DAY)
-    slices = slices or max(int(window_days), 1)
-    if window % slices:
-        raise ValueError(f"{window_days} days cannot be cut into {slices} equal slices")
-    return window, slices, window // slices
+def _power(us: Column, half_life_days: float) -> Column:
+    """2 ** (us / half-life), kept inside doubles."""
+    x = us / F.lit(half_life_days * S.MICROS_PER_DAY)
+    return F.pow(F.lit(2.0), F.greatest(F.lit(-float(LARGEST_POWER)), F.least(F.lit(float(LARGEST_POWER)), x)))
 
 
-def deal_channel_links(
+def touch_links(
     deals: DataFrame,
     touches: DataFrame,
+    by: Sequence[str] = ("channel",),
     window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
     half_life_days: float = V.HALF_LIFE_DAYS,
     carry: Sequence[str] = (),
-    slices: int | None = None,
 ) -> DataFrame:
-    """Per deal and touch channel: what the look-back window holds.
+    """Per deal and ``by`` columns of touches: what the look-back window holds.
 
     ``deals``: ``opp_id``, ``domain``, ``create_date`` and the ``carry``
-    columns.  ``touches``: ``domain``, ``channel``, ``touch_date``.  The window
-    is [create_date - window_days, create_date], both ends included.  Returns
-    ``opp_id``, carry..., ``channel``, ``touches``, ``first_us``, ``last_us``
-    and ``weight`` (sum of half-life weights); deals without touches are
-    absent.  The result is partitioned by ``opp_id``.
+    columns.  ``touches``: ``domain``, ``touch_date`` and ``by``.  The window is
+    [create_date - window_days, create_date], both ends included.  Returns
+    ``opp_id``, carry..., by..., ``touches``, ``first_us``, ``last_us`` and
+    ``weight`` (sum of half-life weights); deals without touches are absent.
+    The result is partitioned by ``opp_id``.
     """
-    window, slices, width = _slicing(window_days, slices)
-    carry = list(carry)
-
-    asked = _dated(deals, "create_date", "t", width).select("opp_id", "domain", "slice", "t", *carry)
-    log = _dated(touches, "touch_date", "us", width).select("domain", "channel", "slice", "us")
-    slice_end = (F.col("slice") + 1) * F.lit(width)
-    log = log.withColumn("w", _halved(F.col("us") - slice_end, half_life_days))
-    totals = F.collect_list(F.struct("channel", "n", "lo", "hi", "w"))
-
-    # Slice totals by channel: one row per (domain, slice).
-    cells = (
-        log.groupBy("domain", "slice", "channel")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("us").alias("lo"),
-            F.max("us").alias("hi"),
-            F.sum("w").alias("w"),
-        )
-        .groupBy("domain", "slice")
-        .agg(totals.alias("own"))
+    window = int(window_days * S.MICROS_PER_DAY)
+    epoch = max(window, int(EPOCH_HALF_LIVES * half_life_days * S.MICROS_PER_DAY), 1)
+    carry, by = list(carry), list(by)
+
+    def epoch_of(us: Column) -> Column:
+        return F.floor(us / F.lit(epoch)).cast("bigint")
+
+    # One text stands for the by columns, so that nulls compare like values.
+    kind = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    log = keep(
+        _known(touches, "touch_date", "us")
+        .groupBy("domain", kind.alias("kind"), "us")
+        .agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in by)),
+        "touch-log",
     )
-    heads = asked.select("domain", "slice").distinct()
-    lookup = cells
-
-    if slices > 1:
-        # Whole slices before a deal's own, decayed to the start of that one.
-        # Both sides meet in stretches as long as the window, so that only
-        # slices at most two windows apart are compared.
-        head = F.col("head")
-        first, last = head - F.lit(slices - 1), head - F.lit(1)
-        stretches = F.sequence(_slice_of(first, slices), _slice_of(last, slices))
-        age = (head - F.col("slice") - 1) * F.lit(width)
-        inner = (
-            heads.withColumnRenamed("slice", "head")
-            .withColumn("stretch", F.explode(stretches))
-            .join(cells.withColumn("stretch", _slice_of(F.col("slice"), slices)), ["domain", "stretch"])
-            .where(F.col("slice").between(first, last))
-            .select("domain", "head", "slice", F.inline("own"))
-            .groupBy("domain", F.col("head").alias("slice"), "channel")
-            .agg(
-                F.sum("n").alias("n"),
-                F.min("lo").alias("lo"),
-                F.max("hi").alias("hi"),
-                F.sum(F.col("w") * _halved(-age, half_life_days)).alias("w"),
-            )
-            .groupBy("domain", "slice")
-            .agg(totals.alias("before"))
-        )
-        lookup = (
-            cells.unionByName(inner, allowMissingColumns=True)
-            .groupBy("domain", "slice")
-            .agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("own", "before")))
-        )
-
-    # A deal asks three times: side 1, its own slice up to its date; side -1,
-    # the slice its window starts in, from there on; side 0, the slices between.
-    # Position runs backwards on side -1, so "up to here" fits both cut slices.
-    def side(number: int, cut: Column, pos: Column) -> Column:
-        return F.struct(F.lit(number).alias("side"), cut.alias("cut"), pos.alias("pos"))
-
-    own_slice, start_slice = F.col("slice"), F.col("slice") - F.lit(slices)
-    late, early = side(1, own_slice, F.col("t")), side(-1, start_slice, F.lit(window) - F.col("t"))
-    asks = [late, early] + ([side(0, own_slice, F.col("t"))] if slices > 1 else [])
-    found = F.col("own")
-    if slices > 1:
-        found = F.when(F.col("side") == 0, F.col("before")).otherwise(found)
-    edge_deals = (
-        asked.withColumn("ask", F.explode(F.array(*asks)))
-        .select("opp_id", "domain", "t", *carry, "ask.side", "ask.pos", F.col("ask.cut").alias("slice"))
-        .join(lookup, ["domain", "slice"])
-        .select("opp_id", "domain", "slice", "t", *carry, "side", "pos", F.inline(found))
+    kinds = log.select("domain", "kind").distinct().groupBy("domain").agg(F.collect_list("kind").alias("kinds"))
+    asked = _known(deals, "create_date", "t").select("opp_id", "domain", "t", *carry)
+    asked = lookup_join(asked, kinds, "domain", "inner").withColumn("kind", F.explode("kinds")).drop("kinds")
+
+    # Questions: up to the deal's date (1); from the window's start on (-1); and, if
+    # that lies in another epoch, to the end of that epoch (1).  At one instant the
+    # start comes before the touches and the end after them.
+    start = F.col("t") - F.lit(window)
+    ends_early = epoch_of(start) != epoch_of(F.col("t"))
+
+    def ask(sign: int, at: Column) -> Column:
+        return F.struct(F.lit(sign).alias("sign"), at.cast("bigint").alias("us"))
+
+    last_of_epoch = (epoch_of(start) + 1) * F.lit(epoch) - 1
+    asks = F.array(ask(1, F.col("t")), ask(-1, start), F.when(ends_early, ask(1, last_of_epoch)))
+    points = asked.withColumn("_ask", F.explode(F.filter(asks, lambda a: a.isNotNull()))).select(
+        "opp_id", "domain", "kind", "t", *carry, "_ask.sign", "_ask.us"
     )
-    ends = F.array(
-        F.struct(F.lit(1).alias("side"), own_slice.alias("cut")),
-        F.struct(F.lit(-1).alias("side"), start_slice.alias("cut")),
+    rows = log.select("domain", "kind", "us", "n", F.lit(0).alias("sign")).unionByName(
+        points, allowMissingColumns=True
     )
-    wanted = heads.select("domain", F.inline(ends)).withColumnRenamed("cut", "slice").distinct()
-    edge_touches = log.join(wanted, ["domain", "slice"]).select(
-        "domain", "slice", "side", "channel", (F.col("us") * F.col("side")).alias("pos"), "us", "w"
+    dealt = in_ranges(rows, "domain", "kind", "us", "sign", "opp_id", label="touch-ranges")
+    dealt = dealt.withColumn("epoch", epoch_of(F.col("us")))
+    group = ["domain", "kind", "epoch"]
+
+    # Weights as of the end of their epoch; a question brings them to its own date.
+    epoch_end = (F.col("epoch") + 1) * F.lit(epoch)
+    touch_us = F.when(F.col("sign") == 0, F.col("us"))
+    dealt = dealt.withColumn("w", F.col("n") * _power(F.col("us") - epoch_end, half_life_days)).withColumn(
+        "at", touch_us
     )
 
-    swept = edge_touches.unionByName(edge_deals, allowMissingColumns=True)
-    up_to_here = (
-        Window.partitionBy("domain", "slice", "side", "channel")
-        .orderBy("pos")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    def totals() -> list[Column]:
+        return [
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+            F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"),
+            F.min("at").alias("lo"),
+            F.max("at").alias("hi"),
+        ]
+
+    # Ranges are few for each group; their totals go to the ranges after and before.
+    by_range = dealt.groupBy(*group, "range").agg(*totals())
+    ordered = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    reverse = Window.partitionBy(*group).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    around = by_range.select(
+        *group,
+        "range",
+        F.sum("n").over(ordered).alias("n_before"),
+        F.sum("w").over(ordered).alias("w_before"),
+        F.min("lo").over(ordered).alias("lo_before"),
+        F.max("hi").over(ordered).alias("hi_before"),
+        F.min("lo").over(reverse).alias("lo_after"),
     )
-    # A deal row's own w is a slice total and must not enter the running sum.
-    touch_w = F.when(F.col("us").isNotNull(), F.col("w"))
-    reference = F.when(F.col("side") == 0, F.col("slice")).otherwise(F.col("slice") + 1)
-
-    def settled(running: Column, total: str) -> Column:
-        return F.when(F.col("side") == 0, F.col(total)).otherwise(running.over(up_to_here))
-
-    parts = (
-        swept.select(
-            "opp_id",
-            *carry,
-            "channel",
-            settled(F.count("us"), "n").alias("n"),
-            settled(F.min("us"), "lo").alias("lo"),
-            settled(F.max("us"), "hi").alias("hi"),
-            settled(F.sum(touch_w), "w").alias("w"),
-            _halved(reference * F.lit(width) - F.col("t"), half_life_days).alias("decay"),
-        )
-        .where(F.col("opp_id").isNotNull() & (F.col("n") > 0))
-        .withColumn("w", F.col("w") * F.col("decay"))
+    piece = [*group, "range"]
+    up_to = Window.partitionBy(*piece).orderBy("us", "sign").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = (
+        Window.partitionBy(*piece)
+        .orderBy(F.desc("us"), F.desc("sign"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        parts.repartition("opp_id")
-        .groupBy("opp_id", "channel")
+    running = dealt.select(
+        "opp_id",
+        *carry,
+        *piece,
+        "t",
+        "sign",
+        F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n_here"),
+        F.coalesce(F.sum("w").over(up_to), F.lit(0.0)).alias("w_here"),
+        F.min("at").over(up_to).alias("lo_here"),
+        F.max("at").over(up_to).alias("hi_here"),
+        F.min("at").over(from_here).alias("next_here"),
+    ).where("sign <> 0")
+    answered = running.join(around, piece)
+    since = F.col("t") - F.lit(window)
+    last = F.greatest("hi_here", "hi_before")
+    # The first touch of the window follows its start, or opens a later epoch.
+    first = F.when(F.col("sign") < 0, F.least("next_here", "lo_after")).otherwise(F.least("lo_here", "lo_before"))
+    settled = answered.select(
+        "opp_id",
+        *carry,
+        "kind",
+        (F.col("sign") * (F.col("n_here") + F.coalesce("n_before", F.lit(0)))).alias("n"),
+        (
+            F.col("sign")
+            * (F.col("w_here") + F.coalesce("w_before", F.lit(0.0)))
+            * _power(epoch_end - F.col("t"), half_life_days)
+        ).alias("w"),
+        F.when(first.between(since, F.col("t")), first).alias("lo"),
+        F.when((F.col("sign") > 0) & last.between(since, F.col("t")), last).alias("hi"),
+    )
+    linked = (
+        settled.repartition("opp_id")
+        .groupBy("opp_id", "kind")
         .agg(
             *(F.first(c).alias(c) for c in carry),
             F.sum("n").alias("touches"),
@@ -195,10 +192,25 @@ def deal_channel_links(
             F.max("hi").alias("last_us"),
             F.sum("w").alias("weight"),
         )
-        .select("opp_id", *carry, "channel", "touches", "first_us", "last_us", "weight")
+        .where("touches > 0")
+    )
+    fields = touches.select(*by).schema
+    return linked.withColumn("_by", F.from_json("kind", fields)).select(
+        "opp_id", *carry, *(F.col(f"_by.{c}").alias(c) for c in by), "touches", "first_us", "last_us", "weight"
     )
 
 
+def deal_channel_links(
+    deals: DataFrame,
+    touches: DataFrame,
+    window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
+    half_life_days: float = V.HALF_LIFE_DAYS,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`touch_links` by channel."""
+    return touch_links(deals, touches, ["channel"], window_days, half_life_days, carry)
+
+
 def link_touches(
     deals: DataFrame,
     touches: DataFrame,
@@ -206,19 +218,19 @@ def link_touches(
 ) -> DataFrame:
     """The linked-touch table itself: one row per deal and touch in its window.
 
-    Its size is that of the result asked for; the models do not need it (see
-    :func:`deal_channel_links`).  The equality key is (domain, time slice): the
+    Its size is that of the result asked for; models and reports need
+    :func:`touch_links` only.  The equality key is (domain, time slice): the
     slice is as wide as the window, so a deal meets two of them, and a busy
     domain is spread over as many keys as it has slices.
     """
     window = int(window_days * S.MICROS_PER_DAY)
-    us = F.unix_micros("create_date")
-    head = _slice_of(us, window)
+    slice_of = lambda us: F.floor(us / F.lit(window)).cast("bigint")
+    head = slice_of(F.unix_micros("create_date"))
     left = deals.where(F.col("domain").isNotNull() & F.col("create_date").isNotNull()).withColumn(
         "_slice", F.explode(F.array(head, head - 1))
     )
     right = touches.where(F.col("domain").isNotNull() & F.col("touch_date").isNotNull()).withColumn(
-        "_slice", _slice_of(F.unix_micros("touch_date"), window)
+        "_slice", slice_of(F.unix_micros("touch_date"))
     )
     age = F.unix_micros("create_date") - F.unix_micros("touch_date")
     return (
@@ -230,115 +242,99 @@ def link_touches(
 
 
 def touch_prefixes(
-    deals: DataFrame,
-    touches: DataFrame,
-    steps: int = 5,
-    carry: Sequence[str] = (),
-    slice_days: float = 1,
+    deals: DataFrame, touches: DataFrame, steps: int = 5, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Per deal: the touches of its domain up to its date, as a sequence.
 
     Returns ``opp_id``, carry..., ``touches``, ``channels`` (distinct), ``path``
     (the first ``steps`` channels, immediate repeats merged) and
-    ``last_channel``.  A deal without a date sees all touches; a deal without
-    touches is absent.  Touches at one instant are ordered by channel.
+    ``last_channel``.  A deal without a date sees all touches and is answered
+    from its domain's totals; a deal without touches is absent.  Touches at one
+    instant are ordered by channel.
     """
-    width = int(slice_days * S.MICROS_PER_DAY)
     carry = list(carry)
     asked = deals.where(F.col("domain").isNotNull()).select(
-        "opp_id",
-        "domain",
-        *carry,
-        F.coalesce(F.unix_micros("create_date"), F.lit(END_OF_TIME)).alias("t"),
+        "opp_id", "domain", *carry, F.unix_micros("create_date").alias("us")
     )
-    asked = asked.withColumn("slice", _slice_of(F.col("t"), width))
-    log = touches.where(F.col("domain").isNotNull() & F.col("touch_date").isNotNull()).select(
-        "domain", "channel", F.unix_micros("touch_date").alias("us")
+    log = keep(
+        _known(touches, "touch_date", "us").groupBy("domain", "channel", "us").agg(F.count(F.lit(1)).alias("n")),
+        "touch-log",
     )
-    log = log.withColumn("slice", _slice_of(F.col("us"), width))
+    # A question comes after the touches of its instant.
+    dated = asked.where("us IS NOT NULL").withColumn("sign", F.lit(1))
+    rows = log.withColumn("sign", F.lit(0)).unionByName(dated, allowMissingColumns=True)
+    dealt = in_ranges(rows, "domain", "us", "sign", "channel", "opp_id", label="prefix-ranges")
     point = F.struct("us", "channel")
+    dealt = dealt.withColumn("tail", F.when(F.col("sign") == 0, point))
 
-    # Opening steps per domain: each slice yields its first changes of channel
-    # (one more than needed, as its first may repeat the slice before), then the
-    # few survivors of all slices are merged.
-    in_slice = Window.partitionBy("domain", "slice").orderBy("us", "channel")
+    # Opening steps per domain: each range yields its first changes of channel (one
+    # more than needed, as its first may repeat the range before), then the few
+    # survivors of all ranges are merged.
+    in_range = Window.partitionBy("domain", "range").orderBy("us", "channel")
     in_domain = Window.partitionBy("domain").orderBy("us", "channel")
 
-    def changes(df: DataFrame, window: Window, keep: int) -> DataFrame:
+    def changes(df: DataFrame, window: Window, most: int) -> DataFrame:
         before = F.lag("channel").over(window)
-        changed = df.withColumn("_new", before.isNull() | (before != F.col("channel"))).where("_new")
-        numbered = changed.withColumn("_step", F.row_number().over(window))
-        return numbered.where(F.col("_step") <= keep).drop("_new", "_step")
+        first = F.row_number().over(window) == 1
+        marked = df.withColumn("_new", first | ~before.eqNullSafe(F.col("channel"))).where("_new")
+        numbered = marked.withColumn("_step", F.row_number().over(window))
+        return numbered.where(F.col("_step") <= most).drop("_new", "_step")
 
-    opening = changes(changes(log, in_slice, steps + 1), in_domain, steps)
+    seen = dealt.where("sign = 0").select("domain", "range", "us", "channel")
+    opening = changes(changes(seen, in_range, steps + 1), in_domain, steps)
     opening = opening.groupBy("domain").agg(F.sort_array(F.collect_list(point)).alias("opening"))
-
-    per_slice = log.groupBy("domain", "slice", "channel").agg(
-        F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")
+    by_channel = log.groupBy("domain", "channel").agg(
+        F.sum("n").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")
     )
-    debuts = (
-        per_slice.groupBy("domain", "channel")
-        .agg(F.min("lo").alias("lo"))
-        .groupBy("domain")
-        .agg(F.collect_list("lo").alias("debuts"))
+    facts = by_channel.groupBy("domain").agg(
+        F.sum("n").alias("all"),
+        F.collect_list("lo").alias("debuts"),
+        F.max(F.struct(F.col("hi").alias("us"), "channel")).alias("end"),
     )
+    facts = keep(facts.join(opening, "domain"), "touch-facts")
 
-    # Totals of all slices before the deal's own.
-    slice_rows = per_slice.groupBy("domain", "slice").agg(
-        F.sum("n").alias("n"),
-        F.max(F.struct(F.col("hi").alias("us"), F.col("channel"))).alias("tail"),
+    by_range = dealt.groupBy("domain", "range").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("tail").alias("tail")
     )
-    heads = asked.select("domain", "slice").distinct().withColumn("head", F.lit(True))
-    before = Window.partitionBy("domain").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
-    history = (
-        slice_rows.unionByName(heads, allowMissingColumns=True)
-        .select(
-            "domain",
-            "slice",
-            "head",
-            F.sum("n").over(before).alias("n_before"),
-            F.max("tail").over(before).alias("tail_before"),
-        )
-        .where("head")
-        .drop("head")
-        .join(opening, "domain")
-        .join(debuts, "domain")
+    ordered = Window.partitionBy("domain").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_range.select(
+        "domain",
+        "range",
+        F.sum("n").over(ordered).alias("n_before"),
+        F.max("tail").over(ordered).alias("tail_before"),
     )
-
-    # Running total inside the deal's own slice.
-    here = log.join(heads.drop("head"), ["domain", "slice"], "left_semi").select(
-        "domain", "slice", F.col("us").alias("t"), point.alias("tail")
+    up_to = Window.partitionBy("domain", "range").orderBy("us", "sign", "channel").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    up_to_here = (
-        Window.partitionBy("domain", "slice")
-        .orderBy("t")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = dealt.select(
+        "opp_id",
+        "domain",
+        "range",
+        *carry,
+        "us",
+        "sign",
+        F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n_here"),
+        F.max("tail").over(up_to).alias("tail_here"),
+    ).where("sign = 1")
+    counted = running.join(before, ["domain", "range"]).select(
+        "opp_id",
+        "domain",
+        *carry,
+        "us",
+        (F.col("n_here") + F.coalesce("n_before", F.lit(0))).alias("touches"),
+        F.coalesce("tail_here", "tail_before").alias("tail"),
     )
-    within = (
-        here.unionByName(asked, allowMissingColumns=True)
-        .select(
-            "opp_id",
-            "domain",
-            "slice",
-            "t",
-            *carry,
-            F.count("tail").over(up_to_here).alias("n_here"),
-            F.max("tail").over(up_to_here).alias("tail_here"),
-        )
-        .where(F.col("opp_id").isNotNull())
+    undated = asked.where("us IS NULL").withColumns(
+        {"touches": F.lit(None).cast("bigint"), "tail": F.lit(None).cast(counted.schema["tail"].dataType)}
     )
-    counted = F.coalesce(F.col("n_before"), F.lit(0)) + F.col("n_here")
-    return (
-        within.join(history, ["domain", "slice"])
-        .where(counted > 0)
-        .select(
-            "opp_id",
-            *carry,
-            counted.alias("touches"),
-            F.size(F.filter("debuts", lambda us: us <= F.col("t"))).cast("bigint").alias("channels"),
-            F.transform(
-                F.filter("opening", lambda s: s["us"] <= F.col("t")), lambda s: s["channel"]
-            ).alias("path"),
-            F.coalesce(F.col("tail_here.channel"), F.col("tail_before.channel")).alias("last_channel"),
-        )
+    told = lookup_join(counted.unionByName(undated.select(*counted.columns)), facts, "domain", "inner")
+    told = told.withColumn("touches", F.coalesce("touches", "all")).where("touches > 0")
+    by_then = lambda us: F.col("us").isNull() | (us <= F.col("us"))
+    return told.select(
+        "opp_id",
+        *carry,
+        "touches",
+        F.size(F.filter("debuts", by_then)).cast("bigint").alias("channels"),
+        F.transform(F.filter("opening", lambda s: by_then(s["us"])), lambda s: s["channel"]).alias("path"),
+        F.coalesce(F.col("tail"), F.col("end"))["channel"].alias("last_channel"),
     )

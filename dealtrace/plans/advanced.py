@@ -129,7 +129,7 @@ def targeting_matrix(opps: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
-def targeting_pivot(matrix: DataFrame, fits: Sequence[str]) -> DataFrame:
+def targeting_pivot(matrix: DataFrame, fits: Sequence[str] | None = None) -> DataFrame:
     return pivot_sum(matrix, "segment", "profile_fit", "win_rate", fits, how="avg")
 
 

@@ -108,7 +108,6 @@ def attribution(
     window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
     half_life_days: float = V.HALF_LIFE_DAYS,
     domain_source: str = "fallback",
-    slices: int | None = None,
 ) -> DataFrame:
     """Long table: model, channel, pipeline, won amount and deals credited."""
     unknown = set(models) - set(V.ATTRIBUTION_MODELS)
@@ -117,9 +116,7 @@ def attribution(
     parts = [sourced(opps)] if V.SOURCED in models else []
     touch_models = [m for m in TOUCH_MODELS if m in models]
     if touch_models:
-        links = deal_links(
-            opps, touches, accounts, window_days, half_life_days, domain_source, slices
-        )
+        links = deal_links(opps, touches, accounts, window_days, half_life_days, domain_source)
         parts.append(touch_credits(channel_shares(links), touch_models))
     result = parts[0]
     for part in parts[1:]:
@@ -129,7 +126,14 @@ def attribution(
 
 def compare_models(results: DataFrame, models: Sequence[str] = V.ATTRIBUTION_MODELS) -> DataFrame:
     """Channels as rows, models as columns, 0 where a model gives nothing."""
-    return pivot_sum(results, "channel", "attribution_model", "attributed_pipeline", models)
+    chosen = results.where(F.col("attribution_model").isin(list(models)))
+    return pivot_sum(chosen, "channel", "attribution_model", "attributed_pipeline", models, other=None)
+
+
+def channels_above(results: DataFrame, least: float = 1000) -> DataFrame:
+    """Channels whose credits over all models add up to more than a threshold."""
+    sums = results.groupBy("channel").agg(total("attributed_pipeline").alias("attributed_pipeline"))
+    return sums.where(F.col("attributed_pipeline") > F.lit(least))
 
 
 def attribution_rows(results: DataFrame) -> DataFrame:

@@ -155,6 +155,12 @@ def budget_scenarios(
     )
 
 
+def winning_channels(channels: DataFrame, least: float = 0) -> DataFrame:
+    """Channels whose won pipeline is above a threshold, with the win rate as a percent number."""
+    chosen = channels.where(F.col("won_pipeline") > F.lit(least))
+    return chosen.withColumn("win_percent", S.percent_or_zero("win_rate"))
+
+
 def budget_totals(scenarios: DataFrame) -> DataFrame:
     """Spend and pipeline per scenario and the gain over the first one."""
     whole = Window.partitionBy(F.lit(1)).orderBy("scenario_no")  # three rows

@@ -17,7 +17,6 @@ def journeys(
     touches: DataFrame,
     won_only: bool = True,
     steps: int = 5,
-    slice_days: float = 1,
 ) -> DataFrame:
     """One row per deal with the order in which channels touched its domain.
 
@@ -25,7 +24,7 @@ def journeys(
     """
     deals = opps.where(S.is_true("is_won")) if won_only else opps
     deals = deals.withColumn("domain", S.domain("domain"))
-    known = touch_prefixes(deals, touches, steps, ["amount"], slice_days)
+    known = touch_prefixes(deals, touches, steps, ["amount"])
     path = F.col("path")
     return known.select(
         "opp_id",

@@ -20,6 +20,7 @@ from ..operators.aggregate import (
     total,
 )
 from ..operators.reshape import ranked_pivot
+from ..sources.scratch import keep
 
 # --- creative --------------------------------------------------------------
 
@@ -31,14 +32,21 @@ def creative_performance(
 ) -> DataFrame:
     """Ad totals by every creative attribute, with rates.
 
-    An attribute that is null on all rows is not a grouping key; finding that
-    out fetches one row of counts.  Missing values are grouped as Unknown.
+    An attribute that is null on all rows is not a column.  The ads are read
+    once: they are reduced by all attributes and written, and the few reduced
+    rows tell which attributes hold a value.  Missing values are grouped as
+    Unknown.
     """
     keys = [c for c in attributes if c in ads.columns]
-    if drop_all_null:
-        keys = non_null_columns(ads, keys)
-    filled = ads.withColumns({c: S.or_unknown(F.col(c).cast("string")) for c in keys})
-    grouped = ad_totals(filled, keys, "spend", "clicks", "impressions", "pageviews")
+    measures = ["spend", "clicks", "impressions", "pageviews"]
+    texts = ads.withColumns({c: F.col(c).cast("string") for c in keys})
+    grouped = texts.groupBy(*keys).agg(*(total(m).alias(m) for m in measures))
+    if drop_all_null and keys:
+        grouped = keep(grouped, "creatives")
+        keys = non_null_columns(grouped, keys)
+    # Without the attributes that are null everywhere the groups are the same ones.
+    filled = [S.or_unknown(F.col(c)).alias(c) for c in keys]
+    grouped = ad_totals(grouped.select(*filled, *measures), keys, *measures)
     if not keys:
         grouped = grouped.where(F.lit(False))
     return grouped.withColumns(
@@ -243,7 +251,9 @@ def lost_reasons(opps: DataFrame, n: int = 5) -> DataFrame:
     return top_n(count_by(opps, "lost_reason", "deals"), "deals", n, "lost_reason")
 
 
-def industry_segment_matrix(master: DataFrame, segments: Sequence[str], n: int = 12) -> DataFrame:
+def industry_segment_matrix(
+    master: DataFrame, segments: Sequence[str] | None = None, n: int = 12
+) -> DataFrame:
     """Pipeline by industry and segment, the ``n`` industries with most of it."""
     known = master.na.drop(subset=["industry", "segment"])
     return ranked_pivot(known, "industry", "segment", "total_pipeline", segments, n)

@@ -116,14 +116,17 @@ def attribution_stage(spark: SparkSession, out: str) -> None:
     write_report(tables, f"{out}/reports", "attribution_models")
 
 
-def advanced_stage(spark: SparkSession, out: str, trees: int = V.WIN_TREES) -> None:
-    """Win scores, coverage, velocity, journeys, qualified accounts, matrix, cohorts."""
+def advanced_stage(
+    spark: SparkSession, out: str, trees: int = V.WIN_TREES, scored: str = "open"
+) -> None:
+    """Win scores (of open or closed deals), coverage, velocity, journeys, qualified accounts, matrix, cohorts."""
     t = _cleaned(spark, out)
     opps, accounts = t["opportunities"], t["accounts"]
     deals = winprob.win_features(opps, read_table(spark, f"{out}/integrated", "master_account"))
     model = winprob.fit_win_model(deals, trees=trees)
+    model.save(f"{out}/integrated/win_model")
     made = {
-        "win_probability": winprob.score_open(model, deals),
+        "win_probability": winprob.score_open(model, deals, scored),
         "feature_importance": winprob.feature_importance(model, deals),
         "account_coverage": advanced.coverage(accounts, t["email"], t["campaign"], opps),
         "deal_velocity": advanced.velocity(opps),

@@ -69,8 +69,9 @@ def resolve_domains(
 ) -> DataFrame:
     """Normalise the deal's domain; fall back to its account's.
 
-    ``own_only`` ignores the accounts.  An account id listed twice gives its
-    latest created row's domain.
+    Every deal stays, with a null domain if neither has one.  ``own_only``
+    ignores the accounts.  An account id listed twice gives its latest created
+    row's domain.
     """
     if domain_source not in ("fallback", "own_only"):
         raise ValueError(f"domain_source must be 'fallback' or 'own_only', not {domain_source!r}")
@@ -85,9 +86,9 @@ def resolve_domains(
     )
     # Only deals without a domain need the lookup; the others skip the shuffle.
     with_own = own.where(F.col("domain").isNotNull())
-    without = own.where(F.col("domain").isNull() & F.col("account_id").isNotNull())
+    without = own.where(F.col("domain").isNull())
     found = (
-        lookup_join(without, by_account, "account_id", "inner")
+        lookup_join(without, by_account, "account_id", "left", spread="opp_id")
         .withColumn("domain", F.col("_account_domain"))
         .select(*own.columns)
     )
@@ -128,7 +129,6 @@ def deal_links(
     window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
     half_life_days: float = V.HALF_LIFE_DAYS,
     domain_source: str = "fallback",
-    slices: int | None = None,
 ) -> DataFrame:
     """Per deal and touch channel: touches, first, last and decayed weight."""
     deals = attributable(opps, accounts, domain_source).select(
@@ -140,7 +140,24 @@ def deal_links(
         S.is_true("is_won").alias("is_won"),
     )
     carry = ["amount", "channel_category", "is_won"]
-    return sweep.deal_channel_links(deals, touches, window_days, half_life_days, carry, slices)
+    return sweep.deal_channel_links(deals, touches, window_days, half_life_days, carry)
+
+
+def link_summary(
+    opps: DataFrame,
+    touches: DataFrame,
+    accounts: DataFrame | None = None,
+    window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
+    half_life_days: float = V.HALF_LIFE_DAYS,
+    domain_source: str = "fallback",
+) -> DataFrame:
+    """Per deal, channel, touch type and campaign: touches, first, last and decayed weight.
+
+    What the linked-touch table says, without a row for each pair.
+    """
+    deals = attributable(opps, accounts, domain_source).select("opp_id", "domain", "create_date")
+    by = ["channel", "touch_type", "campaign_id"]
+    return sweep.touch_links(deals, touches, by, window_days, half_life_days)
 
 
 __all__ = [
@@ -148,6 +165,7 @@ __all__ = [
     "deal_links",
     "display_touches",
     "email_touches",
+    "link_summary",
     "linked_touches",
     "resolve_domains",
     "touch_summary",

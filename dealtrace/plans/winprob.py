@@ -5,22 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import scalars as S
+from ..operators.lookup import lookup_join
+from ..sources.scratch import keep
 
 # Columns of the model, named so that no deal column is in their way.
 CODE = "_win_code"
 VECTOR, PROBABILITY, RAW, CALL = "_win_vector", "_win_probability", "_win_raw", "_win_call"
+FOLD = "_win_fold"
 FEATURES = [*V.WIN_CATEGORICAL, *V.WIN_BOOLEAN, *V.WIN_NUMERIC]
 
 
@@ -31,6 +33,26 @@ class WinModel:
     features: tuple[str, ...]
     categorical: tuple[str, ...]
 
+    def save(self, folder: str) -> str:
+        """Write the codes, the forest and the feature names; :func:`load_win_model` reads them."""
+        forest = self.forest
+        spark = SparkSession.active()
+        names = [(list(self.features), list(self.categorical))]
+        schema = "features array<string>, categorical array<string>"
+        spark.createDataFrame(names, schema).write.mode("overwrite").parquet(f"{folder}/features")
+        forest.write().overwrite().save(f"{folder}/forest")
+        if self.encoder is not None:
+            self.encoder.write().overwrite().save(f"{folder}/encoder")
+        return folder
+
+
+def load_win_model(spark: SparkSession, folder: str) -> WinModel:
+    names = spark.read.parquet(f"{folder}/features").first()
+    encoder = StringIndexerModel.load(f"{folder}/encoder") if names.categorical else None
+    return WinModel(
+        encoder, PipelineModel.load(f"{folder}/forest"), tuple(names.features), tuple(names.categorical)
+    )
+
 
 def win_features(opps: DataFrame, master: DataFrame, wanted: Sequence[str] = FEATURES) -> DataFrame:
     """Deals with the account columns they lack, and the closed-deal label."""
@@ -97,7 +119,9 @@ def _encoder(
     categorical = tuple(c for c in categorical if c in deals.columns)
     others = tuple(c for c in others if c in deals.columns)
     used = dict.fromkeys([*categorical, *others, "label"])
-    closed = deals.where("is_closed_deal").select(*used).persist(StorageLevel.MEMORY_AND_DISK)
+    # Read several times: written to the shared folder, not kept by executors.
+    extra = [c for c in deals.columns if c == FOLD]
+    closed = keep(deals.where("is_closed_deal").select(*used, *extra), "win-features")
     encoder = None
     if categorical:
         encoder = StringIndexer(
@@ -121,13 +145,10 @@ def fit_win_model(
     """Fit on closed deals; features that the frame lacks are left out.
 
     The driver holds the category names and the trees, never deals.  Training
-    visits the rows several times, so they are kept while it runs.
+    visits the rows several times, so they are written first.
     """
     model, closed = _encoder(deals, categorical, others)
-    try:
-        forest = _forest(model.features, trees, depth, min_leaf, seed).fit(_encoded(model, closed))
-    finally:
-        closed.unpersist()
+    forest = _forest(model.features, trees, depth, min_leaf, seed).fit(_encoded(model, closed))
     return WinModel(model.encoder, forest, model.features, model.categorical)
 
 
@@ -142,13 +163,38 @@ def score(model: WinModel, deals: DataFrame) -> DataFrame:
     )
 
 
-def score_open(model: WinModel, deals: DataFrame) -> DataFrame:
-    """Scores of open deals; of all closed ones when no deal is open."""
-    shown = ["opp_id", "account_name", "amount", "channel_category", "segment", "win_probability"]
-    open_deals = deals.where(~F.col("is_closed_deal"))
-    if open_deals.isEmpty():
-        return score(model, deals.where("is_closed_deal")).select(*shown, "is_won")
-    return score(model, open_deals).select(*shown)
+def score_open(model: WinModel, deals: DataFrame, which: str = "open") -> DataFrame:
+    """Scores of open deals, the likeliest first; of closed ones with ``which="closed"``."""
+    if which not in ("open", "closed"):
+        raise ValueError(f"which must be 'open' or 'closed', not {which!r}")
+    shown = ["opp_id", "account_name", "amount", "channel_category", "segment", "win_probability", "is_won"]
+    chosen = F.col("is_closed_deal") if which == "closed" else ~F.col("is_closed_deal")
+    return score(model, deals.where(chosen)).select(*shown).orderBy(F.desc("win_probability"), "opp_id")
+
+
+def model_inputs(deals: DataFrame, categorical: Sequence[str], others: Sequence[str]) -> DataFrame:
+    """What the forest gets: category codes and filled numbers, under the features' own names."""
+    model, _ = _encoder(deals, categorical, others)
+    encoded = _encoded(model, deals)
+    return encoded.select("opp_id", *(F.col(f + CODE).alias(f) for f in model.features))
+
+
+def stratified_folds(deals: DataFrame, folds: int = V.WIN_FOLDS, buckets: int = 1000) -> DataFrame:
+    """Closed deals with a fold in which both labels have their share of all deals.
+
+    Deals are dealt by a hash of their id into buckets; per label the buckets
+    are counted and cut into equal stretches.  Nothing but the counts is ordered.
+    """
+    digest = F.md5(F.col("opp_id").cast("string").cast("binary"))
+    bucket = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % buckets
+    marked = deals.where("is_closed_deal").withColumn("_bucket", bucket)
+    counts = marked.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    label = Window.partitionBy("label")
+    before = F.sum("n").over(label.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    fold = F.floor(F.coalesce(before, F.lit(0)) * folds / F.sum("n").over(label)).cast("int")
+    cell = F.concat_ws("/", F.col("label").cast("string"), F.col("_bucket").cast("string"))
+    cut = counts.select(cell.alias("_cell"), fold.alias(FOLD))
+    return lookup_join(marked.withColumn("_cell", cell), cut, "_cell", "inner").drop("_cell", "_bucket")
 
 
 def training_accuracy(model: WinModel, deals: DataFrame) -> DataFrame:
@@ -178,20 +224,18 @@ def cross_validated_auc(
     seed: int = V.WIN_SEED,
     parallelism: int = 1,
 ) -> tuple[float, float]:
-    """Mean and standard deviation of the ROC AUC over the folds."""
-    model, closed = _encoder(deals, categorical, others)
+    """Mean and standard deviation of the ROC AUC over the stratified folds."""
+    model, closed = _encoder(stratified_folds(deals, folds), categorical, others)
     validator = CrossValidator(
         estimator=_forest(model.features, trees, depth, min_leaf, seed),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=BinaryClassificationEvaluator(rawPredictionCol=RAW, metricName="areaUnderROC"),
         numFolds=folds,
+        foldCol=FOLD,
         seed=seed,
         parallelism=parallelism,
     )
-    try:
-        fitted: CrossValidatorModel = validator.fit(_encoded(model, closed))
-    finally:
-        closed.unpersist()
+    fitted: CrossValidatorModel = validator.fit(_encoded(model, closed))
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 

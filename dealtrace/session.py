@@ -38,8 +38,3 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder all executors see, as the cluster names it; None when unset."""
-    return spark.conf.get("spark.checkpoint.dir", None)

@@ -5,6 +5,7 @@ from dealtrace.operators import (
     deal_summary,
     engagement_rates,
     latest_state,
+    last_n,
     non_null_columns,
     pivot_sum,
     pre_aggregate_deals,
@@ -74,6 +75,11 @@ def test_top_n_puts_nulls_last(spark):
     assert [r.k for r in top_n(df, "v", 3, "k").collect()] == ["c", "d", "b"]
 
 
+def test_last_n_of_an_ordered_report(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1.0), ("c", 2.0), ("d", 2.0)], "k string, v double")
+    assert [r.k for r in last_n(df, "v", 2, "k").collect()] == ["d", "c"]
+
+
 def test_non_null_columns(spark):
     df = spark.createDataFrame([(None, 1), (None, None)], "a string, b int")
     assert non_null_columns(df, ["a", "b", "missing"]) == ["b"]
@@ -83,6 +89,12 @@ def test_pivots_and_stack(spark):
     df = spark.createDataFrame([("r", "x", 1.0), ("r", "x", 2.0), ("s", "y", 9.0)], "a string, b string, v double")
     wide = {r.a: (r.x, r.y) for r in pivot_sum(df, "a", "b", "v", ["x", "y"]).collect()}
     assert wide == {"r": (3.0, 0.0), "s": (0.0, 9.0)}
+    # Values that are not listed keep their money, in a column of their own or in Other.
+    part = {r.a: (r.x, r.Other) for r in pivot_sum(df, "a", "b", "v", ["x"]).collect()}
+    assert part == {"r": (3.0, 0.0), "s": (0.0, 9.0)}
+    assert pivot_sum(df, "a", "b", "v").columns == ["a", "x", "y"]
+    top = ranked_pivot(df, "a", "b", "v", ["x"], 1).first()
+    assert (top.a, top.row_total) == ("s", 9.0)
     assert [r.a for r in ranked_pivot(df, "a", "b", "v", ["x", "y"], 1).collect()] == ["s"]
     long = stack_columns(spark.createDataFrame([(1, 2.0, 3.0)], "i int, p double, q double"), ["i"], ["p", "q"], "n", "v")
     assert sorted((r.n, r.v) for r in long.collect()) == [("p", 2.0), ("q", 3.0)]

@@ -78,7 +78,42 @@ def test_cross_validation(planted):
     assert mean > 0.8 and 0.0 <= spread < 0.2
 
 
-def test_no_open_deal_scores_the_closed_ones(planted):
+def test_one_schema_whatever_is_open(planted, tmp_path):
     closed = planted.where("is_closed_deal")
-    scored = W.score_open(W.fit_win_model(closed, trees=3, depth=2), closed)
-    assert "is_won" in scored.columns and scored.count() == closed.count()
+    model = W.fit_win_model(closed, trees=3, depth=2)
+    scored = W.score_open(model, closed, "closed")
+    nothing = W.score_open(model, closed)
+    assert scored.count() == closed.count() and nothing.count() == 0
+    assert scored.schema == nothing.schema and "is_won" in scored.columns
+    # Ranked, and the same after saving and loading.
+    model.save(str(tmp_path))
+    again = W.score_open(W.load_win_model(planted.sparkSession, str(tmp_path)), closed, "closed")
+    chances = [(r.opp_id, r.win_probability) for r in scored.collect()]
+    assert chances == [(r.opp_id, r.win_probability) for r in again.collect()]
+    assert [p for _, p in chances] == sorted((p for _, p in chances), reverse=True)
+
+
+def test_folds_hold_both_labels_in_their_share(planted):
+    counts = {(r[W.FOLD], r.label): r["count"] for r in W.stratified_folds(planted).groupBy(W.FOLD, "label").count().collect()}
+    totals = {y: sum(n for (_, l), n in counts.items() if l == y) for y in (0.0, 1.0)}
+    assert {f for f, _ in counts} == set(range(5))
+    assert all(abs(n - totals[y] / 5) <= 10 for (_, y), n in counts.items())
+
+
+def test_every_damaged_table_is_reported(spark):
+    t = Tables(spark, FOLDER)
+    good = funnel(t.campaign, t.ads, t.email, t.web, t.opps)
+    for stage in V.FUNNEL_STAGES:
+        off = good.withColumn("count", F.when(F.col("stage") == stage, F.col("count") + 1).otherwise(F.col("count")))
+        got = checks(t, funnel=off)
+        assert [k for k, ok in got.items() if not ok] == [f"funnel stage {stage}"]
+    credits = _attribution(t, V.INFLUENCED, V.FIRST_TOUCH)
+    more = credits.withColumn("attributed_pipeline", F.col("attributed_pipeline") + 1)
+    fewer = more.where(F.col("attribution_model") != V.INFLUENCED)
+    assert not checks(t, attribution=fewer)["influenced vs first-touch pipeline"]
+    assert not checks(t, attribution=fewer)["influenced vs first-touch won"]
+    channels = _channels(t)
+    wrong = channels.withColumns({c: F.col(c) + 1 for c in ("total_pipeline", "won_pipeline", "won_count")})
+    got = checks(t, channels=wrong)
+    named = ("channel pipeline", "channel won revenue", "channel won count", "report won revenue", "report won count")
+    assert [k for k, ok in got.items() if not ok and k.startswith(named)] and sum(not ok for ok in got.values()) == 5

@@ -6,7 +6,9 @@ from collections import defaultdict
 
 import pytest
 
-from dealtrace.operators import deal_channel_links, link_touches, touch_prefixes
+from pyspark.sql import functions as F
+
+from dealtrace.operators import deal_channel_links, link_touches, sweep, touch_links, touch_prefixes
 
 T0 = dt.datetime(2024, 1, 1)
 DAY = 86_400_000_000
@@ -71,8 +73,14 @@ def random_case(seed, hot):
     return deals, touches
 
 
-@pytest.mark.parametrize("seed, hot, slices", [(1, 0.0, None), (2, 0.4, None), (3, 0.9, 1), (4, 0.4, 28)])
-def test_links_equal_brute_force(spark, seed, hot, slices):
+@pytest.fixture(params=[sweep.RANGE_ROWS, 20])
+def range_rows(request, monkeypatch):
+    monkeypatch.setattr(sweep, "RANGE_ROWS", request.param)
+
+
+@pytest.mark.parametrize("seed, hot, epoch", [(1, 0.0, 500), (2, 0.4, 500), (3, 0.9, 0.5), (4, 0.4, 3)])
+def test_links_equal_brute_force(spark, monkeypatch, range_rows, seed, hot, epoch):
+    monkeypatch.setattr(sweep, "EPOCH_HALF_LIVES", epoch)
     deals, touches = random_case(seed, hot)
     got = deal_channel_links(
         spark.createDataFrame(deals, DEALS),
@@ -80,7 +88,6 @@ def test_links_equal_brute_force(spark, seed, hot, slices):
         window_days=7,
         half_life_days=3,
         carry=["amount"],
-        slices=slices,
     ).collect()
     want = brute_links(deals, touches, 7, 3)
     assert {(r.opp_id, r.channel) for r in got} == set(want)
@@ -101,24 +108,60 @@ def test_pairs_equal_brute_force(spark, seed, hot):
     assert dict(got) == {k: v[0] for k, v in brute_links(deals, touches, 7, 3).items()}
 
 
-@pytest.mark.parametrize("seed, hot, days", [(7, 0.0, 1), (8, 0.6, 1), (9, 0.3, 0.25), (10, 0.3, 100)])
-def test_prefixes_equal_brute_force(spark, seed, hot, days):
+@pytest.mark.parametrize("seed, hot", [(7, 0.0), (8, 0.6), (9, 0.3)])
+def test_prefixes_equal_brute_force(spark, range_rows, seed, hot):
     deals, touches = random_case(seed, hot)
     rows = touch_prefixes(
         spark.createDataFrame(deals, DEALS),
         spark.createDataFrame(touches, TOUCHES),
         steps=5,
         carry=["amount"],
-        slice_days=days,
     ).collect()
     got = {r.opp_id: (r.touches, r.channels, r.path, r.last_channel) for r in rows}
     assert got == brute_paths(deals, touches, 5)
 
 
-def test_window_must_divide_into_slices(spark):
-    deals, touches = spark.createDataFrame([], DEALS), spark.createDataFrame([], TOUCHES)
-    with pytest.raises(ValueError):
-        deal_channel_links(deals, touches, window_days=1, slices=7 * 11)
+def test_links_by_several_columns(spark):
+    deals, touches = random_case(11, 0.4)
+    rng = random.Random(1)
+    touches = [(*t, rng.choice(["c1", None])) for t in touches]
+    got = touch_links(
+        spark.createDataFrame(deals, DEALS),
+        spark.createDataFrame(touches, TOUCHES + ", campaign_id string"),
+        ["channel", "campaign_id"],
+        7,
+        3,
+    ).collect()
+    want = brute_links(deals, [(d, at, (ch, c)) for d, at, ch, c in touches], 7, 3)
+    assert {(r.opp_id, (r.channel, r.campaign_id)): r.touches for r in got} == {k: v[0] for k, v in want.items()}
+
+
+def test_no_group_is_larger_than_a_range(spark, monkeypatch):
+    """One domain, one channel, one day, half of the touches at one instant, most deals at another."""
+    monkeypatch.setattr(sweep, "RANGE_ROWS", 20_000)
+    day = 1_700_000_000
+    touches = spark.range(400_000).select(
+        F.lit("hot").alias("domain"),
+        F.when(F.col("id") % 2 == 0, F.timestamp_seconds(F.lit(day)))
+        .otherwise(F.timestamp_micros(F.lit(day * 1_000_000) + F.pmod(F.xxhash64("id"), F.lit(DAY))))
+        .alias("touch_date"),
+        F.lit("x").alias("channel"),
+    )
+    deals = spark.range(60_000).select(
+        F.col("id").cast("string").alias("opp_id"),
+        F.lit("hot").alias("domain"),
+        F.when(F.col("id") % 3 == 0, F.timestamp_seconds(F.lit(day + 80_000))).alias("create_date"),
+        F.lit(1.0).alias("amount"),
+    )
+    seen = []
+    made = sweep.in_ranges
+    monkeypatch.setattr(sweep, "in_ranges", lambda *a, **k: seen.append(made(*a, **k)) or seen[-1])
+    links = deal_channel_links(deals, touches, 365, 30).groupBy("touches").count().collect()
+    paths = touch_prefixes(deals, touches).groupBy("touches", F.isnotnull("last_channel").alias("k")).count().collect()
+    assert len(links) == 1 and links[0]["count"] == 20_000
+    assert sorted((r.touches, r["count"]) for r in paths) == [(links[0].touches, 20_000), (400_000, 40_000)]
+    for df in seen:
+        assert df.groupBy("range").count().agg(F.max("count")).first()[0] < 2 * 20_000
 
 
 def test_empty_inputs_keep_their_schema(spark):

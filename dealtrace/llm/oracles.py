@@ -33,27 +33,43 @@ targets AS (
 budgets AS (
   SELECT *, CASE WHEN s > 0 THEN CAST(floor(target / s) AS BIGINT) ELSE 0 END AS copies FROM targets
 ),
-hashes AS (SELECT source, hash, CAST(sum(size) AS BIGINT) AS n FROM sized GROUP BY source, hash),
-running AS (
+s0 AS (
+  SELECT source, copies, target - copies * s AS rest, CAST(0 AS BIGINT) AS lo, CAST('inf' AS DOUBLE) AS room FROM budgets
+)@STEPS@
+SELECT d.doc_id, d.size, b.s AS source_size, b.target,
+  CAST(d.size * (b.copies + CASE WHEN @TAKEN@ THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized d
+JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
+@JOINS@"""
+
+# One threshold of every source: sums in the order of hashes over the documents
+# that may be taken, up to where the budget ends.
+_STEP = """,
+h{i} AS (
+  SELECT d.source, d.hash, CAST(sum(d.size) AS BIGINT) AS n, any_value(p.rest) AS rest
+  FROM sized d JOIN s{before} p ON d.source IS NOT DISTINCT FROM p.source
+  WHERE d.hash >= p.lo AND d.size <= p.room GROUP BY d.source, d.hash
+),
+r{i} AS (
   SELECT *, coalesce(CAST(sum(n) OVER (PARTITION BY source ORDER BY hash
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
-  FROM hashes
+  FROM h{i}
 ),
-edges AS (
-  SELECT a.source, a.hash, a.n, a.before, b.target - b.copies * b.s AS rest
-  FROM running a JOIN budgets b ON a.source IS NOT DISTINCT FROM b.source
-  WHERE a.before <= b.target - b.copies * b.s
-  QUALIFY row_number() OVER (PARTITION BY a.source ORDER BY a.hash DESC) = 1
+e{i} AS (SELECT * FROM r{i} WHERE before <= rest
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY hash DESC) = 1),
+t{i} AS (
+  SELECT p.source, p.copies, p.lo, p.room, coalesce(e.hash, 0) + CASE WHEN e.before + e.n <= p.rest THEN 1 ELSE 0 END
+    AS below, p.rest - coalesce(e.before, 0) - CASE WHEN e.before + e.n <= p.rest THEN e.n ELSE 0 END AS left_over
+  FROM s{before} p LEFT JOIN e{i} e ON p.source IS NOT DISTINCT FROM e.source
 ),
-limits AS (
-  SELECT source, hash + CASE WHEN (rest - before) * 2 > n THEN 1 ELSE 0 END AS threshold FROM edges
+s{i} AS (SELECT source, copies, left_over AS rest, greatest(lo, below) AS lo, left_over AS room FROM t{i})"""
+OP2 = (
+    OP2.replace("@STEPS@", "".join(_STEP.format(i=i, before=i - 1) for i in (1, 2, 3)))
+    .replace(
+        "@TAKEN@", " OR ".join(f"(d.hash >= t{i}.lo AND d.hash < t{i}.below AND d.size <= t{i}.room)" for i in (1, 2, 3))
+    )
+    .replace("@JOINS@", "\n".join(f"JOIN t{i} ON d.source IS NOT DISTINCT FROM t{i}.source" for i in (1, 2, 3)))
 )
-SELECT d.doc_id, d.size, b.s AS source_size, b.target,
-  CAST(d.size * (b.copies + CASE WHEN d.hash < l.threshold THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sized d
-JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
-JOIN limits l ON d.source IS NOT DISTINCT FROM l.source
-"""
 
 # Lengths by the template: 34 characters of marks a turn, one more for each
 # control string.

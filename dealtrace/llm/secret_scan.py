@@ -28,7 +28,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(rb"[A-Za-z0-9+/_-]{20,}")
 
 # Lengths of a class, from here on; p-values are binned by their logarithm.
 LENGTHS = (20, 28, 40, 64, 128)
@@ -125,7 +125,7 @@ def randomness_p(token: str, alphabet: str) -> float:
 
 def _tested(raw: bytes) -> Iterator[tuple[int, int, str, int, int, float]]:
     for m in TOKEN.finditer(raw):
-        token = m.group().rstrip(b"=").decode()
+        token = m.group().decode()
         if len(token) < LENGTHS[0] or not re.search("[0-9]", token) or not re.search("[A-Za-z]", token):
             continue
         encoding = infer_encoding(token)

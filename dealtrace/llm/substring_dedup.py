@@ -272,7 +272,9 @@ def repeated_places(distinct: DataFrame, window: int = WINDOW, bucket: int = BUC
 
 def dedup_texts(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
     """(ref, n_words, n_removed, kept) per distinct text; ref is its MD5, kept the words that stay."""
-    ref = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+    # Never null, and known to be: else a join would filter the texts once more, below their exchange,
+    # and could not share it with the other uses.
+    ref = F.coalesce(F.unhex(F.md5(F.col("text").cast("string").cast("binary"))), F.lit(b""))
     plain = docs.select(F.col("text").cast("string").alias("text")).withColumn("ref", ref)
     # Equal texts are one; every use below reads this one exchange.
     distinct = (

@@ -35,7 +35,7 @@ from ..plans import winprob as W
 from ..plans.funnel import funnel
 from ..plans.quality import reconcile
 from ..sources import read_report, read_table, rows_as_json, write_report, write_table
-from ..sources.scratch import shared_folder
+from ..sources.scratch import keep, shared_folder
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -761,7 +761,9 @@ def attribution_rows_json(t):
 
 @query
 def reconciliation(t):
-    channels, touches = _channels(t), _attribution(t, V.INFLUENCED, V.FIRST_TOUCH)
+    # Stored first, as the stage runner does it: several checks read them.
+    channels = keep(_channels(t), "channels")
+    touches = keep(_attribution(t, V.INFLUENCED, V.FIRST_TOUCH), "credits")
     checks = reconcile(
         t.opps,
         channels,

@@ -23,10 +23,12 @@ def latest_state(
     a lost executor gives the same rows).  Rows with a null key are dropped.
     ``order`` must be a number.
 
-    This is a plain aggregate: versions are reduced before the shuffle, so a
-    key that owns a large part of the log costs one row per input task.  In
-    merge mode the shuffled rows carry the rank once per column; it is kept to
-    two numbers by default, and wide tie columns are better given as a hash.
+    Versions are reduced before the shuffle, so a key that owns a large part of
+    the log costs one row per input task.  Texts and structs in the buffers make
+    Spark aggregate by sorting, on both sides of the shuffle; it spills where
+    memory is short.  In merge mode the shuffled rows carry the rank once per
+    column; it is kept to two numbers by default, and wide tie columns are
+    better given as one number.
     """
     if mode not in ("merge", "row"):
         raise ValueError(f"mode must be 'merge' or 'row', not {mode!r}")

@@ -12,11 +12,13 @@ from ..operators.aggregate import total
 MONEY, COUNT = "money", "count"
 
 
-def _side(df: DataFrame, side: str, values: dict[str, Column]) -> DataFrame:
-    """One aggregated row as (check, side, value) rows."""
-    row = df.agg(*(v.cast("double").alias(name) for name, v in values.items()))
-    long = row.unpivot([], list(values), "check", "value")
-    return long.select("check", F.lit(side).alias("side"), "value")
+def _sides(df: DataFrame, **sides: dict[str, Column]) -> DataFrame:
+    """One aggregated row, for both sides at once, as (check, side, value) rows."""
+    named = {f"{side}/{check}": v for side, checks in sides.items() for check, v in checks.items()}
+    row = df.agg(*(v.cast("double").alias(name) for name, v in named.items()))
+    long = row.unpivot([], list(named), "_name", "value")
+    parts = F.split("_name", "/", 2)
+    return long.select(parts[1].alias("check"), parts[0].alias("side"), "value")
 
 
 def recounted_stages(
@@ -105,46 +107,35 @@ def reconcile(
         return df.select(name.alias("check"), F.lit(side).alias("side"), value.alias("value"))
 
     parts = [
-        _side(
+        _sides(
             opps,
-            "expected",
-            {
+            expected={
                 unique: F.countDistinct("opp_id"),
                 channel_pipe: pipeline,
                 channel_won: won_sum,
                 channel_count: won_count,
                 account_pipe: pipeline,
             },
+            actual={unique: F.count(F.lit(1))},
         ),
-        _side(opps, "actual", {unique: F.count(F.lit(1))}),
-        _side(
+        _sides(
             channels,
-            "actual",
-            {
+            actual={
                 channel_pipe: total("total_pipeline"),
                 channel_won: total("won_pipeline"),
                 channel_count: total("won_count"),
             },
+            expected={report_won: total("won_pipeline"), report_count: total("won_count")},
         ),
-        _side(
-            channels,
-            "expected",
-            {report_won: total("won_pipeline"), report_count: total("won_count")},
-        ),
-        _side(report, "actual", {report_won: total("won_revenue"), report_count: total("won_deals")}),
-        _side(master, "actual", {account_pipe: total("total_pipeline")}),
-        _side(
+        _sides(report, actual={report_won: total("won_revenue"), report_count: total("won_deals")}),
+        _sides(master, actual={account_pipe: total("total_pipeline")}),
+        _sides(
             attribution,
-            "actual",
-            {
+            actual={
                 touch_pipe: credit(is_influenced, "attributed_pipeline"),
                 touch_won: credit(is_influenced, "attributed_won"),
             },
-        ),
-        _side(
-            attribution,
-            "expected",
-            {
+            expected={
                 touch_pipe: credit(is_first, "attributed_pipeline"),
                 touch_won: credit(is_first, "attributed_won"),
             },

@@ -812,6 +812,7 @@ twin(
     *_LINK_TABLES,
     more=_MODEL_MORE,
 )
+twin("raw_exports", "SELECT * FROM raw_campaign", "raw_campaign")
 twin(
     "stored_tables",
     f"""SELECT {month("activity_date")} AS month, count(*) AS rows, sum(impressions) AS impressions,

@@ -34,7 +34,7 @@ from ..plans import touch as T
 from ..plans import winprob as W
 from ..plans.funnel import funnel
 from ..plans.quality import reconcile
-from ..sources import read_report, read_table, rows_as_json, write_report, write_table
+from ..sources import read_raw, read_report, read_table, rows_as_json, write_report, write_table
 from ..sources.scratch import keep, shared_folder
 from . import bindings as B
 
@@ -646,6 +646,14 @@ def attr_channels_above(t):
     return rounded(M.channels_above(_attribution(t)), 4, "attributed_pipeline")
 
 
+@query
+def raw_exports(t):
+    """A raw export written as CSV and scanned again, all cells as text."""
+    out = f"{shared_folder(t.spark)}/raw-{uuid.uuid4().hex}"
+    t.raw_campaign.write.option("header", True).option("escape", '"').csv(f"{out}/campaign.csv")
+    return read_raw(t.spark, out, "campaign", {"campaign": "campaign.csv"})
+
+
 @query
 def stored_tables(t):
     """Campaign rows and a report, written as stage tables and read again."""

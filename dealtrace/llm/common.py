@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import keep
+
+__all__ = ["PLAIN", "forget", "keep", "lower_ascii", "pieces", "read", "texts"]
+
 # Bytes of text a Python worker holds at once, beside the batch that Spark sent.
 PIECE_BYTES = 4 << 20
 
@@ -27,26 +28,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session that names none, as in tests on one machine, gets a local one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "dealtrace-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a written table: later reads neither repeat nor depend on the work before it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`keep` that nothing reads any more."""
     spark = df.sparkSession

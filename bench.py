@@ -34,7 +34,6 @@ HEADLINE = [
     "linked_touches",
     "deal_channel_links",
     "deal_channel_links_default",
-    "deal_touch_links",
     "attr_time_decay",
     "attr_all_models",
     "attr_all_models_default",
@@ -67,7 +66,7 @@ def widest_rows(spark, folder: str) -> int:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = os.environ.get("BENCH_QUERIES")
     names = names.split(",") if names else HEADLINE
     spark = local_session(cpus, partitions=int(cpus))

@@ -25,6 +25,10 @@ from .components import components
 
 SEED = 42
 SEGMENT_BITS = 2
+# Least and largest number of rows in a tile, rows of it in the sample, and pivots of a larger cell.
+LEAST_TILE, LARGEST_TILE, SAMPLED, PIVOTS = 256, 16384, 64, 4
+# Pairs of fingerprints compared at once.
+PAIRS = 1 << 21
 
 # A-Z to lower case, white space to one space, the rest unchanged.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -133,14 +137,14 @@ def _counts(x: np.ndarray) -> np.ndarray:
     return (x & _EVEN) + ((x >> np.uint64(1)) & _EVEN)
 
 
-def _cells(fps: np.ndarray, grid: Grid) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """(block, rows, cells, own) for the own cells of all rows, and those one step up.
+def _cells(fps: np.ndarray, grid: Grid, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(block, rows, cells, own) for the own cells of all rows in the first ``blocks`` blocks, and those one step up.
 
     Of two vectors one step apart one is a step up from the other, so looking
     upwards finds every such pair once.
     """
     rows = np.arange(len(fps))
-    for block in range(grid.blocks):
+    for block in range(blocks):
         own = _counts(_block(fps, grid, block))
         yield block, rows, own, True
         if grid.radius:
@@ -150,110 +154,171 @@ def _cells(fps: np.ndarray, grid: Grid) -> Iterator[tuple[int, np.ndarray, np.nd
                 yield block, rows[up], own[up] + (np.uint64(1) << shift), False
 
 
-def _to_cells(grid: Grid):
+def _keyed(batch: pa.RecordBatch, grid: Grid, blocks: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cell, own, row, bits, node, label) of some rows at a time; a cell's number and its block's are one key."""
+    for at in range(0, batch.num_rows, 4096):
+        part = batch.slice(at, 4096)
+        fps = part.column("fp").flatten().to_numpy().reshape(-1, grid.words).view(np.uint64)
+        node, label = part.column("node").to_numpy(), part.column("label").to_numpy()
+        for block, rows, cells, own in _cells(fps, grid, blocks):
+            if len(rows):
+                key = (cells * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(block)
+                yield key.view(np.int64), np.full(len(rows), own), rows, fps[:, : grid.verify_words], node, label
+
+
+def _schema(grid: Grid) -> str:
+    return "cell bigint, kind tinyint, node bigint, label bigint, " + ", ".join(
+        f"f{k} bigint" for k in range(grid.verify_words)
+    )
+
+
+def _dealt_rows(cell, own, side, rows, bits, node, label) -> pa.RecordBatch:
+    columns = {"cell": cell, "kind": (2 * side + ~own).astype(np.int8), "node": node[rows], "label": label[rows]}
+    columns |= {f"f{k}": np.ascontiguousarray(bits[rows, k]).view(np.int64) for k in range(bits.shape[1])}
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+
+
+def _to_tiles(grid: Grid, blocks: int, dense: dict[int, tuple[int, int, int]]):
+    """Rows of every cell; those of the cells in ``dense`` cut into tiles.
+
+    ``dense``: per cell, its commonest label, and into how many parts the rows
+    with that label and the others are cut.  Each part of the others meets every
+    part; rows with the commonest label do not meet one another, they are linked.
+    """
+    cells = np.array(sorted(dense), np.int64)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                fps = np.array(part.column("fp").to_pylist(), np.int64).reshape(-1, grid.words).view(np.uint64)
-                ids = part.column("node").to_numpy(zero_copy_only=False)
-                for block, rows, cells, own in _cells(fps, grid):
-                    if len(rows):
-                        # A cell's number and its block's in one key.
-                        key = (cells * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(block)
-                        seen = fps[rows, : grid.verify_words]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(key.view(np.int64)),
-                                pa.array(np.full(len(rows), own)),
-                                pa.array(ids[rows]),
-                                pa.ListArray.from_arrays(
-                                    pa.array(np.arange(len(rows) + 1, dtype=np.int32) * grid.verify_words),
-                                    pa.array(np.ascontiguousarray(seen).reshape(-1).view(np.int64)),
-                                ),
-                            ],
-                            ["cell", "own", "node", "fp"],
-                        )
+            for key, own, rows, bits, node, label in _keyed(batch, grid, blocks):
+                cut = np.isin(key, cells)
+                if not cut.all():
+                    some = ~cut
+                    yield _dealt_rows(key[some], own[some], np.zeros(some.sum(), np.int8), rows[some], bits, node, label)
+                for cell in np.unique(key[cut]).tolist():
+                    common, linked, others = dense[cell]
+                    here = np.flatnonzero(key == cell)
+                    salt = _mix(node[rows[here]].view(np.uint64), 7)
+                    home = (label[rows[here]] == common) & (linked > 0)
+                    tiles = [(home, i, others + salt % np.uint64(linked or 1)) for i in range(others)]
+                    mine = (salt % np.uint64(others)).astype(np.int64)
+                    tiles += [(~home, mine, other) for other in range(others + linked)]
+                    for who, one, two in tiles:
+                        if not who.any():
+                            continue
+                        one, two = (np.broadcast_to(np.asarray(x, np.int64), who.shape)[who] for x in (one, two))
+                        first, last = np.minimum(one, two), np.maximum(one, two)
+                        # 0: meets all rows of the tile; 1 and 2: meet only each other.
+                        side = np.where(first == last, 0, np.where(home[who] | (one > two), 2, 1)).astype(np.int8)
+                        tile = _mix(np.uint64(cell & 0xFFFFFFFFFFFFFFFF) ^ _mix((first << 32 | last).view(np.uint64), 5), 3)
+                        at = here[who]
+                        yield _dealt_rows(tile.view(np.int64), own[at], side, rows[at], bits, node, label)
 
     return run
 
 
-def _near(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
-    """Pairs (row of left, row of right) within ``max_bits``; the bit counts bound it from below."""
-    distance = np.zeros((len(left), len(right)), np.uint16)
-    for k in range(left.shape[1]):
-        distance += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
-    return np.argwhere(distance <= max_bits)
+def _sample(nodes: DataFrame, grid: Grid, blocks: int, every: int) -> DataFrame:
+    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(every)) == 0)
+    return some.mapInArrow(_to_tiles(grid, blocks, {}), _schema(grid))
 
 
-def _forest(own: np.ndarray, ids: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected within one cell, one fewer than the rows at most.
+def _pivots(sample: DataFrame, grid: Grid, least: int) -> dict[int, np.ndarray]:
+    """(node, bits) of a few rows of every cell with over ``least`` rows in the sample, the same ones for like cells."""
+    one = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", *(f"f{i}" for i in range(grid.verify_words))))
+    counted = sample.groupBy("cell").agg(F.count("*").alias("n"), *(one(k + 2).alias(f"p{k}") for k in range(PIVOTS)))
+    rows = counted.where(F.col("n") > least).collect()
+    return {r.cell: np.array([list(r[f"p{k}"])[1:] for k in range(PIVOTS)], np.int64) for r in rows}
 
-    Rows of the cell itself are compared with one another and with the rows a
-    step below; the latter are not compared among themselves.
-    """
-    home, rest = np.flatnonzero(own), np.flatnonzero(~own)
-    root = list(range(len(ids)))
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def _to_pivots(grid: Grid, blocks: int, pivots: dict[int, np.ndarray]):
+    cells = np.array(sorted(pivots), np.int64)
 
-    links = []
-    step = max(1, (1 << 22) // max(1, len(home)))
-    for rows, among in ((home, True), (rest, False)):
-        for at in range(0, len(rows), step):
-            some = rows[at : at + step]
-            for i, j in _near(fps[some], fps[home], max_bits).tolist():
-                x, y = int(some[i]), int(home[j])
-                if among and x <= y:
-                    continue
-                a, b = find(x), find(y)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    links.append((int(ids[x]), int(ids[y])))
-    return links
-
-
-def _in_cells(grid: Grid):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        def solved(cell, own, node, fp) -> list[tuple[int, int]]:
-            cut = np.flatnonzero(np.diff(cell)) + 1
-            begin = np.concatenate(([0], cut))
-            size = np.diff(np.concatenate((begin, [len(cell)])))
-            homes = np.add.reduceat(own.astype(np.int64), begin)
-            found = []
-            for g in np.flatnonzero((size > 1) & (homes > 0)).tolist():
-                a, b = begin[g], begin[g] + size[g]
-                found += _forest(own[a:b], node[a:b], fp[a:b], grid.max_bits)
-            return found
+        for batch in batches:
+            found = set()
+            for key, _, rows, bits, node, _ in _keyed(batch, grid, blocks):
+                for cell in np.unique(key[np.isin(key, cells)]).tolist():
+                    at = rows[key == cell]
+                    for pivot in pivots[cell]:
+                        distance = np.bitwise_count(bits[at] ^ pivot[1:].view(np.uint64)).sum(1)
+                        found.update((x, int(pivot[0])) for x in node[at[distance <= grid.max_bits]].tolist() if x != pivot[0])
+            if found:
+                yield _links(np.array(sorted(found), np.int64))
+
+    return run
+
 
+def _near(cell, kind, label, bits, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs (row, later row) with other labels within cells, at most PAIRS compared at a time.
+
+    Rows are sorted by cell, a cell's own rows first; rows of a step below are
+    not compared among themselves, nor are rows of one side.
+    """
+    cut = np.flatnonzero(np.diff(cell)) + 1
+    ends = np.concatenate((cut, [len(cell)]))
+    end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+    others = np.where(kind % 2 == 0, end - 1 - np.arange(len(cell)), 0)
+    sums = np.concatenate(([0], np.cumsum(others)))
+    at = 0
+    while at < len(cell):
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, "right")) - 1)
+        n = others[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = np.arange(len(i)) - np.repeat(sums[at:to] - sums[at], n) + i + 1
+        distance = np.zeros(len(i), np.uint16)
+        for k in range(bits.shape[1]):
+            distance += np.bitwise_count(bits[i, k] ^ bits[j, k])
+        near = np.flatnonzero(distance <= max_bits)
+        i, j = i[near], j[near]
+        one, two = kind[i] // 2, kind[j] // 2
+        fit = (label[i] != label[j]) & ((one != two) | (one == 0))
+        yield i[fit], j[fit]
+        at = to
+
+
+def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> np.ndarray:
+    """A link from every row to the smallest node that pairs connect it with."""
+    root = np.arange(len(node))
+    for i, j in pairs:
+        while len(i):
+            x, y = root[i], root[j]
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+    least = node.copy()
+    np.minimum.at(least, root, node)
+    least = least[root]
+    moved = least != node
+    return np.stack((node[moved], least[moved]), axis=1)
+
+
+def _in_tiles(grid: Grid, solved):
+    """``solved`` (near pairs, nodes) on rows sorted by cell, whole cells at a time."""
+
+    def links(cell, kind, node, label, bits) -> Iterator[pa.RecordBatch]:
+        found = solved(_near(cell, kind, label, bits, grid.max_bits), node)
+        for some in [found] if isinstance(found, np.ndarray) else found:
+            if len(some):
+                yield _links(some)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = (
-                batch.column("cell").to_numpy(),
-                batch.column("own").to_numpy(zero_copy_only=False),
-                batch.column("node").to_numpy(),
-                batch.column("fp").flatten().to_numpy().reshape(-1, grid.verify_words).view(np.uint64),
-            )
-            if part[0][0] != part[0][-1] or held:
-                whole = tuple(np.concatenate(x) for x in zip(*held, part)) if held else part
-                last = _last_start(whole[0])
-                if last:
-                    found = solved(*(x[:last] for x in whole))
-                    if found:
-                        yield _links(found)
-                held = [tuple(x[last:] for x in whole)]
-            else:
-                held = [part]
+            bits = np.stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(grid.verify_words)], axis=1)
+            part = (*(batch.column(c).to_numpy() for c in ("cell", "kind", "node", "label")), bits)
+            if part[0][0] == part[0][-1] and (not held or held[0][0][0] == part[0][0]):
+                held.append(part)
+                continue
+            whole = tuple(np.concatenate(x) for x in zip(*held, part))
+            last = _last_start(whole[0])
+            if last:
+                yield from links(*(x[:last] for x in whole))
+            held = [tuple(x[last:] for x in whole)]
         if held:
-            found = solved(*held[0])
-            if found:
-                yield _links(found)
+            yield from links(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -264,22 +329,59 @@ def _last_start(cell: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(found, np.int64)
+def _links(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _tile_size(nodes: DataFrame, blocks: int) -> int:
+    return min(LARGEST_TILE, max(LEAST_TILE, nodes.count() * blocks // 1000))
+
+
+def _pivot_links(nodes: DataFrame, grid: Grid, blocks: int, tile: int) -> DataFrame | None:
+    """Near pairs (a, b) of the rows of dense cells and a few pivots; None without such cells."""
+    every = max(1, tile // SAMPLED)
+    pivots = _pivots(_sample(nodes, grid, blocks, every), grid, tile // every)
+    if not pivots:
+        return None
+    return keep(nodes.mapInArrow(_to_pivots(grid, blocks, pivots), "a bigint, b bigint").distinct(), "simhash-pivots")
+
+
+def _relabelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    found = lookup_join(nodes.select("node", "fp"), labels, "node", "left")
+    return keep(found.select("node", "fp", F.coalesce("root", "node").alias("label")), "simhash-labelled")
+
+
+def _tiles(nodes: DataFrame, grid: Grid, blocks: int, tile: int) -> DataFrame:
+    """Rows of all cells and tiles, dealt and sorted, a cell's own rows first."""
+    every = max(1, tile // SAMPLED)
+    by_label = _sample(nodes, grid, blocks, every).groupBy("cell", "label").agg(F.count("*").alias("n"))
+    counted = by_label.groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    dense = {}
+    # At most as many cells as the largest tile goes into all rows, or a thousand.
+    for r in counted.where(F.col("n") > tile // every).collect():
+        linked = r.top.n if r.top.n > 1 else 0
+        dense[r.cell] = (r.top.label, -(-linked * every // tile), max(1, -(-(r.n - linked) * every // tile)))
+    dealt = nodes.mapInArrow(_to_tiles(grid, blocks, dense), _schema(grid))
+    return dealt.repartition("cell").sortWithinPartitions("cell", F.col("kind") % 2)
+
+
 def near_links(nodes: DataFrame, grid: Grid = EXACT) -> DataFrame:
     """Links (a, b) that connect the fingerprints which near pairs connect.
 
     ``nodes``: node (number), fp (array of ``grid.words`` numbers), one row per
-    distinct fingerprint.  Within a cell only a spanning forest of the near
-    pairs is returned, so a group of thousands of near copies does not turn
-    into all its pairs.
+    distinct fingerprint.  Within a cell only one link for each row is returned,
+    so a group of thousands of near copies does not turn into all its pairs.
+    Rows of cells larger than a tile, as a sample tells, are first linked to a
+    few pivots; what these connect is one label, and pairs of one label are not
+    looked at again.  Such cells are cut into tiles of a set size.
     """
-    dealt = nodes.mapInArrow(_to_cells(grid), "cell bigint, own boolean, node bigint, fp array<bigint>")
-    sorted_cells = dealt.repartition("cell").sortWithinPartitions("cell")
-    return sorted_cells.mapInArrow(_in_cells(grid), "a bigint, b bigint").distinct()
+    nodes = nodes.select("node", "fp", F.col("node").alias("label"))
+    tile = _tile_size(nodes, grid.blocks)
+    first = _pivot_links(nodes, grid, grid.blocks, tile)
+    if first is not None:
+        nodes = _relabelled(nodes, components(first))
+    found = _tiles(nodes, grid, grid.blocks, tile).mapInArrow(_in_tiles(grid, _joined), "a bigint, b bigint")
+    return (found if first is None else found.union(first)).distinct()
 
 
 def _rooted(fps: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:

@@ -208,3 +208,36 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     kept = H.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [*range(8), 20, 50]
+
+
+def test_a_dense_cell_is_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(H, "LEAST_TILE", 32)
+    monkeypatch.setattr(H, "LARGEST_TILE", 32)
+    monkeypatch.setattr(H, "SAMPLED", 32)
+    draw = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base, fps = draw.getrandbits(64), set()
+    # Half of them around one fingerprint, and chains that lead away from it; other halves differ wholly.
+    while len(fps) < 300:
+        x = base
+        for _ in range(draw.choice((1, 2, 3, 5, 9))):
+            x ^= 1 << draw.randrange(32)
+        fps.add(x)
+    fps |= {(draw.getrandbits(32) << 32) | (base & 0xFFFFFFFF) for _ in range(100)}
+    want = smallest({x: x for x in fps}, 3)
+    nodes = spark.createDataFrame([(signed(x), [signed(x)]) for x in fps], "node long, fp array<long>")
+    plain = nodes.select("node", "fp", F.col("node").alias("label"))
+    first = H._pivot_links(plain, H.EXACT, 2, 32)
+    for labelled in (plain, H._relabelled(plain, K.components(first))):
+        tiles = H._tiles(labelled, H.EXACT, 2, 32)
+        assert tiles.groupBy("cell").count().agg(F.max("count")).first()[0] <= 160
+    links = [(r.a, r.b) for r in H.near_links(nodes).collect()]
+    root = {signed(x): signed(x) for x in fps}
+    for _ in range(len(fps)):
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    groups = lambda f: sorted(sorted(signed(x) for x in fps if f(x) == k) for k in {f(x) for x in fps})
+    assert groups(lambda x: root[signed(x)]) == groups(want.get)

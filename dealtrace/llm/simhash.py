@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ PAIRS = 1 << 21
 # A-Z to lower case, white space to one space, the rest unchanged.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _EVEN = np.uint64(0x5555555555555555)
+_LOW = np.uint64(0x0101010101010101)
 
 
 @dataclass(frozen=True)
@@ -54,10 +56,12 @@ class Grid:
 
 
 EXACT = Grid()
-# For a similarity of 0.8 on five-word shingles: equal texts but for a fifth of
-# their shingles differ in 0.15 of the bits.  Of pairs at 0.8 some three quarters
-# share a cell, of pairs at 0.9 nearly all; larger groups hold together by others.
-SIMILAR = Grid(words=12, blocks=38, block_bits=20, radius=0, max_bits=39, verify_words=4)
+# For a similarity of 0.8 on five-word shingles: equal texts but for a ninth of the
+# shingles of each differ in 0.151 of the bits, 39 of 256 with a deviation of 5.7.
+# Of pairs at 0.8 some 99 in 100 share a cell, and next to all are within 59 bits.
+SIMILAR = Grid(words=32, blocks=102, block_bits=20, radius=0, max_bits=59, verify_words=4)
+# Blocks of the first round, which joins most of a group before all pairs are listed.
+FIRST_BLOCKS = 16
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -90,11 +94,15 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     if not len(hashes):
         return out
     for k in range(words):
-        count = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = _mix(hashes[at : at + (1 << 16)], k)
-            count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-        out[k] = np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0]
+        count = np.zeros((8, 8), np.int64)
+        for at in range(0, len(hashes), 255 << 8):
+            part = _mix(hashes[at : at + (255 << 8)], k)
+            # One bit of each of the eight bytes at a time; 255 of them do not run over.
+            starts = np.arange(0, len(part), 255)
+            for bit in range(8):
+                sums = np.add.reduceat((part >> np.uint64(bit)) & _LOW, starts)
+                count[:, bit] += sums.view(np.uint8).reshape(-1, 8).sum(0, np.int64)
+        out[k] = np.packbits(2 * count.reshape(-1) > len(hashes), bitorder="little").view(np.uint64)[0]
     return out
 
 
@@ -384,14 +392,94 @@ def near_links(nodes: DataFrame, grid: Grid = EXACT) -> DataFrame:
     return (found if first is None else found.union(first)).distinct()
 
 
+def shingle_sets(docs: DataFrame, width: int, words: int, names: tuple[str, ...]) -> DataFrame:
+    """The columns ``names``, the sorted distinct shingle hashes and their fp per row of ``docs`` (names, text)."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = [np.unique(shingle_hashes(raw, width)) for raw in texts(batch.column("text"))]
+            fps = np.concatenate([fingerprint(x, words) for x in sets]).view(np.int64)
+            begin = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(begin), pa.array(np.concatenate(sets).view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words), pa.array(fps)),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *lists], [*names, "shingles", "fp"])
+
+    plain = docs.select(*names, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{c} {k}" for c, k in plain.dtypes if c != "text")
+    return plain.mapInArrow(run, f"{kinds}, shingles array<bigint>, fp array<bigint>")
+
+
+def _pairs_listed(pairs: Iterator[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs, the smaller node first."""
+    for i, j in pairs:
+        yield np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1)
+
+
+def _first_listed(pairs: Iterator[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> Iterator[np.ndarray]:
+    """One pair of every row, with the first row that it is near to."""
+    met = np.zeros(len(node), bool)
+    for i, j in pairs:
+        some = ~met[j]
+        rows, at = np.unique(j[some], return_index=True)
+        met[rows] = True
+        others = i[some][at]
+        yield np.stack((np.minimum(node[rows], node[others]), np.maximum(node[rows], node[others])), axis=1)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) have a Jaccard similarity of 0.8 at least."""
+    one = lookup_join(pairs.withColumnRenamed("a", "node"), sets, "node", "inner")
+    one = one.select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("shingles").alias("_one"))
+    both = lookup_join(one, sets, "node", "inner")
+    common = F.size(F.array_intersect("_one", "shingles"))
+    # common / (x + y - common) >= 4 / 5
+    fit = (common > 0) & (9 * common >= 4 * (F.size("_one") + F.size("shingles")))
+    return both.where(fit).select("a", F.col("node").alias("b"))
+
+
+def similar_links(nodes: DataFrame, sets: DataFrame, grid: Grid = SIMILAR) -> DataFrame:
+    """Links (a, b) that connect what pairs with a Jaccard similarity of 0.8 or more connect.
+
+    ``nodes``: node, fp, and ``sets``: node, shingles, one row per distinct set.
+    Pairs are those that share a cell of ``grid`` and are within its bits; each
+    is compared exactly.  What a round of pivots for dense cells and a round of
+    one pair for each row connect is one label; then all pairs of two labels are
+    compared, so a group of near copies does not turn into all its pairs.
+    """
+    nodes = nodes.select("node", "fp", F.col("node").alias("label"))
+    tile = _tile_size(nodes, grid.blocks)
+
+    def compared(found: DataFrame) -> DataFrame:
+        return keep(_similar(keep(found.distinct(), "simhash-pairs"), sets), "simhash-links")
+
+    def listed(blocks: int, solved) -> DataFrame:
+        return compared(_tiles(nodes, grid, blocks, tile).mapInArrow(_in_tiles(grid, solved), "a bigint, b bigint"))
+
+    links = []
+    pivots = _pivot_links(nodes, grid, grid.blocks, tile)
+    if pivots is not None:
+        links.append(compared(pivots))
+        nodes = _relabelled(nodes, components(links[0]))
+    links.append(listed(min(FIRST_BLOCKS, grid.blocks), _first_listed))
+    nodes = _relabelled(nodes, components(reduce(DataFrame.union, links)))
+    links.append(listed(grid.blocks, _pairs_listed))
+    return reduce(DataFrame.union, links).distinct()
+
+
+def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of all ``nodes``."""
+    roots = lookup_join(nodes.select("node"), components(links), "node", "left")
+    return roots.select("node", F.coalesce("root", "node").alias("root"))
+
+
 def _rooted(fps: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
     """``fps`` (.., fp) with their node, and (node, root) of all distinct fingerprints."""
     node = F.col("fp")[0] if grid.words == 1 else F.xxhash64("fp")
     rows = fps.withColumn("node", node)
     nodes = keep(rows.groupBy("node").agg(F.min("fp").alias("fp")), "simhash-nodes")
-    labels = components(near_links(nodes, grid))
-    roots = lookup_join(nodes.select("node"), labels, "node", "left")
-    return rows, roots.select("node", F.coalesce("root", "node").alias("root"))
+    return rows, _roots(nodes, near_links(nodes, grid))
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, grid: Grid = EXACT) -> DataFrame:
@@ -414,13 +502,19 @@ def simhash_groups(docs: DataFrame, width: int = 3, grid: Grid = EXACT) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without near copies.
 
+    Near copies are texts whose distinct shingles have a Jaccard similarity of
+    0.8 or more, and what such pairs connect (:func:`similar_links`).
     Of each group the row with the smallest doc_id stays (nulls last), of
-    several such rows the one whose text has the smallest MD5.  Only ids, hashes
-    and fingerprints are grouped; the texts move once, to meet the chosen ids.
+    several such rows the one whose text has the smallest MD5.  Ids, hashes and
+    shingles are grouped; the texts move once, to meet the chosen ids.
     """
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.col("text").cast("binary")))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("_key"), "text")
-    rows, roots = _rooted(keep(fingerprints(plain, width, grid.words, ("doc_id", "_key")), "simhash"), grid)
+    found = shingle_sets(plain, width, grid.words, ("doc_id", "_key"))
+    rows = keep(found.withColumn("node", F.xxhash64("shingles")), "simhash")
+    nodes = keep(rows.groupBy("node").agg(F.min("fp").alias("fp")), "simhash-nodes")
+    sets = keep(rows.select("node", "shingles").dropDuplicates(["node"]), "simhash-sets")
+    roots = _roots(nodes, similar_links(nodes, sets, grid))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key")).alias("_first")
     ids = lookup_join(rows.groupBy("node").agg(first), roots, "node", "inner")
     chosen = keep(ids.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_near_copy_key")), "simhash-chosen")

@@ -241,3 +241,33 @@ def test_a_dense_cell_is_cut_into_tiles(spark, monkeypatch):
             break
     groups = lambda f: sorted(sorted(signed(x) for x in fps if f(x) == k) for k in {f(x) for x in fps})
     assert groups(lambda x: root[signed(x)]) == groups(want.get)
+
+
+def test_near_copies_equal_brute_force_about_the_threshold(spark):
+    draw = random.Random(11)
+    texts, n = [], 0
+    for _ in range(120):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        # Every changed word spoils five shingles; 0.75 to 0.9 lies at 3 to 9 changes.
+        for at in draw.sample(range(0, 300, 6), draw.randrange(3, 10)):
+            other[at] = f"x{draw.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [{t[i : i + 5] for i in range(296)} for t in (tuple(x.split()) for x in texts)]
+    sets = [{" ".join(s) for s in x} for x in sets]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in H.keep_one(df).select("doc_id").collect()}
+    assert all(2 * k in kept for k in range(120))
+    linked = [2 * k + 1 not in kept for k in range(120)]
+    assert not any(x and s < 0.8 for x, s in zip(linked, similar))
+    near = [x for x, s in zip(linked, similar) if s >= 0.8]
+    assert len(near) > 40 and len(near) < 120 and sum(near) >= 0.97 * len(near)
+
+
+def test_bit_counts_of_many_hashes():
+    hashes = np.random.default_rng(3).integers(0, 1 << 64, 70_001, np.uint64)
+    bits = [sum((x >> b) & 1 for x in hashes[:1000].tolist()) for b in range(64)]
+    assert int(H.fingerprint(hashes[:1000])[0]) == sum(1 << b for b in range(64) if 2 * bits[b] > 1000)
+    whole = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+    assert int(H.fingerprint(hashes)[0]) == sum(1 << b for b in range(64) if 2 * whole[b] > len(hashes))

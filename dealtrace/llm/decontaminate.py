@@ -22,6 +22,8 @@ MASKS = ("111010011", "111100101", "110101011")
 SPAN = len(MASKS[0])
 # Seeds of the benchmark that are sent to all executors at once, about 40 bytes each.
 BLOCK_SEEDS = 500_000
+# Items of so many words are also cut into one piece more than words may differ; of a piece so many words count.
+SHORT, PIECE = (4, 15), 4
 
 
 def word_hashes(text: Column) -> Column:
@@ -49,11 +51,42 @@ def _placed(rows: DataFrame, *columns: str) -> DataFrame:
     return each.withColumn("_p", F.col("_p") % (F.size("h") - (SPAN - 1)))
 
 
-def _block_hits(docs: DataFrame, items: DataFrame, min_run: int, min_share: float) -> DataFrame:
-    item_seeds = _placed(items, "item", "h").select(
+def _pieces(n: int, min_share: float) -> list[tuple[int, int]]:
+    """(place, words) of the pieces of an item of ``n`` words, of which one is unchanged if the item counts as found."""
+    k = min(n, int(n * (1 - min_share) + 1e-9) + 1)
+    return [(i * n // k, min(PIECE, (i + 1) * n // k - i * n // k)) for i in range(k)]
+
+
+def _runs(rows: DataFrame, places: dict[int, Column], *columns: str) -> DataFrame:
+    """One row per run of words of ``rows`` (h), its hash as the seed; ``places``: per number of words, where."""
+
+    def of(words: int, at: Column) -> Column:
+        run = lambda i: F.xxhash64(F.lit(-words), *(F.get("h", i + k) for k in range(words)))
+        return F.transform(at, lambda i: F.struct(i.alias("_p"), run(i).alias("seed")))
+
+    each = rows.withColumn("_runs", F.concat(*(of(w, at) for w, at in places.items())))
+    return each.select(*columns, F.explode_outer("_runs").alias("_x")).select(*columns, "_x._p", "_x.seed")
+
+
+def _short_seeds(docs: DataFrame, items: DataFrame, lengths: list[int], min_share: float) -> tuple[DataFrame, DataFrame]:
+    """The seeds of documents and of short items of these ``lengths``, by their pieces."""
+    parts, widths = [], set()
+    for n in lengths:
+        cut = _pieces(n, min_share)
+        at = {w: F.array(*(F.lit(p) for p, x in cut if x == w)) for w in sorted({w for _, w in cut})}
+        parts.append(_runs(items.where(F.size("h") == n), at, "item", "h"))
+        widths |= set(at)
+    every = lambda w: F.when(F.size("h") >= w, F.sequence(F.lit(0), F.size("h") - w)).otherwise(F.array().cast("array<int>"))
+    return _runs(docs, {w: every(w) for w in sorted(widths)}, "doc_id", "h"), reduce(DataFrame.unionByName, parts)
+
+
+def _block_hits(
+    doc_seeds: DataFrame, placed_items: DataFrame, items: DataFrame, min_run: int, min_share: float
+) -> DataFrame:
+    item_seeds = placed_items.select(
         F.col("item").alias("_item"), F.col("_p").alias("_q"), F.col("seed").alias("_seed")
     )
-    hits = _placed(docs, "doc_id", "h").join(F.broadcast(item_seeds), F.col("seed") == F.col("_seed"))
+    hits = doc_seeds.join(F.broadcast(item_seeds), F.col("seed") == F.col("_seed"))
     texts = items.select("item", "item_id", F.col("h").alias("_h"))
     # Where the item's first word would lie in the document, and the part of the item inside it.
     line = (
@@ -108,22 +141,44 @@ def leaks(
 
     The benchmark's seeds are counted first and dealt into blocks of at most
     about ``block_seeds``, each sent to all executors; the documents are never
-    shuffled.  Null and empty texts hold nothing; items of fewer than nine words
-    have no seed and are not looked for; repeated rows and rows with one id,
+    shuffled.  Items of 4 to 15 words are found by their pieces too, which no
+    change of a fifth of the words can all spoil.  Null and empty texts hold
+    nothing; items of fewer than four words are not looked for; repeated rows and rows with one id,
     null included, give one result; empty tables give no rows.
     """
     plain = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("h"))
     hashed = items.select("item_id", word_hashes(F.col("text").cast("string")).alias("h"))
     numbered = keep(
-        hashed.where(F.size("h") >= SPAN).distinct().withColumn("item", F.xxhash64("item_id", "h")), "benchmark"
+        hashed.where(F.size("h") >= SHORT[0]).distinct().withColumn("item", F.xxhash64("item_id", "h")), "benchmark"
     )
-    n = numbered.agg(F.sum(F.size("h") - (SPAN - 1))).first()[0] or 0
+    # One row for each length up to 15.
+    short = numbered.where(F.size("h") <= SHORT[1])
+    counts = {r.n: r["count"] for r in short.groupBy(F.size("h").alias("n")).count().collect()}
+    seeded = numbered.where(F.size("h") >= SPAN)
+    n = seeded.agg(F.sum(F.size("h") - (SPAN - 1))).first()[0] or 0
+    parts = []
     blocks = max(1, -(-n * len(MASKS) // block_seeds))
-    parts = [
-        _block_hits(plain, numbered.where(F.pmod("item", F.lit(blocks)) == b), min_run, min_share)
-        for b in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    for b in range(blocks):
+        some = seeded.where(F.pmod("item", F.lit(blocks)) == b)
+        parts.append(_block_hits(_placed(plain, "doc_id", "h"), _placed(some, "item", "h"), some, min_run, min_share))
+    if not counts:
+        return reduce(DataFrame.unionByName, parts)
+    blocks = -(-sum(k * len(_pieces(n, min_share)) for n, k in counts.items()) // block_seeds)
+    for b in range(blocks):
+        some = short.where(F.pmod("item", F.lit(blocks)) == b)
+        doc_seeds, item_seeds = _short_seeds(plain, some, sorted(counts), min_share)
+        parts.append(_block_hits(doc_seeds, item_seeds, some, min_run, min_share))
+    # An item found both ways is one row.
+    found = reduce(DataFrame.unionByName, parts)
+    best = F.max(F.struct("matched", "run", (-F.col("at_word")).alias("_back"), "n_words")).alias("_best")
+    return found.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id",
+        "item_id",
+        (-F.col("_best._back")).alias("at_word"),
+        F.col("_best.n_words").alias("n_words"),
+        F.col("_best.matched").alias("matched"),
+        F.col("_best.run").alias("run"),
+    )
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:

@@ -271,3 +271,20 @@ def test_bit_counts_of_many_hashes():
     assert int(H.fingerprint(hashes[:1000])[0]) == sum(1 << b for b in range(64) if 2 * bits[b] > 1000)
     whole = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
     assert int(H.fingerprint(hashes)[0]) == sum(1 << b for b in range(64) if 2 * whole[b] > len(hashes))
+
+
+def test_short_items_are_found_with_a_fifth_exchanged(spark):
+    draw = random.Random(2)
+    items, rows, want = [], [], set()
+    for n in range(4, 16):
+        for turn in range(8):
+            item = [f"i{n}x{turn}x{k}" for k in range(n)]
+            spoilt = draw.sample(range(n), n // 5 + (turn == 7))
+            text = ["before", *(f"other{k}" if k in spoilt else w for k, w in enumerate(item)), "after"]
+            items.append((100 * n + turn, " ".join(item)))
+            rows.append((100 * n + turn, " ".join(text)))
+            if turn < 7:
+                want.add((100 * n + turn, 100 * n + turn, 1, n, n - n // 5))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = D.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.at_word, r.n_words, r.matched) for r in found) == sorted(want)

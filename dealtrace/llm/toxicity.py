@@ -8,6 +8,7 @@ ones, below or above the middle of the toxic texts.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import PLAIN, keep, pieces, texts
 from .quality import fold
-from .simhash import shingle_hashes
 
 # Labelled texts to fit on, at most about so many; words with a weight, at most.
 MAX_LABELLED, VOCABULARY = 20_000, 2_000
@@ -35,8 +35,7 @@ def _words(batches) -> Iterator[pa.RecordBatch]:
         counted = [Counter(raw.translate(PLAIN).split()) for raw in texts(batch.column("text"))]
         words = pa.array([[w.decode() for w in c] for c in counted], pa.list_(pa.string()))
         counts = pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))
-        least = [shingle_hashes(raw, 5).min(initial=(1 << 64) - 1) for raw in texts(batch.column("text"))]
-        mark = pa.array(np.array(least, np.uint64).view(np.int64))
+        mark = pa.array([hashlib.md5(raw).hexdigest() for raw in texts(batch.column("text"))])
         yield pa.RecordBatch.from_arrays([batch.column("y"), mark, words, counts], ["y", "mark", "words", "counts"])
 
 
@@ -44,9 +43,8 @@ def training_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     """(y, words, counts) of a sample of labelled texts.
 
     The sample are the ids with the least hashes, about ``most`` of them, chosen
-    by a threshold from the number of labels.  Of texts with one label and the
-    same least hash of five words, so copies for the most part, one counts: else
-    a much copied text would teach its own words.
+    by a threshold from the number of labels.  Of equal texts with one label one
+    counts: else a much copied text would teach its own words.
     """
     known = labels.where("doc_id IS NOT NULL AND y IN (0, 1)").select("doc_id", F.col("y").cast("int").alias("y"))
     share = min(1.0, most / max(1, known.count()))
@@ -55,7 +53,7 @@ def training_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     )
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     counted = rows.select("text", "y").mapInArrow(
-        _words, "y int, mark bigint, words array<string>, counts array<bigint>"
+        _words, "y int, mark string, words array<string>, counts array<bigint>"
     )
     return keep(counted.dropDuplicates(["mark", "y"]).drop("mark"), "toxicity-words")
 

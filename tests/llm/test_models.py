@@ -98,3 +98,12 @@ def test_slopes_of_the_likelihood():
         more[k] += step
         slope = (T.likelihood(eta, grade, more)[0] - T.likelihood(eta, grade, cuts)[0]) / step
         assert slope == pytest.approx(by_cut[k], abs=1e-3)
+
+
+def test_texts_that_share_a_passage_are_all_learnt_from(spark):
+    passage = "this very passage stands in each of the labelled texts " * 3
+    rows = [(i, passage + f"word{i}") for i in range(40)] + [(40, passage + "word0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(41)], "doc_id long, y int")
+    got = T.training_words(docs, labels).collect()
+    assert sorted(w for r in got for w in r.words if w.startswith("word")) == sorted(f"word{i}" for i in range(40))

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, mixing, nearest, quality, secret_scan, simhash, substring_dedup, toxicity
+from . import (
+    chat_format,
+    decontaminate,
+    fill_middle,
+    license_scan,
+    mixing,
+    nearest,
+    quality,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +68,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    framed = fill_middle.frame_texts(read(spark, folder, "documents"))
+    return fill_middle.fill_middle_digest(fill_middle.fill_middle(framed))
+
+
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -69,5 +86,6 @@ LLM_QUERIES: dict[str, Query] = {
         op8_simhash_dedup,
         op9_quality,
         op10_toxicity,
+        op13_fill_middle,
     )
 }

@@ -77,4 +77,4 @@ def test_pipeline_of_the_given_tables(spark):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in LLM_QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in LLM_QUERIES] == [f"op{i}" for i in range(1, 14)]

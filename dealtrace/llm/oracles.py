@@ -124,4 +124,46 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM parts
 """
 
-LLM_ORACLES: dict[str, str] = {"op2_source_mix": OP2, "op3_chat_format": OP3, "op13_fill_middle": OP13}
+# Six rounds written out one after another; every distance is computed.
+OP11 = r"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (
+  SELECT id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS v FROM kept, range(8) AS r(p)
+),
+c0 AS MATERIALIZED (SELECT p, id - 1 AS j, v FROM parts WHERE id <= 16)@ROUNDS@,
+books AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, j, pos)) AS codebooks_sha256
+  FROM (SELECT p, j, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM c6)
+),
+coded AS (
+  SELECT id, string_agg(format('{:02x}', best.j), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a6 GROUP BY id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (id), books
+"""
+_ASSIGNED = """,
+a{i} AS MATERIALIZED (
+  SELECT x.id, x.p, min({{'d': CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))
+    AS BIGINT), 'j': c.j}}) AS best
+  FROM parts x JOIN c{i} c USING (p) GROUP BY x.id, x.p
+)"""
+_MOVED = """,
+m{i} AS (
+  SELECT p, j, list(x ORDER BY pos) AS v FROM (
+    SELECT p, j, pos, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM (
+      SELECT a.p, a.best.j AS j, unnest(x.v) AS x, generate_subscripts(x.v, 1) AS pos
+      FROM a{i} a JOIN parts x USING (id, p)) GROUP BY p, j, pos) GROUP BY p, j
+),
+c{after} AS MATERIALIZED (SELECT c.p, c.j, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (p, j))"""
+OP11 = OP11.replace(
+    "@ROUNDS@",
+    "".join(_ASSIGNED.format(i=i) + _MOVED.format(i=i, after=i + 1) for i in range(6)) + _ASSIGNED.format(i=6),
+)
+
+LLM_ORACLES: dict[str, str] = {"op2_source_mix": OP2, "op3_chat_format": OP3, "op11_part_codes": OP11, "op13_fill_middle": OP13}

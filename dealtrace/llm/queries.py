@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from . import (
     license_scan,
     mixing,
     nearest,
+    packing,
+    part_codes,
     quality,
     secret_scan,
     simhash,
@@ -68,6 +71,15 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op11_part_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return part_codes.code_digest(part_codes.fit(read(spark, folder, "embeddings")))
+
+
+def op12_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.token_pieces(read(spark, folder, "documents"), tokenizer, with_ids=False))
+
+
 def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     framed = fill_middle.frame_texts(read(spark, folder, "documents"))
     return fill_middle.fill_middle_digest(fill_middle.fill_middle(framed))
@@ -86,6 +98,8 @@ LLM_QUERIES: dict[str, Query] = {
         op8_simhash_dedup,
         op9_quality,
         op10_toxicity,
+        op11_part_codes,
+        op12_sum_of_squares,
         op13_fill_middle,
     )
 }

@@ -271,6 +271,18 @@ def written_at(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+# Stored models lie under the shared folder, each marked with the tables it was fitted to.
+WIN_STORE = "win-model"
+DATA_KEY = """
+SELECT concat_ws('-', (SELECT count(*) FROM {orders}), (SELECT coalesce(sum(o_orderkey), 0) FROM {orders}),
+  (SELECT count(*) FROM {customer}), (SELECT count(*) FROM {events})) AS data_key"""
+
+
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table; its zone-less times are read as UTC instants.
 

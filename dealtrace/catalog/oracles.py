@@ -6,6 +6,7 @@ and windows), so that they share no method with the Spark plans they check.
 
 from __future__ import annotations
 
+from ..functions import fixed_values as V
 from . import bindings as B
 
 ORACLES: dict[str, str] = {}
@@ -1038,10 +1039,12 @@ FROM (SELECT opp_id, stage, is_won, account_id FROM opps) JOIN master USING (acc
 _DEALS = """
 deal AS (SELECT x.opp_id, x.amount, x.channel_category, x.segment, x.is_won,
     coalesce(regexp_matches(lower(x.stage), 'closed|won|lost'), false) AS closed,
-    industry, tier, profile_fit, is_qualified, intent_score, annual_revenue, email_opens, c_level_contacts
-  FROM opps x LEFT JOIN (SELECT account_id, industry, tier, profile_fit, email_opens, c_level_contacts FROM master) m
-    USING (account_id) LEFT JOIN (SELECT account_id, is_qualified, intent_score, annual_revenue FROM accounts) a
-    USING (account_id))"""
+    x.account_name, m.*, a.*
+  FROM opps x LEFT JOIN (SELECT account_id, industry, tier, profile_fit, @MASTER@ FROM master) m
+    USING (account_id) LEFT JOIN (SELECT account_id, @ACCOUNT@ FROM accounts) a USING (account_id))"""
+_OF_ACCOUNT = ["is_qualified", "intent_score", "annual_revenue", "employees"]
+_OF_MASTER = [c for c in V.WIN_NUMERIC if c not in (*_OF_ACCOUNT, "amount")]
+_DEALS = _DEALS.replace("@MASTER@", ", ".join(_OF_MASTER)).replace("@ACCOUNT@", ", ".join(_OF_ACCOUNT))
 
 
 def _code(column: str) -> str:
@@ -1093,3 +1096,76 @@ twin(
     ),
     "ads",
 )
+
+# Scores from the stored nodes: every deal walks every tree.
+_STORED = f"'{{store}}/{B.WIN_STORE}/*/{{table}}/*.parquet'"
+_PLAIN_KEY = B.DATA_KEY.format(orders="orders", customer="customer", events="events")
+_FOREST = f"""
+newest AS (SELECT max(version) AS version FROM read_parquet({_STORED.format(store="@STORE@", table="ready")})
+  WHERE key = ({_PLAIN_KEY})),
+node AS MATERIALIZED (SELECT * FROM read_parquet({_STORED.format(store="@STORE@", table="nodes")})
+  WHERE version = (SELECT version FROM newest))"""
+_WALK = f"""
+entry AS MATERIALIZED (SELECT row_number() OVER () AS id, opp_id, account_name, amount, channel_category, segment, is_won,
+    closed, d.x FROM (SELECT *, [{", ".join(_code(c).rsplit(" AS ", 1)[0] for c in V.WIN_CATEGORICAL)}, {
+    ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in (*V.WIN_BOOLEAN, *V.WIN_NUMERIC))}] AS x FROM deal d) d),
+walk AS (
+  WITH RECURSIVE step AS (
+    SELECT id, tree, 0 AS node FROM entry, (SELECT DISTINCT tree FROM node)
+    UNION ALL
+    SELECT s.id, s.tree, CASE WHEN e.x[n.place + 1] <= n.threshold THEN n."left" ELSE n."right" END
+    FROM step s JOIN node n ON n.tree = s.tree AND n.node = s.node AND n.place IS NOT NULL JOIN entry e ON e.id = s.id)
+  SELECT s.id, round(avg(n.won / n.n), 9) AS chance FROM step s JOIN node n USING (tree, node)
+  WHERE n.place IS NULL GROUP BY s.id),
+scored AS (SELECT * FROM entry JOIN walk USING (id))"""
+_MODEL = ",".join((_MASTER, _DEALS, _FOREST))
+_SHOWN = "opp_id, account_name, amount, channel_category, segment, chance AS win_probability, is_won"
+twin("win_probability", f"SELECT {_SHOWN} FROM scored WHERE NOT closed", *_MASTER_TABLES, more=f"{_MODEL},{_WALK}")
+twin(
+    "win_accuracy",
+    """SELECT avg(CASE WHEN (chance >= 0.5) = coalesce(is_won, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy,
+  count(*) AS deals FROM scored WHERE closed""",
+    *_MASTER_TABLES,
+    more=f"{_MODEL},{_WALK}",
+)
+twin(
+    "win_histogram",
+    """SELECT least(CAST(floor(chance * 20) AS BIGINT), 19) AS bin, count(*) AS deals
+FROM scored WHERE NOT closed GROUP BY 1""",
+    *_MASTER_TABLES,
+    more=f"{_MODEL},{_WALK}",
+)
+twin(
+    "feature_importance",
+    """SELECT feature, round(sum(share) / (SELECT count(DISTINCT tree) FROM node WHERE gain > 0), 9) AS importance
+FROM (SELECT feature, gain * n / sum(gain * n) OVER (PARTITION BY tree) AS share FROM node WHERE feature IS NOT NULL)
+GROUP BY feature""",
+    more=_FOREST,
+)
+twin(
+    "win_nodes",
+    """SELECT CAST(tree AS BIGINT) AS tree, count(*) AS nodes, count(*) FILTER (WHERE place IS NULL) AS leaves,
+  sum(n) FILTER (WHERE place IS NULL) AS drawn, sum(won) FILTER (WHERE place IS NULL) AS won
+FROM node GROUP BY 1""",
+    more=_FOREST,
+)
+# By average ranks: a won deal's rank among all counts those below it and half its ties.
+twin(
+    "win_auc",
+    f"""SELECT round(avg(auc), 9) AS auc, round(stddev_pop(auc), 9) AS deviation FROM (
+  SELECT fold, (sum(rank) FILTER (WHERE label = 1) - any_value(won) * (any_value(won) + 1) / 2)
+      / (any_value(won) * (any_value(n) - any_value(won))) AS auc
+  FROM (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY steps)
+        + (count(*) OVER (PARTITION BY fold, steps) - 1) / 2 AS rank,
+      sum(label) OVER (PARTITION BY fold) AS won, count(*) OVER (PARTITION BY fold) AS n
+    FROM read_parquet({_STORED.format(store="@STORE@", table="fold_scores")})
+    WHERE version = (SELECT version FROM newest))
+  GROUP BY fold)""",
+    more=_FOREST,
+)
+
+
+def with_store(folder: str) -> dict[str, str]:
+    """All twins; those of the win model read its tables under ``folder``."""
+    plain = folder.removeprefix("file://")
+    return {name: sql.replace("@STORE@", plain) for name, sql in ORACLES.items()}

@@ -800,23 +800,28 @@ def win_features(t):
     return _features(t).select(*shown, "c_level_contacts")
 
 
-# Where the fitted models of this process lie, by session, folder and the tables' times of writing.
+# Where the stored models of this process lie, by session, folder and the tables' times of writing.
 _FITTED: dict[tuple, str] = {}
 FIT_TABLES = ("orders", "customer", "nation", "region", "events")
 
 
-def _model(t: Tables) -> W.WinModel:
-    """One fit for all queries on the same tables: saved once, then loaded."""
+def _model(t: Tables) -> str:
+    """One fit for all queries on the same tables: the folder where it is stored."""
     times = tuple(B.written_at(t.spark, f"{t.folder}/{name}.parquet") for name in FIT_TABLES)
     key = (t.spark.sparkContext.applicationId, t.folder, times)
     if key not in _FITTED:
-        _FITTED[key] = W.fit_win_model(_features(t)).save(f"{shared_folder(t.spark)}/win-{uuid.uuid4().hex}")
-    return W.load_win_model(t.spark, _FITTED[key])
+        of_data = t.spark.sql(B.DATA_KEY, **{n: t.given(n) for n in ("orders", "customer", "events")}).first()[0]
+        _FITTED[key] = W.store_win_model(_features(t), f"{shared_folder(t.spark)}/{B.WIN_STORE}", of_data)
+    return _FITTED[key]
+
+
+def _scores(t: Tables) -> DataFrame:
+    return W.stored(t.spark, _model(t), "scores")
 
 
 @query
 def win_probability(t):
-    return W.score_open(_model(t), _features(t))
+    return W.ranked(_scores(t))
 
 
 @query
@@ -835,21 +840,39 @@ def win_folds(t):
 
 @query
 def win_auc(t):
-    deals = _features(t)
-    mean, spread = W.cross_validated_auc(deals)
-    return t.spark.createDataFrame([(mean, spread)], "auc double, deviation double")
+    """Over stored scores of forests that have not seen the deal."""
+    folder = _model(t)
+    if not B.exists(t.spark, f"{folder}/fold_scores/_SUCCESS"):
+        ready = t.spark.read.parquet(f"{folder}/ready").first()
+        scores = W.out_of_fold_scores(_features(t))
+        scores = scores.withColumns({"key": F.lit(ready.key), "version": F.lit(ready.version)})
+        scores.write.mode("overwrite").parquet(f"{folder}/fold_scores")
+    return rounded(W.auc_summary(W.stored(t.spark, folder, "fold_scores")), 9, "auc", "deviation")
+
+
+@query
+def win_nodes(t):
+    """The stored forest by depth-free totals: nodes, leaves and training deals of every tree."""
+    nodes = W.stored(t.spark, _model(t), "nodes")
+    leaf = F.col("feature").isNull()
+    return nodes.groupBy(F.col("tree").cast("bigint").alias("tree")).agg(
+        F.count("*").alias("nodes"),
+        F.count_if(leaf).alias("leaves"),
+        F.sum(F.when(leaf, F.col("n"))).alias("drawn"),
+        F.sum(F.when(leaf, F.col("won"))).alias("won"),
+    )
 
 
 @query
 def feature_importance(t):
-    return W.feature_importance(_model(t), _features(t))
+    return rounded(W.node_importance(W.stored(t.spark, _model(t), "nodes")), 9, "importance")
 
 
 @query
 def win_accuracy(t):
-    return W.training_accuracy(_model(t), _features(t))
+    return W.accuracy(_scores(t))
 
 
 @query
 def win_histogram(t):
-    return W.win_histogram(W.score_open(_model(t), _features(t)))
+    return W.win_histogram(W.ranked(_scores(t)))

@@ -1,16 +1,21 @@
-"""Win probability of open deals: a random forest over account features."""
+"""Win probability of open deals: a random forest over account features.
+
+A fitted model is stored as tables: the trees' nodes, a score for each deal and,
+on demand, scores of closed deals by forests that have not seen them.  Reports
+read those tables; nothing is fitted twice for them.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ from ..sources.scratch import keep
 CODE = "_win_code"
 VECTOR, PROBABILITY, RAW, CALL = "_win_vector", "_win_probability", "_win_raw", "_win_call"
 FOLD = "_win_fold"
+# Stored scores are whole numbers of this part, so that a histogram of them has a bound.
+SCORE_STEPS = 1_000_000
 FEATURES = [*V.WIN_CATEGORICAL, *V.WIN_BOOLEAN, *V.WIN_NUMERIC]
 
 
@@ -153,9 +160,9 @@ def fit_win_model(
 
 
 def score(model: WinModel, deals: DataFrame) -> DataFrame:
-    """Deals with ``win_probability`` and the 0.5 call."""
+    """Deals with ``win_probability``, to nine digits whatever the order of the trees, and the 0.5 call."""
     scored = model.forest.transform(_encoded(model, deals))
-    probability = vector_to_array(PROBABILITY)[1]
+    probability = F.round(vector_to_array(PROBABILITY)[1], 9)
     return scored.select(
         *deals.columns,
         probability.alias("win_probability"),
@@ -163,13 +170,18 @@ def score(model: WinModel, deals: DataFrame) -> DataFrame:
     )
 
 
-def score_open(model: WinModel, deals: DataFrame, which: str = "open") -> DataFrame:
-    """Scores of open deals, the likeliest first; of closed ones with ``which="closed"``."""
+def ranked(scored: DataFrame, which: str = "open") -> DataFrame:
+    """Scored open deals, the likeliest first; closed ones with ``which="closed"``."""
     if which not in ("open", "closed"):
         raise ValueError(f"which must be 'open' or 'closed', not {which!r}")
     shown = ["opp_id", "account_name", "amount", "channel_category", "segment", "win_probability", "is_won"]
     chosen = F.col("is_closed_deal") if which == "closed" else ~F.col("is_closed_deal")
-    return score(model, deals.where(chosen)).select(*shown).orderBy(F.desc("win_probability"), "opp_id")
+    return scored.where(chosen).select(*shown).orderBy(F.desc("win_probability"), "opp_id")
+
+
+def score_open(model: WinModel, deals: DataFrame, which: str = "open") -> DataFrame:
+    """Scores of open deals, the likeliest first; of closed ones with ``which="closed"``."""
+    return ranked(score(model, deals), which)
 
 
 def model_inputs(deals: DataFrame, categorical: Sequence[str], others: Sequence[str]) -> DataFrame:
@@ -197,10 +209,14 @@ def stratified_folds(deals: DataFrame, folds: int = V.WIN_FOLDS, buckets: int =
     return lookup_join(marked.withColumn("_cell", cell), cut, "_cell", "inner").drop("_cell", "_bucket")
 
 
-def training_accuracy(model: WinModel, deals: DataFrame) -> DataFrame:
-    scored = score(model, deals.where("is_closed_deal"))
+def accuracy(scored: DataFrame) -> DataFrame:
+    """Share of scored closed deals whose call is right, and how many there are."""
     right = (F.col("predicted_win").cast("double") == F.col("label")).cast("double")
-    return scored.agg(F.avg(right).alias("accuracy"), F.count(F.lit(1)).alias("deals"))
+    return scored.where("is_closed_deal").agg(F.avg(right).alias("accuracy"), F.count(F.lit(1)).alias("deals"))
+
+
+def training_accuracy(model: WinModel, deals: DataFrame) -> DataFrame:
+    return accuracy(score(model, deals))
 
 
 def feature_importance(model: WinModel, deals: DataFrame) -> DataFrame:
@@ -213,7 +229,74 @@ def feature_importance(model: WinModel, deals: DataFrame) -> DataFrame:
     )
 
 
-def cross_validated_auc(
+def forest_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per node of the forest that :meth:`WinModel.save` wrote to ``folder``.
+
+    tree, node (0 is the root), place and name of the feature tested, threshold (values up
+    to it go left), left, right, gain, n and won (training deals that reached it, as often
+    as the tree drew them).  A leaf has no feature, threshold, children or gain.
+    """
+    features = spark.read.parquet(f"{folder}/features").select("features")
+    data = spark.read.parquet(f"{folder}/forest/stages/*/data")
+    inner = F.col("nodeData.leftChild") >= 0
+    of_inner = lambda c: F.when(inner, F.col(f"nodeData.{c}"))
+    nodes = data.select(
+        F.col("treeID").alias("tree"),
+        F.col("nodeData.id").alias("node"),
+        of_inner("split.featureIndex").alias("place"),
+        F.when(inner, F.col("nodeData.split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        of_inner("leftChild").alias("left"),
+        of_inner("rightChild").alias("right"),
+        of_inner("gain").alias("gain"),
+        F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("n"),
+        F.col("nodeData.impurityStats")[1].alias("won"),
+    )
+    names = features.select(F.posexplode("features").alias("place", "feature"))
+    return nodes.join(names, "place", "left")
+
+
+def node_importance(nodes: DataFrame) -> DataFrame:
+    """Feature and importance from the node table: what its splits gained, as shares of each tree, over all trees.
+
+    Equal to :func:`feature_importance` for the features that some node tests.
+    """
+    gained = nodes.where("feature IS NOT NULL").groupBy("tree", "feature")
+    gained = gained.agg(F.sum(F.col("gain") * F.col("n")).alias("gained"))
+    # At most a row for each tree and feature; then a row for each feature.
+    of_tree = F.sum("gained").over(Window.partitionBy("tree"))
+    shares = gained.withColumn("of_tree", of_tree).where("of_tree > 0").groupBy("feature")
+    shares = shares.agg(F.sum(F.col("gained") / F.col("of_tree")).alias("share"))
+    trees = F.sum("share").over(Window.partitionBy())
+    return shares.select("feature", (F.col("share") / trees).alias("importance")).orderBy(F.desc("importance"), "feature")
+
+
+def store_win_model(deals: DataFrame, root: str, key: str, **fit) -> str:
+    """Fit on the closed deals, and store the model and its tables in a folder of its own under ``root``.
+
+    ``features``, ``forest``, ``encoder`` are the model; ``nodes`` its trees; ``scores`` all
+    deals with their chances; ``ready``, written last, has ``key`` (what the deals are) and the version.
+    Versions sort by the time of their fit.  ``fit`` goes to :func:`fit_win_model`.
+    """
+    spark = deals.sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    folder = f"{root}/{version}"
+    model = fit_win_model(deals, **fit)
+    model.save(folder)
+    mark = {"key": F.lit(key), "version": F.lit(version)}
+    forest_nodes(spark, folder).withColumns(mark).coalesce(1).write.parquet(f"{folder}/nodes")
+    shown = ["opp_id", "account_name", "amount", "channel_category", "segment", "is_won", "is_closed_deal", "label"]
+    scored = score(model, deals).select(*shown, "win_probability", "predicted_win")
+    scored.withColumns(mark).write.parquet(f"{folder}/scores")
+    spark.range(1).select(F.lit(key).alias("key"), F.lit(version).alias("version")).write.parquet(f"{folder}/ready")
+    return folder
+
+
+def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a stored model, without the columns that mark its version."""
+    return spark.read.parquet(f"{folder}/{name}").drop("key", "version")
+
+
+def out_of_fold_scores(
     deals: DataFrame,
     categorical: Sequence[str] = V.WIN_CATEGORICAL,
     others: Sequence[str] = (*V.WIN_BOOLEAN, *V.WIN_NUMERIC),
@@ -222,21 +305,45 @@ def cross_validated_auc(
     depth: int = V.WIN_DEPTH,
     min_leaf: int = V.WIN_MIN_LEAF,
     seed: int = V.WIN_SEED,
-    parallelism: int = 1,
-) -> tuple[float, float]:
-    """Mean and standard deviation of the ROC AUC over the stratified folds."""
+) -> DataFrame:
+    """(fold, label, steps): each closed deal by a forest fitted without its fold; ``steps`` of a millionth."""
     model, closed = _encoder(stratified_folds(deals, folds), categorical, others)
-    validator = CrossValidator(
-        estimator=_forest(model.features, trees, depth, min_leaf, seed),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(rawPredictionCol=RAW, metricName="areaUnderROC"),
-        numFolds=folds,
-        foldCol=FOLD,
-        seed=seed,
-        parallelism=parallelism,
-    )
-    fitted: CrossValidatorModel = validator.fit(_encoded(model, closed))
-    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
+    encoded = _encoded(model, closed)
+    parts = []
+    for fold in range(folds):
+        forest = _forest(model.features, trees, depth, min_leaf, seed).fit(encoded.where(F.col(FOLD) != fold))
+        chance = F.round(vector_to_array(PROBABILITY)[1] * SCORE_STEPS).cast("bigint")
+        scored = forest.transform(encoded.where(F.col(FOLD) == fold))
+        parts.append(keep(scored.select(F.col(FOLD).alias("fold"), "label", chance.alias("steps")), "win-fold"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def fold_auc(scores: DataFrame) -> DataFrame:
+    """(fold, auc): the exact area under the ROC curve of stored scores; null for a fold with one label only.
+
+    The chance that a won deal scores above a lost one, ties counting half.  Deals are
+    counted by score first, so each fold orders at most as many rows as there are steps.
+    """
+    won = F.col("label") == 1
+    counts = scores.groupBy("fold", "steps").agg(F.count_if(won).alias("won"), F.count_if(~won).alias("lost"))
+    below = Window.partitionBy("fold").orderBy("steps").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("lost").over(below), F.lit(0)) + F.col("lost") / 2
+    pairs = counts.withColumn("pairs", F.col("won") * ahead).groupBy("fold")
+    sums = pairs.agg(F.sum("pairs").alias("p"), F.sum("won").alias("w"), F.sum("lost").alias("l"))
+    return sums.select("fold", F.try_divide("p", F.col("w") * F.col("l")).alias("auc"))
+
+
+def auc_summary(scores: DataFrame) -> DataFrame:
+    """Mean and standard deviation (of all folds, not of a sample) of the folds' areas."""
+    return fold_auc(scores).agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("deviation"))
+
+
+def cross_validated_auc(deals: DataFrame, **fit) -> tuple[float, float]:
+    """Mean and standard deviation of the exact area under the ROC curve over the stratified folds."""
+    return tuple(auc_summary(out_of_fold_scores(deals, **fit)).first())
 
 
 def win_histogram(scored: DataFrame, bins: int = 20) -> DataFrame:

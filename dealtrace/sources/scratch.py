@@ -9,14 +9,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def default_folder() -> str:
+    """Where a session on one machine that names no folder keeps its tables."""
+    return os.path.join(tempfile.gettempdir(), "dealtrace-scratch")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none, as in tests on one machine, gets a local one.
+    Only a session on one machine may name none, as in tests, and gets a local
+    one; executors of a cluster would each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "dealtrace-scratch")
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = default_folder()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,53 @@ def test_cross_validation(planted):
     assert mean > 0.8 and 0.0 <= spread < 0.2
 
 
+def test_importance_from_the_nodes_equals_the_fitted_one(planted, tmp_path):
+    model = W.fit_win_model(planted, trees=12, depth=5)
+    nodes = W.forest_nodes(planted.sparkSession, model.save(str(tmp_path)))
+    got = {r.feature: r.importance for r in W.node_importance(nodes).collect()}
+    want = {r.feature: r.importance for r in W.feature_importance(model, planted).collect() if r.importance > 0}
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], abs=1e-12) for f in want)
+    rows = nodes.collect()
+    inner = {(r.tree, r.node): r for r in rows if r.feature is not None}
+    by = {(r.tree, r.node): r for r in rows}
+    assert all(by[t, r.left].n + by[t, r.right].n == r.n for (t, _), r in inner.items())
+    assert {r.tree for r in rows} == set(range(12))
+
+
+def test_areas_equal_the_share_of_ordered_pairs(spark):
+    rng = random.Random(2)
+    rows = [(f, float(rng.random() < 0.3 + f / 10), rng.randrange(12) * 1000) for f in range(3) for _ in range(200)]
+    rows += [(3, 1.0, 5), (3, 1.0, 9)]  # a fold with one label only
+    got = {r.fold: r.auc for r in W.fold_auc(spark.createDataFrame(rows, "fold int, label double, steps long")).collect()}
+    for f in range(3):
+        won = [s for g, y, s in rows if g == f and y]
+        lost = [s for g, y, s in rows if g == f and not y]
+        pairs = sum((a > b) + (a == b) / 2 for a in won for b in lost)
+        assert got[f] == pytest.approx(pairs / len(won) / len(lost), abs=1e-12)
+    assert got[3] is None
+
+
+def test_no_deal_is_scored_by_a_forest_that_saw_it(planted):
+    scores = W.out_of_fold_scores(planted, folds=3, trees=4, depth=3).collect()
+    assert len(scores) == planted.where("is_closed_deal").count() and {r.fold for r in scores} == {0, 1, 2}
+    assert all(0 <= r.steps <= W.SCORE_STEPS for r in scores)
+
+
+def test_stored_models_keep_their_versions(planted, tmp_path):
+    spark = planted.sparkSession
+    first = W.store_win_model(planted, str(tmp_path), "a", trees=3, depth=2)
+    second = W.store_win_model(planted.where("opp_id % 3 > 0"), str(tmp_path), "b", trees=2, depth=2)
+    assert first < second
+    scores = W.stored(spark, first, "scores")
+    assert scores.count() == planted.count() and "key" not in scores.columns
+    loaded = W.load_win_model(spark, first)
+    want = {(r.opp_id, r.win_probability) for r in W.score(loaded, planted).collect()}
+    assert {(r.opp_id, r.win_probability) for r in scores.collect()} == want
+    ready = spark.read.parquet(f"{tmp_path}/*/ready").collect()
+    assert {(r.key, r.version) for r in ready} == {("a", first.rsplit("/")[-1]), ("b", second.rsplit("/")[-1])}
+    assert W.stored(spark, second, "nodes").select("tree").distinct().count() == 2
+
+
 def test_one_schema_whatever_is_open(planted, tmp_path):
     closed = planted.where("is_closed_deal")
     model = W.fit_win_model(closed, trees=3, depth=2)

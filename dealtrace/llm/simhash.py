@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup_join
-from .common import keep, pieces, texts
+from .common import forget, keep, pieces, texts
 from .components import components
 
 SEED = 42
@@ -56,12 +56,14 @@ class Grid:
 
 
 EXACT = Grid()
-# For a similarity of 0.8 on five-word shingles: equal texts but for a ninth of the
-# shingles of each differ in 0.151 of the bits, 39 of 256 with a deviation of 5.7.
-# Of pairs at 0.8 some 99 in 100 share a cell, and next to all are within 59 bits.
-SIMILAR = Grid(words=32, blocks=102, block_bits=20, radius=0, max_bits=59, verify_words=4)
-# Blocks of the first round, which joins most of a group before all pairs are listed.
-FIRST_BLOCKS = 16
+# For sets with a similarity of 0.8 or more, which meet in the cells of their prefixes. Two such
+# sets differ in up to a fifth of the bits, 51 of 256 with a deviation of 6.4, so that the
+# bound, seven deviations away, only drops pairs that are not similar.
+SIMILAR = Grid(words=4, blocks=0, radius=0, max_bits=96, verify_words=4)
+# Shingles that a piece of texts has so often are counted; so many of the commonest come last in prefixes.
+OFTEN, COMMON = 8, 1 << 16
+# Positions, and 64-bit numbers, of the bitmap of wanted texts.
+BITMAP_WORDS = 1 << 18
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -163,11 +165,20 @@ def _cells(fps: np.ndarray, grid: Grid, blocks: int) -> Iterator[tuple[int, np.n
 
 
 def _keyed(batch: pa.RecordBatch, grid: Grid, blocks: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cell, own, row, bits, node, label) of some rows at a time; a cell's number and its block's are one key."""
+    """(cell, own, row, bits, node, label) of some rows at a time; a cell's number and its block's are one key.
+
+    Rows with a column ``prefix`` have the cells listed there.
+    """
     for at in range(0, batch.num_rows, 4096):
         part = batch.slice(at, 4096)
         fps = part.column("fp").flatten().to_numpy().reshape(-1, grid.words).view(np.uint64)
         node, label = part.column("node").to_numpy(), part.column("label").to_numpy()
+        if "prefix" in part.schema.names:
+            cells = part.column("prefix")
+            key = cells.flatten().to_numpy()
+            rows = np.repeat(np.arange(len(fps)), np.diff(cells.offsets.to_numpy()))
+            yield key, np.ones(len(key), bool), rows, fps[:, : grid.verify_words], node, label
+            continue
         for block, rows, cells, own in _cells(fps, grid, blocks):
             if len(rows):
                 key = (cells * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(block)
@@ -355,8 +366,8 @@ def _pivot_links(nodes: DataFrame, grid: Grid, blocks: int, tile: int) -> DataFr
 
 
 def _relabelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    found = lookup_join(nodes.select("node", "fp"), labels, "node", "left")
-    return keep(found.select("node", "fp", F.coalesce("root", "node").alias("label")), "simhash-labelled")
+    found = lookup_join(nodes.drop("label"), labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    return keep(found.drop("root"), "simhash-labelled")
 
 
 def _tiles(nodes: DataFrame, grid: Grid, blocks: int, tile: int) -> DataFrame:
@@ -392,23 +403,170 @@ def near_links(nodes: DataFrame, grid: Grid = EXACT) -> DataFrame:
     return (found if first is None else found.union(first)).distinct()
 
 
-def shingle_sets(docs: DataFrame, width: int, words: int, names: tuple[str, ...]) -> DataFrame:
-    """The columns ``names``, the sorted distinct shingle hashes and their fp per row of ``docs`` (names, text)."""
+def _distinct(raw: list[bytes], width: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(x, width)) for x in raw]
+
+
+def fingerprints_of(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """:func:`fingerprint` of every set, sets x words, all sets summed at once."""
+    out = np.zeros((len(sets), words), np.uint64)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    hashes, sizes = np.concatenate([sets[i] for i in full.tolist()]), sizes[full]
+    # Runs of 255 hashes at most, as bytes hold their sums; each set has runs of its own.
+    runs = -(-sizes // 255)
+    first = np.cumsum(runs) - runs
+    within = np.arange(runs.sum()) - np.repeat(first, runs)
+    starts = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * within
+    for k in range(words):
+        part = _mix(hashes, k)
+        count = np.zeros((len(full), 8, 8), np.int64)
+        for bit in range(8):
+            sums = np.add.reduceat((part >> np.uint64(bit)) & _LOW, starts)
+            count[:, :, bit] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        bits = 2 * count.reshape(len(full), 64) > sizes[:, None]
+        out[full, k] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit name of each sorted set, as two numbers."""
+    digests = b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets)
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def _nodes_of(names: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """Half of the name; the other half for sets whose first half is not theirs alone."""
+    return np.where(np.isin(names[:, 0], clashes), names[:, 1], names[:, 0])
+
+
+def set_rows(docs: DataFrame, width: int, words: int, names: tuple[str, ...]) -> DataFrame:
+    """The columns ``names``, and name (s0, s1), size and fp of the distinct shingles, per row of ``docs`` (names, text)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = [np.unique(shingle_hashes(raw, width)) for raw in texts(batch.column("text"))]
-            fps = np.concatenate([fingerprint(x, words) for x in sets]).view(np.int64)
-            begin = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            lists = [
-                pa.ListArray.from_arrays(pa.array(begin), pa.array(np.concatenate(sets).view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words), pa.array(fps)),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *lists], [*names, "shingles", "fp"])
+            sets = _distinct(texts(batch.column("text")), width)
+            named = set_names(sets)
+            flat = fingerprints_of(sets, words).reshape(-1).view(np.int64)
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words)
+            columns = [pa.array(np.ascontiguousarray(named[:, k])) for k in range(2)]
+            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), *columns], [*names, "s0", "s1", "size", "fp"]
+            )
 
-    plain = docs.select(*names, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"{c} {k}" for c, k in plain.dtypes if c != "text")
-    return plain.mapInArrow(run, f"{kinds}, shingles array<bigint>, fp array<bigint>")
+    kinds = ", ".join(f"{c} {k}" for c, k in docs.select(*names).dtypes)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, s0 bigint, s1 bigint, size bigint, fp array<bigint>")
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes of at most COMMON shingles that very many texts hold, ascending by their number.
+
+    Each piece of texts reports those it holds OFTEN times.  Which ones are found
+    only decides how many candidates there are, never which pairs are found.
+    """
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = _distinct(texts(batch.column("text")), width)
+            hashes, n = np.unique(np.concatenate(sets), return_counts=True)
+            often = n >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of ``n`` sorted hashes the first ``n - ceil(0.8 n) + 1``, common ones last, the commonest at the very end.
+
+    ``common``: sorted hashes, and their ``rank``.  Of two sets with a similarity
+    of 0.8 or more, these share one.
+    """
+    n = len(hashes)
+    length = n - -(-4 * n // 5) + 1 if n else 0
+    if not len(common):
+        return hashes[:length]
+    place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    is_common = common[place] == hashes
+    rare = hashes[~is_common]
+    if len(rare) >= length:
+        return rare[:length]
+    late = np.flatnonzero(is_common)
+    late = late[np.argsort(rank[place[late]], kind="stable")]
+    return np.concatenate((rare, hashes[late[: length - len(rare)]]))
+
+
+def _prefixes(width: int, common: np.ndarray, clashes: np.ndarray):
+    rank = np.argsort(common)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        ordered = common[rank]
+        for batch in pieces(batches, "text"):
+            sets = _distinct(texts(batch.column("text")), width)
+            nodes = _nodes_of(set_names(sets), clashes)
+            first = [prefix(x, ordered, rank) for x in sets]
+            each = np.repeat(nodes, [len(x) for x in first])
+            hashes = np.concatenate(first).view(np.int64)
+            for at in range(0, len(hashes), 1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[at : at + (1 << 16)]), pa.array(each[at : at + (1 << 16)])], ["h", "node"]
+                )
+
+    return run
+
+
+def _shared(batches) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h and node, each once, those whose h has several nodes; holds one row between batches."""
+    h, node, told = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = np.concatenate((h, batch.column("h").to_numpy()))
+        node = np.concatenate((node, batch.column("node").to_numpy()))
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (node[1:] == node[:-1])
+        h, node = h[~again], node[~again]
+        same = h[1:] == h[:-1]
+        out = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        last = bool(out[-1]) or (told and len(h) == 1)
+        if told:
+            out[0] = False  # the row held was told with its batch
+        yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(node[out])], ["h", "node"])
+        h, node, told = h[-1:], node[-1:], last
+
+
+def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits at the places of hashed keys; of a set size, whatever the number of keys."""
+    place = F.pmod(F.xxhash64(column), F.lit(64 * BITMAP_WORDS))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    words = keys.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / 64).cast("int").alias("word"))
+    bits = np.zeros(BITMAP_WORDS, np.int64)
+    for r in words.agg(F.bit_or(bit).alias("bits")).collect():
+        bits[r.word] = r.bits
+    return bits.view(np.uint64)
+
+
+def sets_of(docs: DataFrame, keys: DataFrame, width: int, clashes: np.ndarray) -> DataFrame:
+    """(node, shingles) of the rows of ``docs`` (_key, text) with one of ``keys`` (_key), and of a few others."""
+    wanted = _bitmap(keys, "_key")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            place = batch.column("place").to_numpy()
+            on = (wanted[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
+            some = batch.filter(pa.array(on.astype(bool)))
+            if some.num_rows:
+                sets = _distinct(texts(some.column("text")), width)
+                begin = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(begin, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes_of(set_names(sets), clashes)), lists], ["node", "shingles"])
+
+    place = F.pmod(F.xxhash64("_key"), F.lit(64 * BITMAP_WORDS)).alias("place")
+    return docs.select("text", place).mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def _pairs_listed(pairs: Iterator[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> Iterator[np.ndarray]:
@@ -442,29 +600,33 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, sets: DataFrame, grid: Grid = SIMILAR) -> DataFrame:
     """Links (a, b) that connect what pairs with a Jaccard similarity of 0.8 or more connect.
 
-    ``nodes``: node, fp, and ``sets``: node, shingles, one row per distinct set.
-    Pairs are those that share a cell of ``grid`` and are within its bits; each
+    ``nodes``: node, fp, prefix (the cells), and ``sets``: node, shingles, one row per distinct set.
+    Pairs are those that share a cell and are within the grid's bits; each
     is compared exactly.  What a round of pivots for dense cells and a round of
     one pair for each row connect is one label; then all pairs of two labels are
     compared, so a group of near copies does not turn into all its pairs.
     """
-    nodes = nodes.select("node", "fp", F.col("node").alias("label"))
-    tile = _tile_size(nodes, grid.blocks)
+    nodes = nodes.select("node", "fp", "prefix", F.col("node").alias("label"))
+    rows = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    tile = min(LARGEST_TILE, max(LEAST_TILE, rows // 1000))
 
     def compared(found: DataFrame) -> DataFrame:
-        return keep(_similar(keep(found.distinct(), "simhash-pairs"), sets), "simhash-links")
+        pairs = keep(found.distinct(), "simhash-pairs")
+        links = keep(_similar(pairs, sets), "simhash-links")
+        forget(pairs)
+        return links
 
-    def listed(blocks: int, solved) -> DataFrame:
-        return compared(_tiles(nodes, grid, blocks, tile).mapInArrow(_in_tiles(grid, solved), "a bigint, b bigint"))
+    def listed(solved) -> DataFrame:
+        return compared(_tiles(nodes, grid, 0, tile).mapInArrow(_in_tiles(grid, solved), "a bigint, b bigint"))
 
     links = []
-    pivots = _pivot_links(nodes, grid, grid.blocks, tile)
+    pivots = _pivot_links(nodes, grid, 0, tile)
     if pivots is not None:
         links.append(compared(pivots))
         nodes = _relabelled(nodes, components(links[0]))
-    links.append(listed(min(FIRST_BLOCKS, grid.blocks), _first_listed))
+    links.append(listed(_first_listed))
     nodes = _relabelled(nodes, components(reduce(DataFrame.union, links)))
-    links.append(listed(grid.blocks, _pairs_listed))
+    links.append(listed(_pairs_listed))
     return reduce(DataFrame.union, links).distinct()
 
 
@@ -505,19 +667,36 @@ def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame
     Near copies are texts whose distinct shingles have a Jaccard similarity of
     0.8 or more, and what such pairs connect (:func:`similar_links`).
     Of each group the row with the smallest doc_id stays (nulls last), of
-    several such rows the one whose text has the smallest MD5.  Ids, hashes and
-    shingles are grouped; the texts move once, to meet the chosen ids.
+    several such rows the one whose text has the smallest MD5.  Null and empty texts are
+    copies of each other; an empty table gives no rows.
+
+    Texts are read where they are: once for the common shingles, once for names and
+    fingerprints of their sets, once for their prefixes, and those that share a
+    prefix's shingle with another once more, for their sets.  Rows move as ids and hashes,
+    but for the chosen ones.
     """
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.col("text").cast("binary")))
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("_key"), "text")
-    found = shingle_sets(plain, width, grid.words, ("doc_id", "_key"))
-    rows = keep(found.withColumn("node", F.xxhash64("shingles")), "simhash")
-    nodes = keep(rows.groupBy("node").agg(F.min("fp").alias("fp")), "simhash-nodes")
-    sets = keep(rows.select("node", "shingles").dropDuplicates(["node"]), "simhash-sets")
-    roots = _roots(nodes, similar_links(nodes, sets, grid))
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("_key"), F.col("text").cast("string").alias("text"))
+    found = keep(set_rows(plain, width, grid.words, ("doc_id", "_key")), "simhash")
+    # Different sets with one first half: none, or a few, by chance alone.
+    several = found.select("s0", "s1", "size").distinct().groupBy("s0").count().where("count > 1")
+    clashes = np.array([r.s0 for r in several.collect()], np.int64)
+    node = F.when(F.col("s0").isin(clashes.tolist()), F.col("s1")).otherwise(F.col("s0")) if len(clashes) else F.col("s0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key")).alias("_first")
-    ids = lookup_join(rows.groupBy("node").agg(first), roots, "node", "inner")
-    chosen = keep(ids.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_near_copy_key")), "simhash-chosen")
+    nodes = found.groupBy(node.alias("node")).agg(first, F.min("fp").alias("fp"))
+    nodes = keep(nodes.select("node", "_first", F.col("_first._key").alias("_key"), "fp"), "simhash-nodes")
+    forget(found)
+    dealt = plain.mapInArrow(_prefixes(width, common_shingles(plain, width), clashes), "h bigint, node bigint")
+    dealt = dealt.repartition("h").sortWithinPartitions("h", "node")
+    cells = dealt.mapInArrow(_shared, "h bigint, node bigint").groupBy("node").agg(F.collect_list("h").alias("prefix"))
+    met = keep(lookup_join(nodes.select("node", "_key", "fp"), cells, "node", "inner"), "simhash-met")
+    sets = keep(sets_of(plain, met.select("_key"), width, clashes), "simhash-sets")
+    links = keep(similar_links(met, sets, grid), "simhash-similar")
+    for table in (met, sets):
+        forget(table)
+    ids = lookup_join(nodes.select("node", "_first"), _roots(nodes, links), "node", "inner")
+    chosen = ids.groupBy("root").agg(F.min("_first").alias("_first"))
+    chosen = keep(chosen.select(F.col("_first._key").alias("_near_copy_key")), "simhash-chosen")
     # Rows repeated as a whole have one key and stay next to each other after the join.
     kept = docs.withColumn("_near_copy_key", key).join(chosen, "_near_copy_key", "left_semi")
     return kept.dropDuplicates(["_near_copy_key"]).select(*docs.columns)

@@ -597,11 +597,11 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(fit).select("a", F.col("node").alias("b"))
 
 
-def similar_links(nodes: DataFrame, sets: DataFrame, grid: Grid = SIMILAR) -> DataFrame:
+def similar_links(nodes: DataFrame, sets_for, grid: Grid = SIMILAR) -> DataFrame:
     """Links (a, b) that connect what pairs with a Jaccard similarity of 0.8 or more connect.
 
-    ``nodes``: node, fp, prefix (the cells), and ``sets``: node, shingles, one row per distinct set.
-    Pairs are those that share a cell and are within the grid's bits; each
+    ``nodes``: node, fp, prefix (the cells), one row per distinct set; ``sets_for`` makes
+    (node, shingles) of a table of nodes.  Pairs are those that share a cell and are within the grid's bits; each
     is compared exactly.  What a round of pivots for dense cells and a round of
     one pair for each row connect is one label; then all pairs of two labels are
     compared, so a group of near copies does not turn into all its pairs.
@@ -612,8 +612,11 @@ def similar_links(nodes: DataFrame, sets: DataFrame, grid: Grid = SIMILAR) -> Da
 
     def compared(found: DataFrame) -> DataFrame:
         pairs = keep(found.distinct(), "simhash-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = keep(sets_for(ends), "simhash-sets")
         links = keep(_similar(pairs, sets), "simhash-links")
-        forget(pairs)
+        for table in (pairs, sets):
+            forget(table)
         return links
 
     def listed(solved) -> DataFrame:
@@ -671,8 +674,8 @@ def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame
     copies of each other; an empty table gives no rows.
 
     Texts are read where they are: once for the common shingles, once for names and
-    fingerprints of their sets, once for their prefixes, and those that share a
-    prefix's shingle with another once more, for their sets.  Rows move as ids and hashes,
+    fingerprints of their sets, once for their prefixes; those in candidate pairs are
+    read once more in each of the rounds, for their sets.  Rows move as ids and hashes,
     but for the chosen ones.
     """
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.col("text").cast("binary")))
@@ -689,11 +692,13 @@ def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame
     dealt = plain.mapInArrow(_prefixes(width, common_shingles(plain, width), clashes), "h bigint, node bigint")
     dealt = dealt.repartition("h").sortWithinPartitions("h", "node")
     cells = dealt.mapInArrow(_shared, "h bigint, node bigint").groupBy("node").agg(F.collect_list("h").alias("prefix"))
-    met = keep(lookup_join(nodes.select("node", "_key", "fp"), cells, "node", "inner"), "simhash-met")
-    sets = keep(sets_of(plain, met.select("_key"), width, clashes), "simhash-sets")
-    links = keep(similar_links(met, sets, grid), "simhash-similar")
-    for table in (met, sets):
-        forget(table)
+    met = keep(lookup_join(nodes.select("node", "fp"), cells, "node", "inner"), "simhash-met")
+
+    def sets_for(ends: DataFrame) -> DataFrame:
+        return sets_of(plain, lookup_join(ends, nodes.select("node", "_key"), "node", "inner"), width, clashes)
+
+    links = keep(similar_links(met, sets_for, grid), "simhash-similar")
+    forget(met)
     ids = lookup_join(nodes.select("node", "_first"), _roots(nodes, links), "node", "inner")
     chosen = ids.groupBy("root").agg(F.min("_first").alias("_first"))
     chosen = keep(chosen.select(F.col("_first._key").alias("_near_copy_key")), "simhash-chosen")

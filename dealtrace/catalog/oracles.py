@@ -552,6 +552,25 @@ twin(
     *_LINK_TABLES,
     more=_LINK_MORE,
 )
+twin(
+    "touch_intervals",
+    f"""SELECT opp_id, domain, epoch_us(create_date) AS create_date, first, after, after - first AS touches
+FROM (SELECT r.opp_id, r.domain, r.create_date,
+    count(*) FILTER (WHERE t.touch_date < r.create_date - INTERVAL {B.WINDOW_DAYS} DAYS) AS first,
+    count(*) FILTER (WHERE t.touch_date <= r.create_date) AS after
+  FROM resolved r LEFT JOIN touches t ON r.domain = t.domain
+  WHERE amount IS NOT NULL AND create_date IS NOT NULL AND r.domain IS NOT NULL GROUP BY 1, 2, 3)""",
+    *_LINK_TABLES,
+    more=_LINK_MORE,
+)
+twin(
+    "numbered_touches",
+    """SELECT domain, count(*) AS touches, 0::BIGINT AS lowest, count(*) - 1 AS highest,
+  epoch_us(min(touch_date)) AS first_us, epoch_us(max(touch_date)) AS last_us
+FROM touches WHERE domain IS NOT NULL AND touch_date IS NOT NULL GROUP BY domain""",
+    *_TOUCH_TABLES,
+    more=_TOUCHES,
+)
 _WEIGHT = f"pow(2.0, -days_before / {B.HALF_LIFE}.0)"
 twin(
     "deal_channel_links",

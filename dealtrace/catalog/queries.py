@@ -428,6 +428,27 @@ def touch_summary(t):
     return rows.select("channel", "touch_type", "touches", "domains", micros("first_touch"), micros("last_touch"))
 
 
+@query
+def touch_intervals(t):
+    """Every linkable deal's interval of its domain's numbered touches."""
+    deals = T.linked_intervals(t.deals, _touches(t), t.accounts, B.WINDOW_DAYS).deals
+    size = (F.col("after") - F.col("first")).alias("touches")
+    return deals.select("opp_id", "domain", micros("create_date"), "first", "after", size)
+
+
+@query
+def numbered_touches(t):
+    """Per domain: how many touches are numbered, and whether the numbers follow the dates without a gap."""
+    touches = T.linked_intervals(t.deals, _touches(t), t.accounts, B.WINDOW_DAYS).touches
+    return touches.groupBy("domain").agg(
+        F.count("*").alias("touches"),
+        F.min("place").alias("lowest"),
+        F.max("place").alias("highest"),
+        F.min_by(F.unix_micros("touch_date"), "place").alias("first_us"),
+        F.max_by(F.unix_micros("touch_date"), "place").alias("last_us"),
+    )
+
+
 @query
 def linked_touches(t):
     linked = T.linked_touches(t.deals, _touches(t), t.accounts, B.WINDOW_DAYS)

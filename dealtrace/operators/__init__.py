@@ -10,18 +10,21 @@ from .aggregate import (
     top_n,
     total,
 )
+from .intervals import TouchIntervals, expand, link_touches, touch_intervals
 from .lookup import lookup_join
 from .reshape import pivot_sum, ranked_pivot, stack_columns
 from .state import latest_state
-from .sweep import deal_channel_links, in_ranges, link_touches, touch_links, touch_prefixes
+from .sweep import deal_channel_links, in_ranges, touch_links, touch_prefixes
 
 __all__ = [
+    "TouchIntervals",
     "ad_totals",
     "count_by",
     "deal_channel_links",
     "deal_summary",
     "drop_null_keys",
     "engagement_rates",
+    "expand",
     "in_ranges",
     "last_n",
     "latest_state",
@@ -34,6 +37,7 @@ __all__ = [
     "stack_columns",
     "top_n",
     "total",
+    "touch_intervals",
     "touch_links",
     "touch_prefixes",
 ]

@@ -211,36 +211,6 @@ def deal_channel_links(
     return touch_links(deals, touches, ["channel"], window_days, half_life_days, carry)
 
 
-def link_touches(
-    deals: DataFrame,
-    touches: DataFrame,
-    window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
-) -> DataFrame:
-    """The linked-touch table itself: one row per deal and touch in its window.
-
-    Its size is that of the result asked for; models and reports need
-    :func:`touch_links` only.  The equality key is (domain, time slice): the
-    slice is as wide as the window, so a deal meets two of them, and a busy
-    domain is spread over as many keys as it has slices.
-    """
-    window = int(window_days * S.MICROS_PER_DAY)
-    slice_of = lambda us: F.floor(us / F.lit(window)).cast("bigint")
-    head = slice_of(F.unix_micros("create_date"))
-    left = deals.where(F.col("domain").isNotNull() & F.col("create_date").isNotNull()).withColumn(
-        "_slice", F.explode(F.array(head, head - 1))
-    )
-    right = touches.where(F.col("domain").isNotNull() & F.col("touch_date").isNotNull()).withColumn(
-        "_slice", slice_of(F.unix_micros("touch_date"))
-    )
-    age = F.unix_micros("create_date") - F.unix_micros("touch_date")
-    return (
-        left.join(right, ["domain", "_slice"])
-        .where(age.between(0, window))
-        .drop("_slice")
-        .withColumn("days_before", S.days_between("create_date", "touch_date"))
-    )
-
-
 def touch_prefixes(
     deals: DataFrame, touches: DataFrame, steps: int = 5, carry: Sequence[str] = ()
 ) -> DataFrame:

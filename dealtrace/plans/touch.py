@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import scalars as S
-from ..operators import sweep
+from ..operators import intervals, sweep
 from ..operators.lookup import lookup_join
 
 
@@ -103,6 +103,23 @@ def attributable(
     return resolve_domains(complete, accounts, domain_source).where(F.col("domain").isNotNull())
 
 
+def _linkable(opps: DataFrame, accounts: DataFrame | None, domain_source: str) -> DataFrame:
+    return attributable(opps, accounts, domain_source).select(
+        "opp_id", "domain", "create_date", "amount", "channel_category", "is_marketing_sourced", "is_won"
+    )
+
+
+def linked_intervals(
+    opps: DataFrame,
+    touches: DataFrame,
+    accounts: DataFrame | None = None,
+    window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
+    domain_source: str = "fallback",
+) -> intervals.TouchIntervals:
+    """Deals with the interval of their domain's numbered touches, and those touches."""
+    return intervals.touch_intervals(_linkable(opps, accounts, domain_source), touches, window_days)
+
+
 def linked_touches(
     opps: DataFrame,
     touches: DataFrame,
@@ -110,16 +127,8 @@ def linked_touches(
     window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
     domain_source: str = "fallback",
 ) -> DataFrame:
-    deals = attributable(opps, accounts, domain_source).select(
-        "opp_id",
-        "domain",
-        "create_date",
-        "amount",
-        F.col("channel_category"),
-        "is_marketing_sourced",
-        "is_won",
-    )
-    return sweep.link_touches(deals, touches, window_days)
+    """One row per deal and touch in its window: the intervals, expanded."""
+    return intervals.expand(linked_intervals(opps, touches, accounts, window_days, domain_source))
 
 
 def deal_links(
@@ -166,6 +175,7 @@ __all__ = [
     "display_touches",
     "email_touches",
     "link_summary",
+    "linked_intervals",
     "linked_touches",
     "resolve_domains",
     "touch_summary",

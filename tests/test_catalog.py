@@ -9,6 +9,7 @@ import pytest
 from dealtrace.catalog import bindings as B
 from dealtrace.catalog.oracles import ORACLES, with_store
 from dealtrace.catalog.queries import QUERIES
+from dealtrace.operators import sweep
 from dealtrace.sources.scratch import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,12 +58,17 @@ def test_filters_and_columns_reach_the_files(spark):
     assert "ReadSchema: struct<ts:timestamp,event_type:string,value:double>" in plan
 
 
-def test_slice_totals_are_computed_once(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = QUERIES["deal_channel_links"](spark, FOLDER)
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("ReusedExchange") >= 3
+def test_touch_links_write_the_log_once_and_read_even_ranges(spark, monkeypatch):
+    kept, ranges = [], []
+    write, lay_out = sweep.keep, sweep.in_ranges
+    monkeypatch.setattr(sweep, "RANGE_ROWS", 1_000)
+    monkeypatch.setattr(sweep, "keep", lambda df, label: kept.append(label) or write(df, label))
+    monkeypatch.setattr(sweep, "in_ranges", lambda *a, **k: ranges.append(lay_out(*a, **k)) or ranges[-1])
+    df = QUERIES["deal_channel_links"](spark, FOLDER)
+    df.collect()
+    assert kept.count("touch-log") == 1 and len(ranges) == 1
+    sizes = [r["count"] for r in ranges[0].groupBy("range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * 1_000
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = [line for line in plan.splitlines() if "Scan parquet" in line]
+    assert len(scans) == 2 and all("touch-ranges" in line for line in scans)

@@ -33,7 +33,7 @@ from ..plans import reports as R
 from ..plans import touch as T
 from ..plans import winprob as W
 from ..plans.funnel import funnel
-from ..plans.quality import reconcile
+from ..plans.quality import UNIQUE, distinct_deals, keep_all_measured, reconcile_totals
 from ..sources import read_raw, read_report, read_table, rows_as_json, write_report, write_table
 from ..sources.scratch import keep, shared_folder
 from . import bindings as B
@@ -790,22 +790,23 @@ def attribution_rows_json(t):
 
 @query
 def reconciliation(t):
-    # Stored first, as the stage runner does it: several checks read them.
-    channels = keep(_channels(t), "channels")
-    touches = keep(_attribution(t, V.INFLUENCED, V.FIRST_TOUCH), "credits")
-    checks = reconcile(
-        t.opps,
-        channels,
-        _master(t),
-        C.channel_roi_report(channels),
-        funnel(t.campaign, t.ads, t.email, t.web, t.opps),
-        touches,
-        t.campaign,
-        t.ads,
-        t.email,
-        t.web,
-    )
-    return rounded(checks, 2, "actual", "expected")
+    """Totals seen by the tasks that write the stage tables; one column is read again, for distinct deals."""
+    stored = Tables(t.spark, t.folder)
+    made, totals = keep_all_measured({name: getattr(t, name) for name in ("opps", "campaign", "ads", "email", "web")})
+    for name, df in made.items():
+        setattr(stored, name, df)
+    channels = _channels(stored)
+    later = {
+        "channels": channels,
+        "report": C.channel_roi_report(channels),
+        "master": _master(stored),
+        "funnel": funnel(stored.campaign, stored.ads, stored.email, stored.web, stored.opps),
+        "attribution": _attribution(stored, V.INFLUENCED, V.FIRST_TOUCH),
+    }
+    totals |= keep_all_measured(later)[1]
+    distinct = stored.opps.agg(distinct_deals(stored.opps).cast("double")).first()[0]
+    totals["opps"][("expected", UNIQUE)] = distinct
+    return rounded(reconcile_totals(t.spark, totals), 2, "actual", "expected")
 
 
 # --- win model -------------------------------------------------------------

@@ -1,32 +1,46 @@
-"""Reconciliation: headline totals recomputed and compared."""
+"""Reconciliation: headline totals recomputed and compared.
+
+What each table adds to the checks is a set of plain aggregates (:func:`measures`).
+They can be computed from tables (:func:`reconcile`), or by the tasks that write
+the tables, as observed metrics (:func:`keep_measured`); then the comparison reads
+no table at all (:func:`reconcile_totals`).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import scalars as S
 from ..operators.aggregate import total
-
-MONEY, COUNT = "money", "count"
-
-
-def _sides(df: DataFrame, **sides: dict[str, Column]) -> DataFrame:
-    """One aggregated row, for both sides at once, as (check, side, value) rows."""
-    named = {f"{side}/{check}": v for side, checks in sides.items() for check, v in checks.items()}
-    row = df.agg(*(v.cast("double").alias(name) for name, v in named.items()))
-    long = row.unpivot([], list(named), "_name", "value")
-    parts = F.split("_name", "/", 2)
-    return long.select(parts[1].alias("check"), parts[0].alias("side"), "value")
-
-
-def recounted_stages(
-    campaign: DataFrame, ads: DataFrame, email: DataFrame, web: DataFrame, opps: DataFrame
-) -> DataFrame:
-    """The funnel's stages counted anew, from the tables and not from the funnel's own functions.
-
-    One plain aggregate per table; flags are summed as numbers.
+from ..sources.scratch import keep
+
+UNIQUE = "unique opportunities"
+CHANNEL_PIPE, CHANNEL_WON, CHANNEL_COUNT = (
+    "channel pipeline vs opportunities",
+    "channel won revenue vs opportunities",
+    "channel won count vs opportunities",
+)
+ACCOUNT_PIPE, REPORT_WON, REPORT_COUNT = (
+    "account pipeline vs opportunities",
+    "report won revenue vs channels",
+    "report won count vs channels",
+)
+TOUCH_PIPE, TOUCH_WON = "influenced vs first-touch pipeline", "influenced vs first-touch won"
+STAGES = {stage: f"funnel stage {stage}" for stage in V.FUNNEL_STAGES}
+EXACT = [UNIQUE, CHANNEL_COUNT, REPORT_COUNT, *STAGES.values()]
+TABLES = ("opps", "channels", "master", "report", "funnel", "attribution", "campaign", "ads", "email", "web")
+
+
+def measures(table: str) -> dict[tuple[str, str], Column]:
+    """(side, check) to the aggregate that ``table`` adds to it; several tables' parts of one are summed.
+
+    The funnel's stages are counted anew from the tables, flags summed as numbers, not by the
+    funnel's own functions.  Distinct deals are not here: see :func:`distinct_deals`.
     """
 
     def flagged(condition: str) -> Column:
@@ -35,31 +49,107 @@ def recounted_stages(
     def added(column: str) -> Column:
         return F.expr(f"sum(`{column}`)")
 
-    by_table = [
-        (campaign, [added("impressions"), added("clicks"), added("form_fills")], (0, 1, 2)),
-        (ads, [added("impressions"), added("clicks")], (0, 1)),
-        (web, [flagged("is_goal_completed")], (2,)),
-        (email, [F.expr("count(*)"), flagged("is_click")], (3, 4)),
-        (
-            opps,
-            [
-                F.expr("count(*)"),
-                flagged("is_marketing_sourced"),
-                flagged("is_won"),
-                flagged("is_marketing_sourced AND is_won"),
-            ],
-            (5, 6, 7, 8),
-        ),
-    ]
-    rows = None
-    for table, values, places in by_table:
-        pairs = [
-            F.struct(F.lit(V.FUNNEL_STAGES[i]).alias("stage"), v.cast("double").alias("value"))
-            for i, v in zip(places, values)
-        ]
-        part = table.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("stage").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+    def recounted(*parts: tuple[int, Column]) -> dict[tuple[str, str], Column]:
+        return {("expected", STAGES[V.FUNNEL_STAGES[place]]): value for place, value in parts}
+
+    def credit(model: str, column: str) -> Column:
+        return total(F.when(F.col("attribution_model") == model, F.col(column)))
+
+    won = S.is_true("is_won")
+    if table == "opps":
+        of_all, of_won, n_won = total("amount"), total(F.when(won, F.col("amount"))), F.count_if(won)
+        return {
+            ("actual", UNIQUE): F.count(F.lit(1)),
+            ("expected", CHANNEL_PIPE): of_all,
+            ("expected", CHANNEL_WON): of_won,
+            ("expected", CHANNEL_COUNT): n_won,
+            ("expected", ACCOUNT_PIPE): of_all,
+            **recounted(
+                (5, F.expr("count(*)")),
+                (6, flagged("is_marketing_sourced")),
+                (7, flagged("is_won")),
+                (8, flagged("is_marketing_sourced AND is_won")),
+            ),
+        }
+    if table == "channels":
+        return {
+            ("actual", CHANNEL_PIPE): total("total_pipeline"),
+            ("actual", CHANNEL_WON): total("won_pipeline"),
+            ("actual", CHANNEL_COUNT): total("won_count"),
+            ("expected", REPORT_WON): total("won_pipeline"),
+            ("expected", REPORT_COUNT): total("won_count"),
+        }
+    if table == "report":
+        return {("actual", REPORT_WON): total("won_revenue"), ("actual", REPORT_COUNT): total("won_deals")}
+    if table == "master":
+        return {("actual", ACCOUNT_PIPE): total("total_pipeline")}
+    if table == "attribution":
+        return {
+            ("actual", TOUCH_PIPE): credit(V.INFLUENCED, "attributed_pipeline"),
+            ("actual", TOUCH_WON): credit(V.INFLUENCED, "attributed_won"),
+            ("expected", TOUCH_PIPE): credit(V.FIRST_TOUCH, "attributed_pipeline"),
+            ("expected", TOUCH_WON): credit(V.FIRST_TOUCH, "attributed_won"),
+        }
+    if table == "funnel":
+        of = lambda stage: F.sum(F.when(F.col("stage") == stage, F.col("count").cast("bigint")))
+        return {("actual", check): of(stage) for stage, check in STAGES.items()}
+    if table == "campaign":
+        return recounted((0, added("impressions")), (1, added("clicks")), (2, added("form_fills")))
+    if table == "ads":
+        return recounted((0, added("impressions")), (1, added("clicks")))
+    if table == "web":
+        return recounted((2, flagged("is_goal_completed")))
+    if table == "email":
+        return recounted((3, F.expr("count(*)")), (4, flagged("is_click")))
+    raise ValueError(f"no checks on {table!r}")
+
+
+def distinct_deals(opps: DataFrame) -> Column:
+    """Distinct deals, which tasks cannot sum up on their own."""
+    return F.countDistinct("opp_id")
+
+
+def _verdicts(rows: DataFrame, tolerance: float) -> DataFrame:
+    """check, actual, expected, ok from (check, side, value); a side that nothing was added to is null and fails."""
+
+    def side(name: str) -> Column:
+        return F.sum(F.when(F.col("side") == name, F.col("value"))).alias(name)
+
+    gap = F.abs(F.col("actual") - F.col("expected"))
+    allowed = F.when(F.col("check").isin(EXACT), F.lit(0.0)).otherwise(F.lit(tolerance))
+    recounted = F.col("check").isin(list(STAGES.values()))
+    both = rows.groupBy("check").agg(side("actual"), side("expected"))
+    # A stage without any row was counted, as nothing.
+    both = both.withColumn("expected", F.when(recounted, F.coalesce("expected", F.lit(0.0))).otherwise(F.col("expected")))
+    return both.withColumn("ok", F.coalesce(gap <= allowed, F.lit(False)))
+
+
+def keep_measured(df: DataFrame, table: str, label: str) -> tuple[DataFrame, dict[tuple[str, str], float | None]]:
+    """``df`` as a written table, and its :func:`measures` as the writing tasks saw them; it is not read for them."""
+    wanted = measures(table)
+    seen = Observation()
+    named = [value.cast("double").alias(f"m{i}") for i, value in enumerate(wanted.values())]
+    stored = keep(df.observe(seen, *named), label)
+    found = seen.get
+    return stored, {key: found.get(f"m{i}") for i, key in enumerate(wanted)}
+
+
+def keep_all_measured(
+    tables: Mapping[str, DataFrame], label: str = "stage"
+) -> tuple[dict[str, DataFrame], dict[str, dict[tuple[str, str], float | None]]]:
+    """:func:`keep_measured` of tables that do not need each other, written at the same time."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        begun = {name: pool.submit(keep_measured, df, name, f"{label}-{name}") for name, df in tables.items()}
+        done = {name: job.result() for name, job in begun.items()}
+    return {name: df for name, (df, _) in done.items()}, {name: found for name, (_, found) in done.items()}
+
+
+def reconcile_totals(
+    spark: SparkSession, totals: Mapping[str, Mapping[tuple[str, str], float | None]], tolerance: float = V.TOLERANCE
+) -> DataFrame:
+    """check, actual, expected, ok from totals by table, as :func:`keep_measured` returns them."""
+    rows = [(check, side, value) for found in totals.values() for (side, check), value in found.items()]
+    return _verdicts(spark.createDataFrame(rows, "check string, side string, value double"), tolerance)
 
 
 def reconcile(
@@ -75,86 +165,27 @@ def reconcile(
     web: DataFrame,
     tolerance: float = V.TOLERANCE,
 ) -> DataFrame:
-    """check, actual, expected, ok: every check in one table, none raises.
+    """check, actual, expected, ok: every check in one table, none raises; one pass over each table.
 
     Each table is reduced to one row of totals; the rows are stacked and paired
     by check name.
     """
-    won = S.is_true("is_won")
-    pipeline, won_sum = total("amount"), total(F.when(won, F.col("amount")))
-    won_count = F.count_if(won)
-    unique, channel_pipe, channel_won, channel_count = (
-        "unique opportunities",
-        "channel pipeline vs opportunities",
-        "channel won revenue vs opportunities",
-        "channel won count vs opportunities",
-    )
-    account_pipe, report_won, report_count = (
-        "account pipeline vs opportunities",
-        "report won revenue vs channels",
-        "report won count vs channels",
-    )
-    touch_pipe, touch_won = "influenced vs first-touch pipeline", "influenced vs first-touch won"
-    is_influenced = F.col("attribution_model") == V.INFLUENCED
-    is_first = F.col("attribution_model") == V.FIRST_TOUCH
-
-    def credit(which: Column, column: str) -> Column:
-        return total(F.when(which, F.col(column)))
-
-    def stages(df: DataFrame, side: str, column: str) -> DataFrame:
-        value = F.col(column).cast("bigint").cast("double")
-        name = F.concat(F.lit("funnel stage "), F.col("stage"))
-        return df.select(name.alias("check"), F.lit(side).alias("side"), value.alias("value"))
-
-    parts = [
-        _sides(
-            opps,
-            expected={
-                unique: F.countDistinct("opp_id"),
-                channel_pipe: pipeline,
-                channel_won: won_sum,
-                channel_count: won_count,
-                account_pipe: pipeline,
-            },
-            actual={unique: F.count(F.lit(1))},
-        ),
-        _sides(
-            channels,
-            actual={
-                channel_pipe: total("total_pipeline"),
-                channel_won: total("won_pipeline"),
-                channel_count: total("won_count"),
-            },
-            expected={report_won: total("won_pipeline"), report_count: total("won_count")},
-        ),
-        _sides(report, actual={report_won: total("won_revenue"), report_count: total("won_deals")}),
-        _sides(master, actual={account_pipe: total("total_pipeline")}),
-        _sides(
-            attribution,
-            actual={
-                touch_pipe: credit(is_influenced, "attributed_pipeline"),
-                touch_won: credit(is_influenced, "attributed_won"),
-            },
-            expected={
-                touch_pipe: credit(is_first, "attributed_pipeline"),
-                touch_won: credit(is_first, "attributed_won"),
-            },
-        ),
-        stages(funnel, "actual", "count"),
-        stages(recounted_stages(campaign, ads, email, web, opps), "expected", "value"),
-    ]
+    frames = (opps, channels, master, report, funnel, attribution, campaign, ads, email, web)
+    parts = []
+    for table, df in zip(TABLES, frames):
+        wanted = measures(table)
+        if table == "opps":
+            wanted[("expected", UNIQUE)] = distinct_deals(df)
+        named = {f"m{i}": value.cast("double") for i, value in enumerate(wanted.values())}
+        row = df.agg(*(value.alias(name) for name, value in named.items()))
+        keys = F.array(
+            *(
+                F.struct(F.lit(check).alias("check"), F.lit(side).alias("side"), F.col(name).alias("value"))
+                for (side, check), name in zip(wanted, named)
+            )
+        )
+        parts.append(row.select(F.inline(keys)))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-
-    def side(name: str) -> Column:
-        return F.max(F.when(F.col("side") == name, F.col("value"))).alias(name)
-
-    exact = [unique, channel_count, report_count, *(f"funnel stage {s}" for s in V.FUNNEL_STAGES)]
-    gap = F.abs(F.col("actual") - F.col("expected"))
-    allowed = F.when(F.col("check").isin(exact), F.lit(0.0)).otherwise(F.lit(tolerance))
-    return (
-        rows.groupBy("check")
-        .agg(side("actual"), side("expected"))
-        .withColumn("ok", F.coalesce(gap <= allowed, F.lit(False)))
-    )
+    return _verdicts(rows, tolerance)

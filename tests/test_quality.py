@@ -8,6 +8,8 @@ from dealtrace.functions import fixed_values as V
 from dealtrace.plans import channel as C
 from dealtrace.plans import winprob as W
 from dealtrace.plans.funnel import funnel
+from dealtrace.catalog.queries import QUERIES
+from dealtrace.plans import quality as N
 from dealtrace.plans.quality import reconcile
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,6 +37,51 @@ def test_all_eighteen_checks_pass(spark):
     assert len(got) == 18 and all(got.values())
 
 
+def test_observed_totals_equal_computed_ones(spark):
+    t = Tables(spark, FOLDER)
+    channels = _channels(t)
+    tables = {"opps": t.opps, "web": t.web, "channels": channels, "report": C.channel_roi_report(channels)}
+    tables["email"] = t.email.where("false")
+    stored, totals = N.keep_all_measured(tables)
+    for name, df in tables.items():
+        assert stored[name].count() == df.count() and stored[name].columns == df.columns
+        wanted = N.measures(name)
+        row = stored[name].agg(*(v.cast("double").alias(f"m{i}") for i, v in enumerate(wanted.values()))).first()
+        assert totals[name].keys() == wanted.keys()
+        for value, plain in zip(totals[name].values(), row):
+            assert value == pytest.approx(plain, rel=1e-12) if plain is not None else value is None
+
+
+def test_reconciliation_reads_no_table_for_the_comparison(spark):
+    df = QUERIES["reconciliation"](spark, FOLDER)
+    assert df.where("ok").count() == 18
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan and "Scan ExistingRDD" in plan
+
+
+def test_every_wrong_total_fails_its_own_check(spark):
+    sides = {}
+    for table in N.TABLES:
+        for i, (side, check) in enumerate(N.measures(table)):
+            sides.setdefault(table, {})[side, check] = 3.0 if check.startswith("funnel") else 7.0
+    sides["opps"]["expected", N.UNIQUE] = 7.0
+    # Impressions, clicks and form fills are recounted from two tables each.
+    for place in (0, 1, 2):
+        sides["funnel"]["actual", N.STAGES[V.FUNNEL_STAGES[place]]] = 6.0
+    good = {r.check: r.ok for r in N.reconcile_totals(spark, sides).collect()}
+    assert len(good) == 18 and all(good.values())
+    every = [(table, key) for table, found in sides.items() for key in found]
+    for i, (table, (side, check)) in enumerate(every):
+        if i % 3 and not check.startswith("funnel stage " + V.FUNNEL_STAGES[0]):
+            continue
+        wrong = None if i % 2 and table != "opps" else sides[table][side, check] + 1
+        changed = {**sides, table: {**sides[table], (side, check): wrong}}
+        got = {r.check: r.ok for r in N.reconcile_totals(spark, changed).collect()}
+        assert [k for k, ok in got.items() if not ok] == [check]
+    gap = {**sides, "master": {("actual", N.ACCOUNT_PIPE): 7.009}}
+    assert all(r.ok for r in N.reconcile_totals(spark, gap).collect())
+
+
 def test_a_lost_deal_is_reported(spark):
     t = Tables(spark, FOLDER)
     fewer = _master(t).where(F.col("account_id") != "1")

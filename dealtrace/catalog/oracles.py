@@ -79,6 +79,7 @@ _MERGED = ", ".join(
     for c in ("version", "flag", "amount", "stage")
 )
 twin("latest_state_merge", f"SELECT id, {_MERGED} FROM log GROUP BY id", more=_LOG)
+twin("latest_state_incremental", f"SELECT id, {_MERGED} FROM log GROUP BY id", more=_LOG)
 twin(
     "latest_state_row",
     """SELECT id, version, flag, amount, stage FROM log

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import scalars as S
 from ..operators import (
+    StateStore,
     count_by,
     deal_summary,
     engagement_rates,
@@ -102,6 +103,17 @@ def latest_state_row(t):
     return last.select("id", "version", "flag", "amount", "stage")
 
 
+@query
+def latest_state_incremental(t):
+    """The log in three batches, applied one after another to a stored state; later versions come first."""
+    store = StateStore(f"{shared_folder(t.spark)}/state-{uuid.uuid4().hex}", ["id"], "version", TIES, buckets=16)
+    log = _changelog(t)
+    late = F.coalesce(F.col("version") > 3, F.lit(False))
+    for batch in (log.where(late), log.where(~late & F.col("version").isNotNull()), log.where("version IS NULL")):
+        store.apply(batch)
+    return store.read(t.spark).select("id", "version", "flag", "amount", "stage")
+
+
 @query
 def clean_opportunities(t):
     row_key = F.col("row_key").cast("bigint")

@@ -10,6 +10,7 @@ from .aggregate import (
     top_n,
     total,
 )
+from .incremental import StateStore
 from .intervals import TouchIntervals, expand, link_touches, touch_intervals
 from .lookup import lookup_join
 from .reshape import pivot_sum, ranked_pivot, stack_columns
@@ -17,6 +18,7 @@ from .state import latest_state
 from .sweep import deal_channel_links, in_ranges, touch_links, touch_prefixes
 
 __all__ = [
+    "StateStore",
     "TouchIntervals",
     "ad_totals",
     "count_by",

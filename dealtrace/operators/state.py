@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def version_rank(df: DataFrame, order: str, tiebreak: Sequence[str | Column] | None = None) -> Column:
+    """What versions sort by: their number, null last, then the tie columns (default: a hash of the row)."""
+    if tiebreak is None:
+        ties = [F.xxhash64(*df.columns)]
+    else:
+        ties = [t if isinstance(t, Column) else F.col(t) for t in tiebreak]
+    # NaN sorts after every number, as a null version must.
+    version = F.coalesce(F.col(order).cast("double"), F.lit(float("nan")))
+    return F.struct(version.alias("v"), *(t.alias(f"t{i}") for i, t in enumerate(ties)))
+
+
 def latest_state(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,13 +45,7 @@ def latest_state(
         raise ValueError(f"mode must be 'merge' or 'row', not {mode!r}")
     keys = [keys] if isinstance(keys, str) else list(keys)
     rest = [c for c in df.columns if c not in keys]
-    if tiebreak is None:
-        ties = [F.xxhash64(*df.columns)]
-    else:
-        ties = [t if isinstance(t, Column) else F.col(t) for t in tiebreak]
-    # NaN sorts after every number, as a null version must.
-    version = F.coalesce(F.col(order).cast("double"), F.lit(float("nan")))
-    rank = F.struct(version.alias("v"), *(t.alias(f"t{i}") for i, t in enumerate(ties)))
+    rank = version_rank(df, order, tiebreak)
     keyed = df.na.drop(subset=keys)
     if mode == "merge":
         picks = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in rest]

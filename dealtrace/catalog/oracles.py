@@ -834,6 +834,56 @@ twin(
     more=_MODEL_MORE,
 )
 twin("raw_exports", "SELECT * FROM raw_campaign", "raw_campaign")
+_TYPED_CELLS = {
+    "opportunities": {"version": ("_order", "double"), "amount": ("_amount", "double"),
+        "create_date": ("_createdate", "timestamp"), "is_won": ("iswon", "boolean")},
+    "accounts": {"annual_revenue": ("annualrevenue", "double"), "is_qualified": ("account6qa6sense__c", "boolean")},
+    "campaign": {"spend": ("_spend", "double"), "clicks": ("_clicks", "double"), "impressions": ("_impressions", "double"),
+        "form_fills": ("_influencedformfills", "bigint"), "activity_date": ("_date", "timestamp"),
+        "latest_impression": ("_latestimpression", "timestamp")},
+    "ads": {"activity_date": ("day", "timestamp"), "spend": ("_spend", "double"), "clicks": ("_clicks", "double"),
+        "impressions": ("_impressions", "double"), "pageviews": ("pageviews", "double")},
+    "email": {"event_time": ("_timestamp", "timestamp"), "sent_date": ("_campaignSentDate", "timestamp")},
+    "web": {"event_time": ("_timestamp", "timestamp"), "session_views": ("_totalsessionviews", "double"),
+        "is_goal_completed": ("_goalcompletion", "boolean")},
+    "contacts": {"employees": ("_employee", "double")},
+    "segments": {"activity_date": ("_date", "timestamp")},
+}
+_FLAGS = ", ".join(f"'{x}'" for x in (*V.TRUE_TOKENS, *V.FALSE_TOKENS))
+_READ = {
+    "double": number,
+    "bigint": number,
+    "timestamp": when,
+    "boolean": lambda c: f"CASE WHEN {clean(c)} IN ({_FLAGS}) THEN 1 END",
+}
+twin(
+    "rejected_cells",
+    " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", '{name}' AS "column", '{kind}' AS type, count(*) AS rows,
+  count({clean(raw)}) AS filled, count(*) FILTER (WHERE {clean(raw)} IS NOT NULL AND {_READ[kind](raw)} IS NULL) AS rejected
+FROM raw_{table}"""
+        for table, columns in _TYPED_CELLS.items()
+        for name, (raw, kind) in columns.items()
+    ),
+    *(f"raw_{table}" for table in _TYPED_CELLS),
+)
+twin(
+    "malformed_lines",
+    """SELECT count(*) AS lines, count(*) FILTER (WHERE cells <> 4) AS malformed,
+  count(*) FILTER (WHERE _6sensedomain = '') AS unnamed
+FROM (SELECT *, CAST(_6sensedomain IS NOT NULL AS INT) + CAST(_spend IS NOT NULL AS INT) + CAST(_clicks IS NOT NULL AS INT)
+    + CAST(coalesce(_clicks <> '2', false) AND _date IS NOT NULL AS INT)
+    + CAST(coalesce(_spend = 'null', false) AS INT) AS cells FROM raw_campaign)""",
+    "raw_campaign",
+)
+twin(
+    "touches_without_web",
+    """SELECT channel, touch_type, count(*) AS touches, count(DISTINCT domain) AS domains,
+  epoch_us(min(touch_date)) AS first_touch, epoch_us(max(touch_date)) AS last_touch FROM logged GROUP BY 1, 2""",
+    "campaign",
+    "email",
+    more=_LOGGED,
+)
 twin(
     "stored_tables",
     f"""SELECT {month("activity_date")} AS month, count(*) AS rows, sum(impressions) AS impressions,

@@ -35,7 +35,19 @@ from ..plans import touch as T
 from ..plans import winprob as W
 from ..plans.funnel import funnel
 from ..plans.quality import UNIQUE, distinct_deals, keep_all_measured, reconcile_totals
-from ..sources import read_raw, read_report, read_table, rows_as_json, write_report, write_table
+from ..sources import (
+    TABLES,
+    cell_counts,
+    line_counts,
+    read_checked,
+    read_raw,
+    read_report,
+    read_table,
+    read_table_or_empty,
+    rows_as_json,
+    write_report,
+    write_table,
+)
 from ..sources.scratch import keep, shared_folder
 from . import bindings as B
 
@@ -687,6 +699,39 @@ def raw_exports(t):
     return read_raw(t.spark, out, "campaign", {"campaign": "campaign.csv"})
 
 
+@query
+def rejected_cells(t):
+    """Filled and rejected cells of every typed column of all eight exports."""
+    counted = None
+    for name in sorted(TABLES):
+        part = cell_counts(getattr(t, f"raw_{name}"), name).withColumn("table", F.lit(name))
+        counted = part if counted is None else counted.unionByName(part)
+    return counted.select("table", "column", "type", "rows", "filled", "rejected")
+
+
+@query
+def malformed_lines(t):
+    """Campaign lines written as text, some a cell short and some a cell long, scanned and counted."""
+    out = f"{shared_folder(t.spark)}/lines-{uuid.uuid4().hex}"
+    columns = ["_6sensedomain", "_spend", "_clicks", "_date"]
+    raw = t.raw_campaign
+    spoilt = F.col("_clicks") == "2"
+    cells = [F.col("_6sensedomain"), F.col("_spend"), F.col("_clicks"), F.when(~spoilt, F.col("_date"))]
+    long = F.when(F.col("_spend") == "null", F.lit("one more"))
+    raw.select(F.concat_ws(",", *cells, long)).write.text(f"{out}/campaign.csv")
+    lines = read_checked(t.spark, out, "campaign", columns, header=False)
+    return line_counts(lines)
+
+
+@query
+def touches_without_web(t):
+    """The touch log where the optional web table has not been written."""
+    absent = read_table_or_empty(t.spark, f"{shared_folder(t.spark)}/none", "web")
+    log = T.touchpoints(t.campaign, t.email, absent)
+    rows = T.touch_summary(log)
+    return rows.select("channel", "touch_type", "touches", "domains", micros("first_touch"), micros("last_touch"))
+
+
 @query
 def stored_tables(t):
     """Campaign rows and a report, written as stage tables and read again."""

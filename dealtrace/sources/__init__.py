@@ -1,3 +1,4 @@
+from .rejects import cell_counts, line_counts, read_checked
 from .schemas import TABLES, Table, complete, conform, find_column
 from .tables import (
     empty_table,
@@ -14,10 +15,13 @@ from .tables import (
 __all__ = [
     "TABLES",
     "Table",
+    "cell_counts",
     "complete",
     "conform",
     "find_column",
+    "line_counts",
     "empty_table",
+    "read_checked",
     "read_raw",
     "read_report",
     "read_table",

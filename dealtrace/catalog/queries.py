@@ -34,7 +34,7 @@ from ..plans import reports as R
 from ..plans import touch as T
 from ..plans import winprob as W
 from ..plans.funnel import funnel
-from ..plans.quality import UNIQUE, distinct_deals, keep_all_measured, reconcile_totals
+from ..plans.quality import UNIQUE, distinct_deals, keep_all_measured, keep_measured, reconcile_totals
 from ..sources import (
     TABLES,
     cell_counts,
@@ -849,12 +849,14 @@ def attribution_rows_json(t):
 def reconciliation(t):
     """Totals seen by the tasks that write the stage tables; one column is read again, for distinct deals."""
     stored = Tables(t.spark, t.folder)
-    made, totals = keep_all_measured({name: getattr(t, name) for name in ("opps", "campaign", "ads", "email", "web")})
+    stages = {name: getattr(t, name) for name in ("opps", "campaign", "ads", "email", "web")}
+    # Of the widest table, the columns that any of the later stages reads.
+    stages["ads"] = stages["ads"].select("platform", "spend", "clicks", "impressions")
+    made, totals = keep_all_measured(stages)
     for name, df in made.items():
         setattr(stored, name, df)
-    channels = _channels(stored)
+    channels, totals["channels"] = keep_measured(_channels(stored), "channels", "stage-channels")
     later = {
-        "channels": channels,
         "report": C.channel_roi_report(channels),
         "master": _master(stored),
         "funnel": funnel(stored.campaign, stored.ads, stored.email, stored.web, stored.opps),

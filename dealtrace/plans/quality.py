@@ -9,7 +9,6 @@ no table at all (:func:`reconcile_totals`).
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -137,10 +136,8 @@ def keep_measured(df: DataFrame, table: str, label: str) -> tuple[DataFrame, dic
 def keep_all_measured(
     tables: Mapping[str, DataFrame], label: str = "stage"
 ) -> tuple[dict[str, DataFrame], dict[str, dict[tuple[str, str], float | None]]]:
-    """:func:`keep_measured` of tables that do not need each other, written at the same time."""
-    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
-        begun = {name: pool.submit(keep_measured, df, name, f"{label}-{name}") for name, df in tables.items()}
-        done = {name: job.result() for name, job in begun.items()}
+    """:func:`keep_measured` of several tables, one after another."""
+    done = {name: keep_measured(df, name, f"{label}-{name}") for name, df in tables.items()}
     return {name: df for name, (df, _) in done.items()}, {name: found for name, (_, found) in done.items()}
 
 

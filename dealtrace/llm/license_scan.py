@@ -98,26 +98,37 @@ class Scanner:
         found = {}
         for notice, parts, pattern in self.notices:
             exact, length = b" " + notice.phrase.encode() + b" ", len(notice.phrase.encode())
-            at = text.find(exact)
+            at, word, counted = text.find(exact), 0, 0
             while at >= 0:
-                # Text before the phrase has one space for each word and the first one.
-                key = (notice.label, text.count(b" ", 0, at), notice.phrase.count(" ") + 1)
-                found[key] = (0, 1.0)
+                # Text before the phrase has one space for each word and the first one;
+                # places rise, so only the text since the last one is counted.
+                word, counted = word + text.count(b" ", counted, at), at
+                found[(notice.label, word, notice.phrase.count(" ") + 1)] = (0, 1.0)
                 at = text.find(exact, at + 1)
             if not notice.errors:
                 continue
-            must = [x.encode() for x in notice.must]
+            must, word, counted = [x.encode() for x in notice.must], 0, 0
             for a, b in _regions(text, notice, parts):
                 for m in pattern.finditer(text, a, b):
                     edits, inside = sum(m.fuzzy_counts), m.group().split(b" ")
                     if edits and all(x in inside for x in must):
-                        key = (notice.label, text.count(b" ", 0, m.start()) - 1, len(inside))
+                        word, counted = word + text.count(b" ", counted, m.start()), m.start()
+                        key = (notice.label, word - 1, len(inside))
                         score = 1 - edits / length
                         if score > found.get(key, (0, 0.0))[1]:
                             found[key] = (edits, score)
         return sorted((label, word, n, e, s) for (label, word, n), (e, s) in found.items())
 
 
+def code_points(raw: bytes, places: set[int]) -> dict[int, int]:
+    """Code points before each of these byte places, counted in one walk over the text."""
+    out, before, at = {}, 0, 0
+    for place in sorted(places):
+        at, before = at + len(raw[before:place].decode()), place
+        out[place] = at
+    return out
+
+
 def _scan(notices: Sequence[Notice]):
     def run(batches) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices)
@@ -130,13 +141,15 @@ def _scan(notices: Sequence[Notice]):
                 hits = scanner.spans(words)
                 if hits:
                     places = [m.span() for m in _WORD.finditer(plain)]
+                    ends = {places[word][0] for _, word, *_ in hits}
+                    at = code_points(raw, ends | {places[word + n - 1][1] for _, word, n, *_ in hits})
                     hits = [
                         {
                             "label": label,
                             "word": word,
                             "n_words": n,
-                            "start": len(raw[: places[word][0]].decode()),
-                            "end": len(raw[: places[word + n - 1][1]].decode()),
+                            "start": at[places[word][0]],
+                            "end": at[places[word + n - 1][1]],
                             "errors": edits,
                             "score": score,
                         }
@@ -176,7 +189,8 @@ def license_spans(docs: DataFrame, notices: Sequence[Notice] = NOTICES) -> DataF
     begin and end with whole words.
 
     A null or empty text has no words and no spans; a null doc_id stays null;
-    repeated rows stay repeated; other columns are not looked at.
+    repeated rows stay repeated; other columns are not looked at; an empty table
+    has no rows.  Work grows with a text's length, however long it is.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(_scan(tuple(notices)), SCHEMA)

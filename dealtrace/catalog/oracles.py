@@ -268,12 +268,13 @@ master AS (
     c_level_contacts, vp_contacts, director_contacts, manager_contacts
   FROM base LEFT JOIN s USING (domain) LEFT JOIN c USING (domain) LEFT JOIN e USING (domain)
     LEFT JOIN w USING (domain) LEFT JOIN o USING (account_id) LEFT JOIN k USING (account_id))"""
-twin(
-    "account360",
-    "SELECT * EXCLUDE (industry, tier, profile_fit, segment) FROM master",
-    *_MASTER_TABLES,
-    more=_MASTER,
-)
+for _name in ("account360", "account360_stored"):
+    twin(
+        _name,
+        "SELECT * EXCLUDE (industry, tier, profile_fit, segment) FROM master",
+        *_MASTER_TABLES,
+        more=_MASTER,
+    )
 twin(
     "orphan_accounts",
     """SELECT account_id, round(coalesce(sum(amount), 0), 2) AS total_pipeline, count(*) AS deal_count,

@@ -35,6 +35,7 @@ from ..plans import touch as T
 from ..plans import winprob as W
 from ..plans.funnel import funnel
 from ..plans.quality import UNIQUE, distinct_deals, keep_all_measured, keep_measured, reconcile_totals
+from ..plans.stored_master import MasterStore
 from ..sources import (
     TABLES,
     cell_counts,
@@ -267,9 +268,8 @@ def _channels(t: Tables) -> DataFrame:
     return C.channel_pipeline(t.opps, t.ads, B.PLATFORMS)
 
 
-@query
-def account360(t):
-    wide = _master(t).withColumn("segment_list", F.array_join("segment_list", "|"))
+def _wide(master: DataFrame) -> DataFrame:
+    wide = master.withColumn("segment_list", F.array_join("segment_list", "|"))
     columns = [
         "account_id",
         "account_name",
@@ -301,6 +301,25 @@ def account360(t):
     return rounded(wide.select(*columns), 2, "campaign_spend", "total_pipeline", "total_won")
 
 
+@query
+def account360(t):
+    return _wide(_master(t))
+
+
+@query
+def account360_stored(t):
+    """From bucketed tables: all months of events but the last ones first, then these."""
+    store = MasterStore(f"{shared_folder(t.spark)}/master-{uuid.uuid4().hex}", buckets=16)
+    events = (t.segments, t.campaign, t.email, t.web)
+    times = ("activity_date", "activity_date", "event_time", "event_time")
+    last = t.campaign.agg(F.max(S.month("activity_date"))).first()[0] or ""
+    late = [F.coalesce(S.month(time) >= last, F.lit(False)) for time in times]
+    store.write_months(*(df.where(~x) for df, x in zip(events, late)))
+    months = store.write_months(*(df.where(x) for df, x in zip(events, late)))
+    store.write_accounts(t.accounts, t.opps, t.contacts, months)
+    return _wide(store.read(t.spark))
+
+
 @query
 def orphan_accounts(t):
     return rounded(A.orphan_accounts(t.accounts, t.opps), 2, "total_pipeline")

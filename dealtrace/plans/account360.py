@@ -161,12 +161,16 @@ def account360(
         "account_name", F.lit(None).cast("string")
     )
     facts = domain_facts(segments, campaign, email, web)
-    base = lookup_join(named, facts, "domain", spread="account_id").withColumn("_listed", F.lit(True))
+    base = lookup_join(named, facts, "domain", spread="account_id")
+    return with_account_facts(base, account_facts(opps, contacts))
 
-    by_account = account_facts(opps, contacts)
+
+def with_account_facts(base: DataFrame, by_account: DataFrame) -> DataFrame:
+    """Accounts with their deal and contact totals, and the accounts known only from deals."""
     listed = F.coalesce("_listed", F.lit(False))
     return (
-        base.join(by_account, "account_id", "full")
+        base.withColumn("_listed", F.lit(True))
+        .join(by_account, "account_id", "full")
         .where(listed | F.col("deal_count").isNotNull())
         .withColumn("account_name", F.when(listed, F.col("account_name")).otherwise(F.col("deal_account_name")))
         .drop("_listed", "deal_account_name")

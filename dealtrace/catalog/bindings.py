@@ -37,6 +37,8 @@ CHANNEL_OF_PRIORITY = {
 }
 PLATFORMS = {"A": "6sense_display", "N": "email_mqa", "R": "web_inbound"}
 FITS = ["Strong", "Moderate"]
+# Domains that mail reached and a paid channel too, without a direct visit.
+AUDIENCE = {"all_of": ["email_mqa"], "any_of": ["6sense_display", "linkedin"], "none_of": ["web_inbound"]}
 WINDOW_DAYS, HALF_LIFE = 7, 3
 
 TYPED = {

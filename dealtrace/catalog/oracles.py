@@ -694,12 +694,51 @@ tiered AS (SELECT *, CAST(in_email AS INT) + CAST(in_display AS INT) AS reached,
     CASE WHEN in_email AND in_display THEN 'Both Channels' WHEN in_email THEN 'Email Only'
       WHEN in_display THEN '6sense Only' ELSE 'Not Reached' END AS coverage_tier FROM covered)"""
 _COVER_TABLES = ("accounts", "reached_email", "reached_display", "opps")
-twin(
-    "coverage_accounts",
-    """SELECT domain, in_email, in_display, has_opportunity, CAST(reached AS BIGINT) AS reached_count,
+for _name in ("coverage_accounts", "coverage_accounts_marks"):
+    twin(
+        _name,
+        """SELECT domain, in_email, in_display, has_opportunity, CAST(reached AS BIGINT) AS reached_count,
   coverage_tier FROM tiered""",
-    *_COVER_TABLES,
-    more=_COVERED,
+        *_COVER_TABLES,
+        more=_COVERED,
+    )
+twin(
+    "segment_sets",
+    """SELECT domain, string_agg(DISTINCT segment, '|' ORDER BY segment) AS segments,
+  count(DISTINCT segment) AS n_segments
+FROM segments WHERE domain IS NOT NULL AND segment IS NOT NULL GROUP BY domain""",
+    "segments",
+)
+_NAMED = """,
+named AS (SELECT domain, channel, concat_ws('/', channel, touch_type, campaign_id) AS campaign FROM touches)"""
+twin(
+    "campaign_sets",
+    """SELECT domain, string_agg(DISTINCT campaign, '|' ORDER BY campaign) AS campaigns,
+  count(DISTINCT campaign) AS n_campaigns FROM named WHERE domain IS NOT NULL GROUP BY domain""",
+    *_TOUCH_TABLES,
+    more=_TOUCHES + _NAMED,
+)
+twin(
+    "channel_combinations",
+    """SELECT channels, n_channels, count(*) AS domains
+FROM (SELECT domain, string_agg(DISTINCT channel, '|' ORDER BY channel) AS channels,
+    count(DISTINCT channel) AS n_channels FROM named WHERE domain IS NOT NULL GROUP BY domain) GROUP BY 1, 2""",
+    *_TOUCH_TABLES,
+    more=_TOUCHES + _NAMED,
+)
+
+
+def _any(channels: list[str]) -> str:
+    return "coalesce(bool_or(channel IN ({})), false)".format(", ".join(f"'{c}'" for c in channels))
+
+
+twin(
+    "channel_audience",
+    f"""SELECT domain FROM named WHERE domain IS NOT NULL GROUP BY domain
+HAVING {" AND ".join(_any([c]) for c in B.AUDIENCE["all_of"])} AND {_any(B.AUDIENCE["any_of"])}
+  AND NOT {_any(B.AUDIENCE["none_of"])}""",
+    *_TOUCH_TABLES,
+    more=_TOUCHES + _NAMED,
 )
 twin(
     "coverage_summary",

@@ -20,9 +20,14 @@ from ..operators import (
     StateStore,
     count_by,
     deal_summary,
+    dictionary,
     engagement_rates,
+    having,
     last_n,
     latest_state,
+    listed,
+    memberships,
+    merged,
 )
 from ..plans import account360 as A
 from ..plans import advanced as X
@@ -619,6 +624,55 @@ def coverage_accounts(t):
     return _coverage(t)
 
 
+@query
+def coverage_accounts_marks(t):
+    """The same rows, memberships kept as bits."""
+    return X.coverage_by_marks(t.accounts, t.reached_email, t.reached_display, t.opps)
+
+
+def _campaign_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Numbers of the touch campaigns, and which of them reached each domain, year by year merged."""
+    log = _touches(t).withColumn("value", F.concat_ws("/", "channel", "touch_type", "campaign_id"))
+    codes = keep(dictionary(log, "value"), "campaign-codes")
+    early = F.coalesce(F.year("touch_date") % 2 == 0, F.lit(False))
+    parts = (memberships(log.where(x), "domain", "value", codes) for x in (early, ~early))
+    return codes, merged(*parts)
+
+
+@query
+def segment_sets(t):
+    """Segments of each domain, from bits over the numbered segments."""
+    codes = keep(dictionary(t.segments, "segment"), "segment-codes")
+    sets = listed(memberships(t.segments, "domain", "segment", codes), "domain", codes, "segments")
+    return sets.withColumn("segments", F.array_join("segments", "|"))
+
+
+@query
+def campaign_sets(t):
+    """Channel, type and campaign of the touches that reached each domain."""
+    codes, sets = _campaign_sets(t)
+    return listed(sets, "domain", codes, "campaigns").withColumn("campaigns", F.array_join("campaigns", "|"))
+
+
+@query
+def channel_combinations(t):
+    """How many domains each combination of channels reached."""
+    codes = keep(dictionary(_touches(t), "channel"), "channel-codes")
+    sets = listed(memberships(_touches(t), "domain", "channel", codes), "domain", codes, "channels")
+    return sets.groupBy(F.array_join("channels", "|").alias("channels"), "n_channels").agg(
+        F.count("*").alias("domains")
+    )
+
+
+@query
+def channel_audience(t):
+    """Domains by the channels that reached them: all of some, any of others, none of a third list."""
+    log = _touches(t)
+    codes = keep(dictionary(log, "channel"), "channel-codes")
+    members = memberships(log, "domain", "channel", codes)
+    return having(members, "domain", codes, **B.AUDIENCE)
+
+
 @query
 def coverage_summary(t):
     rows = X.coverage_summary(_coverage(t))

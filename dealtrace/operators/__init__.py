@@ -13,6 +13,7 @@ from .aggregate import (
 from .incremental import StateStore
 from .intervals import TouchIntervals, expand, link_touches, touch_intervals
 from .lookup import lookup_join
+from .membership import dictionary, having, listed, marks, memberships, merged
 from .reshape import pivot_sum, ranked_pivot, stack_columns
 from .state import latest_state
 from .sweep import deal_channel_links, in_ranges, touch_links, touch_prefixes
@@ -24,14 +25,20 @@ __all__ = [
     "count_by",
     "deal_channel_links",
     "deal_summary",
+    "dictionary",
     "drop_null_keys",
     "engagement_rates",
     "expand",
+    "having",
     "in_ranges",
     "last_n",
     "latest_state",
     "link_touches",
+    "listed",
     "lookup_join",
+    "marks",
+    "memberships",
+    "merged",
     "non_null_columns",
     "pivot_sum",
     "pre_aggregate_deals",

@@ -15,6 +15,7 @@ from ..operators.aggregate import (
     pre_aggregate_deals,
     summarise_totals,
 )
+from ..operators.membership import marks as marked
 from ..operators.reshape import pivot_sum
 
 # --- coverage --------------------------------------------------------------
@@ -50,6 +51,22 @@ def coverage(
     )
 
 
+def coverage_by_marks(
+    accounts: DataFrame, email: DataFrame, campaign: DataFrame, opps: DataFrame
+) -> DataFrame:
+    """The rows of :func:`coverage`, the four memberships kept as bits of one number."""
+    frames = {"is_account": accounts, "in_email": email, "in_display": campaign, "has_opportunity": opps}
+    keyed = {mark: df.select(S.join_key("domain").alias("domain")) for mark, df in frames.items()}
+    return marked(keyed, "domain").where("is_account").select(
+        "domain",
+        "in_email",
+        "in_display",
+        "has_opportunity",
+        (F.col("in_email").cast("int") + F.col("in_display").cast("int")).cast("bigint").alias("reached_count"),
+        S.coverage_tier("in_email", "in_display").alias("coverage_tier"),
+    )
+
+
 def coverage_summary(covered: DataFrame, tiers: Sequence[str] = V.COVERAGE_TIERS) -> DataFrame:
     """Accounts, share and deal rate per tier, in the tiers' own order."""
     numbers = F.create_map(*(F.lit(x) for i, t in enumerate(tiers, start=1) for x in (t, i)))

@@ -23,7 +23,7 @@ SPAN = len(MASKS[0])
 # Seeds of the benchmark that are sent to all executors at once, about 40 bytes each.
 BLOCK_SEEDS = 500_000
 # Items of so many words are also cut into one piece more than words may differ; of a piece so many words count.
-SHORT, PIECE = (4, 15), 4
+SHORT, PIECE = (1, 15), 4
 
 
 def word_hashes(text: Column) -> Column:
@@ -141,10 +141,11 @@ def leaks(
 
     The benchmark's seeds are counted first and dealt into blocks of at most
     about ``block_seeds``, each sent to all executors; the documents are never
-    shuffled.  Items of 4 to 15 words are found by their pieces too, which no
-    change of a fifth of the words can all spoil.  Null and empty texts hold
-    nothing; items of fewer than four words are not looked for; repeated rows and rows with one id,
-    null included, give one result; empty tables give no rows.
+    shuffled.  Items of up to 15 words are found by their pieces too, which no
+    change of a fifth of the words can all spoil; those of up to four words are
+    one piece, so they are found where they stand unchanged.  Null and empty
+    texts, and items without a word, hold nothing; repeated rows and rows with
+    one id, null included, give one result; empty tables give no rows.
     """
     plain = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("h"))
     hashed = items.select("item_id", word_hashes(F.col("text").cast("string")).alias("h"))

@@ -22,8 +22,10 @@ MASKS = ("111010011", "111100101", "110101011")
 SPAN = len(MASKS[0])
 # Seeds of the benchmark that are sent to all executors at once, about 40 bytes each.
 BLOCK_SEEDS = 500_000
-# Items of so many words are also cut into one piece more than words may differ; of a piece so many words count.
-SHORT, PIECE = (1, 15), 4
+# Items of up to so many words are also cut into one piece more than words may differ; of a piece so many words count.
+SHORT, PIECE = 15, 4
+# Shorter items are common phrases in clean texts; with 1 every item is looked for.
+SHORTEST = 4
 
 
 def word_hashes(text: Column) -> Column:
@@ -129,7 +131,12 @@ def _block_hits(
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, min_run: int = 13, min_share: float = 0.8, block_seeds: int = BLOCK_SEEDS
+    docs: DataFrame,
+    items: DataFrame,
+    min_run: int = 13,
+    min_share: float = 0.8,
+    block_seeds: int = BLOCK_SEEDS,
+    shortest: int = SHORTEST,
 ) -> DataFrame:
     """The benchmark items (item_id, text) found in documents (doc_id, text).
 
@@ -143,17 +150,17 @@ def leaks(
     about ``block_seeds``, each sent to all executors; the documents are never
     shuffled.  Items of up to 15 words are found by their pieces too, which no
     change of a fifth of the words can all spoil; those of up to four words are
-    one piece, so they are found where they stand unchanged.  Null and empty
-    texts, and items without a word, hold nothing; repeated rows and rows with
+    one piece, so they are found where they stand unchanged, and those of fewer
+    than ``shortest`` words are left out.  Null and empty texts, and items without a word, hold nothing; repeated rows and rows with
     one id, null included, give one result; empty tables give no rows.
     """
     plain = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("h"))
     hashed = items.select("item_id", word_hashes(F.col("text").cast("string")).alias("h"))
     numbered = keep(
-        hashed.where(F.size("h") >= SHORT[0]).distinct().withColumn("item", F.xxhash64("item_id", "h")), "benchmark"
+        hashed.where(F.size("h") >= max(1, shortest)).distinct().withColumn("item", F.xxhash64("item_id", "h")), "benchmark"
     )
     # One row for each length up to 15.
-    short = numbered.where(F.size("h") <= SHORT[1])
+    short = numbered.where(F.size("h") <= SHORT)
     counts = {r.n: r["count"] for r in short.groupBy(F.size("h").alias("n")).count().collect()}
     seeded = numbered.where(F.size("h") >= SPAN)
     n = seeded.agg(F.sum(F.size("h") - (SPAN - 1))).first()[0] or 0

@@ -52,7 +52,7 @@ def op5_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return decontaminate.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"), shortest=1)
 
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -119,6 +119,15 @@ def _forest(features: Sequence[str], trees: int, depth: int, min_leaf: int, seed
     )
 
 
+def _fitted(forest: Pipeline, deals: DataFrame) -> PipelineModel:
+    """The fitted forest without its training summary.
+
+    The summary holds the session, which cannot be sent to tasks once a
+    :class:`~pyspark.sql.Observation` was used in it.
+    """
+    return forest.fit(deals).copy()
+
+
 def _encoder(
     deals: DataFrame, categorical: Sequence[str], others: Sequence[str]
 ) -> tuple[WinModel, DataFrame]:
@@ -155,7 +164,7 @@ def fit_win_model(
     visits the rows several times, so they are written first.
     """
     model, closed = _encoder(deals, categorical, others)
-    forest = _forest(model.features, trees, depth, min_leaf, seed).fit(_encoded(model, closed))
+    forest = _fitted(_forest(model.features, trees, depth, min_leaf, seed), _encoded(model, closed))
     return WinModel(model.encoder, forest, model.features, model.categorical)
 
 
@@ -311,7 +320,8 @@ def out_of_fold_scores(
     encoded = _encoded(model, closed)
     parts = []
     for fold in range(folds):
-        forest = _forest(model.features, trees, depth, min_leaf, seed).fit(encoded.where(F.col(FOLD) != fold))
+        others_of = encoded.where(F.col(FOLD) != fold)
+        forest = _fitted(_forest(model.features, trees, depth, min_leaf, seed), others_of)
         chance = F.round(vector_to_array(PROBABILITY)[1] * SCORE_STEPS).cast("bigint")
         scored = forest.transform(encoded.where(F.col(FOLD) == fold))
         parts.append(keep(scored.select(F.col(FOLD).alias("fold"), "label", chance.alias("steps")), "win-fold"))

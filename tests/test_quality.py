@@ -127,6 +127,13 @@ def test_cross_validation(planted):
     assert mean > 0.8 and 0.0 <= spread < 0.2
 
 
+def test_scores_in_a_session_that_observed_totals(planted):
+    N.keep_measured(planted.select("amount", "is_won").limit(5).withColumnsRenamed({"amount": "total_pipeline"}), "master", "seen")
+    model = W.fit_win_model(planted, trees=3, depth=2)
+    assert W.score(model, planted).agg(F.count("win_probability")).first()[0] == planted.count()
+    assert W.out_of_fold_scores(planted, folds=2, trees=2, depth=2).count() == planted.where("is_closed_deal").count()
+
+
 def test_importance_from_the_nodes_equals_the_fitted_one(planted, tmp_path):
     model = W.fit_win_model(planted, trees=12, depth=5)
     nodes = W.forest_nodes(planted.sparkSession, model.save(str(tmp_path)))

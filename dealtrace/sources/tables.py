@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,10 +101,27 @@ def read_report(spark: SparkSession, folder: str, report: str, table: str) -> Da
 
 
 def rows_as_json(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One JSON object per row, nulls kept as ``null``."""
-    columns = list(columns or df.columns)
-    body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return df.select(body.alias("row_json"))
+    """One JSON object per row, nulls kept as ``null``; numbers from 0.0001 to 10^16 without an exponent."""
+    df = df.select(*(columns or df.columns))
+    parts = []
+    for name, kind in df.dtypes:
+        member = F.to_json(F.struct(F.col(f"`{name}`")), {"ignoreNullFields": "false"})
+        member = F.substr(member, F.lit(2), F.length(member) - 2)
+        if kind == "double":
+            member = F.when(_plain_range(name), F.concat(F.lit(json.dumps(name) + ":"), _plain(name))).otherwise(member)
+        parts.append(member)
+    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("row_json"))
+
+
+def _plain_range(name: str) -> Column:
+    size = F.abs(F.col(f"`{name}`"))
+    return (size >= 1e-4) & (size < 1e16)
+
+
+def _plain(name: str) -> Column:
+    """The shortest digits of a double, one after the point at least."""
+    digits = F.col(f"`{name}`").cast("string").try_cast("decimal(38,21)").cast("string")
+    return F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
 
 
 def write_json(df: DataFrame, path: str) -> str:

@@ -68,3 +68,11 @@ def test_json_rows(spark, tmp_path):
     assert json.loads(rows_as_json(df).first().row_json) == {"k": "a", "n": None, "v": 1.5}
     path = write_json(df, str(tmp_path / "j"))
     assert spark.read.json(path).count() == 1
+
+
+def test_json_numbers_have_no_exponent(spark):
+    values = [19233409.47, 11031942.0, 0.0, 0.0005, -12345678.5, 1.5, 737845718492.22, 0.1 + 0.2, None]
+    rows = rows_as_json(spark.createDataFrame([("a", v) for v in values], "`k 1` string, v double")).collect()
+    assert [r.row_json for r in rows] == [f'{{"k 1":"a","v":{"null" if v is None else repr(v)}}}' for v in values]
+    odd = rows_as_json(spark.createDataFrame([("a,b", 1e300, None)], "k string, v double, m map<string,int>")).first()
+    assert json.loads(odd.row_json) == {"k": "a,b", "v": 1e300, "m": None}

@@ -25,9 +25,15 @@ def drop_null_keys(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
 
 
 def total(c: str | Column, to: str = "double") -> Column:
-    """Sum that is zero instead of null."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(c), F.lit(0)).cast(to)
+    """Sum that is zero instead of null.
+
+    Whole units are added apart from the rest: exactly, up to 2^53, so that a total of
+    billions keeps its cents in whatever order tasks add.
+    """
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    whole = F.rint(c)
+    rest = F.when(c == whole, F.lit(0.0)).otherwise(c - whole)
+    return F.coalesce(F.sum(whole) + F.sum(rest), F.lit(0)).cast(to)
 
 
 def _won_amount() -> Column:

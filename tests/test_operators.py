@@ -13,7 +13,7 @@ from dealtrace.operators import (
     stack_columns,
     top_n,
 )
-from dealtrace.operators.aggregate import summarise_totals
+from dealtrace.operators.aggregate import summarise_totals, total
 
 LOG = "id string, version double, value string, other string"
 
@@ -111,3 +111,13 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
     assert last.where("id = 'hot'").first().value == "199999"
     plan = last._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+
+
+def test_totals_keep_their_cents_in_any_order(spark):
+    rows = spark.range(400_000).select("id", (F.col("id") * 97_003_111 % 50_000_000_000 / 100).alias("amount"))
+    want = sum(i * 97_003_111 % 50_000_000_000 for i in range(400_000)) / 100
+    for order in (F.asc("id"), F.desc("amount"), F.asc("amount")):
+        got = rows.coalesce(1).sortWithinPartitions(order).agg(total("amount")).first()[0]
+        assert abs(got - want) < 0.0005
+    few = spark.createDataFrame([(None, 2, float("inf")), (None, 3, 1.0)], "a double, b long, c double")
+    assert tuple(few.agg(total("a"), total("b", "bigint"), total("c")).first()) == (0.0, 5, float("inf"))

@@ -12,10 +12,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +20,11 @@ from ..functions import fixed_values as V
 from ..functions import scalars as S
 from ..operators.lookup import lookup_join
 from ..sources.scratch import keep
+from .forest import SALT, Forest, fit_forest, load_forest, with_chance
 
 # Columns of the model, named so that no deal column is in their way.
 CODE = "_win_code"
-VECTOR, PROBABILITY, RAW, CALL = "_win_vector", "_win_probability", "_win_raw", "_win_call"
+CHANCE = "_win_chance"
 FOLD = "_win_fold"
 # Stored scores are whole numbers of this part, so that a histogram of them has a bound.
 SCORE_STEPS = 1_000_000
@@ -36,18 +34,17 @@ FEATURES = [*V.WIN_CATEGORICAL, *V.WIN_BOOLEAN, *V.WIN_NUMERIC]
 @dataclass(frozen=True)
 class WinModel:
     encoder: StringIndexerModel | None
-    forest: PipelineModel | None
+    forest: Forest | None
     features: tuple[str, ...]
     categorical: tuple[str, ...]
 
     def save(self, folder: str) -> str:
         """Write the codes, the forest and the feature names; :func:`load_win_model` reads them."""
-        forest = self.forest
         spark = SparkSession.active()
         names = [(list(self.features), list(self.categorical))]
         schema = "features array<string>, categorical array<string>"
         spark.createDataFrame(names, schema).write.mode("overwrite").parquet(f"{folder}/features")
-        forest.write().overwrite().save(f"{folder}/forest")
+        self.forest.save(spark, f"{folder}/forest")
         if self.encoder is not None:
             self.encoder.write().overwrite().save(f"{folder}/encoder")
         return folder
@@ -56,9 +53,8 @@ class WinModel:
 def load_win_model(spark: SparkSession, folder: str) -> WinModel:
     names = spark.read.parquet(f"{folder}/features").first()
     encoder = StringIndexerModel.load(f"{folder}/encoder") if names.categorical else None
-    return WinModel(
-        encoder, PipelineModel.load(f"{folder}/forest"), tuple(names.features), tuple(names.categorical)
-    )
+    forest = load_forest(spark, f"{folder}/forest", len(names.features))
+    return WinModel(encoder, forest, tuple(names.features), tuple(names.categorical))
 
 
 def win_features(opps: DataFrame, master: DataFrame, wanted: Sequence[str] = FEATURES) -> DataFrame:
@@ -98,36 +94,6 @@ def _encoded(model: WinModel, deals: DataFrame) -> DataFrame:
     return indexed.withColumns(codes)
 
 
-def _forest(features: Sequence[str], trees: int, depth: int, min_leaf: int, seed: int) -> Pipeline:
-    columns = [f + CODE for f in features]
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=columns, outputCol=VECTOR),
-            RandomForestClassifier(
-                featuresCol=VECTOR,
-                probabilityCol=PROBABILITY,
-                rawPredictionCol=RAW,
-                predictionCol=CALL,
-                numTrees=trees,
-                maxDepth=depth,
-                minInstancesPerNode=min_leaf,
-                seed=seed,
-                featureSubsetStrategy="sqrt",
-                maxMemoryInMB=1024,
-            ),
-        ]
-    )
-
-
-def _fitted(forest: Pipeline, deals: DataFrame) -> PipelineModel:
-    """The fitted forest without its training summary.
-
-    The summary holds the session, which cannot be sent to tasks once a
-    :class:`~pyspark.sql.Observation` was used in it.
-    """
-    return forest.fit(deals).copy()
-
-
 def _encoder(
     deals: DataFrame, categorical: Sequence[str], others: Sequence[str]
 ) -> tuple[WinModel, DataFrame]:
@@ -137,7 +103,8 @@ def _encoder(
     used = dict.fromkeys([*categorical, *others, "label"])
     # Read several times: written to the shared folder, not kept by executors.
     extra = [c for c in deals.columns if c == FOLD]
-    closed = keep(deals.where("is_closed_deal").select(*used, *extra), "win-features")
+    salt = F.xxhash64(*(c for c in ("opp_id", *used) if c in deals.columns)).alias(SALT)
+    closed = keep(deals.where("is_closed_deal").select(*used, *extra, salt), "win-features")
     encoder = None
     if categorical:
         encoder = StringIndexer(
@@ -149,6 +116,18 @@ def _encoder(
     return WinModel(encoder, None, (*categorical, *others), categorical), closed
 
 
+def _codes(model: WinModel) -> list[str]:
+    return [f + CODE for f in model.features]
+
+
+def _training(model: WinModel, closed: DataFrame) -> DataFrame:
+    """Codes and labels of closed deals as a written table, dealt evenly over all cores."""
+    extra = [c for c in closed.columns if c == FOLD]
+    rows = _encoded(model, closed).select("label", SALT, *extra, *_codes(model))
+    cores = closed.sparkSession.sparkContext.defaultParallelism
+    return keep(rows.repartition(2 * cores), "win-training")
+
+
 def fit_win_model(
     deals: DataFrame,
     categorical: Sequence[str] = V.WIN_CATEGORICAL,
@@ -160,18 +139,19 @@ def fit_win_model(
 ) -> WinModel:
     """Fit on closed deals; features that the frame lacks are left out.
 
-    The driver holds the category names and the trees, never deals.  Training
-    visits the rows several times, so they are written first.
+    The driver holds the category names, the trees and a sample of set size that tells
+    where bins begin.  Training visits the rows once a level, so they are written first.
     """
     model, closed = _encoder(deals, categorical, others)
-    forest = _fitted(_forest(model.features, trees, depth, min_leaf, seed), _encoded(model, closed))
+    forest = fit_forest(_training(model, closed), _codes(model), trees, depth, min_leaf, seed)
     return WinModel(model.encoder, forest, model.features, model.categorical)
 
 
 def score(model: WinModel, deals: DataFrame) -> DataFrame:
     """Deals with ``win_probability``, to nine digits whatever the order of the trees, and the 0.5 call."""
-    scored = model.forest.transform(_encoded(model, deals))
-    probability = F.round(vector_to_array(PROBABILITY)[1], 9)
+    encoded = _encoded(model, deals).select(*deals.columns, *_codes(model))
+    scored = with_chance(model.forest, encoded, _codes(model), CHANCE)
+    probability = F.round(CHANCE, 9)
     return scored.select(
         *deals.columns,
         probability.alias("win_probability"),
@@ -231,7 +211,7 @@ def training_accuracy(model: WinModel, deals: DataFrame) -> DataFrame:
 def feature_importance(model: WinModel, deals: DataFrame) -> DataFrame:
     """Feature and importance, largest first (as many rows as features)."""
     spark = deals.sparkSession
-    importances = model.forest.stages[-1].featureImportances.toArray()
+    importances = model.forest.importances()
     rows = [(name, float(v)) for name, v in zip(model.features, importances)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
@@ -246,20 +226,7 @@ def forest_nodes(spark: SparkSession, folder: str) -> DataFrame:
     as the tree drew them).  A leaf has no feature, threshold, children or gain.
     """
     features = spark.read.parquet(f"{folder}/features").select("features")
-    data = spark.read.parquet(f"{folder}/forest/stages/*/data")
-    inner = F.col("nodeData.leftChild") >= 0
-    of_inner = lambda c: F.when(inner, F.col(f"nodeData.{c}"))
-    nodes = data.select(
-        F.col("treeID").alias("tree"),
-        F.col("nodeData.id").alias("node"),
-        of_inner("split.featureIndex").alias("place"),
-        F.when(inner, F.col("nodeData.split.leftCategoriesOrThreshold")[0]).alias("threshold"),
-        of_inner("leftChild").alias("left"),
-        of_inner("rightChild").alias("right"),
-        of_inner("gain").alias("gain"),
-        F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("n"),
-        F.col("nodeData.impurityStats")[1].alias("won"),
-    )
+    nodes = spark.read.parquet(f"{folder}/forest")
     names = features.select(F.posexplode("features").alias("place", "feature"))
     return nodes.join(names, "place", "left")
 
@@ -317,13 +284,12 @@ def out_of_fold_scores(
 ) -> DataFrame:
     """(fold, label, steps): each closed deal by a forest fitted without its fold; ``steps`` of a millionth."""
     model, closed = _encoder(stratified_folds(deals, folds), categorical, others)
-    encoded = _encoded(model, closed)
+    rows, codes = _training(model, closed), _codes(model)
     parts = []
     for fold in range(folds):
-        others_of = encoded.where(F.col(FOLD) != fold)
-        forest = _fitted(_forest(model.features, trees, depth, min_leaf, seed), others_of)
-        chance = F.round(vector_to_array(PROBABILITY)[1] * SCORE_STEPS).cast("bigint")
-        scored = forest.transform(encoded.where(F.col(FOLD) == fold))
+        forest = fit_forest(rows.where(F.col(FOLD) != fold), codes, trees, depth, min_leaf, seed)
+        scored = with_chance(forest, rows.where(F.col(FOLD) == fold), codes, CHANCE)
+        chance = F.round(F.col(CHANCE) * SCORE_STEPS).cast("bigint")
         parts.append(keep(scored.select(F.col(FOLD).alias("fold"), "label", chance.alias("steps")), "win-fold"))
     out = parts[0]
     for part in parts[1:]:

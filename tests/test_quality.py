@@ -134,6 +134,22 @@ def test_scores_in_a_session_that_observed_totals(planted):
     assert W.out_of_fold_scores(planted, folds=2, trees=2, depth=2).count() == planted.where("is_closed_deal").count()
 
 
+def test_the_forest_is_the_same_however_rows_are_dealt(planted):
+    found = []
+    for parts in (1, 7):
+        model = W.fit_win_model(planted.repartition(parts), trees=4, depth=3)
+        found.append({c: v.tolist() for c, v in model.forest.nodes.items()})
+    assert found[0] == found[1]
+    nodes = list(zip(*(found[0][c] for c in ("tree", "node", "place", "left", "right", "n", "won"))))
+    by = {(t, x): (n, won) for t, x, _, _, _, n, won in nodes}
+    for t, x, place, left, right, n, won in nodes:
+        if place >= 0:
+            assert (by[t, left][0] + by[t, right][0], by[t, left][1] + by[t, right][1]) == (n, won)
+            assert min(by[t, left][0], by[t, right][0]) >= V.WIN_MIN_LEAF
+    closed = planted.where("is_closed_deal").count()
+    assert all(abs(by[t, 0][0] / closed - 1) < 0.15 for t in range(4))
+
+
 def test_importance_from_the_nodes_equals_the_fitted_one(planted, tmp_path):
     model = W.fit_win_model(planted, trees=12, depth=5)
     nodes = W.forest_nodes(planted.sparkSession, model.save(str(tmp_path)))

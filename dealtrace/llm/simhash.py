@@ -10,7 +10,7 @@ that near are enough.  What meets in a cell is verified exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,6 +45,8 @@ class Grid:
     within ``radius`` (0 or 1).  Links are pairs within ``max_bits`` of the
     first ``verify_words`` numbers.  No pair is missed if
     ``max_bits < blocks * (radius + 1)`` and the blocks cover those numbers.
+    With ``marks`` so many numbers of parity marks and the set's size come after
+    those, and pairs must be :func:`_close` by them too.
     """
 
     words: int = 1
@@ -53,13 +55,21 @@ class Grid:
     radius: int = 1
     max_bits: int = 3
     verify_words: int = 1
+    marks: int = 0
+
+    @property
+    def carried(self) -> int:
+        """Numbers that a row in a cell carries."""
+        return self.verify_words + (self.marks + 1 if self.marks else 0)
 
 
 EXACT = Grid()
 # For sets with a similarity of 0.8 or more, which meet in the cells of their prefixes. Two such
 # sets differ in up to a fifth of the bits, 51 of 256 with a deviation of 6.4, so that the
-# bound, seven deviations away, only drops pairs that are not similar.
-SIMILAR = Grid(words=4, blocks=0, radius=0, max_bits=96, verify_words=4)
+# bound, seven deviations away, only drops pairs that are not similar. Their parity marks differ in no more
+# places than the sets do, so that bound drops no similar pair at all.
+MARKS = 8
+SIMILAR = Grid(words=4 + MARKS + 1, blocks=0, radius=0, max_bits=96, verify_words=4, marks=MARKS)
 # Shingles that a piece of texts has so often are counted; so many of the commonest come last in prefixes.
 OFTEN, COMMON = 8, 1 << 16
 # Positions, and 64-bit numbers, of the bitmap of wanted texts.
@@ -177,17 +187,17 @@ def _keyed(batch: pa.RecordBatch, grid: Grid, blocks: int) -> Iterator[tuple[np.
             cells = part.column("prefix")
             key = cells.flatten().to_numpy()
             rows = np.repeat(np.arange(len(fps)), np.diff(cells.offsets.to_numpy()))
-            yield key, np.ones(len(key), bool), rows, fps[:, : grid.verify_words], node, label
+            yield key, np.ones(len(key), bool), rows, fps[:, : grid.carried], node, label
             continue
         for block, rows, cells, own in _cells(fps, grid, blocks):
             if len(rows):
                 key = (cells * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(block)
-                yield key.view(np.int64), np.full(len(rows), own), rows, fps[:, : grid.verify_words], node, label
+                yield key.view(np.int64), np.full(len(rows), own), rows, fps[:, : grid.carried], node, label
 
 
 def _schema(grid: Grid) -> str:
     return "cell bigint, kind tinyint, node bigint, label bigint, " + ", ".join(
-        f"f{k} bigint" for k in range(grid.verify_words)
+        f"f{k} bigint" for k in range(grid.carried)
     )
 
 
@@ -242,7 +252,7 @@ def _sample(nodes: DataFrame, grid: Grid, blocks: int, every: int) -> DataFrame:
 
 def _pivots(sample: DataFrame, grid: Grid, least: int) -> dict[int, np.ndarray]:
     """(node, bits) of a few rows of every cell with over ``least`` rows in the sample, the same ones for like cells."""
-    one = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", *(f"f{i}" for i in range(grid.verify_words))))
+    one = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", *(f"f{i}" for i in range(grid.carried))))
     counted = sample.groupBy("cell").agg(F.count("*").alias("n"), *(one(k + 2).alias(f"p{k}") for k in range(PIVOTS)))
     rows = counted.where(F.col("n") > least).collect()
     return {r.cell: np.array([list(r[f"p{k}"])[1:] for k in range(PIVOTS)], np.int64) for r in rows}
@@ -258,15 +268,36 @@ def _to_pivots(grid: Grid, blocks: int, pivots: dict[int, np.ndarray]):
                 for cell in np.unique(key[np.isin(key, cells)]).tolist():
                     at = rows[key == cell]
                     for pivot in pivots[cell]:
-                        distance = np.bitwise_count(bits[at] ^ pivot[1:].view(np.uint64)).sum(1)
-                        found.update((x, int(pivot[0])) for x in node[at[distance <= grid.max_bits]].tolist() if x != pivot[0])
+                        own = pivot[1:].view(np.uint64)
+                        close = at[_close(bits, at, np.broadcast_to(own, bits.shape), at, grid)]
+                        found.update((x, int(pivot[0])) for x in node[close].tolist() if x != pivot[0])
             if found:
                 yield _links(np.array(sorted(found), np.int64))
 
     return run
 
 
-def _near(cell, kind, label, bits, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close(one: np.ndarray, i: np.ndarray, two: np.ndarray, j: np.ndarray, grid: Grid) -> np.ndarray:
+    """Whether rows ``i`` of ``one`` and ``j`` of ``two`` (rows x numbers) may be linked, as their bits tell.
+
+    Sets with a Jaccard similarity of 0.8 or more differ in at most a ninth of their sizes'
+    sum, so their sizes do, and so do their marks.
+    """
+    def apart(words: Iterable[int]) -> np.ndarray:
+        distance = np.zeros(len(i), np.int64)
+        for k in words:
+            distance += np.bitwise_count(one[i, k] ^ two[j, k])
+        return distance
+
+    close = apart(range(grid.verify_words)) <= grid.max_bits
+    if grid.marks:
+        x, y = one[i, -1].view(np.int64), two[j, -1].view(np.int64)
+        marks = apart(range(grid.verify_words, grid.verify_words + grid.marks))
+        close &= 9 * np.maximum(np.abs(x - y), marks) <= x + y
+    return close
+
+
+def _near(cell, kind, label, bits, grid: Grid) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs (row, later row) with other labels within cells, at most PAIRS compared at a time.
 
     Rows are sorted by cell, a cell's own rows first; rows of a step below are
@@ -283,14 +314,11 @@ def _near(cell, kind, label, bits, max_bits: int) -> Iterator[tuple[np.ndarray,
         n = others[at:to]
         i = np.repeat(np.arange(at, to), n)
         j = np.arange(len(i)) - np.repeat(sums[at:to] - sums[at], n) + i + 1
-        distance = np.zeros(len(i), np.uint16)
-        for k in range(bits.shape[1]):
-            distance += np.bitwise_count(bits[i, k] ^ bits[j, k])
-        near = np.flatnonzero(distance <= max_bits)
-        i, j = i[near], j[near]
         one, two = kind[i] // 2, kind[j] // 2
         fit = (label[i] != label[j]) & ((one != two) | (one == 0))
-        yield i[fit], j[fit]
+        i, j = i[fit], j[fit]
+        near = _close(bits, i, bits, j, grid)
+        yield i[near], j[near]
         at = to
 
 
@@ -316,7 +344,7 @@ def _in_tiles(grid: Grid, solved):
     """``solved`` (near pairs, nodes) on rows sorted by cell, whole cells at a time."""
 
     def links(cell, kind, node, label, bits) -> Iterator[pa.RecordBatch]:
-        found = solved(_near(cell, kind, label, bits, grid.max_bits), node)
+        found = solved(_near(cell, kind, label, bits, grid), node)
         for some in [found] if isinstance(found, np.ndarray) else found:
             if len(some):
                 yield _links(some)
@@ -326,7 +354,7 @@ def _in_tiles(grid: Grid, solved):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = np.stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(grid.verify_words)], axis=1)
+            bits = np.stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(grid.carried)], axis=1)
             part = (*(batch.column(c).to_numpy() for c in ("cell", "kind", "node", "label")), bits)
             if part[0][0] == part[0][-1] and (not held or held[0][0][0] == part[0][0]):
                 held.append(part)
@@ -431,6 +459,22 @@ def fingerprints_of(sets: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
+def parity_marks(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """For every place of ``64 * words`` whether an odd number of a set's hashes fall on it, sets x words.
+
+    Two sets' marks differ in at most as many places as there are hashes that only one of the sets has.
+    """
+    places = 64 * words
+    out = np.zeros((len(sets), words), np.uint64)
+    for at in range(0, len(sets), 1024):
+        some = sets[at : at + 1024]
+        place = (np.concatenate(some) >> np.uint64(32)) % np.uint64(places)
+        row = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        odd = np.bincount(row * places + place.astype(np.int64), minlength=len(some) * places) & 1
+        out[at : at + 1024] = np.packbits(odd.astype(np.uint8).reshape(len(some), places), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def set_names(sets: list[np.ndarray]) -> np.ndarray:
     """A 128-bit name of each sorted set, as two numbers."""
     digests = b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets)
@@ -442,17 +486,24 @@ def _nodes_of(names: np.ndarray, clashes: np.ndarray) -> np.ndarray:
     return np.where(np.isin(names[:, 0], clashes), names[:, 1], names[:, 0])
 
 
-def set_rows(docs: DataFrame, width: int, words: int, names: tuple[str, ...]) -> DataFrame:
-    """The columns ``names``, and name (s0, s1), size and fp of the distinct shingles, per row of ``docs`` (names, text)."""
+def set_rows(docs: DataFrame, width: int, grid: Grid, names: tuple[str, ...]) -> DataFrame:
+    """The columns ``names``, and name (s0, s1), size and fp of the distinct shingles, per row of ``docs`` (names, text).
+
+    fp: the fingerprint, and what else rows in the cells of ``grid`` carry.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets = _distinct(texts(batch.column("text")), width)
             named = set_names(sets)
-            flat = fingerprints_of(sets, words).reshape(-1).view(np.int64)
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            parts = [fingerprints_of(sets, grid.verify_words)]
+            if grid.marks:
+                parts += [parity_marks(sets, grid.marks), sizes.view(np.uint64)[:, None]]
+            flat = np.concatenate(parts, axis=1).reshape(-1).view(np.int64)
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * grid.carried)
             columns = [pa.array(np.ascontiguousarray(named[:, k])) for k in range(2)]
-            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))]
+            columns += [pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat))]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), *columns], [*names, "s0", "s1", "size", "fp"]
             )
@@ -597,18 +648,23 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(fit).select("a", F.col("node").alias("b"))
 
 
-def similar_links(nodes: DataFrame, sets_for, grid: Grid = SIMILAR) -> DataFrame:
+def similar_links(nodes: DataFrame, prefixes: DataFrame, sets_for, grid: Grid = SIMILAR, near: Grid = EXACT) -> DataFrame:
     """Links (a, b) that connect what pairs with a Jaccard similarity of 0.8 or more connect.
 
-    ``nodes``: node, fp, prefix (the cells), one row per distinct set; ``sets_for`` makes
-    (node, shingles) of a table of nodes.  Pairs are those that share a cell and are within the grid's bits; each
-    is compared exactly.  What a round of pivots for dense cells and a round of
-    one pair for each row connect is one label; then all pairs of two labels are
-    compared, so a group of near copies does not turn into all its pairs.
+    ``nodes``: node and fp, one row per distinct set; ``prefixes``: node and prefix, the cells of those
+    that share one; ``sets_for`` makes (node, shingles) of a table of nodes.  Candidates are pairs whose
+    fingerprints are near by the grid ``near`` on their segments' counts and, as similar sets may differ in
+    more bits, those that share a prefix's cell and are within ``grid``; each is compared exactly.  What a
+    round of pivots for dense cells and a round of one pair for each row and cell connect is one label; then
+    all pairs of two labels that share a prefix's cell are compared, so a group of near copies does not turn
+    into all its pairs.
     """
-    nodes = nodes.select("node", "fp", "prefix", F.col("node").alias("label"))
+    label = F.col("node").alias("label")
+    dealt = nodes.select("node", F.slice("fp", 1, near.words).alias("fp"), label)
+    nodes = lookup_join(nodes.select("node", "fp"), prefixes, "node", "inner").select("node", "fp", "prefix", label)
+    nodes = keep(nodes, "simhash-met")
     rows = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    tile = min(LARGEST_TILE, max(LEAST_TILE, rows // 1000))
+    tile, near_tile = min(LARGEST_TILE, max(LEAST_TILE, rows // 1000)), _tile_size(dealt, near.blocks)
 
     def compared(found: DataFrame) -> DataFrame:
         pairs = keep(found.distinct(), "simhash-pairs")
@@ -620,16 +676,19 @@ def similar_links(nodes: DataFrame, sets_for, grid: Grid = SIMILAR) -> DataFrame
         return links
 
     def listed(solved) -> DataFrame:
-        return compared(_tiles(nodes, grid, 0, tile).mapInArrow(_in_tiles(grid, solved), "a bigint, b bigint"))
+        return _tiles(nodes, grid, 0, tile).mapInArrow(_in_tiles(grid, solved), "a bigint, b bigint")
 
     links = []
-    pivots = _pivot_links(nodes, grid, 0, tile)
-    if pivots is not None:
-        links.append(compared(pivots))
-        nodes = _relabelled(nodes, components(links[0]))
-    links.append(listed(_first_listed))
+    pivots = [_pivot_links(dealt, near, near.blocks, near_tile), _pivot_links(nodes, grid, 0, tile)]
+    pivots = [p for p in pivots if p is not None]
+    if pivots:
+        links.append(compared(reduce(DataFrame.union, pivots)))
+        roots = components(links[0])
+        dealt, nodes = _relabelled(dealt, roots), _relabelled(nodes, roots)
+    by_counts = _tiles(dealt, near, near.blocks, near_tile).mapInArrow(_in_tiles(near, _first_listed), "a bigint, b bigint")
+    links.append(compared(by_counts.union(listed(_first_listed))))
     nodes = _relabelled(nodes, components(reduce(DataFrame.union, links)))
-    links.append(listed(_pairs_listed))
+    links.append(compared(listed(_pairs_listed)))
     return reduce(DataFrame.union, links).distinct()
 
 
@@ -668,7 +727,8 @@ def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame
     """The rows of ``docs`` (doc_id, text and any others) without near copies.
 
     Near copies are texts whose distinct shingles have a Jaccard similarity of
-    0.8 or more, and what such pairs connect (:func:`similar_links`).
+    0.8 or more, and what such pairs connect (:func:`similar_links`): found by
+    the grid on their fingerprints' segment counts, and the rest by prefixes of their sets.
     Of each group the row with the smallest doc_id stays (nulls last), of
     several such rows the one whose text has the smallest MD5.  Null and empty texts are
     copies of each other; an empty table gives no rows.
@@ -680,7 +740,7 @@ def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame
     """
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.col("text").cast("binary")))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("_key"), F.col("text").cast("string").alias("text"))
-    found = keep(set_rows(plain, width, grid.words, ("doc_id", "_key")), "simhash")
+    found = keep(set_rows(plain, width, grid, ("doc_id", "_key")), "simhash")
     # Different sets with one first half: none, or a few, by chance alone.
     several = found.select("s0", "s1", "size").distinct().groupBy("s0").count().where("count > 1")
     clashes = np.array([r.s0 for r in several.collect()], np.int64)
@@ -692,13 +752,11 @@ def keep_one(docs: DataFrame, width: int = 5, grid: Grid = SIMILAR) -> DataFrame
     dealt = plain.mapInArrow(_prefixes(width, common_shingles(plain, width), clashes), "h bigint, node bigint")
     dealt = dealt.repartition("h").sortWithinPartitions("h", "node")
     cells = dealt.mapInArrow(_shared, "h bigint, node bigint").groupBy("node").agg(F.collect_list("h").alias("prefix"))
-    met = keep(lookup_join(nodes.select("node", "fp"), cells, "node", "inner"), "simhash-met")
 
     def sets_for(ends: DataFrame) -> DataFrame:
         return sets_of(plain, lookup_join(ends, nodes.select("node", "_key"), "node", "inner"), width, clashes)
 
-    links = keep(similar_links(met, sets_for, grid), "simhash-similar")
-    forget(met)
+    links = keep(similar_links(nodes, cells, sets_for, grid), "simhash-similar")
     ids = lookup_join(nodes.select("node", "_first"), _roots(nodes, links), "node", "inner")
     chosen = ids.groupBy("root").agg(F.min("_first").alias("_first"))
     chosen = keep(chosen.select(F.col("_first._key").alias("_near_copy_key")), "simhash-chosen")

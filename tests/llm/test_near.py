@@ -341,3 +341,60 @@ def test_a_group_of_thousands_of_near_copies(spark):
     rows += [(i, f"{passage} " + " ".join(f"v{draw.randrange(10**6)}" for _ in range(200))) for i in range(4000, 4400)]
     kept = {r.doc_id for r in H.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
     assert kept == {10, *range(4000, 4400)}
+
+
+def test_marks_differ_no_more_than_sets():
+    draw = np.random.default_rng(12)
+    sets = [np.unique(draw.integers(0, 1 << 64, n, np.uint64)) for n in (0, 1, 9, 150, 3000) for _ in range(6)]
+    sets += [np.unique(np.concatenate((x[: -max(1, len(x) // 9)], draw.integers(0, 1 << 64, len(x) // 12, np.uint64)))) for x in sets]
+    marks = H.parity_marks(sets, H.MARKS)
+    bits = np.concatenate((H.fingerprints_of(sets, 4), marks, np.array([[len(x)] for x in sets], np.uint64)), axis=1)
+    similar = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            assert np.bitwise_count(marks[i] ^ marks[j]).sum() <= len(x) + len(y) - 2 * both
+            if both and 5 * both >= 4 * (len(x) + len(y) - both):
+                similar += 1
+                assert H._close(bits, np.array([i]), bits, np.array([j]), H.SIMILAR).all()
+    assert similar > 60
+
+
+def test_a_group_below_the_threshold_is_not_compared_pair_by_pair(spark, monkeypatch):
+    draw = random.Random(13)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in draw.sample(range(2, 148, 6), 3):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    sets = [{" ".join(w[i : i + 5]) for i in range(146)} for w in (t.split() for t in texts)]
+    root = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (292 - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    made, seen = H.keep, []
+    monkeypatch.setattr(H, "keep", lambda df, label: seen.append((label, made(df, label))) or seen[-1][1])
+    monkeypatch.setattr(H, "forget", lambda df: None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in H.keep_one(df).select("doc_id").collect()}
+    assert kept == set(root) and 100 < len(kept)
+    # 44,850 pairs share a cell.
+    assert sum(pairs.count() for label, pairs in seen if label == "simhash-pairs") < 10 * 300
+
+
+def test_near_segment_counts_make_candidates_without_a_shared_prefix_cell(spark):
+    draw = random.Random(14)
+    text = [f"w{draw.randrange(10**6)}" for _ in range(2000)]
+    texts = [" ".join(text), " ".join([*text[:-1], "other"]), " ".join(f"v{draw.randrange(10**6)}" for _ in range(300))]
+    sets = [np.unique(H.shingle_hashes(t.encode(), 5)) for t in texts]
+    assert np.bitwise_count(H.fingerprints_of(sets[:2], 1)[0] ^ H.fingerprints_of(sets[:2], 1)[1])[0] <= 3
+    carried = np.concatenate((H.fingerprints_of(sets, 4), H.parity_marks(sets, H.MARKS), np.array([[len(x)] for x in sets], np.uint64)), axis=1)
+    nodes = spark.createDataFrame([(i, x) for i, x in enumerate(carried.view(np.int64).tolist())], "node long, fp array<long>")
+    shingles = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sets)], "node long, shingles array<long>")
+    none = spark.createDataFrame([], "node long, prefix array<long>")
+    assert [(r.a, r.b) for r in H.similar_links(nodes, none, lambda ends: shingles).collect()] == [(0, 1)]

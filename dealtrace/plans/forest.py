@@ -26,7 +26,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS = 32
 # Rows that tell where bins begin; rows walked at once; open nodes counted in one pass.
-SAMPLED, ROWS, OPEN_NODES = 20_000, 1 << 14, 50_000
+SAMPLED, ROWS, OPEN_NODES = 20_000, 1 << 15, 50_000
+# A place among the bins of a batch, below the next node.
+PLACE = 32
 SALT, LABEL = "_win_salt", "label"
 COLUMNS = ("tree", "node", "place", "threshold", "left", "right", "gain", "n", "won")
 SCHEMA = "tree int, node int, place int, threshold double, left int, right int, gain double, n double, won double"
@@ -71,9 +73,14 @@ def load_forest(spark: SparkSession, folder: str, features: int) -> Forest:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Well mixed bits of ``x``, in its own memory."""
+    y = x >> np.uint64(30)
+    x ^= y
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, np.uint64(27), out=y)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= np.right_shift(x, np.uint64(31), out=y)
+    return x
 
 
 def _draws() -> np.ndarray:
@@ -95,13 +102,30 @@ def _cuts(values: np.ndarray) -> np.ndarray:
     return halves[np.unique(np.minimum(even, len(halves) - 1))]
 
 
+def _merged(batches) -> Iterator[pa.RecordBatch]:
+    """Spark's batches as batches of ROWS rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            whole = pa.concat_batches(held)
+            for at in range(0, rows - ROWS + 1, ROWS):
+                yield whole.slice(at, ROWS)
+            held, rows = [whole.slice(rows - rows % ROWS)], rows % ROWS
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def _batches(batches, names: list[str], cuts: list[np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Some rows at a time, and their bins (features x rows)."""
+    """Some rows at a time, and their bins: ROWS places for each feature, one after another."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            found = [np.searchsorted(c, part.column(f).to_numpy(zero_copy_only=False)) for f, c in zip(names, cuts)]
-            yield part, np.array(found, np.uint8)
+            bins = np.zeros((len(names), ROWS), np.uint8)
+            for of_feature, f, c in zip(bins, names, cuts):
+                of_feature[: part.num_rows] = np.searchsorted(c, part.column(f).to_numpy(zero_copy_only=False))
+            yield part, bins.reshape(-1)
 
 
 def _tables(nodes: dict[str, np.ndarray], cuts: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
@@ -130,38 +154,55 @@ def _depth(table: tuple[np.ndarray, ...]) -> int:
     return steps
 
 
-def _walked(table: tuple[np.ndarray, ...], flat: np.ndarray, rows: np.ndarray, width: int, steps: int) -> np.ndarray:
-    """The nodes that rows (places in ``flat`` bins of ``width`` rows for each feature) reach."""
+def _paths(table: tuple[np.ndarray, ...], shift: int) -> np.ndarray:
+    """By node and bin of its feature (``shift`` bits): the next node, and below it where that one's bins begin."""
     place, last, child, _ = table
-    offset = place * width
-    node = np.zeros(len(rows), np.int64)
-    for _ in range(steps):
-        node = child[node] + (flat[offset[node] + rows] > last[node])
-    return node
+    after = child[:, None] + (np.arange(1 << shift) > last[:, None])
+    return (after << (shift + PLACE) | (place * ROWS)[after]).reshape(-1)
+
+
+def _shift(cuts: list[np.ndarray]) -> int:
+    """Bits that hold any bin."""
+    return max(map(len, cuts)).bit_length()
+
+
+def _walked(table, paths: np.ndarray, bins: np.ndarray, rows: np.ndarray, steps: int, shift: int) -> np.ndarray:
+    """The nodes that ``rows`` of a batch reach."""
+    if not steps:
+        return np.zeros(len(rows), np.int64)
+    at = paths.take(bins.take(rows + table[0][0] * ROWS))
+    for _ in range(steps - 1):
+        here = bins.take((at & ((1 << PLACE) - 1)) + rows)
+        at = paths.take((at >> PLACE) + here)
+    return at >> (shift + PLACE)
 
 
 def _counter(names, cuts, tables, level: int, open_nodes: dict[int, tuple[np.ndarray, np.ndarray]], seed: int):
-    """Counts by tree (open nodes x candidate features x bins x labels) of the rows of a task."""
-    draws = _draws()
+    """Counts by tree (candidates x open nodes x labels x bins) of the rows of a task."""
+    draws, shift = _draws(), _shift(cuts)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        sums = {t: np.zeros(tried.size * BINS * 2) for t, (_, tried) in open_nodes.items()}
-        for part, bins in _batches(batches, names, cuts):
-            flat, width = bins.reshape(-1), bins.shape[1]
+        # A candidate's counts of a tree lie together, so that adding a batch visits little memory.
+        sums = {t: np.zeros((tried.shape[1], len(tried) * 2 * BINS)) for t, (_, tried) in open_nodes.items()}
+        paths = {t: _paths(tables[t], shift) for t in open_nodes}
+        starts = {t: [np.ascontiguousarray(c) for c in (tried * ROWS).T] for t, (_, tried) in open_nodes.items()}
+        for part, bins in _batches(_merged(batches), names, cuts):
             salt = part.column(SALT).to_numpy().view(np.uint64)
-            won = (part.column(LABEL).to_numpy(zero_copy_only=False) == 1).astype(np.uint8)
-            coded = (2 * bins + won).reshape(-1)
-            for tree, (slots, tried) in open_nodes.items():
-                drawn = draws[_mix(salt ^ np.uint64((0x9E3779B97F4A7C15 * (tree + 1 + (seed << 20))) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(48)]
-                rows = np.flatnonzero(drawn)
-                slot = slots[_walked(tables[tree], flat, rows, width, level)]
+            won = (part.column(LABEL).to_numpy(zero_copy_only=False) == 1) * BINS
+            for tree, (slots, _) in open_nodes.items():
+                mixed = _mix(salt ^ np.uint64((0x9E3779B97F4A7C15 * (tree + 1 + (seed << 20))) & 0xFFFFFFFFFFFFFFFF))
+                mixed >>= np.uint64(48)
+                drawn = draws.take(mixed.view(np.int64))
+                rows = np.flatnonzero(drawn > 0)
+                slot = slots.take(_walked(tables[tree], paths[tree], bins, rows, level, shift))
                 here = slot >= 0
-                rows, slot = rows[here], slot[here]
-                # All candidates at once (rows x features): where a count belongs, by node, feature, bin and label.
-                first = np.arange(tried.size).reshape(tried.shape) * (2 * BINS)
-                key = first[slot] + coded[(tried * width)[slot] + rows[:, None]]
-                weight = np.repeat(drawn[rows].astype(np.float64), tried.shape[1])
-                sums[tree] += np.bincount(key.reshape(-1), weight, len(sums[tree]))
+                if not here.all():
+                    rows, slot = rows[here], slot[here]
+                weight = drawn.take(rows).astype(np.float64)
+                first = slot * (2 * BINS) + won.take(rows)
+                for of_candidate, start in zip(sums[tree], starts[tree]):
+                    key = first + bins.take(start.take(slot) + rows)
+                    of_candidate += np.bincount(key, weight, len(of_candidate))
         for tree, counts in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([counts.tobytes()])], ["tree", "counts"])
 
@@ -179,8 +220,8 @@ def _splitter(open_nodes, cuts, min_leaf: int):
         tree = key[0].as_py()
         slots, tried = open_nodes[tree]
         counts = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("counts"))
-        counts = counts.reshape(*tried.shape, BINS, 2)
-        n, won = counts.sum(3), counts[..., 1]
+        counts = counts.reshape(tried.shape[1], len(tried), 2, BINS).swapaxes(0, 1)
+        n, won = counts.sum(2), counts[:, :, 1]
         n_left, won_left = n.cumsum(2)[:, :, :-1], won.cumsum(2)[:, :, :-1]
         n_all, won_all = n[:, 0].sum(1), won[:, 0].sum(1)
         total_n, total_won = n_all[:, None, None], won_all[:, None, None]
@@ -262,15 +303,15 @@ def with_chance(forest: Forest, rows: DataFrame, names: list[str], column: str)
     """``rows`` with the mean of their leaves' shares of won deals."""
     place, threshold = forest.nodes["place"], forest.nodes["threshold"]
     cuts = [np.unique(threshold[place == i]) for i in range(len(names))]
-    tables, trees = _tables(forest.nodes, cuts), forest.trees
+    tables, trees, shift = _tables(forest.nodes, cuts), forest.trees, _shift(cuts)
     steps = max(map(_depth, tables))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        paths = [_paths(table, shift) for table in tables]
         for part, bins in _batches(batches, names, cuts):
-            flat, width = bins.reshape(-1), bins.shape[1]
-            at, sums = np.arange(width), np.zeros(width)
-            for table in tables:
-                sums += table[3][_walked(table, flat, at, width, steps)]
+            at, sums = np.arange(part.num_rows), np.zeros(part.num_rows)
+            for table, of_tree in zip(tables, paths):
+                sums += table[3].take(_walked(table, of_tree, bins, at, steps, shift))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums / trees)], [*part.schema.names, column])
 
     schema = T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())])

@@ -256,11 +256,14 @@ def store_win_model(deals: DataFrame, root: str, key: str, **fit) -> str:
     spark = deals.sparkSession
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     folder = f"{root}/{version}"
+    shown = ["opp_id", "account_name", "amount", "channel_category", "segment", "is_won", "is_closed_deal", "label"]
+    wanted = [*shown, *fit.get("categorical", V.WIN_CATEGORICAL), *fit.get("others", [*V.WIN_BOOLEAN, *V.WIN_NUMERIC])]
+    # Fitted to and scored: what makes the deals is done once.
+    deals = keep(deals.select(*(c for c in dict.fromkeys(wanted) if c in deals.columns)), "win-deals")
     model = fit_win_model(deals, **fit)
     model.save(folder)
     mark = {"key": F.lit(key), "version": F.lit(version)}
     forest_nodes(spark, folder).withColumns(mark).coalesce(1).write.parquet(f"{folder}/nodes")
-    shown = ["opp_id", "account_name", "amount", "channel_category", "segment", "is_won", "is_closed_deal", "label"]
     scored = score(model, deals).select(*shown, "win_probability", "predicted_win")
     scored.withColumns(mark).write.parquet(f"{folder}/scores")
     spark.range(1).select(F.lit(key).alias("key"), F.lit(version).alias("version")).write.parquet(f"{folder}/ready")

@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dealtrace.catalog.queries import Tables, _attribution, _channels, _master
 from dealtrace.functions import fixed_values as V
 from dealtrace.plans import channel as C
+from dealtrace.plans import forest as R
 from dealtrace.plans import winprob as W
 from dealtrace.plans.funnel import funnel
 from dealtrace.catalog.queries import QUERIES
@@ -150,6 +153,46 @@ def test_the_forest_is_the_same_however_rows_are_dealt(planted):
     assert all(abs(by[t, 0][0] / closed - 1) < 0.15 for t in range(4))
 
 
+def test_counts_of_a_task_equal_those_row_by_row(monkeypatch):
+    """Spark's small batches are counted as larger ones: as many walks as these, and the same counts."""
+    monkeypatch.setattr(R, "ROWS", 40)
+    rng = np.random.default_rng(3)
+    names, cuts = ["a", "b", "c"], [np.array([0.5, 1.5]), np.array([]), np.array([0.25, 0.5, 0.75])]
+    n = 150
+    columns = [rng.integers(0, 3, n).astype(float), np.full(n, 7.0), rng.random(n)]
+    label, salt = rng.integers(0, 2, n).astype(float), rng.integers(-(2**62), 2**62, n)
+    table = pa.table([*map(pa.array, columns), pa.array(label), pa.array(salt)], [*names, R.LABEL, R.SALT])
+    # Node 0 tests c, its right child a; node 1 and the last two are leaves, of which 3 and 4 are open.
+    parts = [("place", [2, -1, 0, -1, -1]), ("threshold", [0.5, 0.0, 0.5, 0.0, 0.0]), ("left", [1, 0, 3, 0, 0]), ("n", [1.0] * 5), ("won", [0.0] * 5)]
+    nodes = {"tree": np.zeros(5, int), **{k: np.array(v) for k, v in parts}}
+    slots, tried = np.array([-1, -1, -1, 0, 1]), np.array([[0, 2], [1, 2]])
+    tables, walks = R._tables(nodes, cuts), []
+    walked = R._walked
+    monkeypatch.setattr(R, "_walked", lambda *a: walks.append(1) or walked(*a))
+    out = list(R._counter(names, cuts, tables, 2, {0: (slots, tried)}, 42)(table.to_batches(max_chunksize=7)))
+    got = np.frombuffer(out[0].column("counts")[0].as_buffer(), float).reshape(2, 2, 2, R.BINS)
+    want = np.zeros((2, 2, 2, R.BINS))
+    mixed = R._mix(salt.astype(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (1 + (42 << 20))) % 2**64)) >> np.uint64(48)
+    for i, drawn in enumerate(R._draws()[mixed].tolist()):
+        if columns[2][i] > 0.5:
+            slot = int(columns[0][i] > 0.5)
+            for k, f in enumerate(tried[slot]):
+                want[k, slot, int(label[i]), np.searchsorted(cuts[f], columns[f][i])] += drawn
+    assert (got == want).all() and want.sum() > 50 and len(walks) == 4
+
+
+def test_a_model_makes_its_deals_once(planted, tmp_path):
+    seen = planted.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    W.store_win_model(planted.withColumn("amount", told("amount")), str(tmp_path), "a", trees=2, depth=2)
+    assert seen.value == planted.count()
+
+
 def test_importance_from_the_nodes_equals_the_fitted_one(planted, tmp_path):
     model = W.fit_win_model(planted, trees=12, depth=5)
     nodes = W.forest_nodes(planted.sparkSession, model.save(str(tmp_path)))

@@ -11,7 +11,7 @@ from .aggregate import (
     total,
 )
 from .incremental import StateStore
-from .intervals import TouchIntervals, expand, link_touches, touch_intervals
+from .intervals import TouchIntervals, expand, link_touches, links_by_kind, touch_intervals
 from .lookup import lookup_join
 from .membership import dictionary, having, listed, marks, memberships, merged
 from .reshape import pivot_sum, ranked_pivot, stack_columns
@@ -34,6 +34,7 @@ __all__ = [
     "last_n",
     "latest_state",
     "link_touches",
+    "links_by_kind",
     "listed",
     "lookup_join",
     "marks",

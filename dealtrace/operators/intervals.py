@@ -8,6 +8,7 @@ table of deals.  Pairs are made from intervals only for those who ask for them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import scalars as S
-from .sweep import in_ranges
+from ..sources.scratch import keep
+from .lookup import lookup_join
+from .sweep import by_kind, decayed, in_ranges, swept, touch_log
 
-# Touches of a domain that share one key when intervals are expanded.
-BLOCK = 4096
+# Touches of a domain that share one key when intervals are expanded; the same for short intervals.
+BLOCK, SHORT_BLOCK = 4096, 64
+# Touches read for each kind of a domain, at most: a sweep lays out three questions for each.
+READ_FOR_KIND = 4
 
 
 @dataclass(frozen=True)
@@ -90,13 +95,14 @@ def touch_intervals(
     return TouchIntervals(ends.select(*shown, "first", "after"), numbered)
 
 
-def expand(links: TouchIntervals) -> DataFrame:
+def expand(links: TouchIntervals, block_rows: int | None = None) -> DataFrame:
     """One row per deal and touch of its interval, with ``days_before``.
 
-    Deals meet blocks of at most BLOCK touches of their domain, so no key holds a busy
+    Deals meet blocks of at most ``block_rows`` (BLOCK) touches of their domain, so no key holds a busy
     domain's touches, and what a deal reads beyond its interval is less than two blocks.
     """
-    block = lambda n: F.floor(n / F.lit(BLOCK)).cast("bigint")
+    size = block_rows or BLOCK
+    block = lambda n: F.floor(n / F.lit(size)).cast("bigint")
     left = links.deals.where("after > first").withColumn(
         "_block", F.explode(F.sequence(block(F.col("first")), block(F.col("after") - 1)))
     )
@@ -116,3 +122,33 @@ def link_touches(
     reports :func:`touch_links` only.
     """
     return expand(touch_intervals(deals, touches, window_days))
+
+
+def links_by_kind(
+    deals: DataFrame,
+    touches: DataFrame,
+    by: Sequence[str],
+    window_days: int = V.ATTRIBUTION_WINDOW_DAYS,
+    half_life_days: float = V.HALF_LIFE_DAYS,
+) -> DataFrame:
+    """:func:`touch_links` where the ``by`` columns have many values in each domain.
+
+    A sweep asks each deal about every kind of its domain, and most of many kinds are not in
+    its window.  A deal whose interval holds at most READ_FOR_KIND touches (of one kind and
+    instant: one) for each kind of its domain reads them instead; the others are swept.
+    """
+    log = touch_log(touches, by)
+    known = deals.where(F.col("domain").isNotNull() & F.col("create_date").isNotNull())
+    dated = log.select("domain", F.timestamp_micros("us").alias("touch_date"), "kind", "n")
+    placed = touch_intervals(known.select("opp_id", "domain", "create_date"), dated, window_days)
+    kinds = log.groupBy("domain").agg(F.countDistinct("kind").alias("kinds"))
+    asked = keep(lookup_join(placed.deals.where("after > first"), kinds, "domain", "inner"), "touch-intervals")
+    short = F.col("after") - F.col("first") <= F.col("kinds") * F.lit(READ_FOR_KIND)
+    pairs = expand(TouchIntervals(asked.where(short).drop("kinds"), placed.touches), SHORT_BLOCK)
+    us = F.unix_micros("touch_date")
+    weight = F.col("n") * decayed(us, F.unix_micros("create_date"), half_life_days)
+    answers = pairs.select("opp_id", "kind", "n", weight.alias("w"), us.alias("lo"), us.alias("hi"))
+    long = asked.where(~short).select("opp_id", "domain", "create_date")
+    if not long.isEmpty():
+        answers = answers.unionByName(swept(long, log, window_days, half_life_days))
+    return by_kind(answers, touches, by)

@@ -77,21 +77,56 @@ def touch_links(
     ``weight`` (sum of half-life weights); deals without touches are absent.
     The result is partitioned by ``opp_id``.
     """
+    answers = swept(deals, touch_log(touches, by), window_days, half_life_days, carry)
+    return by_kind(answers, touches, by, carry)
+
+
+def touch_log(touches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Touches as a written table of (domain, kind, us) and their number ``n``.
+
+    One text, ``kind``, stands for the ``by`` columns, so that nulls compare like values.
+    """
+    kind = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    rows = _known(touches, "touch_date", "us").groupBy("domain", kind.alias("kind"), "us")
+    return keep(rows.agg(F.count(F.lit(1)).alias("n")), "touch-log")
+
+
+def decayed(us: Column, since: Column, half_life_days: float) -> Column:
+    """The half-life weight, at ``since``, of a touch at ``us`` (both microseconds)."""
+    return _power(us - since, half_life_days)
+
+
+def by_kind(answers: DataFrame, touches: DataFrame, by: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Answers (``opp_id``, carry..., ``kind``, ``n``, ``w``, ``lo``, ``hi``) added up by deal and kind."""
+    linked = (
+        answers.repartition("opp_id")
+        .groupBy("opp_id", "kind")
+        .agg(
+            *(F.first(c).alias(c) for c in carry),
+            F.sum("n").alias("touches"),
+            F.min("lo").alias("first_us"),
+            F.max("hi").alias("last_us"),
+            F.sum("w").alias("weight"),
+        )
+        .where("touches > 0")
+    )
+    fields = touches.select(*by).schema
+    return linked.withColumn("_by", F.from_json("kind", fields)).select(
+        "opp_id", *carry, *(F.col(f"_by.{c}").alias(c) for c in by), "touches", "first_us", "last_us", "weight"
+    )
+
+
+def swept(
+    deals: DataFrame, log: DataFrame, window_days: int, half_life_days: float, carry: Sequence[str] = ()
+) -> DataFrame:
+    """What each question of a deal adds to the answer for a kind; see :func:`touch_links`."""
     window = int(window_days * S.MICROS_PER_DAY)
     epoch = max(window, int(EPOCH_HALF_LIVES * half_life_days * S.MICROS_PER_DAY), 1)
-    carry, by = list(carry), list(by)
+    carry = list(carry)
 
     def epoch_of(us: Column) -> Column:
         return F.floor(us / F.lit(epoch)).cast("bigint")
 
-    # One text stands for the by columns, so that nulls compare like values.
-    kind = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
-    log = keep(
-        _known(touches, "touch_date", "us")
-        .groupBy("domain", kind.alias("kind"), "us")
-        .agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in by)),
-        "touch-log",
-    )
     kinds = log.select("domain", "kind").distinct().groupBy("domain").agg(F.collect_list("kind").alias("kinds"))
     asked = _known(deals, "create_date", "t").select("opp_id", "domain", "t", *carry)
     asked = lookup_join(asked, kinds, "domain", "inner").withColumn("kind", F.explode("kinds")).drop("kinds")
@@ -169,7 +204,7 @@ def touch_links(
     last = F.greatest("hi_here", "hi_before")
     # The first touch of the window follows its start, or opens a later epoch.
     first = F.when(F.col("sign") < 0, F.least("next_here", "lo_after")).otherwise(F.least("lo_here", "lo_before"))
-    settled = answered.select(
+    return answered.select(
         "opp_id",
         *carry,
         "kind",
@@ -182,22 +217,6 @@ def touch_links(
         F.when(first.between(since, F.col("t")), first).alias("lo"),
         F.when((F.col("sign") > 0) & last.between(since, F.col("t")), last).alias("hi"),
     )
-    linked = (
-        settled.repartition("opp_id")
-        .groupBy("opp_id", "kind")
-        .agg(
-            *(F.first(c).alias(c) for c in carry),
-            F.sum("n").alias("touches"),
-            F.min("lo").alias("first_us"),
-            F.max("hi").alias("last_us"),
-            F.sum("w").alias("weight"),
-        )
-        .where("touches > 0")
-    )
-    fields = touches.select(*by).schema
-    return linked.withColumn("_by", F.from_json("kind", fields)).select(
-        "opp_id", *carry, *(F.col(f"_by.{c}").alias(c) for c in by), "touches", "first_us", "last_us", "weight"
-    )
 
 
 def deal_channel_links(

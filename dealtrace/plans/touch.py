@@ -166,7 +166,7 @@ def link_summary(
     """
     deals = attributable(opps, accounts, domain_source).select("opp_id", "domain", "create_date")
     by = ["channel", "touch_type", "campaign_id"]
-    return sweep.touch_links(deals, touches, by, window_days, half_life_days)
+    return intervals.links_by_kind(deals, touches, by, window_days, half_life_days)
 
 
 __all__ = [

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dealtrace.operators import expand, intervals, link_touches, sweep, touch_intervals
+from dealtrace.operators import expand, intervals, link_touches, links_by_kind, sweep, touch_intervals
+from dealtrace.plans import touch
 
 T0 = dt.datetime(2024, 1, 1)
 DEALS = "opp_id string, domain string, create_date timestamp, amount double"
@@ -104,3 +105,64 @@ def test_expanding_joins_on_blocks(spark):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "_block" in text and "Join Inner, " in text
     assert not any(x in plan._jdf.queryExecution().executedPlan().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+@pytest.mark.parametrize("read", [0, 4, 1000])
+def test_links_by_kind_equal_all_pairs_read_or_swept(spark, monkeypatch, read):
+    """No deal, some and all by their touches; deal ids repeat, so both ways may answer for one id."""
+    monkeypatch.setattr(intervals, "READ_FOR_KIND", read)
+    monkeypatch.setattr(intervals, "SHORT_BLOCK", 8)
+    monkeypatch.setattr(sweep, "RANGE_ROWS", 50)
+    deals, touches = random_case(4)
+    rng = random.Random(5)
+    touches = [(*t, rng.choice(["c1", "c2", None])) for t in touches]
+    touches += touches[:50]
+    ways, swept = [], intervals.swept
+    monkeypatch.setattr(intervals, "swept", lambda asked, *a: ways.append(asked.count()) or swept(asked, *a))
+    got = links_by_kind(
+        spark.createDataFrame(deals, DEALS),
+        spark.createDataFrame(touches, TOUCHES + ", campaign_id string"),
+        ["channel", "campaign_id"],
+        WINDOW,
+        3,
+    ).collect()
+    want = {}
+    for opp, domain, created, _ in deals:
+        for d, at, channel, campaign in touches:
+            if d is None or d != domain or None in (at, created) or not dt.timedelta(0) <= created - at <= dt.timedelta(days=WINDOW):
+                continue
+            us = round((at - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+            n, lo, hi, w = want.get((opp, channel, campaign), (0, us, us, 0.0))
+            w += 2.0 ** (-(created - at) / dt.timedelta(days=3))
+            want[opp, channel, campaign] = n + 1, min(lo, us), max(hi, us), w
+    assert len(got) == len(want)
+    for r in got:
+        n, lo, hi, w = want[r.opp_id, r.channel, r.campaign_id]
+        assert (r.touches, r.first_us, r.last_us) == (n, lo, hi) and r.weight == pytest.approx(w, rel=1e-9)
+    assert bool(ways) == (read < 1000) and (read != 4 or 0 < ways[0] < len(deals) - 10)
+
+
+def test_a_summary_lays_out_no_question_for_each_kind(spark, monkeypatch):
+    """400 kinds in a domain, of which a deal's window holds a few."""
+    laid = []
+    for module in (sweep, intervals):
+        lay_out = module.in_ranges
+        monkeypatch.setattr(module, "in_ranges", lambda df, *a, f=lay_out, **k: laid.append(df.count()) or f(df, *a, **k))
+    at = lambda hours: F.timestamp_seconds(F.lit(1_700_000_000) + hours * 3600)
+    touches = spark.range(400).select(
+        F.lit("hot").alias("domain"),
+        at(F.col("id") * 2).alias("touch_date"),
+        F.lit("x").alias("channel"),
+        F.lit("t").alias("touch_type"),
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("campaign_id"),
+    )
+    deals = spark.range(100).select(
+        F.col("id").cast("string").alias("opp_id"),
+        F.lit("hot").alias("domain"),
+        at(F.col("id") * 8 + 1).alias("create_date"),
+        F.lit(1.0).alias("amount"),
+    )
+    got = touch.link_summary(deals, touches, None, 1, 3).groupBy("opp_id").count().collect()
+    # Every other hour of a day: twelve; fewer at the beginning.
+    assert {int(r.opp_id): r["count"] for r in got} == {i: min(12, 4 * i + 1) for i in range(100)}
+    assert laid and max(laid) <= 400 + 2 * 100

@@ -998,7 +998,7 @@ def win_auc(t):
     folder = _model(t)
     if not B.exists(t.spark, f"{folder}/fold_scores/_SUCCESS"):
         ready = t.spark.read.parquet(f"{folder}/ready").first()
-        scores = W.out_of_fold_scores(_features(t))
+        scores = W.out_of_fold_scores(W.stored(t.spark, folder, "deals"))
         scores = scores.withColumns({"key": F.lit(ready.key), "version": F.lit(ready.version)})
         scores.write.mode("overwrite").parquet(f"{folder}/fold_scores")
     return rounded(W.auc_summary(W.stored(t.spark, folder, "fold_scores")), 9, "auc", "deviation")

@@ -5,6 +5,8 @@ down the trees so far and counts, per open node, candidate feature, bin and labe
 the tree drew of them; counts are added by tree, and each tree's splits are chosen where
 its counts are.  How often a tree draws a row is a Poisson number by a hash of both, so
 no weights are stored and a rerun draws the same.  The driver holds nodes, never rows.
+Forests that each leave out a part of the rows grow together: a part is read, and its
+draws made, once for all of them.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,15 +121,25 @@ def _merged(batches) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _batches(batches, names: list[str], cuts: list[np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Some rows at a time, and their bins: ROWS places for each feature, one after another."""
+def _parted(batches, column: str | None) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """At most ROWS rows at a time that have one value of ``column``, and that value."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            bins = np.zeros((len(names), ROWS), np.uint8)
-            for of_feature, f, c in zip(bins, names, cuts):
-                of_feature[: part.num_rows] = np.searchsorted(c, part.column(f).to_numpy(zero_copy_only=False))
-            yield part, bins.reshape(-1)
+            if column is None:
+                yield None, part
+                continue
+            of = part.column(column)
+            for value in pc.unique(of).to_pylist():
+                yield value, part.filter(pc.equal(of, value))
+
+
+def _bins(part: pa.RecordBatch, names: list[str], cuts: list[np.ndarray]) -> np.ndarray:
+    """The rows' bins: ROWS places for each feature, one after another."""
+    bins = np.zeros((len(names), ROWS), np.uint8)
+    for of_feature, f, c in zip(bins, names, cuts):
+        of_feature[: part.num_rows] = np.searchsorted(c, part.column(f).to_numpy(zero_copy_only=False))
+    return bins.reshape(-1)
 
 
 def _tables(nodes: dict[str, np.ndarray], cuts: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
@@ -170,46 +184,74 @@ def _walked(table, paths: np.ndarray, bins: np.ndarray, rows: np.ndarray, steps:
     """The nodes that ``rows`` of a batch reach."""
     if not steps:
         return np.zeros(len(rows), np.int64)
-    at = paths.take(bins.take(rows + table[0][0] * ROWS))
+    # Every place is inside; "wrap" only leaves out the test for it.
+    at = paths.take(bins.take(rows + table[0][0] * ROWS, mode="wrap"), mode="wrap")
     for _ in range(steps - 1):
-        here = bins.take((at & ((1 << PLACE) - 1)) + rows)
-        at = paths.take((at >> PLACE) + here)
+        here = bins.take((at & ((1 << PLACE) - 1)) + rows, mode="wrap")
+        at = paths.take((at >> PLACE) + here, mode="wrap")
     return at >> (shift + PLACE)
 
 
-def _counter(names, cuts, tables, level: int, open_nodes: dict[int, tuple[np.ndarray, np.ndarray]], seed: int):
-    """Counts by tree (candidates x open nodes x labels x bins) of the rows of a task."""
-    draws, shift = _draws(), _shift(cuts)
+def _counter(names, cuts, tables, level: int, open_nodes, seed: int, trees: int | None = None, without=(), column=None):
+    """Counts by tree (candidates x open nodes x labels x bins) of the rows of a task.
+
+    With ``trees``, there are so many of each forest, and ``cuts`` has those of one after another.
+    """
+    if trees is None:
+        cuts, trees = [cuts], max(open_nodes) + 1
+    draws = _draws()
+    of_forest = [[t for t in open_nodes if t // trees == f] for f in range(len(cuts))]
+
+    def drawn(salt: np.ndarray, tree: int) -> np.ndarray:
+        mixed = _mix(salt ^ np.uint64((0x9E3779B97F4A7C15 * (tree + 1 + (seed << 20))) & 0xFFFFFFFFFFFFFFFF))
+        mixed >>= np.uint64(48)
+        return draws.take(mixed.view(np.int64), mode="wrap")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         # A candidate's counts of a tree lie together, so that adding a batch visits little memory.
         sums = {t: np.zeros((tried.shape[1], len(tried) * 2 * BINS)) for t, (_, tried) in open_nodes.items()}
-        paths = {t: _paths(tables[t], shift) for t in open_nodes}
+        paths = {t: _paths(tables[t], _shift(cuts[t // trees])) for t in open_nodes}
         starts = {t: [np.ascontiguousarray(c) for c in (tried * ROWS).T] for t, (_, tried) in open_nodes.items()}
-        for part, bins in _batches(_merged(batches), names, cuts):
+        for value, part in _parted(_merged(batches), column):
             salt = part.column(SALT).to_numpy().view(np.uint64)
             won = (part.column(LABEL).to_numpy(zero_copy_only=False) == 1) * BINS
-            for tree, (slots, _) in open_nodes.items():
-                mixed = _mix(salt ^ np.uint64((0x9E3779B97F4A7C15 * (tree + 1 + (seed << 20))) & 0xFFFFFFFFFFFFFFFF))
-                mixed >>= np.uint64(48)
-                drawn = draws.take(mixed.view(np.int64))
-                rows = np.flatnonzero(drawn > 0)
-                slot = slots.take(_walked(tables[tree], paths[tree], bins, rows, level, shift))
-                here = slot >= 0
-                if not here.all():
-                    rows, slot = rows[here], slot[here]
-                weight = drawn.take(rows).astype(np.float64)
-                first = slot * (2 * BINS) + won.take(rows)
-                for of_candidate, start in zip(sums[tree], starts[tree]):
-                    key = first + bins.take(start.take(slot) + rows)
-                    of_candidate += np.bincount(key, weight, len(of_candidate))
+            # Forests draw alike, so that what one tree draws is found once for all of them.
+            taken = {t: drawn(salt, t) for t in {t % trees for t in open_nodes}}
+            for f, here_trees in enumerate(of_forest):
+                if not here_trees or (column is not None and without[f] == value):
+                    continue
+                bins, shift = _bins(part, names, cuts[f]), _shift(cuts[f])
+                for tree in here_trees:
+                    slots = open_nodes[tree][0]
+                    rows = np.flatnonzero(taken[tree % trees] > 0)
+                    slot = slots.take(_walked(tables[tree], paths[tree], bins, rows, level, shift), mode="wrap")
+                    here = slot >= 0
+                    if not here.all():
+                        rows, slot = rows[here], slot[here]
+                    weight = taken[tree % trees].take(rows, mode="wrap").astype(np.float64)
+                    first = slot * (2 * BINS) + won.take(rows, mode="wrap")
+                    for of_candidate, start in zip(sums[tree], starts[tree]):
+                        key = first + bins.take(start.take(slot, mode="wrap") + rows, mode="wrap")
+                        of_candidate += np.bincount(key, weight, len(of_candidate))
         for tree, counts in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([counts.tobytes()])], ["tree", "counts"])
 
     return run
 
 
-def _splitter(open_nodes, cuts, min_leaf: int):
+def _packed(counter):
+    """Its counts, all whole numbers, in the fewest bytes each that hold them."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in counter(batches):
+            counts = np.frombuffer(batch.column("counts")[0].as_buffer(), np.float64)
+            counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+            yield pa.RecordBatch.from_arrays([batch.column("tree"), pa.array([counts.tobytes()])], ["tree", "counts"])
+
+    return run
+
+
+def _splitter(open_nodes, cuts, trees: int, min_leaf: int):
     """The best split of each open node, from the counts of one tree."""
 
     def impurity(n, won):
@@ -219,7 +261,10 @@ def _splitter(open_nodes, cuts, min_leaf: int):
     def run(key, table):
         tree = key[0].as_py()
         slots, tried = open_nodes[tree]
-        counts = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("counts"))
+        counts = np.zeros(tried.size * 2 * BINS)
+        for x in table.column("counts"):
+            packed = x.as_buffer()
+            counts += np.frombuffer(packed, f"u{packed.size // counts.size}")
         counts = counts.reshape(tried.shape[1], len(tried), 2, BINS).swapaxes(0, 1)
         n, won = counts.sum(2), counts[:, :, 1]
         n_left, won_left = n.cumsum(2)[:, :, :-1], won.cumsum(2)[:, :, :-1]
@@ -228,7 +273,7 @@ def _splitter(open_nodes, cuts, min_leaf: int):
         n_right, won_right = total_n - n_left, total_won - won_left
         parts = n_left * impurity(n_left, won_left) + n_right * impurity(n_right, won_right)
         gain = impurity(total_n, total_won) - parts / np.maximum(total_n, 1)
-        possible = np.array([len(c) for c in cuts])[tried][:, :, None] > np.arange(BINS - 1)
+        possible = np.array([len(c) for c in cuts[tree // trees]])[tried][:, :, None] > np.arange(BINS - 1)
         gain = np.where(possible & (n_left >= min_leaf) & (n_right >= min_leaf), gain, 0.0).reshape(len(tried), -1)
         best = gain.argmax(1)
         i = np.arange(len(tried))
@@ -243,25 +288,46 @@ def _splitter(open_nodes, cuts, min_leaf: int):
 _SPLITS = "tree long, node long, place long, cut long, gain double, n double, won double, n_left double, won_left double"
 
 
+@lru_cache(1 << 18)
+def _candidates(seed: int, tree: int, node: int, features: int) -> np.ndarray:
+    """The features that a node tries: the square root of all."""
+    return np.sort(np.random.default_rng((seed, tree, node)).permutation(features)[: ceil(sqrt(features))])
+
+
 def fit_forest(rows: DataFrame, names: list[str], trees: int, depth: int, min_leaf: int, seed: int) -> Forest:
     """A forest on written ``rows`` (label, SALT and the columns ``names``, all numbers without null).
 
     Each node tries the square root of the features; its split has the largest decrease of
     the Gini impurity and ``min_leaf`` drawn rows on both sides.
     """
-    size = rows.count()
-    if not size:
-        raise ValueError("no closed deals to fit on")
-    some = rows.where(F.pmod(F.xxhash64(SALT, F.lit(seed)), F.lit(max(1, size // SAMPLED))) == 0)
-    sample = np.array([tuple(r) for r in some.select(*names).collect()] or np.zeros((0, len(names))), np.float64)
-    cuts = [_cuts(sample[:, i]) for i in range(len(names))]
-    width = ceil(sqrt(len(names)))
-    grown = [{"place": [-1], "threshold": [0.0], "left": [0], "right": [0], "gain": [0.0], "n": [0.0], "won": [0.0]} for _ in range(trees)]
-    opened = {t: [0] for t in range(trees)}
+    return fit_forests(rows, names, trees, depth, min_leaf, seed, [None], None)[0]
+
+
+def fit_forests(
+    rows: DataFrame, names: list[str], trees: int, depth: int, min_leaf: int, seed: int, without: list, column: str | None
+) -> list[Forest]:
+    """A forest for each value in ``without``, each as :func:`fit_forest` grows it on the rows with another one in ``column``.
+
+    They grow level by level together.  A task reads its rows fastest if those with one value lie together.
+    """
+    cuts = []
+    for value in without:
+        of = rows if column is None else rows.where(F.col(column) != value)
+        size = of.count()
+        if not size:
+            raise ValueError("no closed deals to fit on")
+        some = of.where(F.pmod(F.xxhash64(SALT, F.lit(seed)), F.lit(max(1, size // SAMPLED))) == 0)
+        sample = np.array([tuple(r) for r in some.select(*names).collect()] or np.zeros((0, len(names))), np.float64)
+        cuts.append([_cuts(sample[:, i]) for i in range(len(names))])
+    # The trees of the first forest, then those of the next.
+    count = trees * len(without)
+    grown = [{"place": [-1], "threshold": [0.0], "left": [0], "right": [0], "gain": [0.0], "n": [0.0], "won": [0.0]} for _ in range(count)]
+    opened = {t: [0] for t in range(count)}
     for level in range(depth):
-        tables = _tables(_flat(grown), cuts)
+        tables = [x for f, c in enumerate(cuts) for x in _tables(_flat(grown[f * trees : (f + 1) * trees]), c)]
         following: dict[int, list[int]] = {}
-        waiting = [t for t in range(trees) if opened.get(t)]
+        # Trees that draw alike are counted in one pass.
+        waiting = sorted((t for t in range(count) if opened.get(t)), key=lambda t: (t % trees, t))
         while waiting:
             group, nodes = {}, 0
             while waiting and (not group or nodes + len(opened[waiting[0]]) <= OPEN_NODES):
@@ -269,27 +335,29 @@ def fit_forest(rows: DataFrame, names: list[str], trees: int, depth: int, min_le
                 nodes += len(opened[t])
                 slots = np.full(len(grown[t]["place"]), -1)
                 slots[opened[t]] = np.arange(len(opened[t]))
-                tried = [np.sort(np.random.default_rng((seed, t, x)).permutation(len(names))[:width]) for x in opened[t]]
+                tried = [_candidates(seed, t % trees, x, len(names)) for x in opened[t]]
                 group[t] = slots, np.array(tried)
-            counted = rows.mapInArrow(_counter(names, cuts, tables, level, group, seed), "tree int, counts binary")
-            splits = counted.groupBy("tree").applyInArrow(_splitter(group, cuts, min_leaf), _SPLITS)
+            of_group = {t: tables[t] for t in group}
+            counter = _counter(names, cuts, of_group, level, group, seed, trees, without, column)
+            counted = rows.mapInArrow(_packed(counter), "tree int, counts binary")
+            splits = counted.groupBy("tree").applyInArrow(_splitter(group, cuts, trees, min_leaf), _SPLITS)
             # A row for each open node.
-            for r in sorted(splits.collect(), key=lambda r: (r.tree, r.node)):
-                tree = grown[r.tree]
-                tree["n"][r.node], tree["won"][r.node] = r.n, r.won
-                if r.gain <= 1e-12:
+            for t, node, place, cut, gain, n, won, n_left, won_left in sorted(map(tuple, splits.collect())):
+                tree = grown[t]
+                tree["n"][node], tree["won"][node] = n, won
+                if gain <= 1e-12:
                     continue
                 left = len(tree["place"])
-                values = {"place": r.place, "threshold": float(cuts[r.place][r.cut]), "left": left, "right": left + 1, "gain": r.gain}
+                values = {"place": place, "threshold": float(cuts[t // trees][place][cut]), "left": left, "right": left + 1, "gain": gain}
                 for c, v in values.items():
-                    tree[c][r.node] = v
-                for x, (n, won) in enumerate(((r.n_left, r.won_left), (r.n - r.n_left, r.won - r.won_left))):
-                    for c, v in {"place": -1, "threshold": 0.0, "left": 0, "right": 0, "gain": 0.0, "n": n, "won": won}.items():
+                    tree[c][node] = v
+                for x, (n_x, won_x) in enumerate(((n_left, won_left), (n - n_left, won - won_left))):
+                    for c, v in {"place": -1, "threshold": 0.0, "left": 0, "right": 0, "gain": 0.0, "n": n_x, "won": won_x}.items():
                         tree[c].append(v)
-                    if 0 < won < n and n >= 2 * min_leaf:
-                        following.setdefault(r.tree, []).append(left + x)
+                    if 0 < won_x < n_x and n_x >= 2 * min_leaf:
+                        following.setdefault(t, []).append(left + x)
         opened = following
-    return Forest(_flat(grown), len(names))
+    return [Forest(_flat(grown[at : at + trees]), len(names)) for at in range(0, count, trees)]
 
 
 def _flat(grown: list[dict[str, list]]) -> dict[str, np.ndarray]:
@@ -308,7 +376,8 @@ def with_chance(forest: Forest, rows: DataFrame, names: list[str], column: str)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         paths = [_paths(table, shift) for table in tables]
-        for part, bins in _batches(batches, names, cuts):
+        for _, part in _parted(batches, None):
+            bins = _bins(part, names, cuts)
             at, sums = np.arange(part.num_rows), np.zeros(part.num_rows)
             for table, of_tree in zip(tables, paths):
                 sums += table[3].take(_walked(table, of_tree, bins, at, steps, shift))

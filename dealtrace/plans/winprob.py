@@ -11,6 +11,7 @@ import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,7 @@ from ..functions import fixed_values as V
 from ..functions import scalars as S
 from ..operators.lookup import lookup_join
 from ..sources.scratch import keep
-from .forest import SALT, Forest, fit_forest, load_forest, with_chance
+from .forest import SALT, Forest, fit_forest, fit_forests, load_forest, with_chance
 
 # Columns of the model, named so that no deal column is in their way.
 CODE = "_win_code"
@@ -125,7 +126,7 @@ def _training(model: WinModel, closed: DataFrame) -> DataFrame:
     extra = [c for c in closed.columns if c == FOLD]
     rows = _encoded(model, closed).select("label", SALT, *extra, *_codes(model))
     cores = closed.sparkSession.sparkContext.defaultParallelism
-    return keep(rows.repartition(2 * cores), "win-training")
+    return keep(rows.repartition(2 * cores).sortWithinPartitions(*extra) if extra else rows.repartition(2 * cores), "win-training")
 
 
 def fit_win_model(
@@ -249,8 +250,8 @@ def node_importance(nodes: DataFrame) -> DataFrame:
 def store_win_model(deals: DataFrame, root: str, key: str, **fit) -> str:
     """Fit on the closed deals, and store the model and its tables in a folder of its own under ``root``.
 
-    ``features``, ``forest``, ``encoder`` are the model; ``nodes`` its trees; ``scores`` all
-    deals with their chances; ``ready``, written last, has ``key`` (what the deals are) and the version.
+    ``features``, ``forest``, ``encoder`` are the model; ``nodes`` its trees; ``deals`` what it was
+    fitted to and scores; ``scores`` all deals with their chances; ``ready``, written last, has ``key`` (what the deals are) and the version.
     Versions sort by the time of their fit.  ``fit`` goes to :func:`fit_win_model`.
     """
     spark = deals.sparkSession
@@ -259,7 +260,9 @@ def store_win_model(deals: DataFrame, root: str, key: str, **fit) -> str:
     shown = ["opp_id", "account_name", "amount", "channel_category", "segment", "is_won", "is_closed_deal", "label"]
     wanted = [*shown, *fit.get("categorical", V.WIN_CATEGORICAL), *fit.get("others", [*V.WIN_BOOLEAN, *V.WIN_NUMERIC])]
     # Fitted to and scored: what makes the deals is done once.
-    deals = keep(deals.select(*(c for c in dict.fromkeys(wanted) if c in deals.columns)), "win-deals")
+    deals = deals.select(*(c for c in dict.fromkeys(wanted) if c in deals.columns))
+    deals.write.parquet(f"{folder}/deals")
+    deals = spark.read.schema(deals.schema).parquet(f"{folder}/deals")
     model = fit_win_model(deals, **fit)
     model.save(folder)
     mark = {"key": F.lit(key), "version": F.lit(version)}
@@ -288,16 +291,12 @@ def out_of_fold_scores(
     """(fold, label, steps): each closed deal by a forest fitted without its fold; ``steps`` of a millionth."""
     model, closed = _encoder(stratified_folds(deals, folds), categorical, others)
     rows, codes = _training(model, closed), _codes(model)
-    parts = []
-    for fold in range(folds):
-        forest = fit_forest(rows.where(F.col(FOLD) != fold), codes, trees, depth, min_leaf, seed)
-        scored = with_chance(forest, rows.where(F.col(FOLD) == fold), codes, CHANCE)
-        chance = F.round(F.col(CHANCE) * SCORE_STEPS).cast("bigint")
-        parts.append(keep(scored.select(F.col(FOLD).alias("fold"), "label", chance.alias("steps")), "win-fold"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # All forests grow together, and all deals are scored at once.
+    forests = fit_forests(rows, codes, trees, depth, min_leaf, seed, list(range(folds)), FOLD)
+    parts = [with_chance(f, rows.where(F.col(FOLD) == fold), codes, CHANCE) for fold, f in enumerate(forests)]
+    chance = F.round(F.col(CHANCE) * SCORE_STEPS).cast("bigint")
+    scored = reduce(DataFrame.unionByName, parts).select(F.col(FOLD).alias("fold"), "label", chance.alias("steps"))
+    return keep(scored, "win-fold")
 
 
 def fold_auc(scores: DataFrame) -> DataFrame:

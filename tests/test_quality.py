@@ -181,6 +181,38 @@ def test_counts_of_a_task_equal_those_row_by_row(monkeypatch):
     assert (got == want).all() and want.sum() > 50 and len(walks) == 4
 
 
+def test_forests_that_grow_together_are_those_that_grow_alone(planted, monkeypatch):
+    """Folds are read in one pass a level, and each forest is the one of its own rows."""
+    model, closed = W._encoder(W.stratified_folds(planted, 3), ["channel_category"], ["amount"])
+    rows, codes = W._training(model, closed), W._codes(model)
+    alone = [R.fit_forest(rows.where(F.col(W.FOLD) != fold), codes, 6, 4, 5, 1) for fold in range(3)]
+    passes, counter = [], R._counter
+    monkeypatch.setattr(R, "_counter", lambda *a, **k: passes.append(1) or counter(*a, **k))
+    monkeypatch.setattr(R, "ROWS", 50)
+    together = R.fit_forests(rows, codes, 6, 4, 5, 1, [0, 1, 2], W.FOLD)
+    assert 1 < len(passes) <= 4
+    for a, b in zip(alone, together, strict=True):
+        assert {c: v.tolist() for c, v in a.nodes.items()} == {c: v.tolist() for c, v in b.nodes.items()}
+    assert together[0].nodes["n"].tolist() != together[1].nodes["n"].tolist()
+
+
+def test_folds_are_fitted_to_the_stored_deals(planted, tmp_path):
+    folder = W.store_win_model(planted, str(tmp_path), "a", trees=2, depth=2)
+    stored = W.stored(planted.sparkSession, folder, "deals")
+    fit = {"folds": 2, "trees": 2, "depth": 2}
+    assert stored.count() == planted.count()
+    assert W.cross_validated_auc(stored, **fit) == pytest.approx(W.cross_validated_auc(planted, **fit), abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [0, 200, 60_000, 70_000])
+def test_counts_are_sent_in_few_bytes_and_stay_whole(most):
+    counts = np.array([0, 1, most], float)
+    batch = pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([counts.tobytes()])], ["tree", "counts"])
+    packed = next(R._packed(iter)([batch])).column("counts")[0].as_buffer()
+    assert np.frombuffer(packed, f"u{packed.size // 3}").tolist() == counts.tolist()
+    assert packed.size <= 12
+
+
 def test_a_model_makes_its_deals_once(planted, tmp_path):
     seen = planted.sparkSession.sparkContext.accumulator(0)
 

@@ -67,3 +67,16 @@ def test_documents_keep_their_rows_whatever_the_filter(spark):
         kept = D.without_leaks(df, items, block_seeds=size)
         assert kept.columns == df.columns
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*(str(k) for k in range(30, 40)), "50", "None"])
+
+
+def test_only_texts_that_the_filter_leaves_are_shuffled(spark):
+    docs, items = corpus(40)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = D.without_leaks(frame(spark, docs, "doc_id"), frame(spark, items[:30], "item_id"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftAnti, BuildRight" in plan
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(30, 40))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
